@@ -1,7 +1,8 @@
 """Token ids in binary files whose document boundaries are Elias-Fano encoded.
 
 A file holds blocks, each followed by a line feed. A block: a fixed header (see _HEADER), the Elias-Fano codes of the
-document ids and of the document ends, then the ids of all its documents as little-endian unsigned 32-bit integers.
+document ids and of the document ends, then the ids of all its documents as little-endian unsigned integers, of 16
+bits if all fit and else of 32.
 Files and blocks are in ascending doc_id order by their shard and block numbers.
 """
 
@@ -25,8 +26,8 @@ from cairn.llm.shared import TOKENIZER_FILE, doc_texts, new_path, slices, table,
 
 END_ID = 2
 MAGIC = b"CAIRNEF1"
-# magic, shard, block, documents, of them without a doc_id, ids, smallest doc_id, bytes of the two codes
-_HEADER = struct.Struct("<8sIIQQQqQQ")
+# magic, bytes of an id, shard, block, documents, of them without a doc_id, ids, smallest doc_id, bytes of the two codes
+_HEADER = struct.Struct("<8sIIIQQQqQQ")
 BLOCK_IDS = 4 << 20
 PART_BYTES = 16 << 20
 _EVERY = 256
@@ -99,23 +100,24 @@ def pack_block(shard: int, block: int, doc_ids: list[int | None], ids: list[np.n
     smallest = int(known[0]) if len(known) else 0
     names = EliasFano.of(known.astype(np.uint64) - np.uint64(smallest % (1 << 64))).to_bytes()
     ends = EliasFano.of(np.cumsum([len(x) for x in ids])).to_bytes()
-    body = np.concatenate(ids).astype("<u4").tobytes()
-    return _HEADER.pack(MAGIC, shard, block, len(doc_ids), nulls, len(body) // 4, smallest, len(names), len(ends)) + names + ends + body
+    body = np.concatenate(ids)
+    width = 2 if body.max(initial=0) < 1 << 16 else 4
+    return _HEADER.pack(MAGIC, width, shard, block, len(doc_ids), nulls, len(body), smallest, len(names), len(ends)) + names + ends + body.astype(f"<u{width}").tobytes()
 
 
-def unpack_blocks(raw: bytes) -> Iterator[tuple[int, int, list[int | None], EliasFano, memoryview]]:
+def unpack_blocks(raw: bytes) -> Iterator[tuple[int, int, list[int | None], EliasFano, np.ndarray]]:
     """shard, block, doc_ids, document ends, ids of each block of a file."""
     at, view = 0, memoryview(raw)
     while at < len(raw):
-        magic, shard, block, _, nulls, n_ids, smallest, a, b = _HEADER.unpack_from(raw, at)
+        magic, width, shard, block, _, nulls, n_ids, smallest, a, b = _HEADER.unpack_from(raw, at)
         if magic != MAGIC:
             raise ValueError("not a token file")
         at += _HEADER.size
         names = EliasFano.from_bytes(bytes(view[at : at + a])).all() + smallest
         ends = EliasFano.from_bytes(bytes(view[at + a : at + a + b]))
         at += a + b
-        yield shard, block, [None] * nulls + names.tolist(), ends, view[at : at + 4 * n_ids]
-        at += 4 * n_ids + 1
+        yield shard, block, [None] * nulls + names.tolist(), ends, np.frombuffer(view[at : at + width * n_ids], f"<u{width}")
+        at += width * n_ids + 1
 
 
 @lru_cache(maxsize=2)
@@ -173,11 +175,12 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                 for shard, block, names, ends, ids in unpack_blocks(raw.as_py()):
                     end = ends.all()
                     start = np.concatenate([[0], end[:-1]])
-                    crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+                    wide = ids.astype("<u4")
+                    crc = [zlib.crc32(wide[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
                     n = len(names)
                     columns = [pa.array([shard] * n, pa.int32()), pa.array([block] * n, pa.int32()), pa.array(names, pa.int64()), pa.array(np.arange(n)), pa.array(start), pa.array(end - start), pa.array(crc, pa.int64())]
                     if with_ids:
-                        columns.append(pa.ListArray.from_arrays(np.concatenate([start, end[-1:]]).astype(np.int32), pa.array(np.frombuffer(ids, "<u4").astype(np.int64))))
+                        columns.append(pa.ListArray.from_arrays(np.concatenate([start, end[-1:]]).astype(np.int32), pa.array(ids.astype(np.int64))))
                     yield pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in schema.split(", ")])
 
     files = spark.read.format("binaryFile").load(path).select("content")
