@@ -162,6 +162,18 @@ def scored(docs: DataFrame, trees: Trees) -> DataFrame:
     return doc_texts(docs).mapInArrow(run, "doc_id long, score double")
 
 
+def kept(docs: DataFrame, trees: Trees, from_score: float = KEEP_FROM) -> DataFrame:
+    """The rows of docs that score from_score or more, with all their columns as they are."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at):
+            x = np.array([features(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, N_FEATURES)
+            yield batch.filter(pa.array(trees.score(x) >= from_score))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
