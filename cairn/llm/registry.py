@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cairn.llm import op10_topk as top_k
 from cairn.llm.op1_quality import op1_quality
 from cairn.llm.op2_token_files import op2_token_files
 from cairn.llm.op3_mixing import op3_mixing
@@ -11,6 +12,6 @@ from cairn.llm.op6_fingerprint import op6_fingerprint
 from cairn.llm.op8_near_duplicates import op8_near_duplicates
 from cairn.llm.op9_pii import op9_pii
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_files, op3_mixing, op4_bpe, op5_repeats, op6_fingerprint, op8_near_duplicates, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_files, op3_mixing, op4_bpe, op5_repeats, op6_fingerprint, op8_near_duplicates, op9_pii, top_k.op10_topk)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_topk": top_k.ORACLE_SQL}
