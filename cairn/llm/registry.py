@@ -9,9 +9,10 @@ from cairn.llm.op3_mixing import op3_mixing
 from cairn.llm.op4_bpe import op4_bpe
 from cairn.llm.op5_repeats import op5_repeats
 from cairn.llm.op6_fingerprint import op6_fingerprint
+from cairn.llm.op7_ctw import op7_ctw
 from cairn.llm.op8_near_duplicates import op8_near_duplicates
 from cairn.llm.op9_pii import op9_pii
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_files, op3_mixing, op4_bpe, op5_repeats, op6_fingerprint, op8_near_duplicates, op9_pii, top_k.op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_files, op3_mixing, op4_bpe, op5_repeats, op6_fingerprint, op7_ctw, op8_near_duplicates, op9_pii, top_k.op10_topk)}
 
 ORACLE_SQL: dict[str, str] = {"op10_topk": top_k.ORACLE_SQL}
