@@ -8,7 +8,8 @@ settled by probing the one set's whole sorted array with the other's.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,26 +27,86 @@ LONG_LIST = 24
 MEETINGS = 6
 STAR = 128
 FILTER_BITS = 1 << 23
+_SLICE = 3 << 20
+_FLUSH = 3_000_000
+_PART_TOKENS = 2_000_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BYTE = np.random.default_rng(8).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * _MULTIPLIERS[0]
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's runs of five words (A-Z lower-cased; fewer words: all as one)."""
-    words = text.encode().lower().split()
-    if len(words) < WORDS:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)] if words else [], np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    n = len(words) - WORDS + 1
-    total = np.zeros(n, np.uint64)
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64, and of its inverse."""
+    base = int(_MULTIPLIERS[7])
+    return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, b, np.uint64))]) for b in (base | 1, pow(base | 1, -1, 1 << 64)))
+
+
+def _raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of an array of texts, and where each text begins and the last ends."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, offsets - offsets[0]
+
+
+def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For all texts at once: sorted distinct 64-bit hashes of the text's runs of five words (A-Z lower-cased; fewer
+    words: all as one), one set after another, and the bounds of the sets."""
+    raw, offsets = _raw(texts)
+    n = len(raw)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    word = ~_SPACE[raw]
+    starts, ends = word.copy(), word.copy()
+    starts[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    filled = offsets[:-1] < offsets[1:]
+    first, last = offsets[:-1][filled], offsets[1:][filled] - 1
+    starts[first], ends[last] = word[first], word[last]
+    start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    up, down = _powers(1 << max(16, n.bit_length()))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[_LOWER[raw]] * up[:n])])
+    h = _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    bounds = np.searchsorted(start, offsets)
+    many = np.diff(bounds)
+    total = np.zeros(max(0, len(h) - WORDS + 1), np.uint64)
     for i in range(WORDS):
-        total += _mix(h[i : i + n] + _MULTIPLIERS[i]) * _MULTIPLIERS[i + 1]
-    return np.unique(_mix(total))
+        total += h[i : i + len(total)] * _MULTIPLIERS[i + 1]
+    total = _mix(total)
+    # A run counts where its document has enough words from it on; documents of fewer words have one of their own.
+    ahead = np.repeat(bounds[1:], many)[: len(total)] - np.arange(len(total))
+    keep = ahead >= WORDS
+    sizes = np.maximum(many - WORDS + 1, (many > 0).astype(np.int64))
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.zeros(at[-1], np.uint64)
+    long = many >= WORDS
+    out[np.repeat(long, sizes)] = total[keep]
+    for d in np.flatnonzero((many > 0) & ~long).tolist():
+        own = h[bounds[d] : bounds[d + 1]]
+        out[at[d]] = _mix((own * _MULTIPLIERS[: len(own)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own)))[0]
+    for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        out[x:y].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[at[:-1][sizes > 0]] = True
+    return out[new], np.concatenate([[0], np.cumsum(new)])[at]
+
+
+def shingles(text: str) -> np.ndarray:
+    """The set of one text."""
+    return shingle_sets(pa.array([text]))[0]
 
 
 def _node(found: np.ndarray) -> int:
@@ -68,8 +129,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 class Filter:
     """A Bloom filter of fixed size over 64-bit numbers. It only orders or thins what is looked at, never decides."""
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
+    def __init__(self, words: np.ndarray, parts: int = 0):
+        self.words, self.parts = words, parts
 
     @staticmethod
     def _places(values: np.ndarray) -> Iterator[np.ndarray]:
@@ -77,8 +138,9 @@ class Filter:
             yield ((values * m) >> np.uint64(41)).astype(np.int64) % FILTER_BITS
 
     @classmethod
-    def of(cls, values: DataFrame) -> Filter:
-        """From the only column of a DataFrame; at most FILTER_BITS / 64 numbers reach the driver."""
+    def of(cls, values: DataFrame, parts: int = 0) -> Filter:
+        """From the only column of a DataFrame; at most FILTER_BITS / 64 numbers reach the driver. parts: what is asked
+        for later is known only by its 32 low bits and its part, of so many."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = np.zeros(FILTER_BITS // 64, np.uint64)
@@ -86,14 +148,17 @@ class Filter:
                 for places in cls._places(batch.column(0).to_numpy().view(np.uint64)):
                     np.bitwise_or.at(words, places >> 6, np.uint64(1) << (places & 63).astype(np.uint64))
             at = np.flatnonzero(words)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], ["at", "bits"])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], ["at", "bits"])
 
         words = np.zeros(FILTER_BITS // 64, np.uint64)
         rows = values.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()
         words[[r[0] for r in rows]] = np.array([r[1] for r in rows], np.int64).view(np.uint64)
-        return cls(words)
+        return cls(words, parts)
 
     def holds(self, values: np.ndarray) -> np.ndarray:
+        if self.parts:
+            values = (values & np.uint64(0xFFFFFFFF)) | ((values >> np.uint64(32)) % np.uint64(self.parts)) << np.uint64(32)
         out = np.ones(len(values), bool)
         for places in self._places(values):
             out &= (self.words[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1) == 1
@@ -101,40 +166,134 @@ class Filter:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, node (name of the set), n_shingles of every document."""
+    """doc_id, node (name of the set), n_shingles, and the least shingle by each of some hash functions, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [shingles(t) for t in batch.column(1).to_pylist()]
-            nodes = pa.array([_node(s) if len(s) else None for s in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array([len(s) for s in found], pa.int64())], ["doc_id", "node", "n_shingles"])
-
-    return doc_texts(docs).mapInArrow(run, "doc_id long, node long, n_shingles long")
-
-
-def _map_sets(docs: DataFrame, emit, schema: str) -> DataFrame:
-    """Rows of emit(set), arrays of the same length, each with the set's node in front."""
+        for batch in slices(batches, 1, _SLICE):
+            found, at = shingle_sets(batch.column(1))
+            sizes = np.diff(at)
+            nodes = pa.array([_node(found[x:y]) if y > x else None for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64())
+            least = np.zeros((len(sizes), MEETINGS), np.int64)
+            if len(found):
+                least[sizes > 0] = np.stack([np.minimum.reduceat(_mix(found * m), at[:-1][sizes > 0]) for m in _MULTIPLIERS[:MEETINGS]], axis=1).view(np.int64)
+            met = pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * MEETINGS, pa.array(least.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array(sizes), met], ["doc_id", "node", "n_shingles", "met"])
+
+    return doc_texts(docs).mapInArrow(run, "doc_id long, node long, n_shingles long, met array<long>")
+
+
+def _prefixes(found: np.ndarray, at: np.ndarray, last: Filter | None) -> tuple[np.ndarray, np.ndarray]:
+    """Which shingles are among the first of their set in the common order, those in `last` behind all others and by
+    value otherwise; and which of all are in `last`."""
+    sizes = np.diff(at)
+    wanted = np.repeat(sizes - -(-PERCENT * sizes // 100) + 1, sizes)
+    start = np.repeat(at[:-1], sizes)
+    late = last.holds(_names(found)) if last else np.zeros(len(found), bool)
+    early = np.concatenate([[0], np.cumsum(~late)])
+    place = np.arange(len(found))
+    before = early[:-1] - early[start]
+    rank = np.where(late, np.repeat(early[at[1:]] - early[at[:-1]], sizes) + (place - start) - before, before)
+    return rank < wanted, late
+
+
+def _names(found: np.ndarray) -> np.ndarray:
+    """Shingles as they are looked up: another mixing, so that small ones spread evenly."""
+    return _mix(found * _MULTIPLIERS[2])
+
+
+def _packed(docs: DataFrame, parts: int, last: Filter | None, with_nodes: bool) -> DataFrame:
+    """Prefix shingles packed for their part (by hash): part, tokens (32 bits each, which with the part tell shingles
+    apart well enough to find candidates), and with_nodes each token's place in a list of nodes, and that list. With
+    `last`, shingles in it come as rows of their own (shingle, node) instead, so that no part has a long list."""
+    schema = "part int, tokens binary, places binary, nodes binary, shingle long, node long"
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            parts = [(_node(s), emit(s)) for s in map(shingles, batch.column(1).to_pylist()) if len(s)]
-            if not parts:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        owners: list[np.ndarray] = []
+        count = docs_held = 0
+
+        def flush() -> pa.RecordBatch:
+            name, owner = (np.concatenate(c) for c in zip(*held, strict=True))
+            node = np.concatenate(owners)
+            part = (name >> np.uint64(32)).astype(np.int64) % parts
+            order = np.argsort(part, kind="stable")
+            part, token, owner = part[order], name[order].astype(np.uint32), owner[order]
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            rows = [(int(part[x]), token[x:y], owner[x:y]) for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True)]
+            blobs: list[list[bytes | None]] = [[], [], []]
+            for _, t, o in rows:
+                used, place = np.unique(o, return_inverse=True) if with_nodes else (None, None)
+                blobs[0].append(t.tobytes())
+                blobs[1].append(place.astype(np.uint16).tobytes() if with_nodes else None)
+                blobs[2].append(node[used].tobytes() if with_nodes else None)
+            none = pa.nulls(len(rows), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array(c, pa.binary()) for c in blobs), none, none], names)
+
+        for batch in slices(batches, 1, _SLICE):
+            found, at = shingle_sets(batch.column(1))
+            sizes = np.diff(at)
+            if not len(found):
                 continue
-            columns = [np.concatenate(c) for c in zip(*(e for _, e in parts), strict=True)]
-            nodes = np.repeat(np.array([n for n, _ in parts], np.int64), [len(e[0]) for _, e in parts])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), *(pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns)], names)
+            chosen, late = _prefixes(found, at, last)
+            filled = [_node(found[x:y]) if y > x else 0 for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            nodes, owner = np.array(filled, np.int64), np.repeat(np.arange(len(sizes)), sizes)
+            name = _names(found)
+            own = chosen & late
+            if own.any():
+                n = int(own.sum())
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 3, pa.array(name[own].view(np.int64)), pa.array(nodes[owner[own]])], names)
+            if count + len(name) > _FLUSH or docs_held + len(nodes) > 65_000:
+                if held:
+                    yield flush()
+                held, owners, count, docs_held = [], [], 0, 0
+            chosen &= ~late
+            held.append((name[chosen], owner[chosen] + docs_held))
+            owners.append(nodes)
+            count, docs_held = count + int(chosen.sum()), docs_held + len(nodes)
+        if count:
+            yield flush()
 
     return doc_texts(docs).mapInArrow(run, schema)
 
 
-def _prefix(found: np.ndarray, last: Filter | None) -> np.ndarray:
-    """The first shingles in the common order: those in `last` behind all others, by value otherwise."""
-    n = len(found) - -(-PERCENT * len(found) // 100) + 1
-    if last is None:
-        return found[:n]
-    late = last.holds(found)
-    return np.concatenate([found[~late], found[late]])[:n]
+def _by_part(packed: DataFrame, parts: int, columns: list[str], make: Callable[[int, list[list[bytes]]], list[np.ndarray]], schema: str) -> DataFrame:
+    """Rows of make(part, its blobs), for one part after another."""
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, blobs = None, []
+        for batch in batches:
+            for part, *blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group not in (None, part):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in make(group, blobs)], names)
+                    blobs = []
+                group = part
+                blobs.append(blob)
+        if blobs:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in make(group, blobs)], names)
+
+    rows = packed.where("part is not null").select("part", *columns)
+    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
+
+
+def _often(part: int, blobs: list[list[bytes]]) -> list[np.ndarray]:
+    """Tokens of a part that occur more than LONG_LIST times, as names."""
+    token, n = np.unique(np.concatenate([np.frombuffer(b[0], np.uint32) for b in blobs]), return_counts=True)
+    return [np.full((n > LONG_LIST).sum(), part, np.int64), token[n > LONG_LIST].astype(np.int64)]
+
+
+def _shared(part: int, blobs: list[list[bytes]]) -> list[np.ndarray]:
+    """(shingle, node) of the tokens of a part that more than one node holds."""
+    token = np.concatenate([np.frombuffer(b[0], np.uint32) for b in blobs])
+    node = np.concatenate([np.frombuffer(b[2], np.int64)[np.frombuffer(b[1], np.uint16)] for b in blobs])
+    order = np.lexsort((node, token))
+    token, node = token[order], node[order]
+    new = np.append(True, (np.diff(token) != 0) | (np.diff(node) != 0))[: len(token)]
+    token, node = token[new], node[new]
+    same = token[1:] == token[:-1]
+    keep = np.append(same, False)[: len(token)] | np.append(False, same)[: len(token)]
+    return [(token[keep].astype(np.int64) | np.int64(part) << np.int64(32)), node[keep]]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -185,13 +344,14 @@ def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, own = None, None
-        for batch in slices(batches, 3):
+        for batch in slices(batches, 3, _SLICE):
             out = []
-            for b, part, a, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found, at = shingle_sets(batch.column(3))
+            for i, (b, part, a) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
                 if a is None:
                     if centre != (b, part):
-                        centre, own = (b, part), shingles(text)
-                elif centre == (b, part) and linked(shingles(text), own):
+                        centre, own = (b, part), found[at[i] : at[i + 1]].copy()
+                elif centre == (b, part) and linked(found[at[i] : at[i + 1]], own):
                     out.append((a, b))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
@@ -215,21 +375,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = written(sets(docs), "sets")
     nodes = members.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"))
 
-    def meet(s: np.ndarray) -> list[np.ndarray]:
-        return [np.array([_mix(s * m).min() for m in _MULTIPLIERS[:MEETINGS]], np.uint64), np.arange(MEETINGS, dtype=np.int32)]
-
-    met = _map_sets(docs, meet, "node long, key long, kind int")
+    met = members.where("node is not null").select("node", F.posexplode("met").alias("kind", "key")).distinct()
     hubs = met.groupBy("kind", "key").agg(F.min("node").alias("hub"), F.max("node").alias("high")).where("hub <> high").drop("high")
     votes = met.join(hubs, ["kind", "key"]).where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("node").agg(F.max(F.struct("votes", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
     first = written(verified(docs, members, best), "links")
     grouped = written(components(first), "groups")
 
-    seen = _map_sets(docs, lambda s: [_prefix(s, None)], "node long, shingle long")
-    long_lists = Filter.of(seen.groupBy("shingle").count().where(F.col("count") > LONG_LIST).select("shingle"))
-    lists = _map_sets(docs, lambda s: [_prefix(s, long_lists)], "node long, shingle long")
-    shared = lists.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("shingle")
-    postings = written(lists.join(shared, "shingle").distinct(), "postings")
+    total = members.agg(F.sum(F.col("n_shingles") * (100 - PERCENT) / 100 + 1)).first()[0] or 0
+    parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // _PART_TOKENS + 1))
+    often = _by_part(_packed(docs, parts, None, False), parts, ["tokens"], _often, "part long, token long")
+    long_lists = Filter.of(often.select((F.col("token") + F.shiftleft(F.col("part"), 32)).alias("name")), parts)
+    packed = written(_packed(docs, parts, long_lists, True), "prefixes")
+    direct = packed.where("part is null").select("shingle", "node").distinct()
+    postings = _by_part(packed, parts, ["tokens", "places", "nodes"], _shared, "shingle long, node long").unionByName(direct)
+    postings = written(postings, "postings")
     postings = postings.join(grouped, "node", "left").select("shingle", "node", F.coalesce("component", "node").alias("component"))
     apart = postings.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
     postings = written(postings.join(apart, "shingle").join(nodes, "node"), "postings")
