@@ -7,7 +7,8 @@ names, given by hashing and counted by Spark's sort and aggregation. The lengths
 
 1. GRAM bytes at each anchor;
 2. all windows of an anchor together, up to 2 LENGTH - GRAM bytes: if that context occurs elsewhere, all of them repeat;
-3. the single windows of the anchors that are left, by the pair of names of their two halves.
+3. the single windows of the anchors that are left, by the pair of names of their two halves: contexts with equal GRAM bytes
+   meet in one task, and of those GRAM bytes that stand in very many contexts every window moves on its own.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from cairn.llm.shared import doc_texts, slices, table, written
 
 LENGTH = 200
 GRAM = 32
+#: GRAM bytes that stand in more different contexts than this don't meet in one task.
+MEET = 256
 _SLICE = 2 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _BYTES = [np.random.default_rng(seed).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1) for seed in (11, 12)]
@@ -85,6 +88,14 @@ def anchors(raw: np.ndarray, ends: np.ndarray, hashes: Hashes, length: int, gram
     return anchor[first], start[first], start[np.concatenate([cut, [len(start)]]) - 1]
 
 
+def _window_names(hashes: Hashes, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of windows, 64 bits and 31 more, from the names of their halves."""
+    half = length // 2
+    left, right = (hashes(start + i, start + i + half, int(i > 0)) for i in (0, length - half))
+    name = left * np.uint64(0x165667B19E3779F9) + right
+    return name, ((left ^ (right * np.uint64(0xA0761D6478BD642F))) >> np.uint64(33)).astype(np.int32)
+
+
 def text_id(raw: bytes) -> int:
     """A signed 64-bit name of a text; equal texts are one text, which occurs as often as its rows."""
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(raw))))
@@ -151,31 +162,74 @@ def repeated_windows(docs: DataFrame, copied: DataFrame, length: int = LENGTH, g
     repeated = rows.groupBy("gram").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("gram")
     rows = written(rows.join(repeated, "gram").distinct(), "anchors")
     names = rows.groupBy("gram", "context").agg(F.min(place).alias("low"), F.max(place).alias("high"))
-    by_gram = names.groupBy("gram").agg(F.max(F.col("low") == F.col("high")).alias("open"), F.min("context").alias("one"), F.max("context").alias("other"))
-    names = names.join(by_gram.where("open and one <> other").select("gram", F.lit(True).alias("open")), "gram", "left")
+    by_gram = names.groupBy("gram").agg(F.max(F.col("low") == F.col("high")).alias("open"), F.count(F.lit(1)).alias("contexts"))
+    names = names.join(by_gram.where("open and contexts > 1").select("gram", F.lit(True).alias("open"), (F.col("contexts") > MEET).alias("many")), "gram", "left")
     rows = written(rows.join(names, ["gram", "context"]).withColumn("place", place), "contexts")
     whole = rows.where("low <> high").select("tid", "first", (F.col("first") + F.col("more")).alias("last"))
     # What is left: the places of contexts that occur once, and one place of each other context that could match them.
-    single = rows.where("open and place = low").select("tid", "first", "more", (F.col("low") == F.col("high")).alias("single"))
-    single = written(single.groupBy("tid").agg(F.collect_set(F.struct("first", "more", "single")).alias("runs")), "open-anchors")
-    texts = _text_rows(docs, single).join(single, "tid")
+    single = rows.where("open and place = low").select("tid", "many", F.struct("gram", "first", "more", (F.col("low") == F.col("high")).alias("single")).alias("run"))
+    single = written(single.groupBy("many", "tid").agg(F.collect_set("run").alias("runs")), "open-anchors")
+    few, many = (single.where(F.col("many") == m).select("tid", "runs") for m in (False, True))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1, _SLICE):
+            out = []
+            for tid, text, runs in zip(*(batch.column(c).to_pylist() for c in ("tid", "text", "runs")), strict=True):
+                raw = text.encode()
+                out += [(r["gram"], tid, r["first"], r["single"], raw[r["first"] : r["first"] + r["more"] + length]) for r in runs]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["gram", "tid", "first", "asked", "bytes"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def settled(rows: pa.Table) -> pa.RecordBatch:
+            gram, tid, first = (rows.column(c).to_numpy() for c in ("gram", "tid", "first"))
+            raw = rows.column("bytes").to_pylist()
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+            begin = np.cumsum(sizes) - sizes
+            windows = sizes - length + 1
+            within = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+            name = _window_names(Hashes(np.frombuffer(b"".join(raw), np.uint8)), np.repeat(begin, windows) + within, length)[0]
+            name += np.repeat(gram.view(np.uint64), windows) * np.uint64(0x8EBC6AF09C88C6E3)
+            order = np.argsort(name)
+            same = name[order][1:] == name[order][:-1]
+            twice = np.zeros(len(name), bool)
+            twice[order] = np.append(same, False) | np.append(False, same)
+            twice &= np.repeat(rows.column("asked").to_numpy(zero_copy_only=False), windows)
+            owner, at = np.repeat(np.arange(len(raw)), windows)[twice], within[twice]
+            cut = np.flatnonzero((np.diff(owner) != 0) | (np.diff(at) != 1)) + 1
+            a, b = (np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]]) - 1) if len(at) else (np.zeros(0, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(tid[owner[a]]), pa.array(first[owner[a]] + at[a]), pa.array(first[owner[a]] + at[b])], ["tid", "first", "last"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gram = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(gram, gram[-1]))
+            if cut or held and held[-1].column(0)[-1].as_py() != gram[0]:
+                held.append(batch.slice(0, cut))
+                rows = pa.Table.from_batches(held)
+                if rows.num_rows:
+                    yield settled(rows)
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield settled(pa.Table.from_batches(held))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = length // 2
         for batch in slices(batches, 1, _SLICE):
             for tid, text, runs in zip(*(batch.column(c).to_pylist() for c in ("tid", "text", "runs")), strict=True):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                hashes = Hashes(raw)
+                hashes = Hashes(np.frombuffer(text.encode(), np.uint8))
                 start = np.concatenate([np.arange(r["first"], r["first"] + r["more"] + 1) for r in runs])
                 asked = np.repeat([r["single"] for r in runs], [r["more"] + 1 for r in runs])
-                left, right = (hashes(start + i, start + i + half, i > 0) for i in (0, length - half))
-                name = left * np.uint64(0x165667B19E3779F9) + right
-                check = ((left ^ (right * np.uint64(0xA0761D6478BD642F))) >> np.uint64(33)).astype(np.int32)
+                name, check = _window_names(hashes, start, length)
                 yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(check), pa.array(np.full(len(start), tid)), pa.array(start), pa.array(asked)], ["name", "rest", "tid", "first", "asked"])
 
-    single_windows = texts.mapInArrow(windows, "name long, rest int, tid long, first long, asked boolean")
+    apart = _text_rows(docs, few).join(few, "tid").mapInArrow(contexts, "gram long, tid long, first long, asked boolean, bytes binary")
+    found = apart.repartition("gram").sortWithinPartitions("gram").mapInArrow(met, "tid long, first long, last long")
+    single_windows = _text_rows(docs, many).join(many, "tid").mapInArrow(windows, "name long, rest int, tid long, first long, asked boolean")
     twice = single_windows.groupBy("name", "rest").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("name", "rest")
-    found = single_windows.where("asked").join(twice, ["name", "rest"]).select("tid", "first", F.col("first").alias("last"))
+    found = found.unionByName(single_windows.where("asked").join(twice, ["name", "rest"]).select("tid", "first", F.col("first").alias("last")))
     return whole.distinct().unionByName(found).join(copied, "tid", "left_anti")
 
 
