@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,15 +40,21 @@ def tokens(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(1 + _count(text, " ") + _count(text, "\n")).cast("double")
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, domain: str = "lang", domains: tuple[str, ...] = tuple(TARGETS)) -> DomainModel:
+def with_features(docs: DataFrame, prefix: str) -> DataFrame:
+    """docs with the size and tokens of the text and the count of each marker in columns whose names begin with prefix."""
+    text = text_or_empty()
+    counts = {f"{prefix}c{i}": _count(text, m) for i, m in enumerate(MARKERS)}
+    return docs.withColumns({f"{prefix}size": F.octet_length(text), f"{prefix}tokens": tokens(text)} | counts)
+
+
+def fit_domains(features: DataFrame, labels: DataFrame, domains: tuple[str, ...] = tuple(TARGETS)) -> DomainModel:
     """Rates of the markers in each domain over all labelled documents; one row a domain reaches the driver. Labelled
-    rows of other domains, or without one, are left out. A domain without rows keeps flat rates and a small prior."""
+    rows of other domains, or without one, are left out. A domain without rows keeps flat rates and a small prior.
+    features: doc_id, domain and the columns of with_features, so that no text moves for the join."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    text = text_or_empty()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(domain).cast("string").alias("domain"), text.alias("text"))
-    rows = rows.where(F.col("domain").isin(*domains)).join(known, "doc_id", "left_semi")
-    occurrences = [F.sum(_count(F.col("text"), m)).alias(f"m{i}") for i, m in enumerate(MARKERS)]
-    sums = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"), *occurrences)
+    rows = features.where(F.col("domain").isin(*domains)).join(known, "doc_id", "left_semi")
+    occurrences = [F.sum(f"c{i}").alias(f"m{i}") for i in range(len(MARKERS))]
+    sums = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), *occurrences)
     found = {r["domain"]: r for r in sums.collect()}
     total = sum(r["n"] for r in found.values())
     prior, rate = {}, {}
@@ -60,24 +65,21 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: str = "lang", domain
     return DomainModel(prior, rate)
 
 
-def with_membership(docs: DataFrame, model: DomainModel, prefix: str) -> DataFrame:
-    """docs with the posterior of each domain in the columns prefix0, prefix1, ... in the order of model.prior: Poisson
-    counts of the markers, tempered. Each step is a column of its own, so that nothing is worked out twice."""
+def with_membership(features: DataFrame, model: DomainModel, prefix: str = "") -> DataFrame:
+    """features (see with_features) with the posterior of each domain in the columns prefix + p0, p1, ... in the order of
+    model.prior: Poisson counts of the markers, tempered. Each step is a column of its own, so that nothing is worked out
+    twice."""
     domains = range(len(model.prior))
-    text = text_or_empty()
-    size = F.octet_length(text)
-    out = docs.withColumns({f"{prefix}c{i}": _count(text, m) for i, m in enumerate(MARKERS)} | {f"{prefix}size": size})
     strength = F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.greatest(F.col(f"{prefix}size"), F.lit(1)))
     logits = {}
     for k, d in enumerate(model.prior):
         fit = sum((F.col(f"{prefix}c{i}") * math.log(r) for i, r in enumerate(model.rate[d])), F.col(f"{prefix}size") * -sum(model.rate[d]))
         logits[f"{prefix}l{k}"] = math.log(model.prior[d]) + strength * fit
-    out = out.withColumns(logits)
-    top = reduce(lambda a, b: F.greatest(a, b), [F.col(f"{prefix}l{k}") for k in domains]) if len(domains) > 1 else F.col(f"{prefix}l0")
-    out = out.withColumn(f"{prefix}top", top)
+    top = [F.col(f"{prefix}l{k}") for k in domains]
+    out = features.withColumns(logits).withColumn(f"{prefix}top", F.greatest(*top) if len(top) > 1 else top[0])
     out = out.withColumns({f"{prefix}e{k}": F.exp(F.col(f"{prefix}l{k}") - F.col(f"{prefix}top")) for k in domains})
     whole = sum((F.col(f"{prefix}e{k}") for k in domains), F.lit(0.0))
-    return out.withColumns({f"{prefix}{k}": F.col(f"{prefix}e{k}") / whole for k in domains}).select(*docs.columns, *(f"{prefix}{k}" for k in domains))
+    return out.withColumns({f"{prefix}p{k}": F.col(f"{prefix}e{k}") / whole for k in domains}).select(*features.columns, *(f"{prefix}p{k}" for k in domains))
 
 
 @dataclass
@@ -134,11 +136,12 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, total: fl
     return mixture
 
 
-def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None) -> tuple[DomainModel, Mixture, DataFrame]:
-    """The domain model, the rates' steps and doc_id, tokens and posteriors of all documents, written once for the rounds."""
-    model = fit_domains(docs, labels, domains=tuple(targets))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tokens(text_or_empty()).alias("tokens"))
-    members = written(with_membership(rows, model, "p").drop("text"), "membership")
+def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, domain: str = "lang") -> tuple[DomainModel, Mixture, DataFrame]:
+    """The domain model, the rates' steps, and doc_id, tokens and posteriors of all documents. The texts are read once."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(domain).cast("string").alias("domain"), "text")
+    features = written(with_features(rows, "").drop("text"), "features")
+    model = fit_domains(features, labels, tuple(targets))
+    members = written(with_membership(features, model).select("doc_id", "tokens", *(f"p{k}" for k in range(len(targets)))), "membership")
     return model, fit_rates(members, targets, total), members
 
 
@@ -155,7 +158,7 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     """
     model, mixture, members = fit(docs, labels, targets)
     p = [F.col(f"p{k}") for k in range(len(model.prior))]
-    found = members.withColumns({"best": reduce(lambda a, b: F.greatest(a, b), p) if len(p) > 1 else p[0], "rate": mixture.rate(p)})
+    found = members.withColumns({"best": F.greatest(*p) if len(p) > 1 else p[0], "rate": mixture.rate(p)})
     domain = F.coalesce(*(F.when(F.col("best") == c, F.lit(d)) for c, d in zip(p, model.prior, strict=True)))
     return found.select("doc_id", domain.alias("domain"), F.col("best").alias("membership"), F.col("tokens").cast("long").alias("tokens"), "rate", _copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
@@ -164,8 +167,8 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     """docs with every row as often as its copies say; with the total left unset that is once at least. All columns stay."""
     model, mixture, _ = fit(docs, labels, targets)
     spare = "_" * (1 + max(map(len, docs.columns)))
-    found = with_membership(docs, model, spare)
-    rate = F.greatest(F.lit(1.0), mixture.rate([F.col(f"{spare}{k}") for k in range(len(model.prior))]))
+    found = with_membership(with_features(docs, spare), model, spare)
+    rate = F.greatest(F.lit(1.0), mixture.rate([F.col(f"{spare}p{k}") for k in range(len(model.prior))]))
     return found.withColumn(spare, F.explode(F.sequence(F.lit(1), _copies(rate, F.col("doc_id"))))).select(*docs.columns)
 
 
