@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +29,20 @@ LENGTH = 200
 GRAM = 32
 #: GRAM bytes that stand in more different contexts than this don't meet in one task.
 MEET = 256
-_SLICE = 2 << 20
+_SLICE = 1 << 19
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _BYTES = [np.random.default_rng(seed).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1) for seed in (11, 12)]
 
 
-@lru_cache(maxsize=4)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^64, and of its inverse."""
-    inverse = pow(base, -1, 1 << 64)
-    return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, b, np.uint64))]) for b in (base, inverse))
+    """Powers of an odd base modulo 2^64, and of its inverse, size of them or more; the longest table so far is kept."""
+    if base not in _POWERS or len(_POWERS[base][0]) <= size:
+        inverse = pow(base, -1, 1 << 64)
+        _POWERS[base] = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, b, np.uint64))]) for b in (base, inverse))
+    return _POWERS[base]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
