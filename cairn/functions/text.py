@@ -8,11 +8,12 @@ from itertools import chain
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions import vocab
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decomposed_ascii(v: pd.Series) -> pd.Series:
     """Compatibility decomposition without what isn't ASCII; Spark has no function for it."""
     return v.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode())

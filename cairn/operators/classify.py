@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import geo, vocab
-from cairn.functions.text import poor_description, slug, type_template
+from cairn.functions.text import description_quality, poor_description, slug, type_template
 from cairn.operators.scoring import has_tag, is_tag
 
 
@@ -115,5 +115,11 @@ def audited(elements: DataFrame) -> DataFrame:
 
 def first_signals(places: DataFrame) -> DataFrame:
     """Signals of a place as ingested, before any evidence."""
-    rich = F.col("quality_score") >= 65
-    return places.select("record_id", F.when(rich, 0.7).otherwise(0.4).alias("editorial_seed"), F.when(F.array_contains("display", "culture"), 0.6).otherwise(0.4).alias("local_identity"), (F.col("base_significance") / 10).alias("interpretive_value"), F.when(has_tag("name"), 0.0).otherwise(0.15).alias("genericity"), *(F.lit(0.0).alias(c) for c in ("official", "district", "institutional")))
+    shows = lambda *cs: F.arrays_overlap("display", F.array(*map(F.lit, cs)))
+    local = F.when(shows("culture") | (F.col("kind") == "infrastructure_landmark"), 0.6).otherwise(0.4)
+    return places.select(
+        "record_id", F.map_contains_key("tags", F.lit("wikidata")).alias("has_wikidata"), F.map_contains_key("tags", F.lit("wikipedia")).alias("has_wikipedia"),
+        F.size("tags").cast("double").alias("tag_richness"), description_quality(F.col("short_description"), F.col("kind")).alias("description_quality"),
+        local.alias("local_identity"), (F.col("base_significance") / 10).alias("interpretive_value"), F.when(shows("food", "history"), 0.0).otherwise(0.15).alias("genericity"),
+        F.when(F.col("quality_score") >= 65, 0.7).otherwise(0.4).alias("editorial_seed"), *(F.lit(0.0).alias(c) for c in ("official", "district", "institutional")),
+    )

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions.geo import in_ring
 from cairn.functions.rounding import py_round
@@ -15,7 +16,7 @@ from cairn.functions.text import historic_forms, jaccard, name_words
 METRES_PER_DEGREE = 111320.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Likeness of two strings by their matching blocks, in this order of arguments; Spark has no function for it."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
