@@ -165,8 +165,27 @@ class Filter:
         return out
 
 
+def parities(found: np.ndarray) -> bytes:
+    """A set's parity sketch: as many bits as it has shingles, or up to twice as many, each flipped by those that fall on it."""
+    bits = max(6, int(len(found) - 1).bit_length())
+    at = (found * _MULTIPLIERS[4]) >> np.uint64(64 - bits)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=1 << bits) & 1).astype(np.uint8)).tobytes()
+
+
+def may_link(a: bytes, b: bytes, together: int) -> bool:
+    """False only for sets, of `together` shingles in sum, that differ in too many: each bit in which the sketches
+    differ stands for a shingle at least that one of them lacks. The longer sketch is folded to the shorter."""
+    x, y = (np.unpackbits(np.frombuffer(s, np.uint8)) for s in (a, b))
+    while len(x) > len(y):
+        x = x[::2] ^ x[1::2]
+    while len(y) > len(x):
+        y = y[::2] ^ y[1::2]
+    return (100 + PERCENT) * int((x ^ y).sum()) <= (100 - PERCENT) * together
+
+
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, node (name of the set), n_shingles, and the least shingle by each of some hash functions, of every document."""
+    """doc_id, node (name of the set), n_shingles, the least shingle by each of some hash functions, and the parity
+    sketch, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, _SLICE):
@@ -177,9 +196,25 @@ def sets(docs: DataFrame) -> DataFrame:
             if len(found):
                 least[sizes > 0] = np.stack([np.minimum.reduceat(_mix(found * m), at[:-1][sizes > 0]) for m in _MULTIPLIERS[:MEETINGS]], axis=1).view(np.int64)
             met = pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * MEETINGS, pa.array(least.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array(sizes), met], ["doc_id", "node", "n_shingles", "met"])
+            sketch = pa.array([parities(found[x:y]) if y > x else None for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array(sizes), met, sketch], ["doc_id", "node", "n_shingles", "met", "sketch"])
+
+    return doc_texts(docs).mapInArrow(run, "doc_id long, node long, n_shingles long, met array<long>, sketch binary")
+
+
+def _likely(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """pairs (a, b) without those that the sketches rule out."""
+    one = members.where("node is not null").select("node", "n_shingles", "sketch").dropDuplicates(["node"])
+    own = lambda c: one.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist()
+            keep = [may_link(*row) for row in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), n, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, node long, n_shingles long, met array<long>")
+    rows = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _prefixes(found: np.ndarray, at: np.ndarray, last: Filter | None) -> tuple[np.ndarray, np.ndarray]:
@@ -397,7 +432,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     right = postings.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "n")))
     fits = (F.col("component_a") < F.col("component_b")) & (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a"))
     pairs = left.join(right, "shingle").where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    second = verified(docs, members, pairs)
+    second = verified(docs, members, _likely(pairs, members))
     groups = written(components(first.unionByName(second)), "groups")
 
     named = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
