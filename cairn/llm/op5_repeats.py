@@ -27,8 +27,8 @@ from cairn.llm.shared import doc_texts, slices, table, written
 
 LENGTH = 200
 GRAM = 32
-#: GRAM bytes that stand in more different contexts than this don't meet in one task.
-MEET = 256
+#: GRAM bytes that stand in more different contexts than this don't meet in one task: so many take it some 100 MB.
+MEET = 16_384
 _SLICE = 1 << 19
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _BYTES = [np.random.default_rng(seed).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1) for seed in (11, 12)]
