@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import geo, text, vocab
 from cairn.functions.rounding import py_round
-from cairn.operators import editorial, evidence, explain, matching, scoring, snapshots, themes
+from cairn.operators import classify, editorial, evidence, explain, matching, scoring, snapshots, themes
 from cairn.plans import oracle, views
 from cairn.plans.oracle import r, sql
 
@@ -462,3 +462,75 @@ def fuzzy_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = _table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("canonical_name")).agg(F.min("p_partkey").alias("poi_id")).withColumn("is_historical", F.col("poi_id") % 2 == 0)
     return matching.best_fuzzy(rows, places, 0.78)
 
+
+
+_RULE = """CASE WHEN tag_tourism = 'viewpoint' THEN 'viewpoint' WHEN tag_man_made = 'canal' THEN 'acequia_canal' WHEN tag_waterway IS NOT NULL THEN 'waterway_trace'
+WHEN tag_railway IS NOT NULL THEN 'railway_trace' WHEN tag_tourism = 'museum' THEN 'museum' WHEN tag_natural IS NOT NULL THEN 'natural_feature' WHEN tag_historic IS NOT NULL THEN 'historic_generic' END"""
+_KIND = """CASE rule WHEN 'viewpoint' THEN 'overlook_vista' WHEN 'museum' THEN 'museum' WHEN 'natural_feature' THEN 'landscape_feature' WHEN 'historic_generic' THEN 'historic_site' ELSE 'infrastructure_landmark' END"""
+_CLASSIFIED = f"SELECT *, {_KIND} AS kind FROM (SELECT *, {_RULE} AS rule FROM poi0) WHERE rule IS NOT NULL"
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places as raw elements: their tags, with the name among them for all but each tenth."""
+    rows = views.places(spark, sf_dir, signals=False)
+    named = F.when(F.col("poi_id") % 10 != 0, F.map_concat("tags", F.create_map(F.lit("name"), "canonical_name"))).otherwise(F.col("tags"))
+    none = "struct<lat: double, lon: double>"
+    return rows.select("poi_id", F.lit("node").alias("type"), F.col("poi_id").alias("id"), "lat", "lon", named.alias("tags"), F.lit(None).cast(none).alias("center"), F.lit(None).cast(f"array<{none}>").alias("geometry"), F.lit(None).cast("struct<minlat: double, minlon: double, maxlat: double, maxlon: double>").alias("bounds"))
+
+
+@query(sql(f"SELECT poi_id, rule, kind FROM ({_CLASSIFIED})", "poi0"))
+def tag_classify_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(spark, sf_dir).select("poi_id", classify.rule().alias("m")).where("m is not null").select("poi_id", "m.rule", "m.kind")
+
+
+_DISPLAY = """array_to_string(list_filter([CASE kind WHEN 'overlook_vista' THEN 'scenic' WHEN 'landscape_feature' THEN 'scenic' WHEN 'infrastructure_landmark' THEN 'civic' ELSE 'history' END,
+CASE WHEN kind NOT IN ('historic_site', 'museum') AND tag_historic IS NOT NULL THEN 'history' END, CASE WHEN kind NOT IN ('overlook_vista', 'landscape_feature') AND tag_tourism = 'viewpoint' THEN 'scenic' END,
+CASE WHEN kind <> 'infrastructure_landmark' AND (tag_man_made IS NOT NULL OR tag_railway IS NOT NULL OR tag_historic = 'railway_station') THEN 'civic' END], lambda v: v IS NOT NULL), '|')"""
+
+
+@query(sql(f"SELECT poi_id, {_DISPLAY} AS display FROM ({_CLASSIFIED})", "poi0"))
+def display_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tagged(spark, sf_dir).select("poi_id", "tags", classify.rule().alias("m")).where("m is not null").withColumn("kind", F.col("m.kind"))
+    found = classify.display_categories(F.col("kind"), classify.public_category(F.col("kind")))
+    return rows.select("poi_id", F.array_join(found, "|").alias("display"))
+
+
+@query(sql(f"""SELECT concat('node/', CAST(poi_id AS VARCHAR)) AS record_id, CASE WHEN poi_id % 10 = 0 THEN 'skipped_missing_name' WHEN rule IS NULL THEN 'skipped_unclassified' ELSE 'classified' END AS status,
+least(95.0, 40.0 + 2.5 * n + CASE WHEN poi_id % 10 <> 0 THEN 10 ELSE 0 END) AS quality FROM (SELECT *, {_RULE} AS rule, CASE WHEN poi_id % 10 <> 0 THEN 1 ELSE 0 END
++ (tag_historic IS NOT NULL)::INT + (tag_railway IS NOT NULL)::INT + (tag_waterway IS NOT NULL)::INT + (tag_tourism IS NOT NULL)::INT + (tag_natural IS NOT NULL)::INT + (tag_man_made IS NOT NULL)::INT AS n FROM poi0)""", "poi0").replace("least(95.0, 40.0 + 2.5 * n +", "CAST(least(95.0, 40.0 + 2.5 * n +").replace("ELSE 0 END) AS quality", "ELSE 0 END) AS DOUBLE) AS quality"))
+def audit_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.audited(_tagged(spark, sf_dir)).select("record_id", "status", F.col("quality_score").alias("quality"))
+
+
+@query(sql(f"SELECT poi_id, {r('lon + 0.01 / 3.0', 6)} AS x, {r('lat + 0.02 / 3.0', 6)} AS y FROM poi0", "poi0"))
+def polygon_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The centre of a right triangle at each place."""
+    at = lambda dx, dy: F.struct((F.col("lon") + dx).alias("x"), (F.col("lat") + dy).alias("y"))
+    rows = views.view(spark, sf_dir, views.POI).withColumn("ring", F.array(at(0.0, 0.0), at(0.01, 0.0), at(0.0, 0.02), at(0.0, 0.0)))
+    return rows.withColumn("c", geo.ring_centroid(F.col("ring"))).select("poi_id", py_round(F.col("c.x"), 6).alias("x"), py_round(F.col("c.y"), 6).alias("y"))
+
+
+@query(sql("SELECT city, count(*) AS n, count_if(is_active) AS active, count(DISTINCT subcategory) AS kinds FROM poi0 GROUP BY city", "poi0").replace("count_if(is_active)", "count(*) FILTER (is_active)"))
+def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.view(spark, sf_dir, views.POI).groupBy("city")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_active").alias("active"), F.count_distinct("subcategory").alias("kinds"))
+
+
+_SOURCES = "SELECT l_partkey AS poi_id, count(*) AS n FROM lineitem GROUP BY 1"
+
+
+@query(sql(f"SELECT p.poi_id, greatest(coalesce(n, 0), 1) AS source_count FROM poi0 p LEFT JOIN ({_SOURCES}) s ON s.poi_id = p.poi_id", "poi0"))
+def source_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("poi_id")).agg(F.count(F.lit(1)).alias("n"))
+    return views.view(spark, sf_dir, views.POI).select("poi_id").join(counts, "poi_id", "left").select("poi_id", F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)).alias("source_count"))
+
+
+@query(sql(f"""SELECT requested, count(*) AS results, min(score) AS lowest, max(score) AS highest FROM (
+{" UNION ALL ".join(f"SELECT '{c}' AS requested, score FROM (SELECT score FROM ({_nearby_sql(c, 3000, 'walking')}) ORDER BY score DESC, poi_id LIMIT 10)" for c in ("art", "civic", "scenic", "food"))}) GROUP BY 1""", "poi"))
+def case_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What evaluation cases look at: for some categories, how many results a request gives and their scores."""
+    places, out = views.places(spark, sf_dir), None
+    for c in ("art", "civic", "scenic", "food"):
+        top = scoring.best(scoring.score_nearby(places, scoring.Nearby(*CENTRE, 3000, c)), 10).select(F.lit(c).alias("requested"), "score")
+        out = top if out is None else out.unionByName(top)
+    return out.groupBy("requested").agg(F.count(F.lit(1)).alias("results"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
