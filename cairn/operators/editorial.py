@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.text import ascii_slug
+
 
 def upserted(stored: DataFrame, changes: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """stored with changes by key: non-null values of changes win, except in the columns of keep, where stored ones do.
@@ -46,3 +48,30 @@ def pending(status: str, shown: Column) -> Column:
     if status == "all":
         return F.lit(True)
     return shown.isin("unreviewed", "unmatched") if status == "unreviewed" else shown == status
+
+
+def reviewed_diagnostics(diagnostics: DataFrame, reviews: DataFrame) -> DataFrame:
+    """diagnostics (id, status, resolved_poi) after reviews (id, new_status, new_poi): outcome is applied, refused or
+    untouched. A diagnostic that has been reviewed takes only the same review again."""
+    rows = diagnostics.join(reviews, "id", "left")
+    same = (F.col("status") == F.col("new_status")) & F.col("resolved_poi").eqNullSafe(F.col("new_poi"))
+    may = F.col("status").isin("unreviewed", "unmatched") | same
+    outcome = F.when(F.col("new_status").isNull(), "untouched").when(may, "applied").otherwise("refused")
+    taken = outcome == "applied"
+    return rows.select("id", outcome.alias("outcome"), F.when(taken, F.col("new_status")).otherwise(F.col("status")).alias("status"), F.when(taken, F.col("new_poi")).otherwise(F.col("resolved_poi")).alias("resolved_poi"))
+
+
+def reviewed_themes(decisions: DataFrame, memberships: DataFrame) -> DataFrame:
+    """decisions (poi_id, theme, decision) with the stamp of the membership that was seen; accepted is false where there
+    is none, unless the decision brings the theme in."""
+    rows = decisions.join(memberships.select("poi_id", "theme", F.col("computed_at").alias("stamp"), F.lit(True).alias("member")), ["poi_id", "theme"], "left")
+    accepted = F.coalesce("member", F.lit(False)) | (F.col("decision") == "force_include")
+    return rows.select("poi_id", "theme", "decision", "stamp", accepted.alias("accepted"))
+
+
+def official_evidence(diagnostics: DataFrame) -> DataFrame:
+    """Evidence of full confidence for diagnostics that were resolved to a place; one row an evidence_key, of a longer key
+    the first 255 characters. diagnostics: resolved_poi, status, source_id, register_name, reference_number."""
+    key = F.substring(ascii_slug(F.concat_ws("-", "source_id", F.coalesce("reference_number", F.lit("")), "register_name")), 1, 255)
+    rows = diagnostics.where("status = 'resolved' AND resolved_poi IS NOT NULL").withColumn("evidence_key", key)
+    return rows.groupBy("evidence_key").agg(F.max("resolved_poi").alias("poi_id")).select("poi_id", "evidence_key", F.lit("historic_designation").alias("evidence_type"), F.lit(1.0).alias("confidence"))

@@ -534,3 +534,35 @@ def case_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
         top = scoring.best(scoring.score_nearby(places, scoring.Nearby(*CENTRE, 3000, c)), 10).select(F.lit(c).alias("requested"), "score")
         out = top if out is None else out.unionByName(top)
     return out.groupBy("requested").agg(F.count(F.lit(1)).alias("results"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
+
+
+_DIAGNOSTIC = "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'O' THEN 'unmatched' ELSE 'unreviewed' END AS status, CASE WHEN o_orderstatus = 'F' THEN o_custkey END AS resolved_poi, o_custkey, o_orderpriority FROM orders"
+_REVIEW = "SELECT id, CASE WHEN id % 4 = 0 THEN 'resolved' ELSE 'suppressed' END AS new_status, CASE WHEN id % 8 = 0 THEN o_custkey WHEN id % 4 = 0 THEN o_custkey + 1 END AS new_poi FROM d WHERE id % 4 < 2"
+
+
+def _diagnostics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    status = F.when(F.col("o_orderstatus") == "F", "resolved").when(F.col("o_orderstatus") == "O", "unmatched").otherwise("unreviewed")
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).alias("resolved_poi"), "o_custkey", "o_orderpriority")
+    new_poi = F.when(F.col("id") % 8 == 0, F.col("o_custkey")).when(F.col("id") % 4 == 0, F.col("o_custkey") + 1)
+    reviews = rows.where("id % 4 < 2").select("id", F.when(F.col("id") % 4 == 0, "resolved").otherwise("suppressed").alias("new_status"), new_poi.alias("new_poi"))
+    return rows, reviews
+
+
+@query(f"""WITH d AS ({_DIAGNOSTIC}), n AS ({_REVIEW}), j AS (SELECT d.*, new_status, new_poi, CASE WHEN new_status IS NULL THEN 'untouched'
+WHEN status IN ('unreviewed', 'unmatched') OR (status = new_status AND resolved_poi IS NOT DISTINCT FROM new_poi) THEN 'applied' ELSE 'refused' END AS outcome FROM d LEFT JOIN n ON n.id = d.id)
+SELECT id, outcome, CASE WHEN outcome = 'applied' THEN new_status ELSE status END AS status, CASE WHEN outcome = 'applied' THEN new_poi ELSE resolved_poi END AS resolved_poi FROM j""")
+def diagnostic_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editorial.reviewed_diagnostics(*(f.drop("o_custkey", "o_orderpriority") for f in _diagnostics(spark, sf_dir)))
+
+
+@query(sql("SELECT d.poi_id, d.theme, d.decision, CASE WHEN m.poi_id IS NOT NULL THEN m.poi_id % 100 END AS stamp, m.poi_id IS NOT NULL OR d.decision = 'force_include' AS accepted FROM dec d LEFT JOIN mem m ON m.poi_id = d.poi_id AND m.theme = d.theme", "mem", "dec"))
+def theme_review_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    memberships = views.view(spark, sf_dir, views.MEMBERSHIPS).withColumn("computed_at", F.col("poi_id") % 100)
+    return editorial.reviewed_themes(views.view(spark, sf_dir, views.DECISIONS), memberships)
+
+
+@query(f"""WITH d AS ({_DIAGNOSTIC}) SELECT max(resolved_poi) AS poi_id, trim(regexp_replace(lower(concat('nrhp-', CAST(id % 500 AS VARCHAR), '-', o_orderpriority)), '[^a-z0-9]+', '-', 'g'), '-') AS evidence_key, 'historic_designation' AS evidence_type, CAST(1 AS DOUBLE) AS confidence
+FROM d WHERE status = 'resolved' GROUP BY 2""")
+def resolved_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _diagnostics(spark, sf_dir)[0].withColumns({"source_id": F.lit("nrhp"), "register_name": F.col("o_orderpriority"), "reference_number": (F.col("id") % 500).cast("string")})
+    return editorial.official_evidence(rows)
