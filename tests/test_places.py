@@ -242,3 +242,18 @@ def test_cases():
     assert case_result(["a", "b"], expected=("b",), preferred=("a",), least=1) == []
     assert case_result([], expected=("b",)) == ["no results"] and case_result([], expect_empty=True) == []
     assert case_result(["a"], forbidden=("a",)) == ["forbidden: a"]
+
+
+def test_reviews_keep_their_preconditions(spark):
+    d = rows(spark, "id int, status string, resolved_poi int", (1, "unmatched", None), (2, "resolved", 5), (3, "resolved", 5), (4, "unreviewed", None))
+    n = rows(spark, "id int, new_status string, new_poi int", (1, "suppressed", None), (2, "resolved", 5), (3, "resolved", 6))
+    got = {r.id: (r.outcome, r.status, r.resolved_poi) for r in editorial.reviewed_diagnostics(d, n).collect()}
+    assert got == {1: ("applied", "suppressed", None), 2: ("applied", "resolved", 5), 3: ("refused", "resolved", 5), 4: ("untouched", "unreviewed", None)}
+
+
+def test_memberships_merge_and_go_stale(spark):
+    s = rows(spark, "poi_id int, theme string, status string, basis string, confidence double, rationale string, computed_at int", (1, "water", "accepted", "rule", 0.7, "r", 1), (2, "water", "accepted", "rule", 0.7, "r", 1), (3, "water", "accepted", "rule", 0.7, "r", 1))
+    f = rows(spark, "poi_id int, theme string, status string, basis string, confidence double, rationale string", (1, "water", "accepted", "rule", 0.7, "r"), (2, "water", "accepted", "mixed", 0.8, "r"), (4, "rail", "accepted", "rule", 0.7, "r"))
+    assert {r.poi_id: r.action for r in themes.merged(s, f).collect()} == {1: "keep", 2: "update", 3: "delete", 4: "insert"}
+    states = rows(spark, "at int, member boolean, stamp int, computed int", (None, True, 1, 1), (1, False, None, None), (1, True, 1, 1), (1, True, None, 1), (1, True, 1, 2))
+    assert [r[0] for r in states.select(themes.review_state(F.col("at"), F.col("member"), F.col("stamp"), F.col("computed"))).collect()] == ["unreviewed", "reviewed", "reviewed", "stale", "stale"]
