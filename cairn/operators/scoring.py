@@ -66,10 +66,6 @@ class Route:
             raise ValueError("budgets must be positive")
 
 
-def tag(key: str) -> Column:
-    return F.element_at("tags", key) if key else F.lit(None)
-
-
 def is_tag(key: str, *values: str) -> Column:
     return F.coalesce(F.try_element_at("tags", F.lit(key)).isin(*values), F.lit(False))
 
