@@ -18,6 +18,7 @@ from cairn.llm.pretoken import ChunkEncoder
 from cairn.llm.shared import TOKENIZER_FILE, doc_texts, slices, table
 
 _PIECE_MEMO = 400_000
+_SLICE = 4 << 20
 
 
 def byte_characters() -> list[str]:
@@ -157,14 +158,13 @@ def encode_decode(docs: DataFrame, path: str, fields: tuple[str, ...] = ("n_toke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, encoder = _encoder(path)
-        for batch in slices(batches):
-            made: dict[str, list] = {f: [] for f in fields}
-            for ids_array in encoder(batch.column(1)):
+        for batch in slices(batches, 1, _SLICE):
+            made: dict[str, list] = {f: [] for f in fields if f != "ids"}
+            arrays = encoder(batch.column(1))
+            for ids_array in arrays:
                 ids = ids_array.tolist()
                 if "n_tokens" in made:
                     made["n_tokens"].append(len(ids))
-                if "ids" in made:
-                    made["ids"].append(ids)
                 if "ids_sha256" in made:
                     made["ids_sha256"].append(hashlib.sha256(",".join(map(pairs.decimal.__getitem__, ids)).encode()).hexdigest())
                 if "decoded" in made or "decoded_sha256" in made:
@@ -173,7 +173,11 @@ def encode_decode(docs: DataFrame, path: str, fields: tuple[str, ...] = ("n_toke
                         made["decoded"].append(text)
                     if "decoded_sha256" in made:
                         made["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[f], FIELDS[f]) for f in fields)], ["doc_id", *fields])
+            columns = {f: pa.array(v, FIELDS[f]) for f, v in made.items()}
+            if "ids" in fields:
+                ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+                columns["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(arrays).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(columns[f] for f in fields)], ["doc_id", *fields])
 
     return doc_texts(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{f} {_SPARK[f]}" for f in fields))
 
