@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from cairn.llm.pretoken import ChunkEncoder
 from cairn.llm.shared import TOKENIZER_FILE, doc_texts, slices, table
 
-_PIECE_MEMO = 400_000
+_PIECE_MEMO = 150_000
+_CHUNK_MEMO = 500_000
 _SLICE = 4 << 20
 
 
@@ -134,7 +135,7 @@ class BytePairs:
 @lru_cache(maxsize=4)
 def _encoder(path: str) -> tuple[BytePairs, ChunkEncoder]:
     pairs = BytePairs(path)
-    return pairs, ChunkEncoder(pairs.encode_many, tuple(pairs.added))
+    return pairs, ChunkEncoder(pairs.encode_many, tuple(pairs.added), _CHUNK_MEMO)
 
 
 FIELDS = {
