@@ -30,6 +30,7 @@ MAGIC = b"CAIRNEF1"
 _HEADER = struct.Struct("<8sIIIQQQqQQ")
 BLOCK_IDS = 4 << 20
 PART_BYTES = 16 << 20
+_SLICE = 6 << 20
 _EVERY = 256
 
 
@@ -146,7 +147,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([pack_block(shard, block, names, held)], pa.binary())], ["block"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, 1, _SLICE):
             for name, ids in zip(batch.column(0).to_pylist(), encoder(batch.column(1)), strict=True):
                 names.append(name)
                 held.append(np.append(ids, end))
