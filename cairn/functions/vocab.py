@@ -80,3 +80,35 @@ NAME_STOP_WORDS = ("the", "of", "de", "la", "and", "museum")
 # Score weights.
 WEIGHTS = {"significance": 30.0, "quality": 10.0, "mode": 8.0, "official": 8.0, "district": 5.0, "institutional": 4.0, "generic": 10.0}
 HISTORY_ANCHORS = ("palace of the governors", "the santa fe plaza", "santa fe plaza", "de vargas street house")
+
+# Region -> (south, west, north, east), country.
+REGIONS = {"santa-fe": ((35.612, -106.083, 35.744, -105.854), "usa")}
+
+# Map layers (source, layer number, evidence type, geometry, name field, label without one, confidence).
+LAYERS = (
+    ("city_gis_museums", 9, "institution_membership", "point", "DEPARTMENT", "Museums", 0.85),
+    ("city_gis_public_art", 12, "institution_membership", "point", "NAME", "Public Art", 0.75),
+    ("city_gis_place_of_worship", 11, "institution_membership", "point", "NAME", "Places of Worship", 0.7),
+    ("city_gis_historic_districts", 118, "district_membership", "polygon", None, "Historic Districts", 0.8),
+    ("city_gis_historic_building_status", 125, "historic_building_status", "polygon", "HBSTAT", "Historical Buildings Status", 0.9),
+    ("city_gis_plaza_park", 91, "boundary_membership", "polygon", None, "Plaza Park", 0.85),
+    ("city_gis_railyard_boundary", 93, "boundary_membership", "polygon", None, "The Railyard", 0.85),
+)
+
+# Seed aliases by canonical name (alias, kind, confidence).
+SEED_ALIASES = {
+    "The Santa Fe Plaza": (("Santa Fe Plaza", "common", 0.98),),
+    "Palace of the Governors": (("Palace of the Governor's", "register_variant", 0.96),),
+    "San Miguel": (
+        ("San Miguel Chapel", "common", 0.99),
+        ("Chapel of San Miguel", "register_variant", 0.97),
+        ("San Miguel Mission", "historic", 0.96),
+        ("San Miguel Mission Church", "historic", 0.95),
+    ),
+    "Barrio de Analco Historic District": (
+        ("Barrio de Analco", "common", 0.95),
+        ("Barrio de Analco National Register Historic District", "register_variant", 0.98),
+        ("Barrio de Analco National Register Historic District NHL", "register_variant", 0.98),
+    ),
+    "De Vargas Street House": (("Oldest House", "common", 0.97), ("Oldest House Museum", "common", 0.96)),
+}

@@ -257,3 +257,17 @@ def test_memberships_merge_and_go_stale(spark):
     assert {r.poi_id: r.action for r in themes.merged(s, f).collect()} == {1: "keep", 2: "update", 3: "delete", 4: "insert"}
     states = rows(spark, "at int, member boolean, stamp int, computed int", (None, True, 1, 1), (1, False, None, None), (1, True, 1, 1), (1, True, None, 1), (1, True, 1, 2))
     assert [r[0] for r in states.select(themes.review_state(F.col("at"), F.col("member"), F.col("stamp"), F.col("computed"))).collect()] == ["unreviewed", "reviewed", "reviewed", "stale", "stale"]
+
+
+def test_layers_become_evidence(spark):
+    from cairn.operators import layers
+
+    places = rows(spark, "poi_id int, canonical_name string, category string, lon double, lat double, x double, y double", (1, "History Museum", "history", -105.94, 35.69, -105.94, 35.69), (2, "Cafe", "food", -105.941, 35.69, -105.941, 35.69))
+    features = rows(spark, "feature_id string, label string, lon double, lat double", ("9", "History Museums", -105.94001, 35.69))
+    found = layers.from_points(features, places.drop("x", "y"), "city_gis_museums").collect()
+    assert [(r.poi_id, r.evidence_type, r.evidence_key) for r in found] == [(1, "institution_membership", "city-gis-museums-9-1")]
+    ring = [{"x": -105.9405, "y": 35.68}, {"x": -105.93, "y": 35.68}, {"x": -105.93, "y": 35.70}, {"x": -105.9405, "y": 35.70}, {"x": -105.9405, "y": 35.68}]
+    polygons = rows(spark, "feature_id string, label string, ring array<struct<x: double, y: double>>", ("3", "Plaza Park", ring))
+    inside = layers.from_polygons(polygons, places.select("poi_id", "x", "y"), "city_gis_plaza_park").collect()
+    assert [(r.poi_id, r.confidence) for r in inside] == [(1, 0.85)]
+    assert layers.seeds(spark).count() == 11
