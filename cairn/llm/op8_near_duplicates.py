@@ -26,6 +26,8 @@ LONG_LIST = 24
 #: Hash functions by which documents first meet a likely partner; they only save work.
 MEETINGS = 6
 STAR = 128
+#: Rounds in which documents are held against the centres of their lists before all pairs are; they only save work.
+ROUNDS = 2
 FILTER_BITS = 1 << 23
 _SLICE = 1 << 20
 _FLUSH = 3_000_000
@@ -395,6 +397,25 @@ def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _apart(postings: DataFrame, grouped: DataFrame) -> DataFrame:
+    """postings (shingle, node) with the node's component, of the shingles that stand in more than one component."""
+    rows = postings.join(grouped, "node", "left").select("shingle", "node", F.coalesce("component", "node").alias("component"))
+    apart = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
+    return rows.join(apart, "shingle")
+
+
+def _towards_centres(postings: DataFrame) -> DataFrame:
+    """One pair (a, b) a node at most: b is the centre, of another component, that most of its lists name. The centre of
+    a list is the node whose lists are the longest on average: the text that near copies were made from has no
+    shingles of its own. The rows grow with the postings."""
+    sizes = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("many"))
+    weights = postings.join(sizes, "shingle").groupBy("node").agg(F.avg("many").alias("weight"))
+    centres = postings.join(weights, "node").groupBy("shingle").agg(F.max(F.struct("weight", "node", "component")).alias("top"))
+    met = postings.join(centres, "shingle").where(F.col("component") != F.col("top.component"))
+    votes = met.groupBy("node", F.col("top.node").alias("hub")).agg(F.count(F.lit(1)).alias("votes"))
+    return votes.groupBy("node").agg(F.max(F.struct("votes", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; component_id is the smallest doc_id reachable by links.
 
@@ -403,7 +424,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows that repeat a doc_id with other texts each keep their own set. Ties don't arise; an empty table gives no rows.
 
     First, documents that share a minimum of one of some hash functions are held against the smallest node there, which
-    binds large groups of near copies with one comparison each. Then every pair that the prefixes let meet is compared,
+    binds large groups of near copies with one comparison each; then, for some rounds, against the centres of the lists
+    that still join different components. Then every pair that the prefixes let meet is compared,
     unless its documents are in one component by then: no link between different components is missed.
     """
     spark = docs.sparkSession
@@ -425,9 +447,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     direct = packed.where("part is null").select("shingle", "node").distinct()
     postings = _by_part(packed, parts, ["tokens", "places", "nodes"], _shared, "shingle long, node long").unionByName(direct)
     postings = written(postings, "postings")
-    postings = postings.join(grouped, "node", "left").select("shingle", "node", F.coalesce("component", "node").alias("component"))
-    apart = postings.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    postings = written(postings.join(apart, "shingle").join(nodes, "node"), "postings")
+    for _ in range(ROUNDS):
+        central = _likely(_towards_centres(_apart(postings, grouped)), members)
+        first = written(first.unionByName(verified(docs, members, central)), "links")
+        grouped = written(components(first), "groups")
+    postings = written(_apart(postings, grouped).join(nodes, "node"), "postings")
     left = postings.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("node", "component", "n")))
     right = postings.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "n")))
     fits = (F.col("component_a") < F.col("component_b")) & (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a"))
