@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.shared import doc_texts, slices, table, written
@@ -26,8 +26,11 @@ LONG_LIST = 24
 #: Hash functions by which documents first meet a likely partner; they only save work.
 MEETINGS = 6
 STAR = 128
-#: Rounds in which documents are held against the centres of their lists before all pairs are; they only save work.
+#: Rounds in which documents are held against some of those in their lists before all pairs are, lots of how many, and
+#: partners a document and round; they only save work.
 ROUNDS = 2
+LOT = 4
+PARTNERS = 8
 FILTER_BITS = 1 << 23
 _SLICE = 1 << 20
 _FLUSH = 3_000_000
@@ -404,16 +407,16 @@ def _apart(postings: DataFrame, grouped: DataFrame) -> DataFrame:
     return rows.join(apart, "shingle")
 
 
-def _towards_centres(postings: DataFrame) -> DataFrame:
-    """One pair (a, b) a node at most: b is the centre, of another component, that most of its lists name. The centre of
-    a list is the node whose lists are the longest on average: the text that near copies were made from has no
-    shingles of its own. The rows grow with the postings."""
-    sizes = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("many"))
-    weights = postings.join(sizes, "shingle").groupBy("node").agg(F.avg("many").alias("weight"))
-    centres = postings.join(weights, "node").groupBy("shingle").agg(F.max(F.struct("weight", "node", "component")).alias("top"))
-    met = postings.join(centres, "shingle").where(F.col("component") != F.col("top.component"))
-    votes = met.groupBy("node", F.col("top.node").alias("hub")).agg(F.count(F.lit(1)).alias("votes"))
-    return votes.groupBy("node").agg(F.max(F.struct("votes", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
+def _some_partners(postings: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components, at most PARTNERS for each a: the nodes of a list are dealt into lots of about
+    LOT by a hash that changes with the turn, and meet the smallest node of their lot. The rows grow with the postings."""
+    sizes = postings.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / LOT).alias("lots"))
+    dealt = postings.join(sizes, "shingle").withColumn("lot", F.pmod(F.xxhash64("node", F.lit(turn)), "lots"))
+    heads = dealt.groupBy("shingle", "lot").agg(F.min(F.struct("node", "component")).alias("head"))
+    met = dealt.join(heads, ["shingle", "lot"]).where(F.col("component") != F.col("head.component"))
+    votes = met.groupBy(F.col("node").alias("a"), F.col("head.node").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
+    order = Window.partitionBy("a").orderBy(F.col("votes").desc(), "b")
+    return votes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PARTNERS).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -424,8 +427,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows that repeat a doc_id with other texts each keep their own set. Ties don't arise; an empty table gives no rows.
 
     First, documents that share a minimum of one of some hash functions are held against the smallest node there, which
-    binds large groups of near copies with one comparison each; then, for some rounds, against the centres of the lists
-    that still join different components. Then every pair that the prefixes let meet is compared,
+    binds large groups of near copies with one comparison each; then, for some rounds, against a few of those in the
+    lists that still join different components. Then every pair that the prefixes let meet is compared,
     unless its documents are in one component by then: no link between different components is missed.
     """
     spark = docs.sparkSession
@@ -447,9 +450,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     direct = packed.where("part is null").select("shingle", "node").distinct()
     postings = _by_part(packed, parts, ["tokens", "places", "nodes"], _shared, "shingle long, node long").unionByName(direct)
     postings = written(postings, "postings")
-    for _ in range(ROUNDS):
-        central = _likely(_towards_centres(_apart(postings, grouped)), members)
-        first = written(first.unionByName(verified(docs, members, central)), "links")
+    for turn in range(ROUNDS):
+        some = _likely(_some_partners(_apart(postings, grouped), turn), members)
+        first = written(first.unionByName(verified(docs, members, some)), "links")
         grouped = written(components(first), "groups")
     postings = written(_apart(postings, grouped).join(nodes, "node"), "postings")
     left = postings.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("node", "component", "n")))
