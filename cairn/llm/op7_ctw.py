@@ -5,8 +5,9 @@ tree is a context with the bits of the byte so far; it holds how often 0 and 1 c
 node's Krichevsky-Trofimov estimate and the weighted product of its children's share its weight evenly, so that the
 root's probability mixes all trees of contexts; after training, each node keeps its estimate and the weight that the mixture
 gives to it against its children. The counts are sums over all training texts, and the recursion over the tree runs where the counts
-of two last bytes meet. Scoring tasks get the nodes in tables of a fixed number of slots, in which the node with the most counts
-has a slot to itself and others count as not seen: there the parent's estimate holds, so probabilities still sum to one.
+of two last bytes meet: first for what depth 1 gets from below, then, with depths 0 and 1 known, for the probability of every byte
+after every context that the texts hold. No node is dropped. Scoring tasks get the probabilities of the most common contexts
+with their bytes; texts get those of the others by a join.
 """
 
 from __future__ import annotations
@@ -18,21 +19,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.shared import doc_texts, slices, table, written
 
 DEPTH = 5
-SLOT_BITS = 22
-BLOCK_BITS = 16
+#: Common contexts with their bytes whose probabilities every task gets; the others are looked up by a join.
+CONTEXTS = 1 << 21
 #: Frequent tokens whose counts every task gets; the others are looked up by a join.
 DICTIONARY = 1 << 19
 FOLDS, HELD = 7, 2
 _SLICE = 1 << 20
 _FLUSH = 700_000
-_SLOT = np.dtype([("tag", "<u2"), ("p", "<u2"), ("w", "<u2")])
-_PART = np.dtype([("slot", "<u2"), ("n", "<u4"), ("tag", "<u2"), ("p", "<u2"), ("w", "<u2")])
+_BUCKETS = 16
 
 
 def words(text: str) -> list[bytes]:
@@ -66,27 +66,31 @@ def _token_ids(found: list[list[bytes]]) -> np.ndarray:
 END_TOKEN = int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(b"\n end of text"))))  # holds white space: no word is like it
 
 
-def training_counts(docs: DataFrame) -> DataFrame:
-    """kind, key, n: how often each byte followed each full context (kind 0) and how often each token occurs (kind 1),
-    over all of docs. Tasks add up what they have read before it moves."""
+def training_counts(docs: DataFrame, learned: Column | None = None) -> DataFrame:
+    """kind, key, n, m: how often each byte followed each full context (kind 0) and how often each token occurs (kind 1), over
+    the learned rows of docs (n; all of them by default) and over all of docs (m). Tasks add up what they have read before it moves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        held: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[], []]
 
         def merged(kind: int) -> pa.RecordBatch:
-            keys = np.concatenate([k for k, _ in held[kind]])
+            keys, *times = (np.concatenate(c) for c in zip(*held[kind], strict=True))
             unique, at = np.unique(keys, return_inverse=True)
-            n = np.bincount(at, np.concatenate([n for _, n in held[kind]])).astype(np.int64)
-            held[kind] = [(unique, n)]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(unique), kind, np.int32)), pa.array(unique), pa.array(n)], ["kind", "key", "n"])
+            n, m = (np.bincount(at, t).astype(np.int64) for t in times)
+            held[kind] = [(unique, n, m)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(unique), kind, np.int32)), pa.array(unique), pa.array(n), pa.array(m)], ["kind", "key", "n", "m"])
 
         for batch in slices(batches, 1, _SLICE):
             found = [words(t) for t in batch.column(1).to_pylist()]
+            learn = batch.column(2).to_numpy(zero_copy_only=False)
             tokens = np.append(_token_ids(found), np.full(len(found), END_TOKEN))
-            for kind, keys in enumerate((_keys(*_joined(found))[0], tokens)):
+            key, sizes = _keys(*_joined(found))
+            many = np.fromiter(map(len, found), np.int64, len(found))
+            for kind, keys, of in ((0, key, np.repeat(learn, sizes)), (1, tokens, np.append(np.repeat(learn, many), learn))):
                 coded = pa.array(keys).dictionary_encode()
-                held[kind].append((coded.dictionary.to_numpy(), np.bincount(coded.indices.to_numpy())))
-                if sum(len(k) for k, _ in held[kind]) > _FLUSH:
+                at = coded.indices.to_numpy()
+                held[kind].append((coded.dictionary.to_numpy(), np.bincount(at, of, len(coded.dictionary)), np.bincount(at)))
+                if sum(len(k) for k, _, _ in held[kind]) > _FLUSH:
                     rows = merged(kind)
                     if rows.num_rows > _FLUSH // 2:
                         yield rows
@@ -95,7 +99,9 @@ def training_counts(docs: DataFrame) -> DataFrame:
             if held[kind]:
                 yield merged(kind)
 
-    return doc_texts(docs).mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    rows = docs.select("doc_id", "text", (F.lit(True) if learned is None else learned).alias("learned"))
+    made = doc_texts(rows, "learned").mapInArrow(run, "kind int, key long, n long, m long")
+    return made.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -140,92 +146,48 @@ def _parent(names: np.ndarray) -> np.ndarray:
     return names >> 16 << 8 | names & 255
 
 
-def _place(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and tag of nodes of one depth."""
-    h = names.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return (h & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64), ((h >> np.uint64(40)) & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
-
-
-def _short(x: np.ndarray) -> np.ndarray:
-    """A number between 0 and 1 in 16 bits."""
-    return np.clip(x * 65536, 0, 65535).astype(np.uint16)
-
-
-def _heaviest(slot: np.ndarray, n: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Places of the rows that have the most counts in their slot; ties go to the smallest of rest."""
-    order = np.lexsort((rest, -n, slot))
-    return order[np.append(True, np.diff(slot[order]) != 0)] if len(order) else order
-
-
-def tree_parts(counts: DataFrame) -> DataFrame:
-    """The tree above depth 1, from the counts of full contexts: for each depth blocks of slots (depth, block, part), and
-    the nodes of depth 2, added up for their parents (depth 1: name, n0, n1, log probability beneath)."""
-    schema = "depth int, block int, part binary, name long, n0 double, n1 double, beneath double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
-
-        def grown(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            below = None
-            for d in range(DEPTH, 1, -1):
-                names, n0, n1 = _nodes(key, n)
-                total, own = _weighted(names, n0, n1, below)
-                slot, tag = _place(names)
-                held.setdefault(d, []).append((slot, (n0 + n1).astype(np.int64), tag, _short((n1 + 0.5) / (n0 + n1 + 1)), _short(own)))
-                below = (_parent(names), total)
-                key = _parent(key)
-                key, at = np.unique(key, return_inverse=True)
-                n = np.bincount(at, n)
-            up, at = np.unique(below[0], return_inverse=True)
-            sums = [np.bincount(at, v) for v in (n0, n1, below[1])]
-            none = pa.nulls(len(up), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(up), np.int32)), none, pa.nulls(len(up), pa.binary()), pa.array(up), *map(pa.array, sums)], [c.split(" ")[0] for c in schema.split(", ")])
-
-        def stored(d: int) -> list[tuple]:
-            columns = [np.concatenate(c) for c in zip(*held.pop(d), strict=True)]
-            best = _heaviest(columns[0], columns[1], columns[2])
-            slot, n, tag, p, w = (c[best] for c in columns)
-            part = np.empty(len(slot), _PART)
-            part["slot"], part["n"], part["tag"], part["p"], part["w"] = slot & ((1 << BLOCK_BITS) - 1), np.minimum(n, 2**32 - 1), tag, p, w
-            block = slot >> BLOCK_BITS
-            cuts = np.flatnonzero(np.diff(block)) + 1
-            return [(d, int(b), p.tobytes()) for b, p in zip(block[np.append(0, cuts)].tolist(), np.split(part, cuts), strict=True)]
-
-        keys: list[np.ndarray] = []
-        times: list[np.ndarray] = []
-        for batch in batches:
-            key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(key):
-                continue
-            # Whole groups of two last bytes go through the recursion; what may go on in the next batch is held.
-            cut = int(np.searchsorted(key >> 32, key[-1] >> 32))
-            keys.append(key[:cut])
-            times.append(n[:cut])
-            if cut or keys[0][:1].tolist() and keys[0][0] >> 32 != key[-1] >> 32:
-                if sum(map(len, keys)):
-                    yield grown(np.concatenate(keys), np.concatenate(times))
-                keys, times = [], []
-            keys = [k for k in keys if len(k)] + [key[cut:]]
-            times = [k for k in times if len(k)] + [n[cut:]]
-        if keys:
-            yield grown(np.concatenate(keys), np.concatenate(times))
-        rows = [r for d in sorted(held) for r in stored(d)]
-        if rows:
-            depth, block, part = zip(*rows, strict=True)
-            empty = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(depth, pa.int32()), pa.array(block, pa.int32()), pa.array(part, pa.binary()), pa.nulls(empty, pa.int64()), *[pa.nulls(empty, pa.float64())] * 3], [c.split(" ")[0] for c in schema.split(", ")])
-
-    grams = counts.where("kind = 0").select("key", "n")
-    return grams.repartition(F.shiftright("key", 32)).sortWithinPartitions("key").mapInArrow(run, schema)
+def _deep(key: np.ndarray, n: np.ndarray) -> tuple[dict[int, tuple[np.ndarray, ...]], tuple[np.ndarray, ...]]:
+    """The nodes of depth 2 and more under counts of full contexts: for each depth names, estimates of a one and their weights; and
+    for the nodes of depth 1 above them names, counts of 0 and 1, and the log probability beneath."""
+    seen = n > 0
+    key, n, below, nodes = key[seen], n[seen], None, {}
+    for d in range(DEPTH, 1, -1):
+        names, n0, n1 = _nodes(key, n)
+        total, own = _weighted(names, n0, n1, below)
+        nodes[d] = names, (n1 + 0.5) / (n0 + n1 + 1), own
+        below = _parent(names), total
+        key, at = np.unique(_parent(key), return_inverse=True)
+        n = np.bincount(at, n, len(key))
+    up, at = np.unique(below[0], return_inverse=True)
+    return nodes, (up, *(np.bincount(at, v, len(up)) for v in (n0, n1, below[1])))
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows in order of their first, key, cut only where the two last bytes of the context change."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        group = columns[0] >> 32
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut or held and held[0][0][0] >> 32 != group[-1]:
+            yield [np.concatenate(c) for c in zip(*held, [c[:cut] for c in columns], strict=True)]
+            held = []
+        held.append([c[cut:] for c in columns])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _grouped(counts: DataFrame) -> DataFrame:
+    return counts.where("kind = 0").select("key", "n", "m").repartition(F.shiftright("key", 32)).sortWithinPartitions("key")
 
 
 class Tree:
-    """The frozen mixture: dense tables of depths 0 and 1, slots of the deeper ones."""
+    """The frozen mixture: dense tables of depths 0 and 1, sorted names of the deeper ones."""
 
-    def __init__(self, shallow: list[tuple[np.ndarray, np.ndarray, np.ndarray]], slots: dict[int, np.ndarray]):
-        self.shallow, self.slots = shallow, slots
+    def __init__(self, shallow: list[tuple[np.ndarray, np.ndarray, np.ndarray]], deep: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.shallow, self.deep = shallow, deep
 
     def _node(self, depth: int, context: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether the node is there, its estimate of a one, and that estimate's weight."""
@@ -233,9 +195,11 @@ class Tree:
         if depth < 2:
             seen, p, w = self.shallow[depth]
             return seen[names], p[names], w[names]
-        slot, tag = _place(names)
-        row = self.slots[depth][slot]
-        return row["tag"] == tag, (row["p"] + 0.5) / 65536, (row["w"] + 0.5) / 65536
+        known, p, w = self.deep[depth]
+        if not len(known):
+            return np.zeros(len(names), bool), np.full(len(names), 0.5), np.ones(len(names))
+        at = np.minimum(np.searchsorted(known, names), len(known) - 1)
+        return known[at] == names, p[at], w[at]
 
     def log10(self, key: np.ndarray) -> np.ndarray:
         """Logarithms of the probabilities of bytes after contexts."""
@@ -251,11 +215,19 @@ class Tree:
         return out
 
 
-def grown_tree(counts: DataFrame) -> Tree:
-    """The tree from training counts. The driver gets at most 256 x 255 nodes of depth 1 and the slots of fixed number."""
-    parts = written(tree_parts(counts), "tree-parts")
-    top = parts.where("depth = 1").groupBy("name").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("beneath").alias("beneath")).toArrow().sort_by("name")
-    names, n0, n1, beneath = (top.column(c).to_numpy() for c in ("name", "n0", "n1", "beneath"))
+def shallow_nodes(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Depths 0 and 1 from training counts: which nodes are there, their estimates and weights. The driver gets at most
+    256 x 255 nodes of depth 1."""
+    names = ["name", "n0", "n1", "beneath"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n, _ in _whole_groups(batches):
+            if n.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, t)) for c, t in zip(_deep(key, n)[1], (np.int64, float, float, float), strict=True)], names)
+
+    rows = _grouped(counts).mapInArrow(run, "name long, n0 double, n1 double, beneath double")
+    top = rows.groupBy("name").agg(*(F.sum(c).alias(c) for c in names[1:])).toArrow().sort_by("name")
+    names, n0, n1, beneath = (top.column(c).to_numpy() for c in names)
     shallow = []
     below = (names, beneath)
     for size in (1 << 16, 1 << 8):
@@ -266,32 +238,39 @@ def grown_tree(counts: DataFrame) -> Tree:
         up, at = np.unique(names & 255, return_inverse=True)
         below = (names & 255, total)
         names, n0, n1 = up, np.bincount(at, n0, len(up)), np.bincount(at, n1, len(up))
+    return shallow
+
+
+def grown_tree(counts: DataFrame) -> Tree:
+    """The whole tree in one place, for small tables of counts."""
+    rows = counts.where("kind = 0").select("key", "n").toArrow()
+    return Tree(shallow_nodes(counts), _deep(rows.column("key").to_numpy(), rows.column("n").to_numpy())[0])
+
+
+def probabilities(counts: DataFrame) -> DataFrame:
+    """key, m, log: the logarithm of the probability of every byte after every context in counts, those that training never
+    saw (n = 0) included. All nodes of a group of contexts are held where its keys are."""
+    shallow = counts.sparkSession.sparkContext.broadcast(shallow_nodes(counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n, m in _whole_groups(batches):
+            log = Tree(shallow.value, _deep(key, n)[0]).log10(key)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(m), pa.array(log)], ["key", "m", "log"])
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, best = None, np.zeros(0, _PART)
-
-        def dense() -> pa.RecordBatch:
-            block = np.zeros(1 << BLOCK_BITS, _SLOT)
-            for field in _SLOT.names:
-                block[field][best["slot"]] = best[field]
-            return pa.RecordBatch.from_arrays([pa.array([group[0]], pa.int32()), pa.array([group[1]], pa.int32()), pa.array([block.tobytes()], pa.binary())], ["depth", "block", "slots"])
-
-        for batch in batches:
-            for d, b, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group not in (None, (d, b)):
-                    yield dense()
-                    best = best[:0]
-                group = (d, b)
-                both = np.concatenate([best, np.frombuffer(part, _PART)])
-                best = both[_heaviest(both["slot"].astype(np.int64), both["n"].astype(np.int64), both["tag"])]
-        if group:
-            yield dense()
-
-    blocks = parts.where("depth > 1").select("depth", "block", "part").repartition("depth", "block").sortWithinPartitions("depth", "block").mapInArrow(pick, "depth int, block int, slots binary")
-    slots = {d: np.zeros(1 << SLOT_BITS, _SLOT) for d in range(2, DEPTH + 1)}
-    for d, b, raw in zip(*(c.to_pylist() for c in blocks.toArrow().columns), strict=True):
-        slots[d][b << BLOCK_BITS : (b + 1) << BLOCK_BITS] = np.frombuffer(raw, _SLOT)
-    return Tree(shallow, slots)
+    return _grouped(counts).mapInArrow(run, "key long, m long, log double")
+
+
+def _most(rows: DataFrame, times: str, room: int) -> Column:
+    """Whether a row is among the most common ones: those of the highest steps of a logarithmic scale of times that
+    together are no more than room."""
+    step = F.floor(F.log2(times) * _BUCKETS)
+    least = math.inf
+    for s, many in sorted(rows.groupBy(step.alias("step")).count().collect(), reverse=True):
+        room -= many
+        if room < 0:
+            break
+        least = s
+    return step >= F.lit(least)
 
 
 def trains(column: str = "doc_id"):
@@ -307,58 +286,56 @@ def scores(docs: DataFrame) -> DataFrame:
     training rows every bit has probability 1/2.
     """
     spark = docs.sparkSession
-    counts = written(training_counts(docs.where(trains())), "counts")
-    tree = spark.sparkContext.broadcast(grown_tree(counts))
-    tokens = counts.where("kind = 1").select("key", "n")
+    counts = written(training_counts(docs, trains()), "counts")
+    contexts = written(probabilities(counts), "contexts")
+    tokens = counts.where("kind = 1 and n > 0").select("key", "n")
     n_train, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # The smallest count for which the dictionary has room for all tokens that have it or more.
-    sizes = sorted(tokens.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect(), reverse=True)
-    least, room = 1001, DICTIONARY
-    for n, many in sizes:
-        room -= many
-        if room < 0:
-            break
-        least = n
-    known = tokens.where(F.col("n") >= least).toArrow().sort_by("key")
-    frequent = spark.sparkContext.broadcast((known.column("key").to_numpy(), known.column("n").to_numpy()))
-    schema = "row long, doc_id long, n_tokens long, n_bytes long, score double, log_known double, n_known long, token long, times long"
+    common = [_most(contexts, "m", CONTEXTS), _most(tokens, "n", DICTIONARY)]
+    values = [contexts.select("key", "log", common[0].alias("common")), tokens.select("key", F.log10(F.col("n") + 1.0).alias("log"), common[1].alias("common"))]
+    known = [v.where("common").select("key", "log").toArrow().sort_by("key") for v in values]
+    frequent = spark.sparkContext.broadcast([(k.column("key").to_numpy(), k.column("log").to_numpy()) for k in known])
+    schema = "row long, doc_id long, n_tokens long, n_bytes long, score double, log_known double, n_known long, kind int, key long, times long"
     names = [c.split(" ")[0] for c in schema.split(", ")]
+    types = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        model, (words_known, times_known) = tree.value, frequent.value
+
+        def record(**given) -> pa.RecordBatch:
+            n = len(next(iter(given.values())))
+            return pa.RecordBatch.from_arrays([given[c] if isinstance(given.get(c), pa.Array) else pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], names)
+
         for batch in slices(batches, 1, _SLICE):
             found = [words(t) for t in batch.column(1).to_pylist()]
             key, sizes_ = _keys(*_joined(found))
-            coded = pa.array(key).dictionary_encode()
-            each = model.log10(coded.dictionary.to_numpy())[coded.indices.to_numpy()]
-            score = np.add.reduceat(each, np.cumsum(sizes_) - sizes_)
             many = np.fromiter(map(len, found), np.int64, len(found))
             token = np.append(_token_ids(found), np.full(len(found), END_TOKEN))
-            owner = np.append(np.repeat(np.arange(len(found)), many), np.arange(len(found)))
-            at = np.searchsorted(words_known, token)
-            at[at == len(words_known)] = 0
-            hit = words_known[at] == token if len(words_known) else np.zeros(len(token), bool)
-            log_known = np.bincount(owner[hit], np.log10(times_known[at[hit]] + 1.0), len(found))
-            n_known = np.bincount(owner[hit], minlength=len(found))
-            rows = row + np.arange(len(found))
-            row += len(found)
             n = len(found)
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), pa.array(many + 1), pa.array(sizes_), pa.array(score), pa.array(log_known), pa.array(n_known), none, none], names)
-            rare = np.stack([rows[owner[~hit]], token[~hit]])
-            if rare.shape[1]:
-                order = np.lexsort(rare[::-1])
-                rare = rare[:, order]
-                first = np.append(True, (np.diff(rare) != 0).any(axis=0))
-                times = np.diff(np.append(np.flatnonzero(first), rare.shape[1]))
-                n = len(times)
-                yield pa.RecordBatch.from_arrays([pa.array(rare[0, first]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.int64()), pa.array(rare[1, first]), pa.array(times)], names)
+            rows = row + np.arange(n)
+            row += n
+            sums, others = [], []
+            for kind, each, owner in ((0, key, np.repeat(np.arange(n), sizes_)), (1, token, np.append(np.repeat(np.arange(n), many), np.arange(n)))):
+                held, logs = frequent.value[kind]
+                at = np.searchsorted(held, each)
+                at[at == len(held)] = 0
+                hit = held[at] == each if len(held) else np.zeros(len(each), bool)
+                sums.append((np.bincount(owner[hit], logs[at[hit]], n), np.bincount(owner[hit], minlength=n)))
+                rare = np.stack([rows[owner[~hit]], each[~hit]])
+                if rare.shape[1]:
+                    rare = rare[:, np.lexsort(rare[::-1])]
+                    first = np.append(True, (np.diff(rare) != 0).any(axis=0))
+                    times = np.diff(np.append(np.flatnonzero(first), rare.shape[1]))
+                    others.append(record(row=rare[0, first], kind=np.full(len(times), kind, np.int32), key=rare[1, first], times=times))
+            yield record(row=rows, doc_id=batch.column(0), n_tokens=many + 1, n_bytes=sizes_, score=sums[0][0], log_known=sums[1][0], n_known=sums[1][1])
+            yield from others
 
     made = written(doc_texts(docs).mapInArrow(run, schema), "scores")
-    rare = made.where("token is not null").select("row", F.col("token").alias("key"), "times").join(tokens.where(F.col("n") < least), "key")
-    rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("log_rare"), F.sum("times").alias("n_rare"))
-    out = made.where("token is null").join(rare, "row", "left")
+    looked_up = values[0].where("not common").select(F.lit(0).alias("kind"), "key", "log").unionByName(values[1].where("not common").select(F.lit(1).alias("kind"), "key", "log"))
+    rare = made.where("kind is not null").select("row", "kind", "key", "times").join(looked_up, ["kind", "key"])
+    is_token = F.col("kind") == 1
+    part = F.col("times") * F.col("log")
+    rare = rare.groupBy("row").agg(F.sum(F.when(is_token, part)).alias("log_rare"), F.sum(F.when(is_token, F.col("times"))).alias("n_rare"), F.sum(F.when(~is_token, part)).alias("score_rare"))
+    out = made.where("kind is null").join(rare, "row", "left").withColumn("score", F.col("score") + F.coalesce("score_rare", F.lit(0.0)))
     per_token = math.log10(n_train + distinct + 1)
     return out.select(
         "doc_id", (~trains()).alias("held_out"), "n_tokens",

@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import math
+import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -275,6 +277,19 @@ def test_context_tree_equals_node_by_node(spark):
         assert abs(sum(10 ** tree.log10(np.array([context << 8 | b]))[0] for b in range(256)) - 1) < 1e-9
 
 
+def test_tree_keeps_every_node(spark, monkeypatch):
+    """Some 400,000 nodes of the greatest depth, which would share places in a table of fixed size; common contexts fit in no dictionary."""
+    monkeypatch.setattr(op7_ctw, "CONTEXTS", 500, raising=False)
+    draw = random.Random(3)
+    texts = ["".join(draw.choice(string.ascii_lowercase + string.digits + "  ") for _ in range(6000)) for _ in range(9)]
+    rows = list(enumerate(texts))
+    score = brute_tree([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2])
+    found = {r.doc_id: r for r in op7_ctw.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert any(r.held_out for r in found.values())
+    for i, t in rows:
+        assert abs(found[i].score - score(t)) < 1e-6 * -score(t)
+
+
 def test_language_scores(docs, empty, pairs, monkeypatch):
     monkeypatch.setattr(op7_ctw, "DICTIONARY", 20)
     trained = [(i, t) for i, t in pairs if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
