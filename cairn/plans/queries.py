@@ -205,7 +205,7 @@ _WATER = """SELECT * FROM (SELECT p.poi_id, 'water' AS theme,
 @query(sql(f"""SELECT poi_id, theme, {r("least((CASE WHEN canal THEN 0.7 ELSE 0 END + CASE WHEN stream THEN 0.65 ELSE 0 END + CASE WHEN named THEN 0.65 ELSE 0 END + CASE WHEN subcategory = 'trail_river_access' AND stream THEN 0.1 WHEN subcategory = 'infrastructure_landmark' THEN 0.05 ELSE 0 END) + least(0.2, 0.1 * n), 0.95)", 2)} AS confidence,
 CASE WHEN n > 0 THEN 'mixed' ELSE 'rule' END AS basis, n AS links FROM ({_WATER})""", "poi"))
 def water_theme(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = themes.theme_evidence(views.view(spark, sf_dir, views.EVIDENCE))
+    found = themes.theme_evidence(views.evidence(spark, sf_dir))
     none = F.array().cast("array<bigint>")
     places = views.places(spark, sf_dir, signals=False).join(found, "poi_id", "left").withColumns({c: F.coalesce(c, none) for c in ("water_ids", "rail_ids")}).withColumn("aliases", F.array().cast("array<string>"))
     return themes.water(places).select("poi_id", "theme", "confidence", "basis", F.size("evidence_ids").cast("long").alias("links"))
@@ -231,20 +231,20 @@ def theme_sync_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("""WITH a AS (SELECT DISTINCT poi_id, 'water' AS theme, evidence_id FROM ev WHERE evidence_id % 3 <> 0), b AS (SELECT DISTINCT poi_id, 'water' AS theme, evidence_id FROM ev WHERE evidence_id % 3 <> 1)
 SELECT *, 'unlink' AS action FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'link' AS action FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""", "ev").replace("\nWITH a AS", ", a AS", 1))
 def membership_evidence_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = views.view(spark, sf_dir, views.EVIDENCE).withColumn("theme", F.lit("water"))
+    ev = views.evidence(spark, sf_dir).withColumn("theme", F.lit("water"))
     return themes.link_changes(ev.where("evidence_id % 3 <> 0"), ev.where("evidence_id % 3 <> 1"))
 
 
 @query(sql("SELECT poi_id, official, district, institutional, heritage FROM sig", "sig"))
 def evidence_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.rollup(views.view(spark, sf_dir, views.EVIDENCE))
+    return evidence.rollup(views.evidence(spark, sf_dir))
 
 
 @query(sql(f"""SELECT p.poi_id, greatest(walk_affinity, {r("0.4 + 0.3 * coalesce(s.district, 0.0) + 0.3 * coalesce(s.institutional, 0.0)", 4)}) AS local_identity,
 greatest(drive_affinity, {r("0.4 + 0.4 * coalesce(s.official, 0.0)", 4)}) AS editorial_seed, coalesce(s.heritage, false) AS heritage FROM poi0 p LEFT JOIN sig s ON s.poi_id = p.poi_id""", "poi0", "sig"))
 def signal_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals = views.view(spark, sf_dir, views.POI).select("poi_id", F.col("walk_affinity").alias("local_identity"), F.col("drive_affinity").alias("editorial_seed"))
-    return evidence.recomputed(signals, views.view(spark, sf_dir, views.EVIDENCE)).select("poi_id", "local_identity", "editorial_seed", "heritage")
+    return evidence.recomputed(signals, views.evidence(spark, sf_dir)).select("poi_id", "local_identity", "editorial_seed", "heritage")
 
 
 @query(sql("""SELECT p.poi_id, coalesce(nullif(title, ''), canonical_name) AS name, coalesce(editorial_status, 'pending') AS status, edited FROM poi p""", "poi"))
@@ -257,7 +257,7 @@ def left_join_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 def child_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children are gathered by parent before the join, so parents don't multiply."""
     listed = F.array_sort(F.collect_list(F.struct("evidence_type", "evidence_id")))
-    children = views.view(spark, sf_dir, views.EVIDENCE).groupBy("poi_id").agg(F.array_join(F.transform(listed, lambda e: F.concat_ws(":", e["evidence_type"], e["evidence_id"])), "|").alias("evidence"), F.count(F.lit(1)).alias("n"))
+    children = views.evidence(spark, sf_dir).groupBy("poi_id").agg(F.array_join(F.transform(listed, lambda e: F.concat_ws(":", e["evidence_type"], e["evidence_id"])), "|").alias("evidence"), F.count(F.lit(1)).alias("n"))
     return views.view(spark, sf_dir, views.POI).select("poi_id").join(children, "poi_id", "left").select("poi_id", F.coalesce("evidence", F.lit("")).alias("evidence"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -303,7 +303,7 @@ def editorial_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("""SELECT 'poi' AS name, count(*) AS n FROM poi0 WHERE city <> 'region2' UNION ALL SELECT 'evidence', count(*) FROM ev WHERE poi_id NOT IN (SELECT poi_id FROM poi0 WHERE city = 'region2')
 UNION ALL SELECT 'editorial', count(*) FROM ed WHERE poi_id NOT IN (SELECT poi_id FROM poi0 WHERE city = 'region2')""", "poi0", "ev", "ed"))
 def region_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {"poi": views.POI, "evidence": views.EVIDENCE, "editorial": views.EDITORIAL}
+    tables = {"poi": views.POI, "evidence": views.chosen_evidence.get(), "editorial": views.EDITORIAL}
     left = editorial.without_region({n: views.view(spark, sf_dir, v) for n, v in tables.items()}, "region2")
     out = None
     for n, t in left.items():
@@ -566,3 +566,21 @@ FROM d WHERE status = 'resolved' GROUP BY 2""")
 def resolved_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _diagnostics(spark, sf_dir)[0].withColumns({"source_id": F.lit("nrhp"), "register_name": F.col("o_orderpriority"), "reference_number": (F.col("id") % 500).cast("string")})
     return editorial.official_evidence(rows)
+
+
+def _over_all_evidence(name: str) -> None:
+    """Registers a query once more, with every row of lineitem as evidence."""
+
+    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = views.chosen_evidence.set(views.ALL_EVIDENCE)
+        try:
+            return QUERIES[name](spark, sf_dir)
+        finally:
+            views.chosen_evidence.reset(token)
+
+    whole.__name__ = f"{name}_whole"
+    query(ORACLE_SQL[name].replace(views.EVIDENCE, views.ALL_EVIDENCE))(whole)
+
+
+for _name in ("nearby_topk", "route_topk", "nonspatial_components", "intent_guardrail", "theme_filtered_topk", "water_theme", "membership_evidence_diff", "evidence_rollup", "signal_recompute", "child_collect", "region_reset", "rail_anchor", "why_reasons", "badges", "case_expectations"):
+    _over_all_evidence(_name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,8 @@ SELECT l_orderkey * 10 + l_linenumber AS evidence_id, l_partkey AS poi_id,
   CASE l_suppkey % 7 WHEN 0 THEN 'Acequia Madre' WHEN 1 THEN 'Railyard boundary' WHEN 2 THEN 'River Trail' ELSE 'City layer' END AS haystack
 FROM lineitem WHERE l_orderkey % 11 = 0
 """
+#: The same over every row of lineitem.
+ALL_EVIDENCE = EVIDENCE.replace(" WHERE l_orderkey % 11 = 0", "")
 EDITORIAL = """
 SELECT c_custkey AS poi_id, CASE c_mktsegment WHEN 'MACHINERY' THEN 'featured' WHEN 'BUILDING' THEN 'approved' ELSE 'draft' END AS editorial_status,
   CAST(c_custkey % 9 - 2 AS INT) AS boost, CASE WHEN c_custkey % 13 = 0 THEN c_name WHEN c_custkey % 13 = 1 THEN '' ELSE NULL END AS title
@@ -81,6 +85,14 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(text, **frames)
 
 
+#: The evidence view that queries are built on.
+chosen_evidence: ContextVar[str] = ContextVar("chosen_evidence", default=EVIDENCE)
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, chosen_evidence.get())
+
+
 def places(spark: SparkSession, sf_dir: str, signals: bool = True) -> DataFrame:
     """A place frame: with tags as a map, Mercator coordinates, and with signals the evidence roll-up and editorial rows."""
     poi = view(spark, sf_dir, POI)
@@ -91,5 +103,5 @@ def places(spark: SparkSession, sf_dir: str, signals: bool = True) -> DataFrame:
     poi = poi.withColumnsRenamed({"category": "normalized_category", "subcategory": "normalized_subcategory"}).drop("secondary", *(f"tag_{n}" for n in names))
     if not signals:
         return poi
-    sig = rollup(view(spark, sf_dir, EVIDENCE)).withColumn("genericity", F.when(F.col("poi_id") % 10 == 0, 0.15).otherwise(0.0))
+    sig = rollup(evidence(spark, sf_dir)).withColumn("genericity", F.when(F.col("poi_id") % 10 == 0, 0.15).otherwise(0.0))
     return poi.join(sig, "poi_id", "left").join(view(spark, sf_dir, EDITORIAL), "poi_id", "left")

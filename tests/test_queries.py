@@ -36,3 +36,10 @@ def test_entry_module(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() >= 0
+
+
+def test_every_row_is_evidence(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert QUERIES["child_collect_whole"](spark, sf_dir).agg({"n": "sum"}).first()[0] == rows
+    part = QUERIES["child_collect"](spark, sf_dir).agg({"n": "sum"}).first()[0]
+    assert 0 < part < rows
