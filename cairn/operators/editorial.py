@@ -37,6 +37,20 @@ def alias_conflicts(wanted: DataFrame, aliases: DataFrame) -> DataFrame:
     return wanted.join(owners, "normalized_alias").where("owner <> poi_id").select("poi_id", "normalized_alias", "owner")
 
 
+def first_conflicts(wanted: DataFrame, aliases: DataFrame) -> DataFrame:
+    """wanted (poi_id, normalized_alias) that other places own: the smallest poi_id among these, and how many they are. Owners
+    are added up by alias before the join, so a name that many places have makes no pairs."""
+    owners = aliases.select("normalized_alias", "poi_id").distinct()
+    low = owners.groupBy("normalized_alias").agg(F.min("poi_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    second = owners.join(low, "normalized_alias").where("poi_id > low").groupBy("normalized_alias").agg(F.min("poi_id").alias("second"))
+    held = low.join(second, "normalized_alias", "left")
+    own = owners.withColumn("own", F.lit(1))
+    rows = wanted.join(held, "normalized_alias").join(own, ["normalized_alias", "poi_id"], "left")
+    owner = F.when(F.col("poi_id") == F.col("low"), F.col("second")).otherwise(F.col("low"))
+    rows = rows.select("poi_id", "normalized_alias", owner.alias("owner"), (F.col("n") - F.coalesce("own", F.lit(0))).alias("others"))
+    return rows.where("others > 0")
+
+
 def without_region(tables: dict[str, DataFrame], city: str) -> dict[str, DataFrame]:
     """All tables after the places of a city go, with every row of every table that has their poi_id."""
     gone = tables["poi"].where(F.col("city") == city).select("poi_id")

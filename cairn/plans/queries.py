@@ -455,6 +455,13 @@ def alias_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editorial.alias_conflicts(names.where("poi_id % 10 = 1"), names.where("poi_id % 50 = 2"))
 
 
+@query(sql("""SELECT w.poi_id, lower(w.canonical_name) AS normalized_alias, min(o.poi_id) AS owner, count(*) AS others FROM poi0 w JOIN poi0 o ON lower(w.canonical_name) = lower(o.canonical_name) AND o.poi_id <> w.poi_id GROUP BY 1, 2""", "poi0"))
+def alias_conflict_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place's name against all owners."""
+    names = views.view(spark, sf_dir, views.POI).select("poi_id", F.lower("canonical_name").alias("normalized_alias"))
+    return editorial.first_conflicts(names, names)
+
+
 @query(None)
 def fuzzy_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct register names against the suppliers' nations' names, by shared words and matching blocks."""

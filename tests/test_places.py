@@ -271,3 +271,10 @@ def test_layers_become_evidence(spark):
     inside = layers.from_polygons(polygons, places.select("poi_id", "x", "y"), "city_gis_plaza_park").collect()
     assert [(r.poi_id, r.confidence) for r in inside] == [(1, 0.85)]
     assert layers.seeds(spark).count() == 11
+
+
+def test_every_alias_is_held_against_every_owner(spark):
+    owned = rows(spark, "poi_id int, normalized_alias string", (1, "mill"), (3, "mill"), (3, "mill"), (7, "mill"), (4, "depot"))
+    wanted = rows(spark, "poi_id int, normalized_alias string", (1, "mill"), (3, "mill"), (9, "mill"), (4, "depot"), (5, "depot"), (6, "plaza"))
+    got = {(r.poi_id, r.normalized_alias, r.owner, r.others) for r in editorial.first_conflicts(wanted, owned).collect()}
+    assert got == {(1, "mill", 3, 2), (3, "mill", 1, 2), (9, "mill", 1, 3), (5, "depot", 4, 1)}
