@@ -12,6 +12,7 @@ from cairn.functions.rounding import py_round
 from cairn.operators import classify, editorial, evidence, explain, matching, scoring, snapshots, themes
 from cairn.plans import oracle, views
 from cairn.plans.oracle import r, sql
+from cairn.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -464,11 +465,12 @@ def alias_conflict_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def fuzzy_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct register names against the suppliers' nations' names, by shared words and matching blocks."""
-    rows = _register(spark, sf_dir).groupBy("name").agg(F.min("row_id").alias("row_id"))
-    places = _table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("canonical_name")).agg(F.min("p_partkey").alias("poi_id")).withColumn("is_historical", F.col("poi_id") % 2 == 0)
-    return matching.best_fuzzy(rows, places, 0.78)
-
+    """Every register row, by its name and other names, against all places' names and aliases."""
+    segment = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), F.concat(F.lit("Old "), F.lower("c_mktsegment"), F.lit(" shop")).alias("shop"))
+    rows = _register(spark, sf_dir).withColumnRenamed("name", "property_name").join(segment.select("row_id", F.when(F.col("row_id") % 5 == 0, F.col("shop")).alias("other_names")), "row_id").select("row_id", readers.name_candidates().alias("names"))
+    places = views.view(spark, sf_dir, views.POI).select("poi_id", "canonical_name", (F.col("poi_id") % 2 == 0).alias("is_historical"))
+    aliases = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("poi_id"), F.col("p_name").alias("alias_name"))
+    return matching.register_matches(rows, places, aliases, 0.78)
 
 
 _RULE = """CASE WHEN tag_tourism = 'viewpoint' THEN 'viewpoint' WHEN tag_man_made = 'canal' THEN 'acequia_canal' WHEN tag_waterway IS NOT NULL THEN 'waterway_trace'

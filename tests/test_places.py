@@ -278,3 +278,14 @@ def test_every_alias_is_held_against_every_owner(spark):
     wanted = rows(spark, "poi_id int, normalized_alias string", (1, "mill"), (3, "mill"), (9, "mill"), (4, "depot"), (5, "depot"), (6, "plaza"))
     got = {(r.poi_id, r.normalized_alias, r.owner, r.others) for r in editorial.first_conflicts(wanted, owned).collect()}
     assert got == {(1, "mill", 3, 2), (3, "mill", 1, 2), (9, "mill", 1, 3), (5, "depot", 4, 1)}
+
+
+def test_register_rows_match_by_every_name_and_form(spark):
+    places = rows(spark, "poi_id int, canonical_name string, is_historical boolean", (1, "Adobe Mill Works", False), (2, "Barrio Chapel", True), (3, "Adobe Mill Work", True), (4, "Cistern", False))
+    aliases = rows(spark, "poi_id int, alias_name string", (4, "Pump Station Seven"), (2, "Zzyzx Oratory"))
+    reg = rows(spark, "row_id int, names array<string>", (1, ["Nothing Alike", "Pump Station Seven"]), (2, ["Zzyzx Oratori"]), (3, ["The Barrio Chapel"]), (4, ["Adobe Mill Worx"]), (5, ["The"]), (6, ["Adobe Mill Worx"]))
+    got = {r.row_id: r for r in matching.register_matches(reg, places, aliases, 0.78).collect()}
+    assert len(got) == 6
+    assert [(got[i].poi_id, got[i].method, got[i].accepted) for i in (1, 2, 3)] == [(4, "alias_exact", True), (2, "fuzzy_fallback", True), (2, "canonical_exact", True)]
+    assert got[4].poi_id == got[6].poi_id == 3 and got[4].confidence == got[6].confidence
+    assert (got[5].poi_id, got[5].likeness, got[5].accepted) == (2, 0.0, False)
