@@ -14,10 +14,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import doc_texts, slices, table, written
+from cairn.llm.shared import doc_texts, slices, table, text_or_empty, written
 
 WORDS = 5
 PERCENT = 75
@@ -188,9 +188,14 @@ def may_link(a: bytes, b: bytes, together: int) -> bool:
     return (100 + PERCENT) * int((x ^ y).sum()) <= (100 - PERCENT) * together
 
 
+def _row_key() -> Column:
+    """Name of a row's doc_id and text together: a doc_id alone may stand for several texts, or be missing."""
+    return F.xxhash64(F.col("doc_id").cast("long"), text_or_empty())
+
+
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, node (name of the set), n_shingles, the least shingle by each of some hash functions, and the parity
-    sketch, of every document."""
+    """doc_id, key (of doc_id and text), node (name of the set), n_shingles, the least shingle by each of some hash functions,
+    and the parity sketch, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, _SLICE):
@@ -202,9 +207,9 @@ def sets(docs: DataFrame) -> DataFrame:
                 least[sizes > 0] = np.stack([np.minimum.reduceat(_mix(found * m), at[:-1][sizes > 0]) for m in _MULTIPLIERS[:MEETINGS]], axis=1).view(np.int64)
             met = pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * MEETINGS, pa.array(least.ravel()))
             sketch = pa.array([parities(found[x:y]) if y > x else None for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array(sizes), met, sketch], ["doc_id", "node", "n_shingles", "met", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), nodes, pa.array(sizes), met, sketch], ["doc_id", "key", "node", "n_shingles", "met", "sketch"])
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, node long, n_shingles long, met array<long>, sketch binary")
+    return doc_texts(docs).withColumn("key", _row_key()).mapInArrow(run, "doc_id long, key long, node long, n_shingles long, met array<long>, sketch binary")
 
 
 def _likely(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -357,7 +362,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of nodes whose sets are linked. members: doc_id, node of all documents.
+    """Those pairs (a, b) of nodes whose sets are linked. members: key, node of all documents.
 
     The texts of b's partners go to b, dealt out by a hash so that each task gets b's own text and about STAR partners,
     however many b has.
@@ -365,16 +370,17 @@ def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame
     spark = docs.sparkSession
     pairs = written(pairs.select("a", "b"), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    owners = members.join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    owners = written(owners.where("doc_id is not null"), "owners")
-    wanted = Filter.of(owners.select("doc_id"))
+    owners = members.join(needed, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+    owners = written(owners, "owners")
+    wanted = Filter.of(owners.select("key"))
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = wanted.holds(batch.column(0).fill_null(0).to_numpy().view(np.uint64))
+            keep = wanted.holds(batch.column(0).to_numpy().view(np.uint64))
             yield batch.filter(pa.array(keep))
 
-    texts = doc_texts(docs).mapInArrow(thin, "doc_id long, text string").join(owners, "doc_id").select("node", "text")
+    texts = doc_texts(docs).select(_row_key().alias("key"), "text").mapInArrow(thin, "key long, text string")
+    texts = texts.dropDuplicates(["key"]).join(owners, "key").select("node", "text")
     texts = written(texts, "texts")
     parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
     partners = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"))
@@ -420,10 +426,15 @@ def _some_partners(postings: DataFrame, turn: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; component_id is the smallest doc_id reachable by links.
+    """doc_id, n_shingles, component_id of every document, as _found says."""
+    return _found(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def _found(docs: DataFrame) -> DataFrame:
+    """doc_id, key, component (of nodes), n_shingles, component_id of every document; component_id is the smallest doc_id reachable by links.
 
     Null and empty texts, and those without words, have no shingles and are linked with nothing. Equal sets are
-    one node from the start. A row without a doc_id takes the component of its equals (null if they have none either);
+    one node from the start. A row without a doc_id takes the component of what it is linked with (null if none has one);
     rows that repeat a doc_id with other texts each keep their own set. Ties don't arise; an empty table gives no rows.
 
     First, documents that share a minimum of one of some hash functions are held against the smallest node there, which
@@ -465,19 +476,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = named.join(groups, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = named.join(smallest, "component").select("node", "component_id")
-    return members.join(found, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    found = named.join(smallest, "component").select("node", "component", "component_id")
+    return members.join(found, "node", "left").select("doc_id", "key", "component", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the near duplicates of others: of each component the row with the smallest doc_id, of rows that
-    repeat that doc_id with one text only one. Rows without a doc_id stay. All columns stay."""
-    found = near_duplicates(docs)
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    single = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    """docs without the near duplicates of others: of each component one of the rows with the smallest doc_id. Rows that
+    repeat a doc_id with other texts stay or go by their own component. Rows without a doc_id stay. All columns stay."""
+    found = written(_found(docs).select("doc_id", "key", "component_id", F.coalesce("component", "key").alias("group")), "found")
+    least = found.where("doc_id = component_id")
+    stays = least.groupBy("group", "doc_id").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    others = least.join(stays.where("first <> last"), ["group", "doc_id"]).where("key <> first").select("key")
+    dropped = found.where("doc_id <> component_id").select("key").unionByName(others).distinct()
+    repeated = least.groupBy("key").count().where("count > 1").select("key")
+    own = "_row_key_"
+    kept = docs.withColumn(own, _row_key()).join(dropped.withColumnRenamed("key", own), own, "left_anti")
+    repeated = repeated.withColumnRenamed("key", own)
+    single = kept.join(repeated, own, "left_anti").select(*docs.columns)
+    again = kept.join(repeated, own, "left_semi").dropDuplicates([own]).select(*docs.columns)
     return single.unionByName(again)
 
 

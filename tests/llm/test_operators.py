@@ -344,6 +344,19 @@ def test_one_of_each_group_stays(docs, pairs):
     assert kept.columns == docs.columns and collections.Counter(r.doc_id for r in kept.collect()) == want
 
 
+def test_one_doc_id_with_two_texts(spark):
+    """A near copy of another document and a clean text under one doc_id; near copies under one doc_id; near copies without one."""
+    copy, own = " ".join(f"p{i}" for i in range(80)), " ".join(f"q{i}" for i in range(80))
+    twice, lone = " ".join(f"r{i}" for i in range(80)), " ".join(f"s{i}" for i in range(80))
+    rows = [(1, copy), (5, copy + " more"), (5, own), (6, own + " more"), (7, twice), (7, twice + " more"), (7, twice), (None, lone), (9, lone + " more"), (10, lone + " much"), (None, copy + " less")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert counted(op8_near_duplicates.near_duplicates(docs).collect()) == counted(brute_components(rows))
+    kept = collections.Counter((r.doc_id, r.text) for r in op8_near_duplicates.one_of_each(docs).collect())
+    sevens = {t: n for (i, t), n in kept.items() if i == 7}
+    assert list(sevens.values()) == [1]
+    assert {k: n for k, n in kept.items() if k[0] != 7} == {(1, copy): 1, (5, own): 1, (9, lone + " more"): 1, (None, lone): 1, (None, copy + " less"): 1}
+
+
 def test_long_lists_and_chains(spark, monkeypatch):
     """Many documents with one passage, and a chain whose ends aren't linked themselves."""
     monkeypatch.setattr(op8_near_duplicates, "LONG_LIST", 2)
