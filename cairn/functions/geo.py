@@ -48,8 +48,9 @@ def in_box(x: Column, y: Column, points: list[tuple[float, float]], margin: floa
     return x.between(min(xs) - margin, max(xs) + margin) & y.between(min(ys) - margin, max(ys) + margin)
 
 
-def in_ring(px: Column, py: Column, ring: Column) -> Column:
-    """Whether a point lies in a closed ring (array of struct x, y) or on its edge, by counting crossings to the right."""
+def in_ring(px: Column, py: Column, ring: Column, edges_too: bool = True) -> Column:
+    """Whether a point lies in a closed ring (array of struct x, y), by counting crossings to the right; on its edge
+    counts as inside or, without edges_too, as outside."""
     n = F.size(ring)
     edges = F.zip_with(F.slice(ring, 1, n - 1), F.slice(ring, 2, n - 1), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
 
@@ -62,7 +63,8 @@ def in_ring(px: Column, py: Column, ring: Column) -> Column:
         at = e["ax"] + (py - e["ay"]) * (e["bx"] - e["ax"]) / F.nullif(e["by"] - e["ay"], F.lit(0.0))
         return F.when(spans & (px < at), 1).otherwise(0)
 
-    return F.exists(edges, on) | (F.aggregate(edges, F.lit(0), lambda s, e: s + crosses(e)) % 2 == 1)
+    odd = F.aggregate(edges, F.lit(0), lambda s, e: s + crosses(e)) % 2 == 1
+    return F.exists(edges, on) | odd if edges_too else ~F.exists(edges, on) & odd
 
 
 def ring_centroid(ring: Column) -> Column:

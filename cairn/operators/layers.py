@@ -30,8 +30,9 @@ def from_points(features: DataFrame, places: DataFrame, source: str, metres: flo
 
 
 def from_polygons(polygons: DataFrame, places: DataFrame, source: str, cell: float = 0.01) -> DataFrame:
-    """Evidence of a polygon layer: each place (poi_id, x, y) in a polygon (feature_id, label, ring), edges included."""
-    inside = matching.contained(places, polygons, cell)
+    """Evidence of a polygon layer: each place (poi_id, x, y) in a polygon (feature_id, label, ring, holes), edges
+    included; once for a feature, whatever number of its parts hold the place."""
+    inside = matching.contained(places, polygons, cell).select("feature_id", "label", "poi_id").distinct()
     return _rows(inside, source, _layer(source)[2], F.lit(_layer(source)[6]))
 
 

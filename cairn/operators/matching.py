@@ -53,13 +53,17 @@ def best_place(pairs: DataFrame, likeness: Column, metres: float = 250.0, least:
 
 
 def contained(places: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
-    """Pairs of place (poi_id, x, y) and polygon (polygon_id, ring) in which it lies, edges included. A polygon goes to the
+    """Pairs of place (poi_id, x, y) and polygon (polygon_id, ring, and holes if there are any) in which it lies, edges included,
+    those of holes too. A polygon goes to the
     cells that its box covers, so that both sides meet by equality."""
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     cells = lambda a: F.sequence(F.floor(F.array_min(a) / cell), F.floor(F.array_max(a) / cell))
     g = polygons.withColumn("cx", F.explode(cells(xs))).withColumn("cy", F.explode(cells(ys)))
     p = places.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    return p.join(g, ["cx", "cy"]).where(in_ring(F.col("x"), F.col("y"), F.col("ring"))).drop("cx", "cy")
+    met = p.join(g, ["cx", "cy"]).where(in_ring(F.col("x"), F.col("y"), F.col("ring")))
+    if "holes" in polygons.columns:
+        met = met.where(~F.exists(F.coalesce("holes", F.array().cast("array<array<struct<x:double,y:double>>>")), lambda h: in_ring(F.col("x"), F.col("y"), h, edges_too=False)))
+    return met.drop("cx", "cy")
 
 
 def exact_matches(rows: DataFrame, places: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -397,6 +397,25 @@ def polygon_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.contained(places, polygons, 0.02).select("polygon_id", "poi_id")
 
 
+_HALL = "(abs(p.lon - q.lon) <= 0.002 AND abs(p.lat - q.lat) <= 0.002 AND NOT (abs(p.lon - q.lon) < 0.001 AND abs(p.lat - q.lat) < 0.001)) OR (p.lon - q.lon BETWEEN 0.003 AND 0.004 AND abs(p.lat - q.lat) <= 0.001)"
+
+
+@query(sql(f"SELECT DISTINCT q.poi_id AS feature_id, p.poi_id FROM poi0 q JOIN poi0 p ON {_HALL} WHERE q.category = 'civic'", "poi0"))
+def layer_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in multipolygons around civic places: a square with a square hole, and a box to its east."""
+    poi = views.view(spark, sf_dir, views.POI)
+
+    def box(west: float, south: float, east: float, north: float):
+        at = lambda dx, dy: F.struct((F.col("lon") + dx).alias("x"), (F.col("lat") + dy).alias("y"))
+        return F.array(at(west, south), at(east, south), at(east, north), at(west, north), at(west, south))
+
+    none = F.array().cast("array<array<struct<x:double,y:double>>>")
+    parts = F.array(F.struct(box(-0.002, -0.002, 0.002, 0.002).alias("ring"), F.array(box(-0.001, -0.001, 0.001, 0.001)).alias("holes")), F.struct(box(0.003, -0.001, 0.004, 0.001).alias("ring"), none.alias("holes")))
+    polygons = poi.where("category = 'civic'").select(F.col("poi_id").alias("feature_id"), F.inline(parts))
+    places = poi.select("poi_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return matching.contained(places, polygons, 0.004).select("feature_id", "poi_id").distinct()
+
+
 _SAME = "CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in vocab.SAME_WORDS.items()) + " ELSE w END"
 
 

@@ -57,10 +57,13 @@ def point_features(rows: DataFrame) -> DataFrame:
 
 
 def polygon_features(rows: DataFrame) -> DataFrame:
-    """Outer rings of polygon features, as arrays of struct x, y."""
-    outer = F.get(F.from_json("coordinates", "array<array<array<double>>>"), F.lit(0))
-    ring = F.transform(outer, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
-    return rows.where("kind = 'Polygon'").withColumn("ring", ring)
+    """One row for each part of polygon and multipolygon features: its outer ring and its holes, as arrays of struct x, y."""
+    one = F.from_json("coordinates", "array<array<array<double>>>")
+    parts = F.when(F.col("kind") == "Polygon", F.array(one)).otherwise(F.from_json("coordinates", "array<array<array<array<double>>>>"))
+    ring = lambda r: F.transform(r, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+    found = rows.where("kind in ('Polygon', 'MultiPolygon')").withColumn("_part", F.explode(parts)).where("size(_part) > 0")
+    holes = F.transform(F.slice("_part", F.lit(2), F.size("_part")), ring)
+    return found.withColumns({"ring": ring(F.get("_part", F.lit(0))), "holes": holes}).drop("_part")
 
 
 def national_register(spark: SparkSession, path: str) -> DataFrame:

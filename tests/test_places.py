@@ -289,3 +289,13 @@ def test_register_rows_match_by_every_name_and_form(spark):
     assert [(got[i].poi_id, got[i].method, got[i].accepted) for i in (1, 2, 3)] == [(4, "alias_exact", True), (2, "fuzzy_fallback", True), (2, "canonical_exact", True)]
     assert got[4].poi_id == got[6].poi_id == 3 and got[4].confidence == got[6].confidence
     assert (got[5].poi_id, got[5].likeness, got[5].accepted) == (2, 0.0, False)
+
+
+def test_holes_and_multipolygons(spark):
+    from cairn.operators import layers
+
+    square = lambda x, y, n: f"[[{x},{y}],[{x + n},{y}],[{x + n},{y + n}],[{x},{y + n}],[{x},{y}]]"
+    found = rows(spark, "feature_id string, label string, kind string, coordinates string", ("a", "A", "Polygon", f"[{square(0, 0, 4)},{square(1, 1, 2)}]"), ("b", "B", "MultiPolygon", f"[[{square(10, 0, 2)}],[{square(12, 0, 2)},{square(12.5, 0.5, 1)}]]"), ("c", "C", "Point", "[1,1]"))
+    places = rows(spark, "poi_id int, x double, y double", (1, 0.5, 0.5), (2, 2.0, 2.0), (3, 1.0, 2.0), (4, 11.0, 1.0), (5, 13.0, 1.0), (6, 12.0, 1.0))
+    inside = layers.from_polygons(readers.polygon_features(found), places, "city_gis_plaza_park", 1.0).collect()
+    assert sorted((r.label, r.poi_id) for r in inside) == [("A", 1), ("A", 3), ("B", 4), ("B", 6)]
