@@ -188,6 +188,16 @@ def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("state", themes.review_state(F.col("reviewed_at"), F.coalesce("member", F.lit(False)), stamp, F.lit(1)))
 
 
+_SEVEN = {"accepted": "status = 'accepted'", "candidates": "status = 'candidate'", "reviewed": "state = 'reviewed'", "unreviewed": "state = 'unreviewed'", "stale": "state = 'stale'", "force_included": "decision = 'force_include'", "force_excluded": "decision = 'force_exclude'"}
+
+
+@query(sql("SELECT t.theme, " + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in _SEVEN.items()) + f" FROM (VALUES ('water'), ('rail'), ('public_memory')) t(theme) LEFT JOIN (SELECT coalesce(m.theme, d.theme) AS theme, status, decision, {_STATE} AS state FROM mem m FULL JOIN dec d ON m.poi_id = d.poi_id AND m.theme = d.theme) j ON j.theme = t.theme GROUP BY t.theme", "mem", "dec"))
+def theme_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven counts of every theme, over memberships and over decisions without one."""
+    every = spark.createDataFrame([(t,) for t in vocab.THEMES], "theme string")
+    return every.join(_reviewed(spark, sf_dir), "theme", "left").groupBy("theme").agg(*(F.count_if(F.expr(c)).alias(n) for n, c in _SEVEN.items()))
+
+
 @query(sql(f"""SELECT poi_id, theme, state, status FROM (SELECT m.poi_id, m.theme, {_STATE} AS state, status, coalesce(confidence, 1.0) AS c FROM mem m LEFT JOIN dec d ON m.poi_id = d.poi_id AND m.theme = d.theme)
 ORDER BY CASE state WHEN 'unreviewed' THEN 0 WHEN 'stale' THEN 1 WHEN 'reviewed' THEN 2 ELSE 3 END, CASE status WHEN 'candidate' THEN 0 WHEN 'accepted' THEN 1 ELSE 2 END, c, poi_id, theme LIMIT 100""", "mem", "dec"))
 def theme_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
