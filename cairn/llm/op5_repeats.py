@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.op8_near_duplicates import Filter
+from cairn.llm.filters import Filter
 from cairn.llm.shared import doc_texts, slices, table, written
 
 LENGTH = 200

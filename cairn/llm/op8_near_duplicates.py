@@ -1,14 +1,23 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap enough, and the components that their links make.
 
-T-occurrence search in the manner of DivideSkip. Sets that overlap in T shingles share one of the first |set| - T + 1 in
-any common order of shingles. The order puts shingles with long inverted lists last, so these are skipped; the short
-lists are merged by Spark, across the cluster where one heap would do for one machine; and a pair that meets there is
-settled by probing the one set's whole sorted array with the other's.
+T-occurrence search in the manner of DivideSkip, with the inverted lists spread over the cluster. A set of n shingles can only be
+linked with sets that share T = 75 % of n with it. Its T - k most frequent shingles, those with the longest lists, are skipped; the
+short lists of the others are merged, and two sets that meet fewer than k times there cannot reach T. Those that do are settled
+by probing the skipped, long ones: the smaller set's whole sorted array is looked up in the other's by binary search.
+
+This is done twice. First with lists in the order of a hash and a large k, only counting, for each set, how many of its lists hold another set:
+most sets never come to k and are linked with nothing. Then, for the sets left, with the true lengths of lists as the order.
+
+Where very many sets hold one shingle, all pairs of the list would be too many. There a leader is taken from the list, and each set x of
+the list is held against it. With h shingles in the leader, p of them missing in x and q of x missing in the leader, let e = 4p + 3q; x and the leader are linked
+if e <= h. Two sets of which one isn't linked with the leader are linked with each other only if (e + e' - h) / 7 of the places at which they differ from
+the leader are the same: T-occurrence again, over differences, which are few and mostly rare. Two sets that are both linked with the
+leader are in one component. So a group of any size costs one comparison a member, and no link between components is missed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,23 +26,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import doc_texts, slices, table, text_or_empty, written
+from cairn.llm.filters import Filter
+from cairn.llm.shared import discard, doc_texts, slices, table, text_or_empty, written
 
 WORDS = 5
 PERCENT = 75
-#: An inverted list is long, and its shingle goes last, when so many prefixes hold it.
+#: Short lists that two linked sets share at least, in percent of a set: when sets are sorted out, and when pairs are formed.
+SORTING, FORMING = 25, 6
+#: A list is led, not paired, when it has more than so many pairs of different components for each of its sets.
 LONG_LIST = 24
-#: Hash functions by which documents first meet a likely partner; they only save work.
+#: How often lists of differences that are long themselves are led again; then all their pairs are formed.
+LEVELS = 2
+#: Hash functions by which sets first meet a likely partner; they only save work.
 MEETINGS = 6
-STAR = 128
-#: Rounds in which documents are held against some of those in their lists before all pairs are, lots of how many, and
-#: partners a document and round; they only save work.
-ROUNDS = 2
-LOT = 4
-PARTNERS = 8
-FILTER_BITS = 1 << 23
+STAR = 64
 _SLICE = 1 << 20
-_FLUSH = 3_000_000
+_FLUSH = 2_000_000
 _PART_TOKENS = 2_000_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -114,9 +122,11 @@ def shingles(text: str) -> np.ndarray:
     return shingle_sets(pa.array([text]))[0]
 
 
-def _node(found: np.ndarray) -> int:
-    """A signed 64-bit name of a set: equal sets are one node from here on."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes()))))
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of a stand in b; both sorted."""
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return b[at] == a if len(b) else np.zeros(len(a), bool)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -125,51 +135,10 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
         a, b = b, a
     if not len(a) or 100 * len(a) < percent * len(b):
         return False
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    both = int((b[at] == a).sum())
+    both = int(_shared(a, b).sum())
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-class Filter:
-    """A Bloom filter of fixed size over 64-bit numbers. It only orders or thins what is looked at, never decides."""
-
-    def __init__(self, words: np.ndarray, parts: int = 0):
-        self.words, self.parts = words, parts
-
-    @staticmethod
-    def _places(values: np.ndarray) -> Iterator[np.ndarray]:
-        for m in _MULTIPLIERS[3:6]:
-            yield ((values * m) >> np.uint64(41)).astype(np.int64) % FILTER_BITS
-
-    @classmethod
-    def of(cls, values: DataFrame, parts: int = 0) -> Filter:
-        """From the only column of a DataFrame; at most FILTER_BITS / 64 numbers reach the driver. parts: what is asked
-        for later is known only by its 32 low bits and its part, of so many."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = np.zeros(FILTER_BITS // 64, np.uint64)
-            for batch in batches:
-                for places in cls._places(batch.column(0).to_numpy().view(np.uint64)):
-                    np.bitwise_or.at(words, places >> 6, np.uint64(1) << (places & 63).astype(np.uint64))
-            at = np.flatnonzero(words)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], ["at", "bits"])
-
-        words = np.zeros(FILTER_BITS // 64, np.uint64)
-        rows = values.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()
-        words[[r[0] for r in rows]] = np.array([r[1] for r in rows], np.int64).view(np.uint64)
-        return cls(words, parts)
-
-    def holds(self, values: np.ndarray) -> np.ndarray:
-        if self.parts:
-            values = (values & np.uint64(0xFFFFFFFF)) | ((values >> np.uint64(32)) % np.uint64(self.parts)) << np.uint64(32)
-        out = np.ones(len(values), bool)
-        for places in self._places(values):
-            out &= (self.words[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1) == 1
-        return out
-
-
 def parities(found: np.ndarray) -> bytes:
     """A set's parity sketch: as many bits as it has shingles, or up to twice as many, each flipped by those that fall on it."""
     bits = max(6, int(len(found) - 1).bit_length())
@@ -189,160 +158,161 @@ def may_link(a: bytes, b: bytes, together: int) -> bool:
 
 
 def _row_key() -> Column:
-    """Name of a row's doc_id and text together: a doc_id alone may stand for several texts, or be missing."""
-    return F.xxhash64(F.col("doc_id").cast("long"), text_or_empty())
+    """128-bit name of a row's doc_id and text together: a doc_id alone may stand for several texts, or be missing."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")), F.lit(":"), text_or_empty()).cast("binary")))
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of doc_id and text), node (name of the set), n_shingles, the least shingle by each of some hash functions,
-    and the parity sketch, of every document."""
+def _ceil_percent(percent: int, n):
+    return -(-percent * n // 100)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, _SLICE):
-            found, at = shingle_sets(batch.column(1))
-            sizes = np.diff(at)
-            nodes = pa.array([_node(found[x:y]) if y > x else None for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64())
-            least = np.zeros((len(sizes), MEETINGS), np.int64)
-            if len(found):
-                least[sizes > 0] = np.stack([np.minimum.reduceat(_mix(found * m), at[:-1][sizes > 0]) for m in _MULTIPLIERS[:MEETINGS]], axis=1).view(np.int64)
-            met = pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * MEETINGS, pa.array(least.ravel()))
-            sketch = pa.array([parities(found[x:y]) if y > x else None for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), nodes, pa.array(sizes), met, sketch], ["doc_id", "key", "node", "n_shingles", "met", "sketch"])
 
-    return doc_texts(docs).withColumn("key", _row_key()).mapInArrow(run, "doc_id long, key long, node long, n_shingles long, met array<long>, sketch binary")
-
-
-def _likely(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """pairs (a, b) without those that the sketches rule out."""
-    one = members.where("node is not null").select("node", "n_shingles", "sketch").dropDuplicates(["node"])
-    own = lambda c: one.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+def members_of(docs: DataFrame) -> DataFrame:
+    """doc_id, key (128-bit name of doc_id and text), node (128-bit name of the set, null for an empty one), n_shingles of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist()
-            keep = [may_link(*row) for row in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), n, strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    rows = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
-    return rows.mapInArrow(run, "a long, b long")
+        for batch in slices(batches, 1, _SLICE):
+            found, at = shingle_sets(batch.column(1))
+            nodes = pa.array([xxhash.xxh3_128_digest(found[x:y].tobytes()) if y > x else None for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), nodes, pa.array(np.diff(at))], ["doc_id", "key", "node", "n_shingles"])
 
+    return doc_texts(docs).withColumn("key", _row_key()).mapInArrow(run, "doc_id long, key binary, node binary, n_shingles long")
 
-def _prefixes(found: np.ndarray, at: np.ndarray, last: Filter | None) -> tuple[np.ndarray, np.ndarray]:
-    """Which shingles are among the first of their set in the common order, those in `last` behind all others and by
-    value otherwise; and which of all are in `last`."""
-    sizes = np.diff(at)
-    wanted = np.repeat(sizes - -(-PERCENT * sizes // 100) + 1, sizes)
-    start = np.repeat(at[:-1], sizes)
-    late = last.holds(_names(found)) if last else np.zeros(len(found), bool)
-    early = np.concatenate([[0], np.cumsum(~late)])
-    place = np.arange(len(found))
-    before = early[:-1] - early[start]
-    rank = np.where(late, np.repeat(early[at[1:]] - early[at[:-1]], sizes) + (place - start) - before, before)
-    return rank < wanted, late
 
+def _half(node: bytes) -> int:
+    """The first 64 bits of a name, zero left out: that stands for "another set"."""
+    return int.from_bytes(node[:8], "little", signed=True) or 1
 
-def _names(found: np.ndarray) -> np.ndarray:
-    """Shingles as they are looked up: another mixing, so that small ones spread evenly."""
-    return _mix(found * _MULTIPLIERS[2])
 
+def met_counts(docs: DataFrame, parts: int) -> DataFrame:
+    """half (the first bytes of a set's name), times: how many of a set's first shingles, in the order of their hashes, stand among
+    the first of another set too, or more.
 
-def _packed(docs: DataFrame, parts: int, last: Filter | None, with_nodes: bool) -> DataFrame:
-    """Prefix shingles packed for their part (by hash): part, tokens (32 bits each, which with the part tell shingles
-    apart well enough to find candidates), and with_nodes each token's place in a list of nodes, and that list. With
-    `last`, shingles in it come as rows of their own (shingle, node) instead, so that no part has a long list."""
-    schema = "part int, tokens binary, places binary, nodes binary, shingle long, node long"
-    names = [c.split(" ")[0] for c in schema.split(", ")]
+    What a task has read is counted before it moves: a list that already has two sets there sends one entry, so that no list is long. Shingles
+    move as 32 bits and their part, which can only make counts too large.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        owners: list[np.ndarray] = []
-        count = docs_held = 0
+        seen: dict[bytes, int] = {}
+        count = 0
 
         def flush() -> pa.RecordBatch:
-            name, owner = (np.concatenate(c) for c in zip(*held, strict=True))
-            node = np.concatenate(owners)
-            part = (name >> np.uint64(32)).astype(np.int64) % parts
+            token, owner = (np.concatenate(c) for c in zip(*held, strict=True))
+            names = np.fromiter(map(_half, seen), np.int64, len(seen))
+            order = np.argsort(token, kind="stable")
+            token, owner = token[order], owner[order]
+            new = np.append(True, token[1:] != token[:-1])
+            many = np.diff(np.append(np.flatnonzero(new), len(token)))
+            own = np.bincount(owner[np.repeat(many > 1, many)], minlength=len(names))
+            token, owner = token[new], np.where(many > 1, -1, owner[new])
+            part = (token >> np.uint64(32)).astype(np.int64) % parts
             order = np.argsort(part, kind="stable")
-            part, token, owner = part[order], name[order].astype(np.uint32), owner[order]
+            part, token, owner = part[order], token[order].astype(np.uint32), owner[order]
             cuts = np.flatnonzero(np.diff(part)) + 1
-            rows = [(int(part[x]), token[x:y], owner[x:y]) for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True)]
-            blobs: list[list[bytes | None]] = [[], [], []]
-            for _, t, o in rows:
-                used, place = np.unique(o, return_inverse=True) if with_nodes else (None, None)
-                blobs[0].append(t.tobytes())
-                blobs[1].append(place.astype(np.uint16).tobytes() if with_nodes else None)
-                blobs[2].append(node[used].tobytes() if with_nodes else None)
-            none = pa.nulls(len(rows), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array(c, pa.binary()) for c in blobs), none, none], names)
+            rows: list[tuple[int, bytes | None, bytes, bytes]] = []
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
+                used, place = np.unique(owner[x:y], return_inverse=True)
+                rows.append((int(part[x]), token[x:y].tobytes(), place.astype(np.uint16).tobytes(), np.where(used < 0, 0, names[used]).tobytes()))
+            some = np.flatnonzero(own)
+            rows.append((int(names[0] % parts), None, own[some].tobytes(), names[some].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], ["part", "tokens", "places", "names"])
 
         for batch in slices(batches, 1, _SLICE):
             found, at = shingle_sets(batch.column(1))
             sizes = np.diff(at)
-            if not len(found):
-                continue
-            chosen, late = _prefixes(found, at, last)
-            filled = [_node(found[x:y]) if y > x else 0 for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            nodes, owner = np.array(filled, np.int64), np.repeat(np.arange(len(sizes)), sizes)
-            name = _names(found)
-            own = chosen & late
-            if own.any():
-                n = int(own.sum())
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 3, pa.array(name[own].view(np.int64)), pa.array(nodes[owner[own]])], names)
-            if count + len(name) > _FLUSH or docs_held + len(nodes) > 65_000:
-                if held:
-                    yield flush()
-                held, owners, count, docs_held = [], [], 0, 0
-            chosen &= ~late
-            held.append((name[chosen], owner[chosen] + docs_held))
-            owners.append(nodes)
-            count, docs_held = count + int(chosen.sum()), docs_held + len(nodes)
+            first = np.arange(len(found)) - np.repeat(at[:-1], sizes) < np.repeat(sizes - _ceil_percent(PERCENT, sizes) + _ceil_percent(SORTING, sizes), sizes)
+            owner = np.zeros(len(sizes), np.int64)
+            for d in np.flatnonzero(sizes).tolist():
+                node = xxhash.xxh3_128_digest(found[at[d] : at[d + 1]].tobytes())
+                owner[d] = -1 if node in seen else seen.setdefault(node, len(seen))
+            owner = np.repeat(owner, sizes)
+            first &= owner >= 0
+            held.append((_mix(found[first] * _MULTIPLIERS[2]), owner[first]))
+            count += int(first.sum())
+            if count > _FLUSH or len(seen) > 60_000:
+                yield flush()
+                held, seen, count = [], {}, 0
         if count:
             yield flush()
 
-    return doc_texts(docs).mapInArrow(run, schema)
-
-
-def _by_part(packed: DataFrame, parts: int, columns: list[str], make: Callable[[int, list[list[bytes]]], list[np.ndarray]], schema: str) -> DataFrame:
-    """Rows of make(part, its blobs), for one part after another."""
-    names = [c.split(" ")[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_part(blobs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [b for b in blobs if b[0] is not None]
+        names = [np.frombuffer(b[2], np.int64) for b in blobs if b[0] is None]
+        times = [np.frombuffer(b[1], np.int64) for b in blobs if b[0] is None]
+        if lists:
+            token = np.concatenate([np.frombuffer(b[0], np.uint32) for b in lists])
+            name = np.concatenate([np.frombuffer(b[2], np.int64)[np.frombuffer(b[1], np.uint16)] for b in lists])
+            order = np.lexsort((name, token))
+            token, name = token[order], name[order]
+            same = (token[1:] == token[:-1]) & (name[1:] != name[:-1])
+            begins = np.append(True, token[1:] != token[:-1])
+            run_of = np.cumsum(begins) - 1
+            shared = np.bincount(run_of[1:][same], minlength=run_of[-1] + 1) > 0
+            shared |= np.bincount(run_of[name == 0], minlength=run_of[-1] + 1) > 0
+            name = name[shared[run_of] & (name != 0)]
+            names.append(name)
+            times.append(np.ones(len(name), np.int64))
+        name, at = np.unique(np.concatenate(names), return_inverse=True)
+        return name, np.bincount(at, np.concatenate(times), len(name)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, blobs = None, []
         for batch in batches:
             for part, *blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group not in (None, part):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in make(group, blobs)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in of_part(blobs)], ["half", "times"])
                     blobs = []
                 group = part
                 blobs.append(blob)
         if blobs:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in make(group, blobs)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in of_part(blobs)], ["half", "times"])
+
+    packed = doc_texts(docs).mapInArrow(pack, "part int, tokens binary, places binary, names binary")
+    counted = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, "half long, times long")
+    return counted.groupBy("half").agg(F.sum("times").alias("times"))
 
-    rows = packed.where("part is not null").select("part", *columns)
-    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
+def sets_left(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """id, node, n, tokens (the sorted shingles as bytes), the least shingle by each of some hash functions, and the parity sketch, of each
+    distinct set that meets others often enough to be linked. The written ids are what sets are called from then on."""
+    spark = docs.sparkSession
+    total = members.agg(F.sum("n_shingles")).first()[0] or 0
+    parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (2 * _PART_TOKENS) + 1))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_half(x) for x in batch.column(0).to_pylist()], pa.int64())], ["node", "key", "n", "half"])
 
-def _often(part: int, blobs: list[list[bytes]]) -> list[np.ndarray]:
-    """Tokens of a part that occur more than LONG_LIST times, as names."""
-    token, n = np.unique(np.concatenate([np.frombuffer(b[0], np.uint32) for b in blobs]), return_counts=True)
-    return [np.full((n > LONG_LIST).sum(), part, np.int64), token[n > LONG_LIST].astype(np.int64)]
+    nodes = members.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n"))
+    nodes = nodes.mapInArrow(cut, "node binary, key binary, n long, half long")
+    least = F.ceil(F.ceil(F.col("n") * PERCENT / 100) * SORTING / 100)
+    owners = written(nodes.join(met_counts(docs, parts), "half").where(F.col("times") >= least).select("node", "key"), "owners")
+    wanted = Filter.of(owners.select(F.xxhash64("key").alias("name")))
 
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select([1, 2]).filter(pa.array(wanted.holds(batch.column(0).to_numpy().view(np.uint64))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1, _SLICE):
+            found, at = shingle_sets(batch.column(1))
+            cuts = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+            least = np.stack([np.minimum.reduceat(_mix(found * m), at[:-1]) for m in _MULTIPLIERS[:MEETINGS]], axis=1).view(np.int64)
+            met = pa.ListArray.from_arrays(np.arange(len(cuts) + 1, dtype=np.int32) * MEETINGS, pa.array(least.ravel()))
+            blobs = pa.array([found[x:y].tobytes() for x, y in cuts], pa.binary())
+            sketch = pa.array([parities(found[x:y]) for x, y in cuts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), blobs, met, sketch], ["node", "n", "tokens", "met", "sketch"])
 
-def _shared(part: int, blobs: list[list[bytes]]) -> list[np.ndarray]:
-    """(shingle, node) of the tokens of a part that more than one node holds."""
-    token = np.concatenate([np.frombuffer(b[0], np.uint32) for b in blobs])
-    node = np.concatenate([np.frombuffer(b[2], np.int64)[np.frombuffer(b[1], np.uint16)] for b in blobs])
-    order = np.lexsort((node, token))
-    token, node = token[order], node[order]
-    new = np.append(True, (np.diff(token) != 0) | (np.diff(node) != 0))[: len(token)]
-    token, node = token[new], node[new]
-    same = token[1:] == token[:-1]
-    keep = np.append(same, False)[: len(token)] | np.append(False, same)[: len(token)]
-    return [(token[keep].astype(np.int64) | np.int64(part) << np.int64(32)), node[keep]]
+    texts = doc_texts(docs).select(_row_key().alias("key"), "text").select(F.xxhash64("key").alias("name"), "key", "text").mapInArrow(thin, "key binary, text string")
+    texts = texts.join(owners, "key").dropDuplicates(["key"]).select("node", "text")
+    made = texts.mapInArrow(run, "node binary, n long, tokens binary, met array<long>, sketch binary")
+    made = written(made.withColumn("id", F.monotonically_increasing_id()), "sets")
+    discard(owners)
+    return made
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) of every node of the edges (a, b), by alternating large and small
+    """id, component (the smallest id reachable) of every node of the edges (a, b), by alternating large and small
     stars: each round is two minima by node and two joins, and the number of rounds grows with the logarithm of the size."""
     stars = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     stars = written(stars, "stars")
@@ -353,76 +323,128 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.where("a > low").select("a", F.col("low").alias("b"))).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").unionByName(least.select("a", F.col("low").alias("b"))).distinct()
-        stars = written(small, "stars")
+        last, stars = stars, written(small, "stars")
+        discard(last)
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    return stars.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return stars.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of nodes whose sets are linked. members: key, node of all documents.
+def compared(sets: DataFrame, pairs: DataFrame, differences: bool = False) -> DataFrame:
+    """pairs (a, b) of ids with linked, whether the sets overlap enough. With differences also: e, h, as the module says with b as leader, and apart, the
+    shingles that stand in one of both, as bytes.
 
-    The texts of b's partners go to b, dealt out by a hash so that each task gets b's own text and about STAR partners,
-    however many b has.
+    The sets of b's partners go to b, dealt out by a hash so that each task gets b's own set and about STAR partners, however many b has.
     """
-    spark = docs.sparkSession
-    pairs = written(pairs.select("a", "b"), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    owners = members.join(needed, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-    owners = written(owners, "owners")
-    wanted = Filter.of(owners.select("key"))
-
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = wanted.holds(batch.column(0).to_numpy().view(np.uint64))
-            yield batch.filter(pa.array(keep))
-
-    texts = doc_texts(docs).select(_row_key().alias("key"), "text").mapInArrow(thin, "key long, text string")
-    texts = texts.dropDuplicates(["key"]).join(owners, "key").select("node", "text")
-    texts = written(texts, "texts")
     parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
     partners = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"))
-    partner_rows = partners.join(texts.withColumnRenamed("node", "a"), "a").select("b", "part", "a", "text")
+    partner_rows = partners.join(sets.select(F.col("id").alias("a"), "tokens"), "a").select("b", "part", "a", "tokens")
     centres = parts.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    centre_rows = centres.join(texts.withColumnRenamed("node", "b"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
+    centre_rows = centres.join(sets.select(F.col("id").alias("b"), "tokens"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "tokens")
+    schema = "a long, b long, linked boolean" + (", e long, h long, apart binary" if differences else "")
+    types = [pa.int64(), pa.int64(), pa.bool_()] + [pa.int64(), pa.int64(), pa.binary()] * differences
+    names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, own = None, None
         for batch in slices(batches, 3, _SLICE):
             out = []
-            found, at = shingle_sets(batch.column(3))
-            for i, (b, part, a) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+            for b, part, a, blob in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                found = np.frombuffer(blob, np.uint64)
                 if a is None:
-                    if centre != (b, part):
-                        centre, own = (b, part), found[at[i] : at[i + 1]].copy()
-                elif centre == (b, part) and linked(found[at[i] : at[i + 1]], own):
-                    out.append((a, b))
+                    centre, own = (b, part), found.copy()
+                elif centre == (b, part):
+                    if differences:
+                        there, here = _shared(own, found), _shared(found, own)
+                        p, q = int((~there).sum()), int((~here).sum())
+                        e = 4 * p + 3 * q
+                        out.append((a, b, e <= len(own), e, len(own), np.concatenate([own[~there], found[~here]]).tobytes()))
+                    else:
+                        out.append((a, b, linked(found, own)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     dealt = centre_rows.unionByName(partner_rows).repartition(F.col("b"), F.col("part")).sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, schema)
 
 
-def _apart(postings: DataFrame, grouped: DataFrame) -> DataFrame:
-    """postings (shingle, node) with the node's component, of the shingles that stand in more than one component."""
-    rows = postings.join(grouped, "node", "left").select("shingle", "node", F.coalesce("component", "node").alias("component"))
-    apart = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    return rows.join(apart, "shingle")
+def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) without those that the sketches rule out."""
+    own = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist()
+            keep = [may_link(*row) for row in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), n, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-def _some_partners(postings: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different components, at most PARTNERS for each a: the nodes of a list are dealt into lots of about
-    LOT by a hash that changes with the turn, and meet the smallest node of their lot. The rows grow with the postings."""
-    sizes = postings.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / LOT).alias("lots"))
-    dealt = postings.join(sizes, "shingle").withColumn("lot", F.pmod(F.xxhash64("node", F.lit(turn)), "lots"))
-    heads = dealt.groupBy("shingle", "lot").agg(F.min(F.struct("node", "component")).alias("head"))
-    met = dealt.join(heads, ["shingle", "lot"]).where(F.col("component") != F.col("head.component"))
-    votes = met.groupBy(F.col("node").alias("a"), F.col("head.node").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
-    order = Window.partitionBy("a").orderBy(F.col("votes").desc(), "b")
-    return votes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PARTNERS).select("a", "b")
+    rows = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _exploded(rows: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    """A row for each of the 64-bit numbers packed in a column, token, with the columns to keep."""
+    schema = rows.select(*keep).schema.add("token", "long")
+    names = [f.name for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, len(keep), _SLICE):
+            blobs = batch.column(len(keep)).to_pylist()
+            at = pa.array(np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs]))
+            token = pa.array(np.frombuffer(b"".join(blobs), np.int64))
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[: len(keep)]), token], names)
+
+    return rows.select(*keep, column).mapInArrow(run, schema)
+
+
+def _first_lists(sets: DataFrame) -> DataFrame:
+    """frame, token, id, n, linked, near: the inverted lists of sets over all but the most frequent shingles of each (frame 0: no leader)."""
+    own = _exploded(sets, "tokens", ["id", "n"])
+    many = own.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    order = Window.partitionBy("id").orderBy(F.col("many").desc(), "token")
+    skipped = F.ceil(F.col("n") * PERCENT / 100) - F.ceil(F.col("n") * FORMING / 100)
+    ranked = own.join(many, "token").withColumn("place", F.row_number().over(order))
+    return ranked.where(F.col("place") > skipped).select(F.lit(0).cast("long").alias("frame"), "token", "id", "n", F.lit(False).alias("linked"), F.lit(True).alias("near"))
+
+
+def _difference_lists(framed: DataFrame, sets: DataFrame) -> DataFrame:
+    """The inverted lists of differences from leaders (frame: the leader), over all but the most frequent ones of each set. A set that isn't linked
+    with the leader has more lists in which to meet the linked ones; near marks those in which it can meet its like."""
+    wanted = framed.where("not linked").select("b").distinct()
+    rows = framed.join(wanted, "b", "left_semi").withColumn("size", F.octet_length("apart") / 8)
+    unlike = F.floor((F.col("e") + 1 + 6) / 7)
+    rows = rows.withColumn("like", unlike).withColumn("least", F.when(F.col("linked"), unlike).otherwise(F.greatest(F.lit(1), F.ceil((F.col("e") - F.col("h")) / 7))))
+    own = _exploded(rows.where("size >= least"), "apart", ["a", "b", "linked", "like", "least"])
+    many = own.groupBy("b", "token").agg(F.count(F.lit(1)).alias("many"), F.max(~F.col("linked")).alias("any")).where("many > 1 and any")
+    order = Window.partitionBy("a", "b").orderBy(F.col("many").desc(), "token")
+    ranked = own.join(many, ["b", "token"]).withColumn("place", F.row_number().over(order)).where("place >= least")
+    found = ranked.select(F.col("b").alias("frame"), "token", F.col("a").alias("id"), "linked", (F.col("place") >= F.col("like")).alias("near"))
+    return found.join(sets.select("id", "n"), "id").select("frame", "token", "id", "n", "linked", "near")
+
+
+def _split(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """lists with long: whether a list has more than LONG_LIST pairs of different components for each of its sets. Lists of one component go."""
+    rows = lists.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    each = rows.groupBy("frame", "token", "component").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("near") & ~F.col("linked")).alias("near"), F.count_if(~F.col("linked")).alias("free"))
+    sums = each.groupBy("frame", "token").agg(
+        F.sum("n").alias("all"), F.sum("near").alias("all_near"), F.sum("free").alias("all_free"),
+        F.sum(F.col("near") * F.col("near")).alias("same_near"), F.sum(F.col("free") * (F.col("n") - F.col("free"))).alias("same_apart"), F.count(F.lit(1)).alias("components"),
+    )
+    pairs = (F.col("all_near") * F.col("all_near") - F.col("same_near")) / 2 + F.col("all_free") * (F.col("all") - F.col("all_free")) - F.col("same_apart")
+    return lists.join(sums.where("components > 1").select("frame", "token", (pairs > LONG_LIST * F.col("all")).alias("long")), ["frame", "token"])
+
+
+def _pairs(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """frame, a, b, times: sets of different components that meet in lists, and how often. All pairs of a list, which is short."""
+    rows = lists.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    left, right = (rows.select("frame", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "linked", "near", "component"))) for s in "ab")
+    fits = (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a"))
+    meets = (~F.col("linked_a") & ~F.col("linked_b") & F.col("near_a") & F.col("near_b")) | (F.col("linked_a") != F.col("linked_b"))
+    met = left.join(right, ["frame", "token"]).where((F.col("component_a") < F.col("component_b")) & fits & meets)
+    met = met.groupBy("frame", F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("times"), F.least(F.first("n_a"), F.first("n_b")).alias("n"))
+    return met.where((F.col("frame") != 0) | (F.col("times") >= F.ceil(F.col("n") * FORMING / 100))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -430,51 +452,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _found(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def _links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) between ids that give all components of the sets."""
+    met = sets.select("id", F.posexplode("met").alias("kind", "key"))
+    hubs = met.groupBy("kind", "key").agg(F.min("id").alias("hub"), F.max("id").alias("high")).where("hub <> high").drop("high")
+    votes = met.join(hubs, ["kind", "key"]).where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("id").agg(F.max(F.struct("votes", "hub")).alias("best")).select(F.col("id").alias("a"), F.col("best.hub").alias("b"))
+    links = written(compared(sets, best).where("linked").select("a", "b"), "links")
+    groups = written(components(links), "groups")
+    popular = written(links.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("bound")), "popular")
+    lists, short = written(_split(_first_lists(sets), groups), "lists"), []
+    for level in range(LEVELS + 1):
+        short.append(lists.where("not long") if level < LEVELS else lists)
+        long = lists.where("long").select("frame", "token", "id")
+        if level == LEVELS or long.isEmpty():
+            break
+        leaders = long.join(popular, "id", "left").groupBy("frame", "token").agg(F.max(F.struct(F.coalesce("bound", F.lit(0)).alias("bound"), F.xxhash64("id", F.lit(level)).alias("by"), "id")).alias("leader"))
+        led = long.join(leaders, ["frame", "token"]).select(F.col("id").alias("a"), F.col("leader.id").alias("b")).where("a <> b").distinct()
+        framed = written(compared(sets, led, differences=True), "framed")
+        links = written(links.unionByName(framed.where("linked").select("a", "b")), "links")
+        groups = written(components(links), "groups")
+        lists = written(_split(_difference_lists(framed, sets), groups), "lists")
+    pairs = None
+    for part in short:
+        found = _pairs(part.drop("long"), groups)
+        pairs = found if pairs is None else pairs.unionByName(found)
+    likely = written(_likely(pairs.distinct(), sets), "likely")
+    return links.unionByName(compared(sets, likely).where("linked").select("a", "b"))
+
+
 def _found(docs: DataFrame) -> DataFrame:
     """doc_id, key, component (of nodes), n_shingles, component_id of every document; component_id is the smallest doc_id reachable by links.
 
     Null and empty texts, and those without words, have no shingles and are linked with nothing. Equal sets are
     one node from the start. A row without a doc_id takes the component of what it is linked with (null if none has one);
     rows that repeat a doc_id with other texts each keep their own set. Ties don't arise; an empty table gives no rows.
-
-    First, documents that share a minimum of one of some hash functions are held against the smallest node there, which
-    binds large groups of near copies with one comparison each; then, for some rounds, against a few of those in the
-    lists that still join different components. Then every pair that the prefixes let meet is compared,
-    unless its documents are in one component by then: no link between different components is missed.
+    A very long text is a set like any other: its shingles are sorted in one task and its lists spread over the cluster.
     """
-    spark = docs.sparkSession
-    members = written(sets(docs), "sets")
-    nodes = members.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"))
-
-    met = members.where("node is not null").select("node", F.posexplode("met").alias("kind", "key")).distinct()
-    hubs = met.groupBy("kind", "key").agg(F.min("node").alias("hub"), F.max("node").alias("high")).where("hub <> high").drop("high")
-    votes = met.join(hubs, ["kind", "key"]).where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("node").agg(F.max(F.struct("votes", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
-    first = written(verified(docs, members, best), "links")
-    grouped = written(components(first), "groups")
-
-    total = members.agg(F.sum(F.col("n_shingles") * (100 - PERCENT) / 100 + 1)).first()[0] or 0
-    parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // _PART_TOKENS + 1))
-    often = _by_part(_packed(docs, parts, None, False), parts, ["tokens"], _often, "part long, token long")
-    long_lists = Filter.of(often.select((F.col("token") + F.shiftleft(F.col("part"), 32)).alias("name")), parts)
-    packed = written(_packed(docs, parts, long_lists, True), "prefixes")
-    direct = packed.where("part is null").select("shingle", "node").distinct()
-    postings = _by_part(packed, parts, ["tokens", "places", "nodes"], _shared, "shingle long, node long").unionByName(direct)
-    postings = written(postings, "postings")
-    for turn in range(ROUNDS):
-        some = _likely(_some_partners(_apart(postings, grouped), turn), members)
-        first = written(first.unionByName(verified(docs, members, some)), "links")
-        grouped = written(components(first), "groups")
-    postings = written(_apart(postings, grouped).join(nodes, "node"), "postings")
-    left = postings.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("node", "component", "n")))
-    right = postings.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "n")))
-    fits = (F.col("component_a") < F.col("component_b")) & (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a"))
-    pairs = left.join(right, "shingle").where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    second = verified(docs, members, _likely(pairs, members))
-    groups = written(components(first.unionByName(second)), "groups")
-
+    members = written(members_of(docs), "members")
+    sets = sets_left(docs, members)
+    groups = written(components(_links(sets)), "groups")
+    name = sets.select("id", "node")
+    groups = groups.join(name, "id").join(name.select(F.col("id").alias("component"), F.col("node").alias("head")), "component").select("node", "head")
     named = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    named = named.join(groups, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    named = named.join(groups, "node", "left").select("node", "doc_id", F.coalesce("head", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     found = named.join(smallest, "component").select("node", "component", "component_id")
     return members.join(found, "node", "left").select("doc_id", "key", "component", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

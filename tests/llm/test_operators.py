@@ -369,6 +369,28 @@ def test_long_lists_and_chains(spark, monkeypatch):
     assert counted(found.collect()) == counted(brute_components(rows))
 
 
+def test_hot_groups_by_leaders(spark, monkeypatch):
+    """Edited copies of two texts that share half of their words, from next to nothing changed to too much: lists are led, then led again."""
+    monkeypatch.setattr(op8_near_duplicates, "LONG_LIST", 0.5)
+    monkeypatch.setattr(op8_near_duplicates, "STAR", 7)
+    rng = np.random.default_rng(11)
+    first = [f"w{i}" for i in range(120)]
+    second = first[:60] + [f"v{i}" for i in range(60)]
+    rows = []
+    for n in range(160):
+        words = list((first, second)[n % 2])
+        edits = [f"new{rng.integers(0, 30)}" for _ in range(rng.integers(0, 9))]
+        for e in edits:
+            words[rng.integers(0, 120)] = e
+        rows.append((n, " ".join(words)))
+    levels = []
+    lists = op8_near_duplicates._difference_lists
+    monkeypatch.setattr(op8_near_duplicates, "_difference_lists", lambda *a: levels.append(1) or lists(*a))
+    found = op8_near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert counted(found.collect()) == counted(brute_components(rows))
+    assert len(levels) == op8_near_duplicates.LEVELS
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 400), min_size=1, max_size=120), st.lists(st.integers(0, 400), min_size=1, max_size=120))
 def test_sketches_never_rule_out_a_link(a, b):
