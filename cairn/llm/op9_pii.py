@@ -8,6 +8,7 @@ and they touch no base span.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -37,14 +38,14 @@ PATTERNS = {
 # A kind's text is searched only if it holds what no match can do without.
 NEEDS = {"email": "@", "phone": "+", "ip": ".", "national_id": "-", "secret": None, "spoken_email": None, "card": None, "local_phone": None}
 GAZETTEER = {
-    "email": ("mail", "e-mail", "contact", "write", "correo", "courriel"),
-    "ip": ("ip", "address", "host", "server", "adresse"),
-    "card": ("card", "visa", "mastercard", "amex", "credit", "karte", "tarjeta", "carte"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "cell"),
-    "local_phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "cell"),
-    "national_id": ("ssn", "social", "security", "id", "passport"),
+    "email": ("mail", "e-mail", "email", "contact", "write", "reach", "correo", "courriel", "kontakt", "adresse"),
+    "ip": ("ip", "ipv4", "address", "addr", "host", "server", "gateway", "dns", "client", "adresse", "servidor", "serveur"),
+    "card": ("card", "cards", "visa", "mastercard", "amex", "discover", "credit", "debit", "karte", "kreditkarte", "tarjeta", "carte", "pan"),
+    "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "telefono", "teléfono", "téléphone", "cell", "whatsapp", "sms", "dial", "handy", "móvil", "portable"),
+    "local_phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "telefono", "teléfono", "téléphone", "cell", "whatsapp", "sms", "dial", "handy", "móvil", "portable"),
+    "national_id": ("ssn", "social", "security", "id", "passport", "taxpayer", "identity", "insurance", "ausweis", "dni"),
     "spoken_email": ("mail", "e-mail", "contact", "write", "reach", "correo", "courriel"),
-    "secret": ("password", "passwd", "token", "secret", "key"),
+    "secret": ("password", "passwd", "pwd", "token", "secret", "key", "bearer", "credential", "passwort", "clave", "contraseña"),
 }
 AGAINST = ("version", "isbn", "issn", "order", "invoice", "section", "chapter", "page")
 
@@ -74,43 +75,90 @@ def _luhn(digit: Column, place: Column) -> Column:
     return F.when(place % 2 == 1, digit).otherwise(F.when(twice > 9, twice - 9).otherwise(twice))
 
 
-_SPAN = "array<struct<kind:string,start:long,end:long,text:string,before:string,after:string>>"
+_FIELDS = "struct<kind:string,start:long,end:long,text:string,before:string,after:string>"
+_SPAN = f"array<{_FIELDS}>"
+BLOCK, CUT = 64, 1024
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once: what stands in a lambda is worked out at each of its calls."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _scan(items: Column, carry: Column, found: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """All that step(carry, item) finds, for one item after another; it gives the next carry and an array. found: the type of the arrays.
+
+    An array grows by a copy, so items go by blocks: first the carry at the start of each is found, then what each block finds is gathered.
+    """
+    none = F.array().cast(found)
+
+    def each(held: Column, item: Column) -> Column:
+        now, made = step(held["carry"], item)
+        return F.struct(now.alias("carry"), F.concat(held["found"], made).alias("found"))
+
+    def over(given: Column) -> Column:
+        of = lambda b: F.slice(given, b * BLOCK + 1, F.lit(BLOCK))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(given) - 1) / BLOCK).cast("int"))
+        carries = lambda held, b: F.array_append(held, F.aggregate(of(b), F.element_at(held, -1), lambda c, item: step(c, item)[0]))
+        gathered = lambda starts: F.flatten(F.transform(blocks, lambda b: F.aggregate(of(b), F.struct(F.get(starts, b).alias("carry"), none.alias("found")), each, lambda h: h["found"])))
+        return F.when(F.size(given) > 0, _bound(F.aggregate(blocks, F.array(carry), carries), gathered)).otherwise(none)
+
+    return _bound(items, over)
 
 
 def _spans(pieces: Column, kind: str) -> Column:
     """kind, start, end (code points, end exclusive), matched text and what stands around it, in order."""
-    empty = F.array().cast(_SPAN)
 
-    def step(held: Column, i: Column) -> Column:
+    def step(place: Column, i: Column) -> tuple[Column, Column]:
         piece = F.get(pieces, i)
-        end = held["place"] + F.length(piece)
+        end = place + F.length(piece)
         span = F.struct(
-            F.lit(kind).alias("kind"), held["place"].alias("start"), end.alias("end"), piece.alias("text"),
+            F.lit(kind).alias("kind"), place.alias("start"), end.alias("end"), piece.alias("text"),
             F.lower(F.right(F.get(pieces, i - 1), F.lit(24))).alias("before"), F.left(F.get(pieces, i + 1), F.lit(4)).alias("after"),
         )
-        found = F.when((i % 2 == 1) & _holds(kind, piece), F.array_append(held["found"], span)).otherwise(held["found"])
-        return F.struct(end.alias("place"), found.alias("found"))
+        return end, F.when((i % 2 == 1) & _holds(kind, piece), F.array(span)).otherwise(F.array().cast(_SPAN))
 
-    begin = F.struct(F.lit(0).cast("long").alias("place"), empty.alias("found"))
-    return F.when(F.size(pieces) > 1, F.aggregate(F.sequence(F.lit(0), F.size(pieces) - 1), begin, step, lambda held: held["found"])).otherwise(empty)
+    some = _scan(F.sequence(F.lit(0), F.size(pieces) - 1), F.lit(0).cast("long"), _SPAN, step)
+    return F.when(F.size(pieces) > 1, some).otherwise(F.array().cast(_SPAN))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """docs, text null: empty, with base and more: the candidate spans of the base kinds and of the further ones.
+def _apart(more: Column, base: Column) -> Column:
+    """The spans of more that touch none of base: one scan by start holds each against the furthest end before it, one backward against the next start."""
+    item = lambda added: lambda s: F.struct(s["start"].alias("start"), F.lit(added).alias("added"), s["end"].alias("end"), s.alias("span"))
+    kind = f"array<struct<start:long,added:int,end:long,span:{_FIELDS}>>"
+    none = F.array().cast(kind)
 
-    Matches are found on the whole text by one pass a kind. A row keeps all its columns; repeated rows stay.
+    def ahead(furthest: Column, s: Column) -> tuple[Column, Column]:
+        return F.when(s["added"] == 0, F.greatest(furthest, s["end"])).otherwise(furthest), F.when((s["added"] == 1) & (furthest <= s["start"]), F.array(s)).otherwise(none)
+
+    def back(following: Column, s: Column) -> tuple[Column, Column]:
+        return F.when(s["added"] == 0, s["start"]).otherwise(following), F.when((s["added"] == 1) & (following >= s["end"]), F.array(s)).otherwise(none)
+
+    bases = F.transform(base, item(0))
+    free = _scan(F.array_sort(F.concat(bases, F.transform(more, item(1)))), F.lit(-1).cast("long"), kind, ahead)
+    free = _scan(F.reverse(F.array_sort(F.concat(bases, free))), F.lit((1 << 62)).cast("long"), kind, back)
+    spans = F.reverse(F.transform(free, lambda s: s["span"]))
+    of = lambda kind: lambda s: s["kind"] == kind
+    return F.concat(*(F.filter(spans, of(k)) for k in ADDED))
+
+
+def candidates(docs: DataFrame, own: str = "") -> DataFrame:
+    """docs, text null: empty, with base and more, each behind the prefix own: the candidate spans of the base kinds and of the further ones.
+
+    Matches are found on the whole text by one pass a kind, in time that grows with the text and its matches. A row keeps all its columns; repeated rows stay.
     """
     text = text_or_empty()
     out = docs.withColumn("text", text)
     for kind in KINDS:
         wanted = F.contains(F.col("text"), F.lit(NEEDS[kind])) if NEEDS[kind] else F.col("text").rlike("[=:]") if kind == "secret" else F.col("text").rlike("[0-9]") if kind in ("card", "local_phone") else F.col("text").rlike(r"(?:\[at\]|\(at\)| at ).{0,80}(?:\[dot\]|\(dot\)| dot )")
-        out = out.withColumn(f"_pieces_{kind}", F.when(wanted, _pieces(F.col("text"), kind)).otherwise(F.array(F.lit(""))))
+        out = out.withColumn(f"{own}_pieces_{kind}", F.when(wanted, _pieces(F.col("text"), kind)).otherwise(F.array(F.lit(""))))
     for kind in KINDS:
-        out = out.withColumn(f"_spans_{kind}", _spans(F.col(f"_pieces_{kind}"), kind))
-    out = out.withColumn("base", F.concat(*(F.col(f"_spans_{k}") for k in BASE)))
-    more = F.concat(*(F.col(f"_spans_{k}") for k in ADDED))
-    out = out.withColumn("more", F.filter(more, lambda m: ~F.exists("base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"]))))
-    return out.drop(*(f"_{w}_{k}" for w in ("pieces", "spans") for k in KINDS))
+        out = out.withColumn(f"{own}_spans_{kind}", _spans(F.col(f"{own}_pieces_{kind}"), kind))
+    out = out.withColumn(f"{own}base", F.concat(*(F.col(f"{own}_spans_{k}") for k in BASE)))
+    out = out.withColumn(f"{own}_all", F.concat(*(F.col(f"{own}_spans_{k}") for k in ADDED)))
+    all_, base = F.col(f"{own}_all"), F.col(f"{own}base")
+    out = out.withColumn(f"{own}more", F.when((F.size(all_) > 0) & (F.size(base) > 0), _apart(all_, base)).otherwise(all_))
+    return out.drop(f"{own}_all", *(f"{own}_{w}_{k}" for w in ("pieces", "spans") for k in KINDS))
 
 
 def _regex_vote(s: Column) -> Column:
@@ -202,20 +250,20 @@ def fit_patterns(patterns: list[tuple[dict, int]], rounds: int = 40, steps: int
     return SpanModel(prior, reliability, weights)
 
 
-def fit(spans: DataFrame) -> SpanModel:
+def fit(spans: DataFrame, own: str = "") -> SpanModel:
     """The model from all candidate spans. Only their counts by votes and classes reach the driver: at most
     8 kinds x 27 votes x 9 classes of rows, however large the corpus is."""
-    shown = spans.select(F.explode(F.concat("base", "more")).alias("s")).select(votes(F.col("s")).alias("v"))
+    shown = spans.select(F.explode(F.concat(f"{own}base", f"{own}more")).alias("s")).select(votes(F.col("s")).alias("v"))
     counted = shown.groupBy("v.kind", *(f"v.{k}" for k in LABELERS), "v.size", "v.digits").count()
     rows = [r.asDict() for r in counted.collect()]
     patterns = sorted(((({k: v for k, v in r.items() if k != "count"}), r["count"]) for r in rows), key=str)
     return fit_patterns(patterns)
 
 
-def with_found(spans: DataFrame, model: SpanModel) -> DataFrame:
+def with_found(spans: DataFrame, model: SpanModel, own: str = "") -> DataFrame:
     """found: the base spans, and the further ones that the classifier accepts, by kind and start."""
-    accepted = F.filter("more", lambda s: model.probability(votes(s)) >= 0.5)
-    return spans.withColumn("found", F.concat("base", accepted))
+    accepted = F.filter(f"{own}more", lambda s: model.probability(votes(s)) >= 0.5)
+    return spans.withColumn(f"{own}found", F.concat(f"{own}base", accepted))
 
 
 def find(docs: DataFrame, keep: str = "doc_id") -> DataFrame:
@@ -228,25 +276,35 @@ def find(docs: DataFrame, keep: str = "doc_id") -> DataFrame:
     return with_found(spans, fit(spans))
 
 
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from start to end, of blocks of CUT code points each."""
+    first, last = F.floor(start / CUT).cast("int"), F.floor((end - 1) / CUT).cast("int")
+    offset = (start % CUT + 1).cast("int")
+    across = F.concat(
+        F.substring(F.get(blocks, first), offset, F.lit(CUT)), F.array_join(F.slice(blocks, first + 2, last - first - 1), ""),
+        F.substring(F.get(blocks, last), F.lit(1), ((end - 1) % CUT + 1).cast("int")),
+    )
+    return F.when(start >= end, F.lit("")).when(first == last, F.substring(F.get(blocks, first), offset, (end - start).cast("int"))).otherwise(across)
+
+
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with each found span replaced by its kind in brackets; overlapping spans go as one. Columns stay as they are."""
+    """docs with each found span replaced by its kind in brackets; overlapping spans go as one. Columns stay as they are, whatever their names."""
     columns = docs.columns
-    spans = candidates(docs.select("text"))
-    model = fit(spans)
-    out = with_found(candidates(docs), model)
-    ordered = F.array_sort(F.transform("found", lambda s: F.struct(s["start"], s["end"], s["kind"])))
+    model = fit(candidates(docs.select("text")))
+    own = "_"
+    while any(c.lower().startswith(own) for c in columns):
+        own += "_"
+    out = with_found(candidates(docs, own), model, own).withColumn(f"{own}blocks", F.when(F.size(f"{own}found") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))))
+    found, blocks = F.col(f"{own}found"), F.col(f"{own}blocks")
+    ordered = F.array_sort(F.transform(found, lambda s: F.struct(s["start"], s["end"], s["kind"])))
 
-    def step(held: Column, s: Column) -> Column:
-        fresh = s["start"] >= held["place"]
-        part = F.substring(F.col("text"), (held["place"] + 1).cast("int"), (s["start"] - held["place"]).cast("int"))
-        return F.struct(
-            F.greatest(held["place"], s["end"]).alias("place"),
-            F.when(fresh, F.concat(held["out"], part, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(held["out"]).alias("out"),
-        )
+    def step(place: Column, s: Column) -> tuple[Column, Column]:
+        fresh = F.array(_cut(blocks, place, s["start"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        return F.greatest(place, s["end"]), F.when(s["start"] >= place, fresh).otherwise(F.array().cast("array<string>"))
 
-    begin = F.struct(F.lit(0).cast("long").alias("place"), F.lit("").alias("out"))
-    clean = F.aggregate(ordered, begin, step, lambda h: F.concat(h["out"], F.substring(F.col("text"), (h["place"] + 1).cast("int"), F.length("text"))))
-    return out.withColumn("text", F.when(F.size("found") > 0, clean).otherwise(F.col("text"))).select(*columns)
+    last = F.array_max(F.transform(found, lambda s: s["end"]))
+    clean = F.concat(F.array_join(_scan(ordered, F.lit(0).cast("long"), "array<string>", step), ""), _cut(blocks, last, F.length("text").cast("long")))
+    return out.withColumn("text", F.when(F.size(found) > 0, clean).otherwise(F.col("text"))).select(*columns)
 
 
 def _listed(spans: str) -> Column:
@@ -260,4 +318,4 @@ def _count(kind: str) -> Column:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query over every document."""
     found = find(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *map(_count, BASE), F.sha2(_listed("base").cast("binary"), 256).alias("base_sha256"), _listed("found").alias("spans"))
+    return found.select("doc_id", *map(_count, BASE), F.sha2(_listed("base").cast("binary"), 256).alias("base_sha256"), _listed("found").alias("spans"), F.size("found").cast("long").alias("n_spans"))

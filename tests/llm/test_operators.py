@@ -429,6 +429,32 @@ def test_added_spans_and_redaction(spark):
     assert out == {1: "call [LOCAL_PHONE] now", 2: "password=[SECRET]", 3: "ssn [NATIONAL_ID]", 4: rows[3][1], 5: "[EMAIL] x", 6: ""}
 
 
+def test_many_matches_and_clashing_names(spark):
+    """100,000 addresses in one text, spans of several kinds across blocks, and columns called as the operator's own."""
+    many = "é" * 700 + " ".join(f"u{i}@h{i % 97}.org" for i in range(100_000)) + " end"
+    mixed = "x" * 1020 + " a@b.co +49 30 1234567 and (555) 123-4567, 10.0.0.1 " + "ö" * 3000 + " 123-45-6789 z"
+    rows = [(1, many, "b1", "m1", "f1", "k"), (2, mixed, "b2", "m2", "f2", "k"), (3, "plain", None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base string, more string, found string, _base string")
+    out = {r.doc_id: r for r in op9_pii.redacted(docs).collect()}
+    assert out[1].text == "é" * 700 + " ".join(["[EMAIL]"] * 100_000) + " end"
+    assert out[2].text == "x" * 1020 + " [EMAIL] [PHONE] and [LOCAL_PHONE], [IP] " + "ö" * 3000 + " [NATIONAL_ID] z"
+    assert [(r.base, r.more, r.found, r._base) for _, r in sorted(out.items())] == [r[2:] for r in rows]
+
+
+def test_added_spans_that_touch_base_ones_go(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for n in range(200):
+        drawn = [(bool(rng.integers(2)), int(rng.integers(0, 60 + n)), int(rng.integers(1, 12))) for _ in range(rng.integers(0, 200))]
+        spans = [("secret" if added else "email", s, s + k, "", "", "") for added, s, k in drawn]
+        rows.append((n, [s for s in spans if s[0] == "email"], sorted({s for s in spans if s[0] == "secret"})))
+    kind = "array<struct<kind:string,start:long,end:long,text:string,before:string,after:string>>"
+    found = spark.createDataFrame(rows, f"n int, base {kind}, more {kind}").select("n", op9_pii._apart(F.col("more"), F.col("base"))).collect()
+    for n, got in found:
+        base, more = rows[n][1:]
+        assert [tuple(s) for s in got] == [m for m in more if not any(m[1] < b[2] and b[1] < m[2] for b in base)]
+
+
 def test_reliabilities_follow_the_votes():
     patterns = [({"kind": "k", "regex": 1, "gazetteer": 1, "context": 1, "size": 0, "digits": 0}, 90), ({"kind": "k", "regex": 1, "gazetteer": 2, "context": 0, "size": 0, "digits": 0}, 5), ({"kind": "k", "regex": 0, "gazetteer": 0, "context": 0, "size": 1, "digits": 0}, 60)]
     model = op9_pii.fit_patterns(patterns)
