@@ -34,9 +34,9 @@ PERCENT = 75
 #: Short lists that two linked sets share at least, in percent of a set: when sets are sorted out, and when pairs are formed.
 SORTING, FORMING = 25, 6
 #: A list is led, not paired, when it has more than so many pairs of different components for each of its sets.
-LONG_LIST = 24
+LONG_LIST = 100
 #: How often lists of differences that are long themselves are led again; then all their pairs are formed.
-LEVELS = 2
+LEVELS = 1
 #: Hash functions by which sets first meet a likely partner; they only save work.
 MEETINGS = 6
 STAR = 64
@@ -400,13 +400,14 @@ def _exploded(rows: DataFrame, column: str, keep: list[str]) -> DataFrame:
 
 
 def _first_lists(sets: DataFrame) -> DataFrame:
-    """frame, token, id, n, linked, near: the inverted lists of sets over all but the most frequent shingles of each (frame 0: no leader)."""
+    """frame, token, id, n, e, h, place, linked, near: the inverted lists of sets over all but the most frequent shingles of each (frame 0: without a
+    leader a set differs from nothing in all its n shingles, so e = 3n and h = 0). place: how many of the set's lists are as long or longer."""
     own = _exploded(sets, "tokens", ["id", "n"])
     many = own.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     order = Window.partitionBy("id").orderBy(F.col("many").desc(), "token")
     skipped = F.ceil(F.col("n") * PERCENT / 100) - F.ceil(F.col("n") * FORMING / 100)
     ranked = own.join(many, "token").withColumn("place", F.row_number().over(order))
-    return ranked.where(F.col("place") > skipped).select(F.lit(0).cast("long").alias("frame"), "token", "id", "n", F.lit(False).alias("linked"), F.lit(True).alias("near"))
+    return ranked.where(F.col("place") > skipped).select(F.lit(0).cast("long").alias("frame"), "token", "id", "n", (3 * F.col("n")).alias("e"), F.lit(0).cast("long").alias("h"), "place", F.lit(False).alias("linked"), F.lit(True).alias("near"))
 
 
 def _difference_lists(framed: DataFrame, sets: DataFrame) -> DataFrame:
@@ -416,12 +417,12 @@ def _difference_lists(framed: DataFrame, sets: DataFrame) -> DataFrame:
     rows = framed.join(wanted, "b", "left_semi").withColumn("size", F.octet_length("apart") / 8)
     unlike = F.floor((F.col("e") + 1 + 6) / 7)
     rows = rows.withColumn("like", unlike).withColumn("least", F.when(F.col("linked"), unlike).otherwise(F.greatest(F.lit(1), F.ceil((F.col("e") - F.col("h")) / 7))))
-    own = _exploded(rows.where("size >= least"), "apart", ["a", "b", "linked", "like", "least"])
+    own = _exploded(rows.where("size >= least"), "apart", ["a", "b", "e", "h", "linked", "like", "least"])
     many = own.groupBy("b", "token").agg(F.count(F.lit(1)).alias("many"), F.max(~F.col("linked")).alias("any")).where("many > 1 and any")
     order = Window.partitionBy("a", "b").orderBy(F.col("many").desc(), "token")
     ranked = own.join(many, ["b", "token"]).withColumn("place", F.row_number().over(order)).where("place >= least")
-    found = ranked.select(F.col("b").alias("frame"), "token", F.col("a").alias("id"), "linked", (F.col("place") >= F.col("like")).alias("near"))
-    return found.join(sets.select("id", "n"), "id").select("frame", "token", "id", "n", "linked", "near")
+    found = ranked.select(F.col("b").alias("frame"), "token", F.col("a").alias("id"), "e", "h", "place", "linked", (F.col("place") >= F.col("like")).alias("near"))
+    return found.join(sets.select("id", "n"), "id").select("frame", "token", "id", "n", "e", "h", "place", "linked", "near")
 
 
 def _split(lists: DataFrame, groups: DataFrame) -> DataFrame:
@@ -437,12 +438,14 @@ def _split(lists: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _pairs(lists: DataFrame, groups: DataFrame) -> DataFrame:
-    """frame, a, b, times: sets of different components that meet in lists, and how often. All pairs of a list, which is short."""
+    """Pairs (a, b) of sets of different components that meet in lists often enough. In the first list that two sets share, those as long or longer
+    of either bound how many more they can share: pairs for which that is too little aren't formed."""
     rows = lists.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    left, right = (rows.select("frame", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "linked", "near", "component"))) for s in "ab")
+    left, right = (rows.select("frame", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "e", "h", "place", "linked", "near", "component"))) for s in "ab")
     fits = (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a"))
     meets = (~F.col("linked_a") & ~F.col("linked_b") & F.col("near_a") & F.col("near_b")) | (F.col("linked_a") != F.col("linked_b"))
-    met = left.join(right, ["frame", "token"]).where((F.col("component_a") < F.col("component_b")) & fits & meets)
+    enough = 7 * F.least("place_a", "place_b") >= F.col("e_a") + F.col("e_b") - F.col("h_a")
+    met = left.join(right, ["frame", "token"]).where((F.col("component_a") < F.col("component_b")) & fits & meets & enough)
     met = met.groupBy("frame", F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("times"), F.least(F.first("n_a"), F.first("n_b")).alias("n"))
     return met.where((F.col("frame") != 0) | (F.col("times") >= F.ceil(F.col("n") * FORMING / 100))).select("a", "b")
 

@@ -370,7 +370,7 @@ def test_long_lists_and_chains(spark, monkeypatch):
 
 
 def test_hot_groups_by_leaders(spark, monkeypatch):
-    """Edited copies of two texts that share half of their words, from next to nothing changed to too much: lists are led, then led again."""
+    """Edited copies of two texts that share half of their words, from next to nothing changed to too much: long lists are led."""
     monkeypatch.setattr(op8_near_duplicates, "LONG_LIST", 0.5)
     monkeypatch.setattr(op8_near_duplicates, "STAR", 7)
     rng = np.random.default_rng(11)
