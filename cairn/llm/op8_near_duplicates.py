@@ -438,16 +438,17 @@ def _split(lists: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _pairs(lists: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets of different components that meet in lists often enough. In the first list that two sets share, those as long or longer
-    of either bound how many more they can share: pairs for which that is too little aren't formed."""
+    """Pairs (a, b) of sets of different components that meet in lists often enough. In the first lists that two sets share, as many as they must meet in, those as
+    long or longer of either bound how many more they can share: meetings for which that is too little aren't formed."""
     rows = lists.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     left, right = (rows.select("frame", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "e", "h", "place", "linked", "near", "component"))) for s in "ab")
     fits = (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a"))
     meets = (~F.col("linked_a") & ~F.col("linked_b") & F.col("near_a") & F.col("near_b")) | (F.col("linked_a") != F.col("linked_b"))
-    enough = 7 * F.least("place_a", "place_b") >= F.col("e_a") + F.col("e_b") - F.col("h_a")
+    times = F.when(F.col("frame") == 0, F.ceil(F.least("n_a", "n_b") * FORMING / 100)).otherwise(1)
+    enough = 7 * (F.least("place_a", "place_b") + times - 1) >= F.col("e_a") + F.col("e_b") - F.col("h_a")
     met = left.join(right, ["frame", "token"]).where((F.col("component_a") < F.col("component_b")) & fits & meets & enough)
-    met = met.groupBy("frame", F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("times"), F.least(F.first("n_a"), F.first("n_b")).alias("n"))
-    return met.where((F.col("frame") != 0) | (F.col("times") >= F.ceil(F.col("n") * FORMING / 100))).select("a", "b")
+    met = met.groupBy("frame", F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.first(times).alias("times"))
+    return met.where("met >= times").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -455,6 +456,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _found(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def _merged(sets: DataFrame, groups: DataFrame, bound: DataFrame) -> DataFrame:
+    """groups (id, component) of all sets after links (a, b) to leaders: what is linked with one leader's component becomes one with it. Links of links
+    are left for the end, as components only save work until then."""
+    own = written(sets.select("id").join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "groups")
+    of = lambda c: own.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
+    met = written(bound.join(of("a"), "a").join(of("b"), "b").where("c_a <> c_b").select("c_a", "c_b").distinct(), "met")
+    low = met.groupBy("c_b").agg(F.least(F.min("c_a"), F.col("c_b")).alias("low"))
+    to = met.join(low, "c_b").select(F.col("c_a").alias("component"), "low").unionByName(low.select(F.col("c_b").alias("component"), "low"))
+    to = to.groupBy("component").agg(F.min("low").alias("low"))
+    return own.join(to, "component", "left").select("id", F.coalesce("low", "component").alias("component"))
+
+
 def _links(sets: DataFrame) -> DataFrame:
     """Links (a, b) between ids that give all components of the sets."""
     met = sets.select("id", F.posexplode("met").alias("kind", "key"))
@@ -462,7 +475,10 @@ def _links(sets: DataFrame) -> DataFrame:
     votes = met.join(hubs, ["kind", "key"]).where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("id").agg(F.max(F.struct("votes", "hub")).alias("best")).select(F.col("id").alias("a"), F.col("best.hub").alias("b"))
     links = written(compared(sets, best).where("linked").select("a", "b"), "links")
-    groups = written(components(links), "groups")
+    # A hub has a smaller id than what is bound to it: what a hub is bound to in turn, seen twice over, is a component good enough to save work.
+    up = links.select(F.col("a").alias("b"), F.col("b").alias("top"))
+    twice = links.join(up, "b", "left").select("a", F.coalesce("top", "b").alias("b")).join(up, "b", "left")
+    groups = written(twice.select(F.col("a").alias("id"), F.coalesce("top", "b").alias("component")), "groups")
     popular = written(links.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("bound")), "popular")
     lists, short = written(_split(_first_lists(sets), groups), "lists"), []
     for level in range(LEVELS + 1):
@@ -473,8 +489,8 @@ def _links(sets: DataFrame) -> DataFrame:
         leaders = long.join(popular, "id", "left").groupBy("frame", "token").agg(F.max(F.struct(F.coalesce("bound", F.lit(0)).alias("bound"), F.xxhash64("id", F.lit(level)).alias("by"), "id")).alias("leader"))
         led = long.join(leaders, ["frame", "token"]).select(F.col("id").alias("a"), F.col("leader.id").alias("b")).where("a <> b").distinct()
         framed = written(compared(sets, led, differences=True), "framed")
-        links = written(links.unionByName(framed.where("linked").select("a", "b")), "links")
-        groups = written(components(links), "groups")
+        bound = framed.where("linked").select("a", "b")
+        links, groups = links.unionByName(bound), written(_merged(sets, groups, bound), "groups")
         lists = written(_split(_difference_lists(framed, sets), groups), "lists")
     pairs = None
     for part in short:
