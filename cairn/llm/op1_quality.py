@@ -134,7 +134,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rat
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = FIT_ROWS) -> Trees:
     """Trees fitted on at most `most` labelled rows, those with the smallest hash of doc_id; their statistics are
     computed where the documents are, and only these come to the driver. Rows without a label or doc_id are left
-    out; a document that occurs or is labelled more than once counts as often. Without labels of both kinds every
+    out; a document that occurs or is labelled more than once counts as often, within `most` rows in all. Without labels of both kinds every
     document scores the share of label 1 (a half without any)."""
     spark = docs.sparkSession
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("label")).where("doc_id is not null and label is not null")
@@ -146,6 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "label", "features"])
 
     found = doc_texts(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, label double, features array<double>")
+    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "features").limit(most)
     rows = sorted((r.doc_id, r.label, r.features) for r in found.collect())
     return fit_trees(np.array([r[2] for r in rows]).reshape(-1, N_FEATURES), np.array([r[1] for r in rows]))
 

@@ -38,7 +38,7 @@ class EliasFano:
     """A non-decreasing sequence of n whole numbers from 0 to u in about n (2 + log2(u / n)) bits.
 
     The low bits of each number lie packed; the high bits are unary: number i sets bit (high + i). Every 256th set
-    bit's place is kept, so select(i) scans a bounded stretch and needs no table of offsets.
+    bit's place is kept in 32 bits (a block holds some 3 n bits at most, far fewer than 2^32), so select(i) scans a bounded stretch and needs no table of offsets.
     """
 
     def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, samples: np.ndarray):
@@ -54,7 +54,7 @@ class EliasFano:
         places = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         marks = np.zeros((top >> bits) + n + 1, np.uint8)
         marks[places] = 1
-        return cls(n, bits, low, np.packbits(marks, bitorder="little").tobytes(), places[::_EVERY].astype("<u8"))
+        return cls(n, bits, low, np.packbits(marks, bitorder="little").tobytes(), places[::_EVERY].astype("<u4"))
 
     def to_bytes(self) -> bytes:
         return struct.pack("<QBQQQ", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples)) + self.low + self.high + self.samples.tobytes()
@@ -63,7 +63,7 @@ class EliasFano:
     def from_bytes(cls, raw: bytes) -> EliasFano:
         n, bits, a, b, c = struct.unpack_from("<QBQQQ", raw)
         at = struct.calcsize("<QBQQQ")
-        return cls(n, bits, raw[at : at + a], raw[at + a : at + a + b], np.frombuffer(raw, "<u8", c, at + a + b))
+        return cls(n, bits, raw[at : at + a], raw[at + a : at + a + b], np.frombuffer(raw, "<u4", c, at + a + b))
 
     def _low(self, i: int) -> int:
         at = i * self.low_bits
@@ -159,7 +159,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             yield flush()
 
     ranged = texts.repartitionByRange(int(parts), "doc_id").sortWithinPartitions("doc_id")
-    ranged.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value")).write.text(path)
+    ranged.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value")).write.option("compression", "none").option("lineSep", "\n").text(path)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -174,7 +174,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
         for batch in batches:
             for raw in batch.column(0):
                 for shard, block, names, ends, ids in unpack_blocks(raw.as_py()):
-                    end = ends.all()
+                    end = np.fromiter(map(ends.select, range(len(names))), np.int64, len(names))
                     start = np.concatenate([[0], end[:-1]])
                     wide = ids.astype("<u4")
                     crc = [zlib.crc32(wide[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]

@@ -148,18 +148,18 @@ FIELDS = {
 _SPARK = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def encode_decode(docs: DataFrame, path: str, fields: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, fields: tuple[str, ...] = ("n_tokens", "ids", "decoded"), slice_bytes: int = _SLICE) -> DataFrame:
     """doc_id and the fields asked for: n_tokens, ids, decoded (the text got back from the ids), and the SHA-256 of
     ids (decimal, joined by commas) and of the decoded text.
 
     A map over the documents without a shuffle: repeated rows stay, an empty table gives none, null text counts as
     empty (no ids), a null doc_id stays null, and columns beyond doc_id and text are left out. A very long text is
-    encoded whole; the queue keeps that at n log n.
+    encoded whole; the queue keeps that at n log n. slice_bytes: about how much text a task encodes at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, encoder = _encoder(path)
-        for batch in slices(batches, 1, _SLICE):
+        for batch in slices(batches, 1, slice_bytes):
             made: dict[str, list] = {f: [] for f in fields if f != "ids"}
             arrays = encoder(batch.column(1))
             for ids_array in arrays:
@@ -177,7 +177,9 @@ def encode_decode(docs: DataFrame, path: str, fields: tuple[str, ...] = ("n_toke
             columns = {f: pa.array(v, FIELDS[f]) for f, v in made.items()}
             if "ids" in fields:
                 ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-                columns["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(arrays).astype(np.int32)))
+                flat = np.concatenate(arrays).view(np.int32)
+                del arrays
+                columns["ids"] = pa.ListArray.from_arrays(ends, pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(columns[f] for f in fields)], ["doc_id", *fields])
 
     return doc_texts(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{f} {_SPARK[f]}" for f in fields))

@@ -1,6 +1,6 @@
 """Homomorphic multiset hash of a document's paragraphs.
 
-A paragraph is a line of the text. It adds to a vector of 16-bit lanes, modulo 2^16: to the first DENSE lanes an
+A paragraph is a line of the text. It adds to a vector of 32-bit lanes, modulo 2^32: to the first DENSE lanes an
 extendable-output hash of its bytes, and to the SKETCH lanes after them +1 or -1 for each of its word triples, in the
 lane that the triple's hash names. Adding is commutative and can be undone, so a fingerprint doesn't depend on the
 order of paragraphs, and paragraphs can be put in or taken out without the rest of the text. The dense lanes decide
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from cairn.llm.shared import doc_texts, slices, table
 
-DENSE, SKETCH = 64, 256
-MOST_RANGES = 10_000
+DENSE, SKETCH = 32, 256
+MOST_RANGES = 100_000
 RANGE_BYTES = 8 << 20
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -30,11 +30,11 @@ _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(
 def paragraph_vector(paragraphs: Iterable[str]) -> np.ndarray:
     """Sum of the vectors of the paragraphs; the empty one counts too."""
     raw = [p.encode() for p in paragraphs]
-    out = np.zeros(DENSE + SKETCH, np.uint16)
+    out = np.zeros(DENSE + SKETCH, np.uint32)
     if not raw:
         return out
-    digests = b"".join([hashlib.shake_128(p).digest(2 * DENSE) for p in raw])
-    out[:DENSE] = np.frombuffer(digests, "<u2").reshape(-1, DENSE).sum(axis=0, dtype=np.uint16)
+    digests = b"".join([hashlib.shake_128(p).digest(4 * DENSE) for p in raw])
+    out[:DENSE] = np.frombuffer(digests, "<u4").reshape(-1, DENSE).sum(axis=0, dtype=np.uint32)
     words = [p.split() for p in raw]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     total = int(sizes.sum())
@@ -53,7 +53,7 @@ def paragraph_vector(paragraphs: Iterable[str]) -> np.ndarray:
     triple ^= triple >> np.uint64(32)
     lane = (triple % np.uint64(SKETCH)).astype(np.int64)
     sign = ((triple >> np.uint64(63)).astype(np.float64)) * 2 - 1
-    out[DENSE:] = np.bincount(lane, sign, SKETCH).astype(np.int64).astype(np.uint16)
+    out[DENSE:] = np.bincount(lane, sign, SKETCH).astype(np.int64).astype(np.uint32)
     return out
 
 
@@ -62,11 +62,11 @@ def text_vector(text: str) -> np.ndarray:
 
 
 def to_hex(vector: np.ndarray) -> str:
-    return vector.astype(">u2").tobytes().hex()
+    return vector.astype(">u4").tobytes().hex()
 
 
 def from_hex(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint), ">u2").astype(np.uint16)
+    return np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint32)
 
 
 def changed(fingerprint: str, added: Iterable[str] = (), removed: Iterable[str] = ()) -> str:
@@ -75,10 +75,10 @@ def changed(fingerprint: str, added: Iterable[str] = (), removed: Iterable[str]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """0 to 1; 1 for equal fingerprints."""
+    """0 to 1; 1 for equal fingerprints. A lane holds up to 2^31 triples of one kind before it wraps."""
     if (a == b).all():
         return 1.0
-    x, y = a[DENSE:].astype(np.int16).astype(np.float64), b[DENSE:].astype(np.int16).astype(np.float64)
+    x, y = a[DENSE:].astype(np.int32).astype(np.float64), b[DENSE:].astype(np.int32).astype(np.float64)
     norm = float(np.sqrt((x @ x) * (y @ y)))
     return min(1.0, max(0.0, float(x @ y) / norm)) if norm else 0.0
 

@@ -307,6 +307,24 @@ def test_language_scores(docs, empty, pairs, monkeypatch):
     assert op7_ctw.scores(empty).count() == 0
 
 
+def test_likeness_of_repetitive_and_plain_texts():
+    """Near copies of one phrase repeated past 2^15 times, and the sketch's cosine against that of the exact counts of word triples."""
+    long, half = (op6_fingerprint.text_vector("a b c " * n) for n in (40_000, 20_000))
+    assert op6_fingerprint.likeness(long, half) > 0.99
+    rng = np.random.default_rng(6)
+
+    def exact(a, b):
+        x, y = (collections.Counter(zip(t.split(), t.split()[1:], t.split()[2:], strict=False)) for t in (a, b))
+        return sum(n * y[k] for k, n in x.items()) / math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values()))
+
+    words = [f"w{i}" for i in range(200)]
+    for share in (0.0, 0.3, 0.6, 0.9, 1.0):
+        a = list(rng.choice(words, 600))
+        b = a[: int(share * 600)] + list(rng.choice(words, 600 - int(share * 600)))
+        a, b = " ".join(a), " ".join(b)
+        assert abs(op6_fingerprint.likeness(op6_fingerprint.text_vector(a), op6_fingerprint.text_vector(b)) - exact(a, b)) < 0.25
+
+
 def brute_components(pairs):
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t.translate({c: c + 32 for c in range(65, 91)}))
     sets = []
