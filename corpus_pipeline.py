@@ -39,7 +39,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the decoded text's SHA-256, of every row."""
-    return op4_bpe.encode_decode(docs, public_tokenizers.path(TOKENIZER_FILE), ("n_tokens", "ids", "decoded_sha256"))
+    return op4_bpe.encode_decode(docs, public_tokenizers.path(TOKENIZER_FILE), ("n_tokens", "ids", "decoded_sha256"), slice_bytes=1 << 20)
 
 
 STAGES: list[tuple[str, Stage]] = [
