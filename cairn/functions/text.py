@@ -19,6 +19,16 @@ def decomposed_ascii(v: pd.Series) -> pd.Series:
     return v.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode())
 
 
+#: Letters, by code point below 0x3000, whose compatibility decomposition leaves one ASCII character.
+_LETTERS = [(chr(i), a) for i in range(0x80, 0x3000) if len(a := unicodedata.normalize("NFKD", chr(i)).encode("ascii", "ignore").decode()) == 1]
+
+
+def plain_letters(v: Column) -> Column:
+    """v without marks and without what isn't ASCII after that. In the JVM: only characters that stand for several letters (ligatures, fractions) differ from
+    decomposed_ascii, as these go."""
+    return F.regexp_replace(F.translate(v, "".join(c for c, _ in _LETTERS), "".join(a for _, a in _LETTERS)), r"[^\x00-\x7F]", "")
+
+
 def ascii_slug(v: Column) -> Column:
     """Slug of a text that is ASCII already; anything else counts as a separator."""
     s = F.regexp_replace(F.regexp_replace(F.lower(v), "[^a-z0-9]+", "-"), "^-+|-+$", "")
@@ -48,7 +58,7 @@ def has_any(v: Column, words: tuple[str, ...]) -> Column:
 
 def name_words(v: Column) -> Column:
     """Distinct words of a name for likeness: plural s off words of five letters and more, then without stop words."""
-    words = F.split(ascii_slug(v), "-")
+    words = F.split(ascii_slug(plain_letters(v)), "-")
     short = F.transform(words, lambda w: F.when((F.length(w) > 4) & w.endswith("s"), F.regexp_replace(w, "s$", "")).otherwise(w))
     return F.array_distinct(F.filter(short, lambda w: ~w.isin(*vocab.NAME_STOP_WORDS) & (w != "")))
 
@@ -62,7 +72,7 @@ def jaccard(a: Column, b: Column) -> Column:
 def historic_name(v: Column, relaxed: bool = False) -> Column:
     """A register name in a form that can be compared: words unified, filler dropped."""
     plain = F.replace(F.regexp_replace(F.lower(v), "[’']s\\b", "s"), F.lit("&"), F.lit(" and "))
-    words = F.split(ascii_slug(plain), "-")
+    words = F.split(ascii_slug(plain_letters(plain)), "-")
     same = F.create_map(*chain.from_iterable((F.lit(k), F.lit(w)) for k, w in vocab.SAME_WORDS.items()))
     words = F.transform(words, lambda w: F.coalesce(same[w], w))
     drop = vocab.DROP_WORDS + (vocab.RELAXED_DROP_WORDS if relaxed else ())

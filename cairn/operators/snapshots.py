@@ -17,9 +17,14 @@ def versions(snapshots: DataFrame) -> DataFrame:
 
 
 def current(snapshots: DataFrame) -> DataFrame:
-    """The latest change of each record, by a maximum that is taken before rows move."""
-    latest = versions(snapshots).groupBy(*KEY).agg(F.max_by(F.struct("fetched_at", "seq", "content_hash"), F.struct("fetched_at", "seq")).alias("last"))
-    return latest.select(*KEY, "last.*")
+    """The latest change of each record: the earliest row with the latest content after the last row with another. Maxima and minima by record, taken before
+    rows move; no window over a record's rows."""
+    at = F.struct("fetched_at", "seq")
+    last = snapshots.groupBy(*KEY).agg(F.max_by("content_hash", at).alias("latest"))
+    rows = snapshots.join(last, KEY)
+    other = rows.groupBy(*KEY).agg(F.max(F.when(F.col("content_hash") != F.col("latest"), at)).alias("other"))
+    after = rows.where("content_hash = latest").join(other, KEY).where(F.col("other").isNull() | (at > F.col("other")))
+    return after.groupBy(*KEY).agg(F.min(F.struct("fetched_at", "seq", "content_hash")).alias("first")).select(*KEY, "first.*")
 
 
 def merged(stored: DataFrame, batch: DataFrame) -> DataFrame:

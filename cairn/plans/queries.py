@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import geo, text, vocab
 from cairn.functions.rounding import py_round
-from cairn.operators import classify, editorial, evidence, explain, matching, scoring, snapshots, themes
+from cairn.operators import classify, details, editorial, evidence, explain, matching, scoring, snapshots, themes
 from cairn.plans import oracle, views
 from cairn.plans.oracle import r, sql
 from cairn.sources import readers
@@ -314,7 +314,7 @@ def editorial_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("""SELECT 'poi' AS name, count(*) AS n FROM poi0 WHERE city <> 'region2' UNION ALL SELECT 'evidence', count(*) FROM ev WHERE poi_id NOT IN (SELECT poi_id FROM poi0 WHERE city = 'region2')
 UNION ALL SELECT 'editorial', count(*) FROM ed WHERE poi_id NOT IN (SELECT poi_id FROM poi0 WHERE city = 'region2')""", "poi0", "ev", "ed"))
 def region_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {"poi": views.POI, "evidence": views.chosen_evidence.get(), "editorial": views.EDITORIAL}
+    tables = {"poi": views.POI, "evidence": views.EVIDENCE, "editorial": views.EDITORIAL}
     left = editorial.without_region({n: views.view(spark, sf_dir, v) for n, v in tables.items()}, "region2")
     out = None
     for n, t in left.items():
@@ -479,15 +479,9 @@ def seed_alias_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editorial.new_aliases(seeds, poi, owned).select("poi_id", "normalized_alias")
 
 
-@query(sql("""SELECT w.poi_id, lower(w.canonical_name) AS normalized_alias, o.poi_id AS owner FROM poi0 w JOIN poi0 o ON lower(w.canonical_name) = lower(o.canonical_name) AND o.poi_id <> w.poi_id WHERE w.poi_id % 10 = 1 AND o.poi_id % 50 = 2""", "poi0"))
-def alias_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = views.view(spark, sf_dir, views.POI).select("poi_id", F.lower("canonical_name").alias("normalized_alias"))
-    return editorial.alias_conflicts(names.where("poi_id % 10 = 1"), names.where("poi_id % 50 = 2"))
-
-
 @query(sql("""SELECT w.poi_id, lower(w.canonical_name) AS normalized_alias, min(o.poi_id) AS owner, count(*) AS others FROM poi0 w JOIN poi0 o ON lower(w.canonical_name) = lower(o.canonical_name) AND o.poi_id <> w.poi_id GROUP BY 1, 2""", "poi0"))
-def alias_conflict_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every place's name against all owners."""
+def alias_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place's name against all owners: the first other one, and how many there are."""
     names = views.view(spark, sf_dir, views.POI).select("poi_id", F.lower("canonical_name").alias("normalized_alias"))
     return editorial.first_conflicts(names, names)
 
@@ -606,19 +600,68 @@ def resolved_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editorial.official_evidence(rows)
 
 
-def _over_all_evidence(name: str) -> None:
-    """Registers a query once more, with every row of lineitem as evidence."""
+_LISTED = "concat(CAST(CAST(l_shipdate AS DATE) AS VARCHAR), ':', CAST(l_suppkey AS VARCHAR), ':', l_returnflag, ':', coalesce(s_name, ''))"
+
+
+@query(f"""SELECT p_partkey AS poi_id, coalesce(n, 0) AS n, coalesce(listed, '') AS evidence, CASE WHEN lower(p_brand) < lower(p_name) OR p_partkey % 2 = 0 THEN concat(p_brand, '|', p_name) ELSE concat(p_name, '|', p_brand) END AS aliases
+FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, string_agg({_LISTED}, '|' ORDER BY CAST(l_shipdate AS DATE) DESC, l_suppkey DESC, l_returnflag DESC) AS listed FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1) e ON l_partkey = p_partkey""")
+def place_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place with all its evidence, the latest first, and its aliases."""
+    part = _table(spark, sf_dir, "part")
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("poi_id"), F.col("l_suppkey").alias("source_id"), F.col("l_returnflag").alias("evidence_type"), F.to_date("l_shipdate").alias("observed_at"))
+    sources = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("source_name"))
+    aliases = part.select(F.col("p_partkey").alias("poi_id"), F.col("p_name").alias("alias_name"), F.lit(False).alias("is_preferred")).unionByName(part.select(F.col("p_partkey").alias("poi_id"), F.col("p_brand").alias("alias_name"), (F.col("p_partkey") % 2 == 0).alias("is_preferred")))
+    found = details.place_evidence(part.select(F.col("p_partkey").alias("poi_id")), rows, sources, aliases)
+    item = lambda e: F.concat_ws(":", e["observed_at"].cast("string"), e["source_id"].cast("string"), e["evidence_type"], F.coalesce(e["source_name"], F.lit("")))
+    return found.select("poi_id", F.size("evidence").cast("long").alias("n"), F.array_join(F.transform("evidence", item), "|").alias("evidence"), F.array_join("aliases", "|").alias("aliases"))
+
+
+@query(sql(f"""SELECT poi_id, string_agg(concat(theme, ':', effective_status, ':', coalesce(refs, '')), '|' ORDER BY theme <> 'water', theme) AS themes FROM (
+SELECT e.poi_id, e.theme, e.effective_status, l.refs FROM ({_EFFECTIVE}) e LEFT JOIN (SELECT poi_id, theme, string_agg(concat(CAST(evidence_id AS VARCHAR), '/', evidence_type), ',' ORDER BY evidence_id) AS refs FROM (
+SELECT poi_id, evidence_id, evidence_type, CASE WHEN contains(haystack, 'Railyard') THEN 'rail' ELSE 'water' END AS theme FROM ev WHERE haystack <> 'City layer') GROUP BY 1, 2) l ON l.poi_id = e.poi_id AND l.theme = e.theme
+WHERE e.effective_status NOT IN ('suppressed', 'none')) GROUP BY 1""", "mem", "dec", "ev"))
+def theme_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The themes of every place with references to their evidence."""
+    found = themes.effective(views.view(spark, sf_dir, views.MEMBERSHIPS), views.view(spark, sf_dir, views.DECISIONS))
+    rows = views.evidence(spark, sf_dir)
+    links = rows.where("haystack <> 'City layer'").select("poi_id", F.when(F.contains("haystack", F.lit("Railyard")), "rail").otherwise("water").alias("theme"), "evidence_id")
+    refs = lambda t: F.array_join(F.transform(t["refs"], lambda e: F.concat_ws("/", e["evidence_id"].cast("string"), e["evidence_type"])), ",")
+    return details.theme_items(found, links, rows).select("poi_id", F.array_join(F.transform("themes", lambda t: F.concat_ws(":", t["theme"], t["effective_status"], refs(t))), "|").alias("themes"))
+
+
+@query("""SELECT p_partkey AS poi_id, CASE WHEN w IS NULL THEN 'skipped' WHEN n_nationkey IS NULL THEN 'fetch_error' ELSE 'enriched' END AS outcome,
+CASE WHEN n_nationkey IS NOT NULL THEN coalesce(hint, n_name, p_name) WHEN w IS NULL THEN coalesce(p_name, hint) ELSE p_name END AS wikipedia_title,
+CASE WHEN n_nationkey IS NOT NULL AND p_partkey % 3 = 0 THEN n_name ELSE d END AS short_description, CASE WHEN n_nationkey IS NOT NULL THEN 0.9 ELSE CAST(0.5 AS DOUBLE) END AS entity_type_confidence
+FROM (SELECT *, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey % 40 END AS w, CASE WHEN p_partkey % 5 = 0 THEN p_brand END AS hint, CASE WHEN p_partkey % 3 <> 0 THEN p_type END AS d FROM part) LEFT JOIN nation ON n_nationkey = w""")
+def entity_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place with what its entity adds; some have no entity's id, some one that isn't found."""
+    key = F.col("p_partkey")
+    places = _table(spark, sf_dir, "part").select(
+        key.alias("poi_id"), F.when(key % 7 != 0, F.concat(F.lit("Q"), (key % 40).cast("string"))).alias("wikidata_id"), F.col("p_name").alias("wikipedia_title"), F.when(key % 5 == 0, F.col("p_brand")).alias("title_hint"),
+        F.when(key % 3 != 0, F.col("p_type")).alias("short_description"), F.lit("museum").alias("normalized_subcategory"), F.lit(0.5).alias("entity_type_confidence"), F.lit(0.0).alias("description_quality"),
+    )
+    entities = _table(spark, sf_dir, "nation").select(F.concat(F.lit("Q"), F.col("n_nationkey").cast("string")).alias("entity_id"), F.col("n_name").alias("description"), F.col("n_name").alias("title"))
+    return details.enriched(places, entities).select("poi_id", "outcome", "wikipedia_title", "short_description", "entity_type_confidence")
+
+
+_TAGS_JSON = "concat('{', array_to_string(list_filter([" + ", ".join(f"""CASE WHEN tag_{k} IS NOT NULL THEN concat('"{k}":"', tag_{k}, '"') END""" for k in ("historic", "man_made", "natural", "railway", "tourism", "waterway")) + "], lambda t: t IS NOT NULL), ','), '}')"
+
+
+@query(sql(f"SELECT poi_id, sha256({_TAGS_JSON}) AS payload_hash FROM poi0", "poi0"))
+def payload_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.places(spark, sf_dir, signals=False).select("poi_id", details.payload_hash(F.col("tags")).alias("payload_hash"))
 
-    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-        token = views.chosen_evidence.set(views.ALL_EVIDENCE)
-        try:
-            return QUERIES[name](spark, sf_dir)
-        finally:
-            views.chosen_evidence.reset(token)
 
-    whole.__name__ = f"{name}_whole"
-    query(ORACLE_SQL[name].replace(views.EVIDENCE, views.ALL_EVIDENCE))(whole)
+@query("""SELECT o_orderpriority AS suite, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, count(passed) AS run, bool_and(passed) AS all_passed
+FROM (SELECT o_orderpriority, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS passed FROM orders) GROUP BY 1""")
+def suite_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks by suite; those without an expectation count as neither passed nor failed."""
+    status = F.col("o_orderstatus")
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("suite"), F.when(status == "F", True).when(status == "O", False).alias("passed"))
+    return details.outcome_counts(rows, "suite")
 
 
+# Evidence is every row of lineitem: what was registered apart for that is the same query.
 for _name in ("nearby_topk", "route_topk", "nonspatial_components", "intent_guardrail", "theme_filtered_topk", "water_theme", "membership_evidence_diff", "evidence_rollup", "signal_recompute", "child_collect", "region_reset", "rail_anchor", "why_reasons", "badges", "case_expectations"):
-    _over_all_evidence(_name)
+    QUERIES[f"{_name}_whole"], ORACLE_SQL[f"{_name}_whole"] = QUERIES[_name], ORACLE_SQL[_name]
+QUERIES["alias_conflict_whole"], ORACLE_SQL["alias_conflict_whole"] = QUERIES["alias_conflict"], ORACLE_SQL["alias_conflict"]

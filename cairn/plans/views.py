@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,14 +42,12 @@ FROM (SELECT p_partkey, p_size,
 """
 EVIDENCE = """
 SELECT l_orderkey * 10 + l_linenumber AS evidence_id, l_partkey AS poi_id,
-  CASE (l_orderkey * 7 + l_linenumber) % 6 WHEN 0 THEN 'historic_building_status' WHEN 1 THEN 'district_membership' WHEN 2 THEN 'boundary_membership'
-    WHEN 3 THEN 'institution_membership' WHEN 4 THEN 'historic_designation' ELSE 'state_historic_designation' END AS evidence_type,
+  CASE (l_orderkey * 7 + l_linenumber) % 60 WHEN 0 THEN 'historic_building_status' WHEN 1 THEN 'district_membership' WHEN 2 THEN 'boundary_membership'
+    WHEN 3 THEN 'institution_membership' WHEN 4 THEN 'historic_designation' WHEN 5 THEN 'state_historic_designation' ELSE 'survey_note' END AS evidence_type,
   CASE WHEN l_returnflag = 'R' THEN 'District' ELSE 'Building' END AS property_category,
   CASE l_suppkey % 7 WHEN 0 THEN 'Acequia Madre' WHEN 1 THEN 'Railyard boundary' WHEN 2 THEN 'River Trail' ELSE 'City layer' END AS haystack
-FROM lineitem WHERE l_orderkey % 11 = 0
+FROM lineitem
 """
-#: The same over every row of lineitem.
-ALL_EVIDENCE = EVIDENCE.replace(" WHERE l_orderkey % 11 = 0", "")
 EDITORIAL = """
 SELECT c_custkey AS poi_id, CASE c_mktsegment WHEN 'MACHINERY' THEN 'featured' WHEN 'BUILDING' THEN 'approved' ELSE 'draft' END AS editorial_status,
   CAST(c_custkey % 9 - 2 AS INT) AS boost, CASE WHEN c_custkey % 13 = 0 THEN c_name WHEN c_custkey % 13 = 1 THEN '' ELSE NULL END AS title
@@ -85,12 +82,8 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(text, **frames)
 
 
-#: The evidence view that queries are built on.
-chosen_evidence: ContextVar[str] = ContextVar("chosen_evidence", default=EVIDENCE)
-
-
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, chosen_evidence.get())
+    return view(spark, sf_dir, EVIDENCE)
 
 
 def places(spark: SparkSession, sf_dir: str, signals: bool = True) -> DataFrame:

@@ -26,4 +26,6 @@ def report(title: str, rows: DataFrame, most: int = 500) -> str:
 
 
 def report_json(rows: DataFrame, most: int = 500) -> str:
-    return json.dumps([r.asDict(recursive=True) for r in rows.limit(most).collect()], default=str, indent=2, sort_keys=True)
+    """A small result as JSON: rows, and whether there are more than the `most` that reach the driver."""
+    found = [r.asDict(recursive=True) for r in rows.limit(most + 1).collect()]
+    return json.dumps({"rows": found[:most], "more": len(found) > most}, default=str, indent=2, sort_keys=True)

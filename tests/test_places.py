@@ -1,5 +1,6 @@
 """Elements, classification, geometry, ranking, themes, matching, snapshots on small inputs of our own."""
 
+import hashlib
 import io
 import json
 import math
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from cairn.engine import case_result
 from cairn.functions import geo, text
 from cairn.functions.rounding import py_round
-from cairn.operators import classify, editorial, evidence, matching, scoring, snapshots, themes
+from cairn.operators import classify, details, editorial, evidence, matching, scoring, snapshots, themes
 from cairn.sources import readers, writers
 
 
@@ -299,3 +300,21 @@ def test_holes_and_multipolygons(spark):
     places = rows(spark, "poi_id int, x double, y double", (1, 0.5, 0.5), (2, 2.0, 2.0), (3, 1.0, 2.0), (4, 11.0, 1.0), (5, 13.0, 1.0), (6, 12.0, 1.0))
     inside = layers.from_polygons(readers.polygon_features(found), places, "city_gis_plaza_park", 1.0).collect()
     assert sorted((r.label, r.poi_id) for r in inside) == [("A", 1), ("A", 3), ("B", 4), ("B", 6)]
+
+
+def test_names_with_marks_meet(spark):
+    row = spark.createDataFrame([("Peña Café", "Pena Cafe")], "a string, b string")
+    same = row.select(text.name_words(F.col("a")) == text.name_words(F.col("b")), text.historic_name(F.col("a")) == text.historic_name(F.col("b"))).first()
+    assert same == (True, True)
+
+
+def test_details(spark):
+    seen = spark.createDataFrame([(1, "historic_building_status", "Fort", " Listed ", "", '{"match_strategy": "alias_exact"}'), (2, "historic_building_status", "Fort", " ", None, '{"match_strategy": 3}'), (3, "other", "River", "x", "y", "{}")], "id int, kind string, label string, status string, district string, payload string")
+    rows = seen.select("id", details.evidence_text(F.col("kind"), F.col("label"), F.col("status"), F.col("district"), "the layer"), details.match_method(F.col("payload")), details.case_slug("case", F.col("status"))).orderBy("id").collect()
+    assert [tuple(r)[1:] for r in rows] == [("Listed", "alias_exact", "case-listed"), ("Fort via the layer", None, "case"), ("River via the layer", None, "case-x")]
+    maps = spark.createDataFrame([({"b": "2", "a": "é"},), ({},)], "tags map<string,string>").select(details.payload_hash(F.col("tags"))).collect()
+    assert [r[0] for r in maps] == [hashlib.sha256(t.encode()).hexdigest() for t in ('{"a":"é","b":"2"}', "{}")]
+    chunks = details.chunked(spark.range(200), "id", 40, 3).collect()
+    assert sorted(v for c in chunks for v in c["values"]) == list(range(200)) and max(len(c["values"]) for c in chunks) <= 40
+    top = details.ranked(spark.createDataFrame([(3, 1.0), (1, 2.0), (2, 1.0)], "poi_id int, score double")).orderBy("rank").collect()
+    assert [(r.rank, r.poi_id) for r in top] == [(1, 1), (2, 2), (3, 3)]
