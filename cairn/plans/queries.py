@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +78,13 @@ def _route_sql(category: str, detour: int, minutes: int, mode: str) -> str:
     return oracle.scored(rows, spatial, oracle.components(category, mode), oracle.guardrail("(" + " + ".join(spatial.values()) + ")", 28, 24))
 
 
+def _near(spark: SparkSession, sf_dir: str, *requests: scoring.Nearby) -> DataFrame:
+    """The places that some of the requests, all around one point, may return."""
+    widest = replace(max(requests, key=lambda q: q.radius_m), theme=None)
+    match = reduce(lambda a, b: a | b, (scoring.category_matches(q.category) for q in requests))
+    return views.places(spark, sf_dir, only=lambda rows: scoring.near_point(rows, widest).where(match))
+
+
 _NEAR_COLUMNS = "poi_id, canonical_name, distance_m, match_type, point_proximity, radius_fit, significance, quality, mode_affinity, official_corroboration, district_membership, institutional_identity, editorial_boost, penalties, category_bonus, category_intent_guardrail, score"
 _ROUTE_COLUMNS = "poi_id, distance_m, detour_m, extra_min, match_type, route_proximity, detour_fit, budget_fit, editorial_boost, penalties, category_bonus, category_intent_guardrail, score"
 
@@ -83,13 +92,14 @@ _ROUTE_COLUMNS = "poi_id, distance_m, detour_m, extra_min, match_type, route_pro
 @query(sql(f"SELECT {_NEAR_COLUMNS} FROM ({_nearby_sql('history', 4000, 'walking')}) ORDER BY score DESC, poi_id LIMIT 20", "poi"))
 def nearby_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     req = scoring.Nearby(*CENTRE, 4000, "history", limit=20)
-    return scoring.best(scoring.score_nearby(views.places(spark, sf_dir), req), 20).select(*_NEAR_COLUMNS.split(", "))
+    return scoring.best(scoring.score_nearby(_near(spark, sf_dir, req), req), 20).select(*_NEAR_COLUMNS.split(", "))
 
 
 @query(sql(f"SELECT {_ROUTE_COLUMNS} FROM ({_route_sql('civic', 3000, 10, 'driving')}) ORDER BY score DESC, poi_id LIMIT 20", "poi"))
 def route_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     req = scoring.Route(LINE, 3000, 10, "civic", limit=20)
-    return scoring.best(scoring.score_route(views.places(spark, sf_dir), req), 20).select(*_ROUTE_COLUMNS.split(", "))
+    places = views.places(spark, sf_dir, only=lambda rows: scoring.along_route(rows, req).where(scoring.category_matches(req.category)))
+    return scoring.best(scoring.score_route(places, req), 20).select(*_ROUTE_COLUMNS.split(", "))
 
 
 @query(sql(f"SELECT poi_id, CAST(round_even({_D}, 0) AS INT) AS distance_m FROM poi WHERE is_active AND {_D} <= 6000", "poi"))
@@ -137,7 +147,7 @@ def category_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f"SELECT match_type, category_intent_guardrail AS guardrail, count(*) AS n, min(distance_m) AS nearest, max(distance_m) AS farthest FROM ({_nearby_sql('art', 9000, 'driving')}) GROUP BY 1, 2", "poi"))
 def intent_guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scoring.score_nearby(views.places(spark, sf_dir), scoring.Nearby(*CENTRE, 9000, "art", "driving"))
+    rows = scoring.score_nearby(_near(spark, sf_dir, req := scoring.Nearby(*CENTRE, 9000, "art", "driving")), req)
     return rows.groupBy("match_type", F.col("category_intent_guardrail").alias("guardrail")).agg(F.count(F.lit(1)).alias("n"), F.min("distance_m").alias("nearest"), F.max("distance_m").alias("farthest"))
 
 
@@ -154,8 +164,9 @@ def theme_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     memberships = views.view(spark, sf_dir, views.MEMBERSHIPS)
     effective = themes.effective(memberships, views.view(spark, sf_dir, views.DECISIONS)).where("theme = 'rail'")
     rail = memberships.where("theme = 'rail'").select("poi_id", F.col("basis").alias("rail_basis"), F.lit(0).alias("rail_links"))
-    places = views.places(spark, sf_dir).join(effective.select("poi_id", F.col("effective_status").alias("theme_status")), "poi_id").join(rail, "poi_id", "left")
-    scored = scoring.score_nearby(places, scoring.Nearby(*CENTRE, 6000, "mixed", theme="rail", limit=20))
+    req = scoring.Nearby(*CENTRE, 6000, "mixed", theme="rail", limit=20)
+    places = _near(spark, sf_dir, req).join(effective.select("poi_id", F.col("effective_status").alias("theme_status")), "poi_id").join(rail, "poi_id", "left")
+    scored = scoring.score_nearby(places, req)
     return scoring.best(scored, 20).select("poi_id", "distance_m", "rail_anchor_bonus", "rail_trace_guardrail", "nearby_rail_anchor_prominence", "score")
 
 
@@ -339,7 +350,7 @@ def diagnostics_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f"SELECT poi_id, score, category_bonus, {oracle.RAIL_ANCHOR} AS rail_anchor FROM ({_nearby_sql('mixed', 5000, 'walking')})", "poi"))
 def rail_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scoring.score_nearby(views.places(spark, sf_dir), scoring.Nearby(*CENTRE, 5000, "mixed"))
+    rows = scoring.score_nearby(_near(spark, sf_dir, req := scoring.Nearby(*CENTRE, 5000, "mixed")), req)
     return rows.select("poi_id", "score", "category_bonus", scoring.is_rail_anchor().alias("rail_anchor"))
 
 
@@ -361,7 +372,7 @@ CASE WHEN coalesce(boost, 0) > 0 THEN 'editorially boosted candidate' END], lamb
 
 @query(sql(f"SELECT poi_id, array_to_string(CASE WHEN len(f) > 0 THEN f[1:3] ELSE ['nearby candidate with meaningful local signal'] END, '|') AS reasons FROM (SELECT poi_id, {_WHY} AS f FROM (SELECT *, {_SQL_FLAGS} FROM ({_nearby_sql('history', 8000, 'walking')})))", "poi"))
 def why_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _flagged(scoring.score_nearby(views.places(spark, sf_dir), scoring.Nearby(*CENTRE, 8000, "history")))
+    rows = _flagged(scoring.score_nearby(_near(spark, sf_dir, req := scoring.Nearby(*CENTRE, 8000, "history")), req))
     return rows.select("poi_id", F.array_join(explain.reasons("nearby"), "|").alias("reasons"))
 
 
@@ -371,7 +382,7 @@ CASE WHEN official >= 0.7 THEN 'officially corroborated' END, CASE WHEN infrastr
 
 @query(sql(f"SELECT poi_id, array_to_string({_BADGES}, '|') AS badges FROM (SELECT *, {_SQL_FLAGS} FROM ({_nearby_sql('mixed', 8000, 'walking')}))", "poi"))
 def badges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _flagged(scoring.score_nearby(views.places(spark, sf_dir), scoring.Nearby(*CENTRE, 8000)))
+    rows = _flagged(scoring.score_nearby(_near(spark, sf_dir, req := scoring.Nearby(*CENTRE, 8000)), req))
     return rows.select("poi_id", F.array_join(explain.badges("nearby", "walking"), "|").alias("badges"))
 
 
@@ -561,9 +572,10 @@ def source_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 {" UNION ALL ".join(f"SELECT '{c}' AS requested, score FROM (SELECT score FROM ({_nearby_sql(c, 3000, 'walking')}) ORDER BY score DESC, poi_id LIMIT 10)" for c in ("art", "civic", "scenic", "food"))}) GROUP BY 1""", "poi"))
 def case_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What evaluation cases look at: for some categories, how many results a request gives and their scores."""
-    places, out = views.places(spark, sf_dir), None
-    for c in ("art", "civic", "scenic", "food"):
-        top = scoring.best(scoring.score_nearby(places, scoring.Nearby(*CENTRE, 3000, c)), 10).select(F.lit(c).alias("requested"), "score")
+    requests, out = [scoring.Nearby(*CENTRE, 3000, c) for c in ("art", "civic", "scenic", "food")], None
+    places = _near(spark, sf_dir, *requests)
+    for req in requests:
+        top = scoring.best(scoring.score_nearby(places, req), 10).select(F.lit(req.category).alias("requested"), "score")
         out = top if out is None else out.unionByName(top)
     return out.groupBy("requested").agg(F.count(F.lit(1)).alias("results"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
 

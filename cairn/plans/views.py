@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,15 +87,19 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, EVIDENCE)
 
 
-def places(spark: SparkSession, sf_dir: str, signals: bool = True) -> DataFrame:
-    """A place frame: with tags as a map, Mercator coordinates, and with signals the evidence roll-up and editorial rows."""
+def places(spark: SparkSession, sf_dir: str, signals: bool = True, only: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """A place frame: with tags as a map, Mercator coordinates, and with signals the evidence roll-up and editorial rows. only: keeps some of the
+    places; then evidence of other places is left out before it is summed."""
     poi = view(spark, sf_dir, POI)
     names = ("historic", "railway", "waterway", "tourism", "natural", "man_made")
     tags = F.map_filter(F.create_map(*(x for n in names for x in (F.lit(n), F.col(f"tag_{n}")))), lambda k, v: v.isNotNull())
     display = F.array_distinct(F.array_compact(F.array("category", "secondary")))
     poi = poi.withColumns({"tags": tags, "display": display, "x": geo.mercator_x(F.col("lon")), "y": geo.mercator_y(F.col("lat"))})
     poi = poi.withColumnsRenamed({"category": "normalized_category", "subcategory": "normalized_subcategory"}).drop("secondary", *(f"tag_{n}" for n in names))
+    if only:
+        poi = only(poi).select(*poi.columns)
     if not signals:
         return poi
-    sig = rollup(evidence(spark, sf_dir)).withColumn("genericity", F.when(F.col("poi_id") % 10 == 0, 0.15).otherwise(0.0))
+    seen = evidence(spark, sf_dir)
+    sig = rollup(seen.join(poi.select("poi_id"), "poi_id", "left_semi") if only else seen).withColumn("genericity", F.when(F.col("poi_id") % 10 == 0, 0.15).otherwise(0.0))
     return poi.join(sig, "poi_id", "left").join(view(spark, sf_dir, EDITORIAL), "poi_id", "left")
