@@ -252,24 +252,43 @@ def met_counts(docs: DataFrame, parts: int) -> DataFrame:
             name = name[shared[run_of] & (name != 0)]
             names.append(name)
             times.append(np.ones(len(name), np.int64))
-        name, at = np.unique(np.concatenate(names), return_inverse=True)
-        return name, np.bincount(at, np.concatenate(times), len(name)).astype(np.int64)
+        return added(np.concatenate(names), np.concatenate(times))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def added(name: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        name, at = np.unique(name, return_inverse=True)
+        return name, np.bincount(at, times, len(name)).astype(np.int64)
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[bytes]]]:
         group, blobs = None, []
         for batch in batches:
             for part, *blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group not in (None, part):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in of_part(blobs)], ["half", "times"])
+                    yield blobs
                     blobs = []
                 group = part
                 blobs.append(blob)
         if blobs:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in of_part(blobs)], ["half", "times"])
+            yield blobs
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blobs in groups(batches):
+            name, times = of_part(blobs)
+            to = (_mix(name.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            name, times, to = name[order], times[order], to[order]
+            cuts = np.append(np.flatnonzero(np.append(True, np.diff(to) != 0)), len(to)) if len(to) else np.zeros(1, np.int64)
+            rows = [(int(to[x]), name[x:y].tobytes(), times[x:y].tobytes()) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "names", "times"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blobs in groups(batches):
+            columns = added(*(np.concatenate([np.frombuffer(b[i], np.int64) for b in blobs]) for i in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["half", "times"])
 
     packed = doc_texts(docs).mapInArrow(pack, "part int, tokens binary, places binary, names binary")
-    counted = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, "half long, times long")
-    return counted.groupBy("half").agg(F.sum("times").alias("times"))
+    counted = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, "part int, names binary, times binary")
+    return counted.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(total, "half long, times long")
 
 
 def sets_left(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -483,10 +502,13 @@ def _links(sets: DataFrame) -> DataFrame:
     lists, short = written(_split(_first_lists(sets), groups), "lists"), []
     for level in range(LEVELS + 1):
         short.append(lists.where("not long") if level < LEVELS else lists)
-        long = lists.where("long").select("frame", "token", "id")
+        long = lists.where("long").select("frame", "token", "id", "n")
         if level == LEVELS or long.isEmpty():
             break
-        leaders = long.join(popular, "id", "left").groupBy("frame", "token").agg(F.max(F.struct(F.coalesce("bound", F.lit(0)).alias("bound"), F.xxhash64("id", F.lit(level)).alias("by"), "id")).alias("leader"))
+        # The set with the fewest shingles of its own is nearest to what the others were copied from.
+        own = lists.groupBy("id").agg(F.max("place").alias("met")).join(popular, "id", "left")
+        rank = F.struct((F.col("met") - F.col("n")).alias("own"), F.coalesce("bound", F.lit(0)).alias("bound"), F.xxhash64("id", F.lit(level)).alias("by"), "id")
+        leaders = long.join(own, "id").groupBy("frame", "token").agg(F.max(rank).alias("leader"))
         led = long.join(leaders, ["frame", "token"]).select(F.col("id").alias("a"), F.col("leader.id").alias("b")).where("a <> b").distinct()
         framed = written(compared(sets, led, differences=True), "framed")
         bound = framed.where("linked").select("a", "b")

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import string
@@ -307,6 +308,14 @@ def test_language_scores(docs, empty, pairs, monkeypatch):
     assert op7_ctw.scores(empty).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/documents.parquet"), reason="needs the larger table")
+def test_held_out_texts_score_above_base(spark):
+    """On texts that the model didn't learn from, it beats smoothed counts of tokens by the mean over tokens and in most texts."""
+    scored = op7_ctw.scores(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out and n_tokens > 20")
+    mean, base, better = scored.agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens"), F.avg((F.col("score") > F.col("base_score")).cast("double"))).first()
+    assert mean > base + 0.1 and better > 0.8
+
+
 def test_likeness_of_repetitive_and_plain_texts():
     """Near copies of one phrase repeated past 2^15 times, and the sketch's cosine against that of the exact counts of word triples."""
     long, half = (op6_fingerprint.text_vector("a b c " * n) for n in (40_000, 20_000))
