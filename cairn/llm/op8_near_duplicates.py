@@ -212,7 +212,8 @@ def met_counts(docs: DataFrame, parts: int) -> DataFrame:
             rows: list[tuple[int, bytes | None, bytes, bytes]] = []
             for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
                 used, place = np.unique(owner[x:y], return_inverse=True)
-                rows.append((int(part[x]), token[x:y].tobytes(), place.astype(np.uint16).tobytes(), np.where(used < 0, 0, names[used]).tobytes()))
+                place = place.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+                rows.append((int(part[x]), token[x:y].tobytes(), place.tobytes(), np.where(used < 0, 0, names[used]).tobytes()))
             some = np.flatnonzero(own)
             rows.append((int(names[0] % parts), None, own[some].tobytes(), names[some].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], ["part", "tokens", "places", "names"])
@@ -241,7 +242,8 @@ def met_counts(docs: DataFrame, parts: int) -> DataFrame:
         times = [np.frombuffer(b[1], np.int64) for b in blobs if b[0] is None]
         if lists:
             token = np.concatenate([np.frombuffer(b[0], np.uint32) for b in lists])
-            name = np.concatenate([np.frombuffer(b[2], np.int64)[np.frombuffer(b[1], np.uint16)] for b in lists])
+            # A shingle has 4 bytes, the place of its owner 2 or 4.
+            name = np.concatenate([np.frombuffer(b[2], np.int64)[np.frombuffer(b[1], np.uint16 if 2 * len(b[1]) == len(b[0]) else np.uint32)] for b in lists])
             order = np.lexsort((name, token))
             token, name = token[order], name[order]
             same = (token[1:] == token[:-1]) & (name[1:] != name[:-1])
