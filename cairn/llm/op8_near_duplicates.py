@@ -35,8 +35,10 @@ PERCENT = 75
 SORTING, FORMING = 25, 6
 #: A list is led, not paired, when it has more than so many pairs of different components for each of its sets.
 LONG_LIST = 100
-#: How often lists of differences that are long themselves are led again; then all their pairs are formed.
-LEVELS = 1
+#: How often lists of differences that are long themselves are led again; what is long even then is paired block by block.
+LEVELS = 4
+#: Sets of a block: lists of more are dealt into blocks, and pairs of blocks meet in different tasks.
+BLOCK = 1024
 #: Hash functions by which sets first meet a likely partner; they only save work.
 MEETINGS = 6
 STAR = 64
@@ -447,7 +449,8 @@ def _difference_lists(framed: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _split(lists: DataFrame, groups: DataFrame) -> DataFrame:
-    """lists with long: whether a list has more than LONG_LIST pairs of different components for each of its sets. Lists of one component go."""
+    """lists with long: whether a list has more than LONG_LIST pairs of different components for each of its sets; and blocks: how many it is dealt into
+    if it is paired. Lists of one component go."""
     rows = lists.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     each = rows.groupBy("frame", "token", "component").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("near") & ~F.col("linked")).alias("near"), F.count_if(~F.col("linked")).alias("free"))
     sums = each.groupBy("frame", "token").agg(
@@ -455,19 +458,24 @@ def _split(lists: DataFrame, groups: DataFrame) -> DataFrame:
         F.sum(F.col("near") * F.col("near")).alias("same_near"), F.sum(F.col("free") * (F.col("n") - F.col("free"))).alias("same_apart"), F.count(F.lit(1)).alias("components"),
     )
     pairs = (F.col("all_near") * F.col("all_near") - F.col("same_near")) / 2 + F.col("all_free") * (F.col("all") - F.col("all_free")) - F.col("same_apart")
-    return lists.join(sums.where("components > 1").select("frame", "token", (pairs > LONG_LIST * F.col("all")).alias("long")), ["frame", "token"])
+    blocks = F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")
+    return lists.join(sums.where("components > 1").select("frame", "token", (pairs > LONG_LIST * F.col("all")).alias("long"), blocks), ["frame", "token"])
 
 
 def _pairs(lists: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets of different components that meet in lists often enough. In the first lists that two sets share, as many as they must meet in, those as
     long or longer of either bound how many more they can share: meetings for which that is too little aren't formed."""
     rows = lists.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    left, right = (rows.select("frame", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "e", "h", "place", "linked", "near", "component"))) for s in "ab")
+    every, own = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    left, right = (
+        rows.select("frame", "token", x.alias("x"), y.alias("y"), *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "e", "h", "place", "linked", "near", "component")))
+        for s, x, y in (("a", own, every), ("b", every, own))
+    )
     fits = (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a"))
     meets = (~F.col("linked_a") & ~F.col("linked_b") & F.col("near_a") & F.col("near_b")) | (F.col("linked_a") != F.col("linked_b"))
     times = F.when(F.col("frame") == 0, F.ceil(F.least("n_a", "n_b") * FORMING / 100)).otherwise(1)
     enough = 7 * (F.least("place_a", "place_b") + times - 1) >= F.col("e_a") + F.col("e_b") - F.col("h_a")
-    met = left.join(right, ["frame", "token"]).where((F.col("component_a") < F.col("component_b")) & fits & meets & enough)
+    met = left.join(right, ["frame", "token", "x", "y"]).where((F.col("component_a") < F.col("component_b")) & fits & meets & enough)
     met = met.groupBy("frame", F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.first(times).alias("times"))
     return met.where("met >= times").select("a", "b")
 
