@@ -83,15 +83,19 @@ def place_evidence(places: DataFrame, evidence: DataFrame, sources: DataFrame, a
 
 
 def theme_items(effective: DataFrame, links: DataFrame, evidence: DataFrame) -> DataFrame:
-    """The themes of each place that it has and that aren't suppressed, water first, each with references to its evidence by evidence_id. effective: poi_id, theme,
-    effective_status; links: poi_id, theme, evidence_id; evidence: evidence_id, evidence_type. Links to evidence that is gone are dropped."""
+    """The themes of each place that it has and that aren't suppressed, water first, each with its label, status, basis, confidence, rationale, decision, whether queries may name it,
+    and references to its evidence by evidence_id. effective: as themes.effective gives it; links: poi_id, theme, evidence_id; evidence: evidence_id, evidence_type. Links
+    to evidence that is gone are dropped."""
     referred = links.join(evidence.select("evidence_id", "evidence_type"), "evidence_id")
     referred = referred.groupBy("poi_id", "theme").agg(F.array_sort(F.collect_set(F.struct("evidence_id", "evidence_type"))).alias("refs"))
     shown = effective.where(~F.coalesce("effective_status", F.lit("none")).isin("suppressed", "none"))
     rows = shown.join(referred, ["poi_id", "theme"], "left")
-    labels = F.create_map(*(x for t in vocab.THEMES for x in (F.lit(t), F.lit(t.replace("_", " ")))))
-    rows = rows.select("poi_id", F.struct((F.col("theme") != "water").alias("after"), "theme", labels[F.col("theme")].alias("label"), "effective_status", F.coalesce("refs", F.array().cast(referred.schema["refs"].dataType)).alias("refs")).alias("item"))
-    return rows.groupBy("poi_id").agg(F.array_sort(F.collect_list("item")).alias("themes"))
+    of = lambda place: F.create_map(*(F.lit(x) for t, spec in vocab.THEMES.items() for x in (t, spec[place])))[F.col("theme")]
+    item = F.struct(
+        (F.col("theme") != "water").alias("after"), "theme", F.coalesce(of(0), "theme").alias("label"), "effective_status", "effective_basis", "effective_confidence", "effective_rationale",
+        F.coalesce(of(1), F.lit(False)).alias("is_query_active"), "decision", F.coalesce("refs", F.array().cast(referred.schema["refs"].dataType)).alias("refs"),
+    )
+    return rows.select("poi_id", item.alias("item")).groupBy("poi_id").agg(F.array_sort(F.collect_list("item")).alias("themes"))
 
 
 def outcome_counts(outcomes: DataFrame, by: str) -> DataFrame:

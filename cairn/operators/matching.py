@@ -1,4 +1,4 @@
-"""Entity resolution: by distance and name, by containment, by register names."""
+"""Entity resolution by distance and name, and by containment."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from cairn.functions.geo import in_ring
 from cairn.functions.rounding import py_round
-from cairn.functions.text import historic_forms, jaccard, name_words
+from cairn.functions.text import jaccard, name_words
 
 METRES_PER_DEGREE = 111320.0
 
@@ -64,53 +64,3 @@ def contained(places: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
     if "holes" in polygons.columns:
         met = met.where(~F.exists(F.coalesce("holes", F.array().cast("array<array<struct<x:double,y:double>>>")), lambda h: in_ring(F.col("x"), F.col("y"), h, edges_too=False)))
     return met.drop("cx", "cy")
-
-
-def exact_matches(rows: DataFrame, places: DataFrame, aliases: DataFrame) -> DataFrame:
-    """For each register row (row_id, name) the first place (poi_id, canonical_name) in order of poi_id whose name or alias has a form in
-    common; within a place the name goes before an alias. aliases: poi_id, alias_name."""
-    r = rows.select("row_id", F.explode(historic_forms(F.col("name"))).alias("form"))
-    names = places.select("poi_id", F.explode(historic_forms(F.col("canonical_name"))).alias("form"), F.lit(0).alias("via"))
-    others = aliases.select("poi_id", F.explode(historic_forms(F.col("alias_name"))).alias("form"), F.lit(1).alias("via"))
-    met = r.join(names.unionByName(others), "form").groupBy("row_id").agg(F.min(F.struct("poi_id", "via")).alias("first"))
-    return met.select("row_id", "first.poi_id", F.when(F.col("first.via") == 0, "canonical_exact").otherwise("alias_exact").alias("method"))
-
-
-def best_fuzzy(rows: DataFrame, places: DataFrame, threshold: float) -> DataFrame:
-    """For each row the place of the highest confidence, accepted if its likeness reaches the threshold. Every row is
-    held against every place, as the best of all is wanted: rows without an exact match, against a place table that is
-    broadcast only while Spark finds it small. places: poi_id, canonical_name, is_historical."""
-    pairs = rows.select("row_id", "name").crossJoin(places.select("poi_id", "canonical_name", "is_historical"))
-    pairs = pairs.withColumn("likeness", name_likeness(F.col("name"), F.col("canonical_name")))
-    confidence = F.least(py_round(F.col("likeness") + F.when(F.col("is_historical"), 0.05).otherwise(0.0), 4), F.lit(0.99))
-    best = pairs.groupBy("row_id").agg(F.max_by(F.struct("poi_id", "likeness", confidence.alias("confidence")), F.struct(confidence, -F.col("poi_id"))).alias("b"))
-    return best.select("row_id", "b.*", (F.col("b.likeness") >= threshold).alias("accepted"))
-
-
-def register_matches(rows: DataFrame, places: DataFrame, aliases: DataFrame, threshold: float) -> DataFrame:
-    """row_id, poi_id, method, likeness, confidence, accepted of every register row (row_id, names). Rows that share a form with a
-    place's name or alias are settled first, by equality. For the others the place of the highest confidence is found over all forms of the
-    row's names and of the place's name and aliases, ties to the smaller poi_id, and accepted if its likeness reaches the threshold.
-
-    Every distinct form of the rows left is held against every distinct form of the places, as the best of all is wanted and
-    matching blocks give no bound by shared parts of words; rows and places that repeat a form add no pairs.
-    places: poi_id, canonical_name, is_historical; aliases: poi_id, alias_name."""
-    names = rows.select("row_id", F.explode("names").alias("name"))
-    exact = exact_matches(names, places, aliases).select("row_id", "poi_id", "method", F.lit(1.0).alias("likeness"), F.lit(0.99).alias("confidence"), F.lit(True).alias("accepted"))
-    left = rows.select("row_id").join(exact, "row_id", "left_anti")
-    forms = names.join(left, "row_id").select("row_id", F.explode(historic_forms(F.col("name"))).alias("form")).distinct()
-    named = places.select("poi_id", F.col("canonical_name").alias("name")).unionByName(aliases.select("poi_id", F.col("alias_name").alias("name")))
-    held = named.join(places.select("poi_id", F.coalesce("is_historical", F.lit(False)).alias("is_historical")), "poi_id")
-    held = held.select("poi_id", "is_historical", F.explode(historic_forms(F.col("name"))).alias("other")).groupBy("other", "is_historical").agg(F.min("poi_id").alias("poi_id"))
-    kinds = held.groupBy("other").agg(F.collect_list(F.struct("is_historical", "poi_id")).alias("kinds"))  # two at most
-    bonus = lambda c: F.when(c, 0.05).otherwise(0.0)
-    pairs = forms.select("form").distinct().crossJoin(kinds).withColumn("likeness", name_likeness(F.col("form"), F.col("other")))
-    pairs = pairs.select("form", "likeness", F.inline("kinds"))
-    candidate = lambda likeness, historical: F.struct(F.least(py_round(likeness + bonus(historical), 4), F.lit(0.99)).alias("confidence"), (-F.col("poi_id")).alias("before"), likeness.alias("likeness"))
-    best = pairs.groupBy("form").agg(F.max(candidate(F.col("likeness"), F.col("is_historical"))).alias("best"))
-    # Places without any likeness are candidates too.
-    least = places.agg(F.max(candidate(F.lit(0.0), F.coalesce("is_historical", F.lit(False)))).alias("least"))
-    found = left.join(forms, "row_id", "left").join(best, "form", "left").groupBy("row_id").agg(F.max("best").alias("best")).crossJoin(F.broadcast(least))
-    found = found.withColumn("best", F.greatest("best", "least")).where("best is not null")
-    fuzzy = found.select("row_id", (-F.col("best.before")).alias("poi_id"), F.lit("fuzzy_fallback").alias("method"), "best.likeness", "best.confidence", (F.col("best.likeness") >= threshold).alias("accepted"))
-    return exact.unionByName(fuzzy)

@@ -102,13 +102,18 @@ def link_changes(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def effective(memberships: DataFrame, decisions: DataFrame) -> DataFrame:
-    """What holds after editorial decisions, for every place and theme with a membership or a decision."""
+    """What holds after editorial decisions, for every place and theme with a membership or a decision: effective_status, _confidence (of two places), _basis and
+    _rationale. A decision that keeps a theme out or brings it in explains itself by its notes. memberships may have rationale, decisions may have notes. The two sentences are fixed."""
     both = memberships.join(decisions, ["poi_id", "theme"], "full")
+    text = lambda df, c: F.nullif(c, F.lit("")) if c in df.columns else F.lit(None).cast("string")
     out, into = F.col("decision") == "force_exclude", F.col("decision") == "force_include"
+    none, own = F.col("status").isNull(), py_round(F.col("confidence"), 2)
     status = F.when(out, "suppressed").when(into, "accepted").otherwise(F.coalesce("status", F.lit("none")))
-    confidence = F.when(out, F.coalesce("confidence", F.lit(0.0))).when(into, F.greatest(F.coalesce("confidence", F.lit(1.0)), F.lit(0.9))).otherwise(F.col("confidence"))
-    basis = F.when(into, F.when(F.col("status").isNull(), "editorial").otherwise("mixed")).otherwise(F.col("basis"))
-    return both.withColumns({"effective_status": status, "effective_confidence": confidence, "effective_basis": basis})
+    confidence = F.when(out, F.coalesce(own, F.lit(0.0))).when(into, F.greatest(F.coalesce(own, F.lit(1.0)), F.lit(0.9))).otherwise(own)
+    basis = F.when(out, F.coalesce("basis", F.lit("editorial"))).when(into, F.when(none, "editorial").otherwise("mixed")).otherwise(F.col("basis"))
+    notes = text(decisions, "notes")
+    rationale = F.when(out, F.coalesce(notes, F.lit("Suppressed by editorial review."))).when(into, F.coalesce(notes, F.lit("Included by editorial review."))).when(~none, F.coalesce(text(memberships, "rationale"), F.lit("")))
+    return both.withColumns({"effective_status": status, "effective_confidence": confidence, "effective_basis": basis, "effective_rationale": rationale})
 
 
 def review_state(reviewed_at: Column, has_membership: Column, stamp: Column, computed_at: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import geo, text, vocab
 from cairn.functions.rounding import py_round
-from cairn.operators import classify, details, editorial, evidence, explain, matching, scoring, snapshots, themes
+from cairn.operators import classify, details, editorial, evidence, explain, matching, registers, scoring, snapshots, themes
 from cairn.plans import oracle, views
 from cairn.plans.oracle import r, sql
 from cairn.sources import readers
@@ -153,9 +153,10 @@ def intent_guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _EFFECTIVE = """SELECT coalesce(m.poi_id, d.poi_id) AS poi_id, coalesce(m.theme, d.theme) AS theme,
   CASE WHEN decision = 'force_exclude' THEN 'suppressed' WHEN decision = 'force_include' THEN 'accepted' ELSE coalesce(status, 'none') END AS effective_status,
-  CASE WHEN decision = 'force_exclude' THEN coalesce(confidence, 0.0) WHEN decision = 'force_include' THEN greatest(coalesce(confidence, 1.0), 0.9) ELSE confidence END AS effective_confidence,
-  CASE WHEN decision = 'force_include' THEN CASE WHEN status IS NULL THEN 'editorial' ELSE 'mixed' END ELSE basis END AS effective_basis
-FROM mem m FULL JOIN dec d ON m.poi_id = d.poi_id AND m.theme = d.theme"""
+  CASE WHEN decision = 'force_exclude' THEN coalesce(round(confidence, 2), 0.0) WHEN decision = 'force_include' THEN greatest(coalesce(round(confidence, 2), 1.0), 0.9) ELSE round(confidence, 2) END AS effective_confidence,
+  CASE WHEN decision = 'force_exclude' AND m.poi_id IS NULL THEN 'editorial' WHEN decision = 'force_include' THEN CASE WHEN m.poi_id IS NULL THEN 'editorial' ELSE 'mixed' END ELSE basis END AS effective_basis,
+  CASE decision WHEN 'force_exclude' THEN coalesce(notes, 'Suppressed by editorial review.') WHEN 'force_include' THEN coalesce(notes, 'Included by editorial review.') ELSE CASE WHEN m.poi_id IS NOT NULL THEN 'rule' END END AS effective_rationale, decision
+FROM (SELECT *, 'rule' AS rationale FROM mem) m FULL JOIN (SELECT *, CASE WHEN poi_id % 3 = 0 THEN concat('Note ', CAST(poi_id AS VARCHAR)) END AS notes FROM dec) d ON m.poi_id = d.poi_id AND m.theme = d.theme"""
 _THEMED = f"eff AS (SELECT poi_id FROM ({_EFFECTIVE}) WHERE theme = 'rail' AND effective_status = 'accepted'), railm AS (SELECT poi_id, basis, 0 AS links FROM mem WHERE theme = 'rail')"
 
 
@@ -170,10 +171,14 @@ def theme_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.best(scored, 20).select("poi_id", "distance_m", "rail_anchor_bonus", "rail_trace_guardrail", "nearby_rail_anchor_prominence", "score")
 
 
+def _effective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decisions = views.view(spark, sf_dir, views.DECISIONS).withColumn("notes", F.when(F.col("poi_id") % 3 == 0, F.concat(F.lit("Note "), F.col("poi_id").cast("string"))))
+    return themes.effective(views.view(spark, sf_dir, views.MEMBERSHIPS).withColumn("rationale", F.lit("rule")), decisions)
+
+
 @query(sql(_EFFECTIVE, "mem", "dec"))
 def theme_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = themes.effective(views.view(spark, sf_dir, views.MEMBERSHIPS), views.view(spark, sf_dir, views.DECISIONS))
-    return found.select("poi_id", "theme", "effective_status", "effective_confidence", "effective_basis")
+    return _effective(spark, sf_dir).select("poi_id", "theme", "effective_status", "effective_confidence", "effective_basis", "effective_rationale", "decision")
 
 
 @query(sql("SELECT t.theme, count(m.poi_id) AS members, coalesce(count(*) FILTER (m.status = 'accepted'), 0) AS accepted, count(*) FILTER (m.status = 'candidate') AS candidates, count(*) FILTER (m.basis = 'rule') AS by_rule FROM (VALUES ('water'), ('rail'), ('public_memory')) t(theme) LEFT JOIN mem m ON m.theme = t.theme GROUP BY t.theme", "mem"))
@@ -466,7 +471,7 @@ SELECT row_id, poi_id, CASE via WHEN 0 THEN 'canonical_exact' ELSE 'alias_exact'
 def exact_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     reg = _register(spark, sf_dir)
     places = reg.where("row_id % 2 = 0").select(F.col("row_id").alias("poi_id"), F.when(F.col("row_id") % 4 != 0, F.col("name")).alias("canonical_name"), F.when(F.col("row_id") % 4 == 0, F.col("name")).alias("alias_name"))
-    return matching.exact_matches(reg.where("row_id % 2 = 1"), places.where("canonical_name is not null"), places.where("alias_name is not null"))
+    return registers.exact(reg.where("row_id % 2 = 1"), places.where("canonical_name is not null"), places.where("alias_name is not null")).drop("matched_name")
 
 
 @query("""SELECT doc_id, CASE WHEN s = '' THEN 'poi' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(strip_accents(nfc_normalize(text)), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)""")
@@ -497,14 +502,18 @@ def alias_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editorial.first_conflicts(names, names)
 
 
-@query(None)
-def fuzzy_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every register row, by its name and other names, against all places' names and aliases."""
+def fuzzy_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Register rows with all their names, places and aliases."""
     segment = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), F.concat(F.lit("Old "), F.lower("c_mktsegment"), F.lit(" shop")).alias("shop"))
     rows = _register(spark, sf_dir).withColumnRenamed("name", "property_name").join(segment.select("row_id", F.when(F.col("row_id") % 5 == 0, F.col("shop")).alias("other_names")), "row_id").select("row_id", readers.name_candidates().alias("names"))
     places = views.view(spark, sf_dir, views.POI).select("poi_id", "canonical_name", (F.col("poi_id") % 2 == 0).alias("is_historical"))
-    aliases = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("poi_id"), F.col("p_name").alias("alias_name"))
-    return matching.register_matches(rows, places, aliases, 0.78)
+    return rows, places, _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("poi_id"), F.col("p_name").alias("alias_name"))
+
+
+@query(None)
+def fuzzy_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every register row, by its name and other names, against all places' names and aliases."""
+    return registers.matches(*fuzzy_inputs(spark, sf_dir), 0.78)
 
 
 _RULE = """CASE WHEN tag_tourism = 'viewpoint' THEN 'viewpoint' WHEN tag_man_made = 'canal' THEN 'acequia_canal' WHEN tag_waterway IS NOT NULL THEN 'waterway_trace'
@@ -628,17 +637,21 @@ def place_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("poi_id", F.size("evidence").cast("long").alias("n"), F.array_join(F.transform("evidence", item), "|").alias("evidence"), F.array_join("aliases", "|").alias("aliases"))
 
 
-@query(sql(f"""SELECT poi_id, string_agg(concat(theme, ':', effective_status, ':', coalesce(refs, '')), '|' ORDER BY theme <> 'water', theme) AS themes FROM (
-SELECT e.poi_id, e.theme, e.effective_status, l.refs FROM ({_EFFECTIVE}) e LEFT JOIN (SELECT poi_id, theme, string_agg(concat(CAST(evidence_id AS VARCHAR), '/', evidence_type), ',' ORDER BY evidence_id) AS refs FROM (
+_ITEM = "concat_ws(':', theme, CASE theme WHEN 'water' THEN 'Water' WHEN 'rail' THEN 'Rail' WHEN 'public_memory' THEN 'Public Memory' END, effective_status, effective_basis, printf('%.2f', effective_confidence), effective_rationale, CAST(theme <> 'public_memory' AS VARCHAR), decision, coalesce(refs, ''))"
+
+
+@query(sql(f"""SELECT poi_id, string_agg({_ITEM}, '|' ORDER BY theme <> 'water', theme) AS themes FROM (
+SELECT e.*, l.refs FROM ({_EFFECTIVE}) e LEFT JOIN (SELECT poi_id, theme, string_agg(concat(CAST(evidence_id AS VARCHAR), '/', evidence_type), ',' ORDER BY evidence_id) AS refs FROM (
 SELECT poi_id, evidence_id, evidence_type, CASE WHEN contains(haystack, 'Railyard') THEN 'rail' ELSE 'water' END AS theme FROM ev WHERE haystack <> 'City layer') GROUP BY 1, 2) l ON l.poi_id = e.poi_id AND l.theme = e.theme
 WHERE e.effective_status NOT IN ('suppressed', 'none')) GROUP BY 1""", "mem", "dec", "ev"))
 def theme_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The themes of every place with references to their evidence."""
-    found = themes.effective(views.view(spark, sf_dir, views.MEMBERSHIPS), views.view(spark, sf_dir, views.DECISIONS))
+    """The themes of every place, as a place's detail shows them, with references to their evidence."""
     rows = views.evidence(spark, sf_dir)
     links = rows.where("haystack <> 'City layer'").select("poi_id", F.when(F.contains("haystack", F.lit("Railyard")), "rail").otherwise("water").alias("theme"), "evidence_id")
     refs = lambda t: F.array_join(F.transform(t["refs"], lambda e: F.concat_ws("/", e["evidence_id"].cast("string"), e["evidence_type"])), ",")
-    return details.theme_items(found, links, rows).select("poi_id", F.array_join(F.transform("themes", lambda t: F.concat_ws(":", t["theme"], t["effective_status"], refs(t))), "|").alias("themes"))
+    parts = ("theme", "label", "effective_status", "effective_basis")
+    item = lambda t: F.concat_ws(":", *(t[c] for c in parts), F.format_string("%.2f", t["effective_confidence"]), t["effective_rationale"], t["is_query_active"].cast("string"), t["decision"], refs(t))
+    return details.theme_items(_effective(spark, sf_dir), links, rows).select("poi_id", F.array_join(F.transform("themes", item), "|").alias("themes"))
 
 
 @query("""SELECT p_partkey AS poi_id, CASE WHEN w IS NULL THEN 'skipped' WHEN n_nationkey IS NULL THEN 'fetch_error' ELSE 'enriched' END AS outcome,
@@ -656,6 +669,63 @@ def entity_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return details.enriched(places, entities).select("poi_id", "outcome", "wikipedia_title", "short_description", "entity_type_confidence")
 
 
+_ITEMS = f"""SELECT o_orderkey AS id, concat('reg', CAST(o_orderkey % 4 AS VARCHAR)) AS source_id, CASE o_orderkey % 5 WHEN 0 THEN 'elsewhere' ELSE 'santa-fe' END AS region,
+CASE o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'O' THEN 'unmatched' ELSE 'unreviewed' END AS status, concat('The ', o_orderpriority, ' House') AS external_name,
+CASE WHEN o_orderkey % 6 <> 0 THEN o_custkey + 20 END AS matched_poi_id, CASE WHEN o_orderkey % 6 <> 0 THEN concat('Place ', CAST(o_custkey AS VARCHAR)) END AS best_name, CASE WHEN o_orderstatus = 'F' THEN o_custkey END AS resolved_poi_id,
+CAST(o_orderkey % 700 AS DOUBLE) / 1000 AS best_similarity, CASE WHEN o_orderkey % 2 = 0 THEN 'fuzzy_fallback' END AS match_strategy, CASE WHEN o_orderkey % 3 = 0 THEN 'manual_link' END AS resolution_method FROM orders"""
+_WHY_NOT = """CASE WHEN status = 'resolved' THEN concat('Resolved manually to ''', coalesce(r.canonical_name, d.best_name, 'null'), ''' via ', coalesce(resolution_method, 'manual review'), '.') WHEN status = 'suppressed' THEN 'Suppressed during editorial review.'
+WHEN d.best_name IS NULL THEN 'No plausible canonical POI candidate was found.' ELSE concat('Best candidate ''', d.best_name, ''' via ', coalesce(match_strategy, 'fuzzy_fallback'), ' scored ', printf('%.3f', best_similarity), ', below the auto-link threshold.') END"""
+
+
+@query(sql(f"""SELECT d.id, s.s_name AS source_name, s.kind AS source_type, {_historic_sql("external_name", True)} AS normalized_name, coalesce(c.canonical_name, d.best_name) AS best_name, r.canonical_name AS resolved_name, {_WHY_NOT} AS why_not_linked
+FROM ({_ITEMS}) d LEFT JOIN (SELECT concat('reg', CAST(s_suppkey AS VARCHAR)) AS source_id, s_name, CASE WHEN s_suppkey % 2 = 0 THEN 'register' ELSE 'layer' END AS kind FROM supplier WHERE s_suppkey < 4) s ON s.source_id = d.source_id
+LEFT JOIN poi0 c ON c.poi_id = d.matched_poi_id LEFT JOIN poi0 r ON r.poi_id = d.resolved_poi_id WHERE region = 'santa-fe'""", "poi0"))
+def diagnostic_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every diagnostic of a region with its source, its candidate, its resolved place, and why it wasn't linked."""
+    found = spark.sql(_ITEMS.replace("VARCHAR", "STRING").replace("FROM orders", "FROM {orders}"), orders=_table(spark, sf_dir, "orders"))
+    key = F.col("s_suppkey")
+    sources = _table(spark, sf_dir, "supplier").where("s_suppkey < 4").select(F.concat(F.lit("reg"), key.cast("string")).alias("source_id"), F.col("s_name").alias("source_name"), F.when(key % 2 == 0, "register").otherwise("layer").alias("source_type"))
+    rows = registers.diagnostic_items(found, sources, views.view(spark, sf_dir, views.POI).select("poi_id", "canonical_name"), "all", "santa-fe")
+    return rows.select("id", "source_name", "source_type", "normalized_name", "best_name", "resolved_name", "why_not_linked")
+
+
+_RUN_FORMS = "unnest(list_distinct(list_filter([{0}, {1}], lambda f: f <> '')))"
+_RUN = f"""WITH reg AS (SELECT c_custkey AS row_id, CASE WHEN c_custkey % 4 <> 0 THEN concat('R-', CAST(c_custkey AS VARCHAR)) ELSE '' END AS reference_number, {_REGISTER} AS property_name FROM customer WHERE c_custkey % 2 = 1),
+held AS (SELECT c_custkey AS poi_id, CASE c_custkey % 3 WHEN 0 THEN 'elsewhere' ELSE 'santa-fe' END AS city, {_REGISTER} AS name FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 5 < 3),
+rf AS (SELECT row_id, {_RUN_FORMS.format(_historic_sql('property_name'), _historic_sql('property_name', True))} AS form FROM reg),
+pf AS (SELECT poi_id, {_RUN_FORMS.format(_historic_sql('name'), _historic_sql('name', True))} AS form FROM held WHERE city = 'santa-fe'),
+met AS (SELECT r.*, m.poi_id, CASE WHEN reference_number = '' THEN property_name ELSE reference_number END AS record_id FROM reg r LEFT JOIN (SELECT row_id, min(poi_id) AS poi_id FROM rf JOIN pf USING (form) GROUP BY 1) m ON m.row_id = r.row_id),
+old AS (SELECT l_orderkey * 10 + l_linenumber AS k, l_partkey AS poi_id, concat('s', CAST(l_linenumber % 3 AS VARCHAR)) AS source_id FROM lineitem)"""
+
+
+@query(f"""{_RUN} SELECT 'evidence' AS kind, CAST(k AS VARCHAR) AS record_id, poi_id, source_id, CAST(1 AS DOUBLE) AS confidence FROM old WHERE NOT (source_id = 's1' AND poi_id IN (SELECT poi_id FROM held WHERE city = 'santa-fe'))
+UNION ALL SELECT 'evidence', record_id, poi_id, 's1', 0.99 FROM met WHERE poi_id IS NOT NULL UNION ALL SELECT 'diagnostic', record_id, NULL, 's1', NULL FROM met WHERE poi_id IS NULL
+UNION ALL SELECT 'diagnostic', concat('old', CAST(o_orderkey AS VARCHAR)), NULL, 's2', NULL FROM orders
+UNION ALL SELECT 'touched', NULL, poi_id, NULL, NULL FROM (SELECT poi_id FROM met WHERE poi_id IS NOT NULL UNION SELECT poi_id FROM old WHERE source_id = 's1' AND poi_id IN (SELECT poi_id FROM held WHERE city = 'santa-fe'))""")
+def register_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run of a register over a region leaves, rows being linked by equal forms alone: evidence, diagnostics and touched places."""
+    reg = _register(spark, sf_dir)
+    key = F.col("row_id")
+    rows = reg.where("row_id % 2 = 1").select("row_id", F.when(key % 4 != 0, F.concat(F.lit("R-"), key.cast("string"))).otherwise("").alias("reference_number"), F.col("name").alias("property_name"))
+    held = reg.where("row_id % 2 = 0 AND row_id % 5 < 3").select(key.alias("poi_id"), F.when(key % 3 == 0, "elsewhere").otherwise("santa-fe").alias("city"), F.col("name").alias("canonical_name"))
+    none = held.where("false").select("poi_id", F.col("canonical_name").alias("alias_name"))
+    found = registers.exact(rows.select("row_id", F.col("property_name").alias("name")), held.where("city = 'santa-fe'"), none).withColumns({"likeness": F.lit(1.0), "confidence": F.lit(0.99), "accepted": F.lit(True)})
+    line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    old = _table(spark, sf_dir, "lineitem").select(
+        line.cast("string").alias("evidence_key"), F.col("l_partkey").alias("poi_id"), F.concat(F.lit("s"), (F.col("l_linenumber") % 3).cast("string")).alias("source_id"), F.lit("survey_note").alias("evidence_type"),
+        F.lit("").alias("label"), F.lit("").alias("text"), line.cast("string").alias("record_id"), F.lit(1.0).alias("confidence"),
+    )
+    text_none, id_none = F.lit(None).cast("string"), F.lit(None).cast("long")
+    before = _table(spark, sf_dir, "orders").select(F.lit("s2").alias("source_id"), F.lit("santa-fe").alias("region"), F.concat(F.lit("old"), F.col("o_orderkey").cast("string")).alias("record_id"), text_none.alias("external_name"), id_none.alias("matched_poi_id"), text_none.alias("best_name"), F.lit(None).cast("double").alias("best_similarity"), text_none.alias("match_strategy"), F.lit("unreviewed").alias("status"))
+    left = registers.run(rows, found, old, before, held, "s1", "santa-fe", "historic_designation", F.lit("Listed."))
+    nothing = {"record_id": text_none, "poi_id": id_none, "source_id": text_none, "confidence": F.lit(None).cast("double")}
+    out = None
+    for kind, frame in (("evidence", left["evidence"]), ("diagnostic", left["diagnostics"]), ("touched", left["touched"])):
+        part = frame.select(F.lit(kind).alias("kind"), *(F.col(c) if c in frame.columns else v.alias(c) for c, v in nothing.items()))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 _TAGS_JSON = "concat('{', array_to_string(list_filter([" + ", ".join(f"""CASE WHEN tag_{k} IS NOT NULL THEN concat('"{k}":"', tag_{k}, '"') END""" for k in ("historic", "man_made", "natural", "railway", "tourism", "waterway")) + "], lambda t: t IS NOT NULL), ','), '}')"
 
 

@@ -172,20 +172,6 @@ def test_register_names(spark):
     assert df.select(text.historic_name(F.col("n"), relaxed=True)).collect()[2][0] == "old"
 
 
-def test_exact_before_alias_and_first_place_wins(spark):
-    reg = rows(spark, "row_id int, name string", (1, "San Miguel Chapel"), (2, "Nowhere"))
-    places = rows(spark, "poi_id int, canonical_name string", (1, "Other"), (2, "San Miguel Chapel"))
-    aliases = rows(spark, "poi_id int, alias_name string", (1, "San Miguel Chapel"))
-    assert [(r.row_id, r.poi_id, r.method) for r in matching.exact_matches(reg, places, aliases).collect()] == [(1, 1, "alias_exact")]
-
-
-def test_fuzzy_confidence_can_pass_over_likeness(spark):
-    reg = rows(spark, "row_id int, name string", (1, "Old Adobe Mill House"))
-    places = rows(spark, "poi_id int, canonical_name string, is_historical boolean", (1, "Old Adobe Mill", False), (2, "Old Adobe Mills", True))
-    best = matching.best_fuzzy(reg, places, 0.99).first()
-    assert best.poi_id == 2 and not best.accepted
-
-
 def test_upserts_aliases_and_reset(spark):
     stored = rows(spark, "k int, a string, b string", (1, "x", "y"), (2, "x", None))
     got = {r.k: (r.a, r.b, r.action) for r in editorial.upserted(stored, rows(spark, "k int, a string, b string", (1, None, "n"), (3, "q", "r")), "k", keep=("b",)).collect()}
@@ -281,17 +267,6 @@ def test_every_alias_is_held_against_every_owner(spark):
     assert got == {(1, "mill", 3, 2), (3, "mill", 1, 2), (9, "mill", 1, 3), (5, "depot", 4, 1)}
 
 
-def test_register_rows_match_by_every_name_and_form(spark):
-    places = rows(spark, "poi_id int, canonical_name string, is_historical boolean", (1, "Adobe Mill Works", False), (2, "Barrio Chapel", True), (3, "Adobe Mill Work", True), (4, "Cistern", False))
-    aliases = rows(spark, "poi_id int, alias_name string", (4, "Pump Station Seven"), (2, "Zzyzx Oratory"))
-    reg = rows(spark, "row_id int, names array<string>", (1, ["Nothing Alike", "Pump Station Seven"]), (2, ["Zzyzx Oratori"]), (3, ["The Barrio Chapel"]), (4, ["Adobe Mill Worx"]), (5, ["The"]), (6, ["Adobe Mill Worx"]))
-    got = {r.row_id: r for r in matching.register_matches(reg, places, aliases, 0.78).collect()}
-    assert len(got) == 6
-    assert [(got[i].poi_id, got[i].method, got[i].accepted) for i in (1, 2, 3)] == [(4, "alias_exact", True), (2, "fuzzy_fallback", True), (2, "canonical_exact", True)]
-    assert got[4].poi_id == got[6].poi_id == 3 and got[4].confidence == got[6].confidence
-    assert (got[5].poi_id, got[5].likeness, got[5].accepted) == (2, 0.0, False)
-
-
 def test_holes_and_multipolygons(spark):
     from cairn.operators import layers
 
