@@ -3,8 +3,8 @@
 The likeliest place is found by branch and bound. The likeness of two names is the larger of their shared words' share and of the matching blocks'
 share of their sorted words. A first candidate comes from one place name for each word. Names that share enough words to do better meet by an
 equi-join on a row's rarest words. Names whose matching blocks could do better have lengths that differ little: a row's name goes to the blocks
-of such lengths, where the letters that two names share bound what their blocks can match; candidates are compared in falling order of that bound, until none
-can beat the best.
+of such lengths, where the letters that two names share, and then their longest common subsequence, bound what their blocks can match; candidates are compared in
+falling order of that bound, until none can beat the best.
 """
 
 from __future__ import annotations
@@ -22,11 +22,12 @@ from cairn.functions.text import ascii_slug, historic_forms, historic_name, jacc
 from cairn.operators.editorial import pending
 from cairn.operators.explain import why_not_linked
 from cairn.operators.matching import sequence_ratio
+from cairn.sources.scratch import written
 
 #: What a historical place has on top of its likeness, and the most that a confidence can be.
 HISTORICAL, MOST = 0.05, 0.99
-#: Names of a block.
-BLOCK = 4096
+#: Names of a block, and lengths that share a block.
+BLOCK, LENGTHS = 1 << 14, 16
 _ALPHABET = " abcdefghijklmnopqrstuvwxyz0123456789"
 _BEST = "struct<confidence:double,before:bigint,likeness:double>"
 
@@ -37,10 +38,16 @@ def _candidate(likeness: Column, historical: Column, poi_id: Column) -> Column:
     return F.struct(confidence.alias("confidence"), (-poi_id).alias("before"), likeness.alias("likeness"))
 
 
-def _named(names: DataFrame, *keep: str) -> DataFrame:
-    """The keys to keep and text: the sorted words of each form of each name; names without words have none."""
+def _formed(names: DataFrame, *keep: str) -> DataFrame:
+    """The keys to keep, form and text, the sorted words, of each form of each name; text is empty where there are no words."""
     forms = names.select(*keep, F.explode(historic_forms(F.col("name"))).alias("form"))
-    return forms.select(*keep, F.array_join(F.array_sort(name_words(F.col("form"))), " ").alias("text")).where("text <> ''")
+    return forms.withColumn("text", F.array_join(F.array_sort(name_words(F.col("form"))), " "))
+
+
+def _called(places: DataFrame, aliases: DataFrame) -> DataFrame:
+    """poi_id, via (0: the place's own name, 1: an alias), name."""
+    own = places.select("poi_id", F.lit(0).alias("via"), F.col("canonical_name").alias("name"))
+    return own.unionByName(aliases.select("poi_id", F.lit(1).alias("via"), F.col("alias_name").alias("name"))).where("name is not null")
 
 
 def _letters(texts: list[str]) -> np.ndarray:
@@ -53,51 +60,81 @@ def _letters(texts: list[str]) -> np.ndarray:
     return out
 
 
+def _common(text: str, codes: np.ndarray) -> np.ndarray:
+    """The length of the longest common subsequence of a text and of each row of codes (places in the alphabet, -1 behind the end), for texts of up to 64
+    letters; of a longer text the length itself. Bit-parallel: a bit of the state for each letter of the text, a column of codes at a time."""
+    if len(text) > 64:
+        return np.full(len(codes), len(text))
+    masks = np.zeros(len(_ALPHABET) + 1, np.uint64)
+    for i, c in enumerate(text):
+        masks[_ALPHABET.index(c)] |= np.uint64(1 << i)
+    state = np.full(len(codes), (1 << len(text)) - 1, np.uint64)
+    every = np.uint64((1 << len(text)) - 1)
+    for column in codes.T:
+        met = state & masks[column]
+        state = (state + met) | (state - met)
+    return len(text) - np.bitwise_count(state & every).astype(np.int64)
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    place = np.full(128, -1)
+    place[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
+    out = np.full((len(texts), max(map(len, texts))), -1)
+    for i, text in enumerate(texts):
+        out[i, : len(text)] = place[np.frombuffer(text.encode(), np.uint8)]
+    return out
+
+
 def _compared(asked: DataFrame, held: DataFrame, longest: int) -> DataFrame:
     """text, best, compared: what matching blocks find for each name asked, that is as good as its best so far at least, and how many names it was
     compared with. asked: text, best; held: text, historical, poi_id."""
-    sized = held.withColumn("size", F.length("text"))
+    sized = held.groupBy("text").agg(F.collect_list(F.struct("historical", "poi_id")).alias("kinds")).withColumn("size", F.floor(F.length("text") / LENGTHS).cast("int"))
     blocks = sized.groupBy("size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     stored = sized.join(blocks, "size").select(
-        "size", F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "text", "historical", "poi_id", F.lit(0.0).alias("confidence")
+        "size", F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "text", "kinds", F.lit(0.0).alias("confidence")
     )
     # With blocks of m letters the likeness is 2m / (a + b), and m is the shorter length at most.
     least = F.greatest(F.col("best.confidence") - (HISTORICAL + 0.0001), F.lit(0.0))
     own = F.length("text")
     low = F.greatest(F.lit(1), F.floor(own * least / (2 - least)).cast("int"))
     high = F.when(least > 0, F.least(F.lit(longest), F.ceil(own * (2 - least) / least).cast("int"))).otherwise(F.lit(longest))
-    reach = asked.select("text", "best.confidence", F.explode(F.sequence(low, F.greatest(low, high))).alias("size")).join(blocks, "size")
-    copies = reach.select("size", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "text", F.lit(False).alias("historical"), F.lit(0).cast("long").alias("poi_id"), "confidence")
+    reach = asked.select("text", "best.confidence", F.explode(F.sequence(F.floor(low / LENGTHS).cast("int"), F.floor(F.greatest(low, high) / LENGTHS).cast("int"))).alias("size")).join(blocks, "size")
+    copies = reach.select("size", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "text", F.lit(None).cast(sized.schema["kinds"].dataType).alias("kinds"), "confidence")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, names, counts, bonus, matcher = None, [], None, None, SequenceMatcher(None)
+        group, names, counts, matcher = None, [], None, SequenceMatcher(None)
         for batch in batches:
             out = []
-            for size, block, asks, text, historical, poi_id, confidence in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for size, block, asks, text, kinds, confidence in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group != (size, block):
                     group, names, counts = (size, block), [], None
                 if not asks:
-                    names.append((text, historical, poi_id))
+                    names.append((text, kinds))
                     continue
                 if not names:
                     continue
                 if counts is None:
-                    counts, bonus = _letters([n for n, _, _ in names]), np.array([HISTORICAL if h else 0.0 for _, h, _ in names])
-                bound = 2 * np.minimum(counts, _letters([text])[0]).sum(axis=1) / (len(text) + size)
+                    texts = [n for n, _ in names]
+                    counts, codes, lengths = _letters(texts), _codes(texts), np.array([len(n) for n in texts])
+                    bonus = np.array([max(HISTORICAL if k["historical"] else 0.0 for k in ks) for _, ks in names])
                 best, calls = (confidence, None, 0.0), 0
-                could = np.minimum(bound + bonus + 0.0001, MOST)
-                order = np.flatnonzero(could >= confidence)
+                bound = lambda shared, at: np.minimum(2 * shared / (len(text) + lengths[at]) + bonus[at] + 0.0001, MOST)  # noqa: B023, E731
+                every = np.arange(len(names))
+                at = every[bound(np.minimum(counts, _letters([text])[0]).sum(axis=1), every) >= confidence]
+                could = bound(_common(text, codes[at]), at)
                 matcher.set_seq1(text)
-                for i in order[np.argsort(-could[order], kind="stable")].tolist():
-                    if could[i] < best[0]:
+                order = np.argsort(-could, kind="stable")
+                for i, most in zip(at[order].tolist(), could[order].tolist(), strict=True):
+                    if most < best[0]:
                         break
-                    name, historical, poi_id = names[i]
+                    name, ks = names[i]
                     matcher.set_seq2(name)
                     likeness = matcher.ratio()
                     calls += 1
-                    found = (min(round(likeness + bonus[i], 4), MOST), -poi_id, likeness)
-                    if found[0] > best[0] or found[0] == best[0] and (best[1] is None or found[1:] > best[1:]):
-                        best = found
+                    for k in ks:
+                        found = (min(round(likeness + (HISTORICAL if k["historical"] else 0.0), 4), MOST), -k["poi_id"], likeness)
+                        if found[0] > best[0] or found[0] == best[0] and (best[1] is None or found[1:] > best[1:]):
+                            best = found
                 out.append((text, None if best[1] is None else {"confidence": best[0], "before": best[1], "likeness": best[2]}, calls))
             if out:
                 types = (pa.string(), pa.struct([("confidence", pa.float64()), ("before", pa.int64()), ("likeness", pa.float64())]), pa.int64())
@@ -143,45 +180,54 @@ def likeliest(asked: DataFrame, held: DataFrame) -> DataFrame:
 def exact(names: DataFrame, places: DataFrame, aliases: DataFrame) -> DataFrame:
     """row_id, poi_id, matched_name, method: for each register row (row_id, name) the first place in order of poi_id of which a name or alias has a form in common. Within
     a place the name goes before an alias, aliases go by name."""
-    r = names.select("row_id", F.explode(historic_forms(F.col("name"))).alias("form")).distinct()
-    theirs = places.select("poi_id", F.col("canonical_name").alias("matched_name"), F.lit(0).alias("via"))
-    theirs = theirs.unionByName(aliases.select("poi_id", F.col("alias_name").alias("matched_name"), F.lit(1).alias("via")))
+    forms = lambda df, *keep: df.select(*keep, F.explode(historic_forms(F.col("name"))).alias("form"))
+    return _equal(forms(names, "row_id"), forms(_called(places, aliases), "poi_id", "via", "name"))
+
+
+def _equal(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     # One place a form, so a form that many places have makes no pairs.
-    held = theirs.select("poi_id", "via", "matched_name", F.explode(historic_forms(F.col("matched_name"))).alias("form"))
-    held = held.groupBy("form").agg(F.min(F.struct("poi_id", "via", "matched_name")).alias("first"))
-    met = r.join(held, "form").groupBy("row_id").agg(F.min("first").alias("first"))
+    held = theirs.groupBy("form").agg(F.min(F.struct("poi_id", "via", F.col("name").alias("matched_name"))).alias("first"))
+    met = mine.select("row_id", "form").join(held, "form").groupBy("row_id").agg(F.min("first").alias("first"))
     return met.select("row_id", "first.poi_id", "first.matched_name", F.when(F.col("first.via") == 0, "canonical_exact").otherwise("alias_exact").alias("method"))
 
 
 def matches(rows: DataFrame, places: DataFrame, aliases: DataFrame, threshold: float) -> DataFrame:
-    """row_id, poi_id, matched_name, method, likeness, confidence, accepted, compared of every register row (row_id, names).
+    """row_id, poi_id, matched_name, method, likeness, confidence, accepted, compared of every register row (row_id, names), as _matches finds them. Rows with the same
+    names are matched once; rows that repeat a row_id count each. Null names are none."""
+    rows = rows.select("row_id", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
+    found = _matches(rows.select(F.col("names").alias("row_id"), "names").distinct(), places, aliases, threshold).withColumnRenamed("row_id", "names")
+    return rows.join(found, "names").select("row_id", *(c for c in found.columns if c != "names"))
+
+
+def _matches(rows: DataFrame, places: DataFrame, aliases: DataFrame, threshold: float) -> DataFrame:
+    """The matches of rows whose row_id differ.
 
     Rows that share a form with a place's name or alias are settled by equality. For the others it is the place of the highest confidence, ties to the smaller
     poi_id, accepted if its likeness reaches the threshold; matched_name is the place's likeliest name for it (ties: the row's earlier name, then
     the place's own name, then aliases by name; without any likeness the place's own name). A row without a name, or like no place, takes the
-    first historical place, else the first, at likeness 0. Without places there are no rows. Rows that repeat a row_id are one row with all their names.
+    first historical place, else the first, at likeness 0. Without places there are no rows.
 
     places: poi_id, canonical_name, is_historical; aliases: poi_id, alias_name.
     """
-    names = rows.select("row_id", F.posexplode("names").alias("at", "name"))
-    settled = exact(names, places, aliases).select("row_id", "poi_id", "matched_name", "method", F.lit(1.0).alias("likeness"), F.lit(MOST).alias("confidence"), F.lit(True).alias("accepted"), F.lit(0).cast("long").alias("compared"))
     historical = F.coalesce("is_historical", F.lit(False))
+    mine = written(_formed(rows.select("row_id", F.posexplode("names").alias("at", "name")), "row_id", "at"), "register-rows")
+    theirs = written(_formed(_called(places, aliases).repartition("poi_id"), "poi_id", "via", "name").join(places.select("poi_id", historical.alias("historical")), "poi_id"), "register-names")
+    settled = _equal(mine, theirs).select("row_id", "poi_id", "matched_name", "method", F.lit(1.0).alias("likeness"), F.lit(MOST).alias("confidence"), F.lit(True).alias("accepted"), F.lit(0).cast("long").alias("compared"))
     first = places.agg(F.max(_candidate(F.lit(0.0), historical, F.col("poi_id").cast("long"))).alias("least")).first()["least"]
     if first is None:
         return settled
     least = F.struct(F.lit(first["confidence"]).alias("confidence"), F.lit(first["before"]).cast("long").alias("before"), F.lit(0.0).alias("likeness"))
     left = rows.select("row_id").distinct().join(settled, "row_id", "left_anti")
-    asked = _named(names.join(left, "row_id"), "row_id").distinct()
-    called = places.select("poi_id", F.col("canonical_name").alias("name"), F.lit("").alias("alias"))
-    called = called.unionByName(aliases.select("poi_id", F.col("alias_name").alias("name"), F.col("alias_name").alias("alias"))).where("name is not null")
-    held = _named(called.join(places.select("poi_id", historical.alias("historical")), "poi_id"), "poi_id", "historical").groupBy("text", "historical").agg(F.min(F.col("poi_id").cast("long")).alias("poi_id"))
-    best = likeliest(asked.select("text").distinct(), held)
+    asked = mine.where("text <> ''").select("row_id", "text").distinct().join(left, "row_id")
+    held = theirs.where("text <> ''").groupBy("text", "historical").agg(F.min(F.col("poi_id").cast("long")).alias("poi_id"))
+    best = likeliest(written(asked.select("text").distinct(), "register-asked"), written(held, "register-held"))
     found = left.join(asked, "row_id", "left").join(best, "text", "left").groupBy("row_id").agg(F.max("best").alias("best"), F.coalesce(F.sum("compared"), F.lit(0)).cast("long").alias("compared"))
     found = found.withColumn("best", F.greatest(F.coalesce("best", least), least)).select("row_id", (-F.col("best.before")).alias("poi_id"), "best.likeness", "best.confidence", "compared")
     # Which of the place's names it was.
-    mine = _named(names.join(found.where("likeness > 0").select("row_id", "poi_id"), "row_id"), "row_id", "poi_id", "at")
-    theirs = _named(called, "poi_id", "alias", "name").select("poi_id", "alias", F.col("name").alias("matched_name"), F.col("text").alias("other"))
-    pairs = mine.join(theirs, "poi_id").withColumn("like", F.greatest(jaccard(F.split("text", " "), F.split("other", " ")), sequence_ratio(F.col("text"), F.col("other"))))
+    found = written(found, "register-found")
+    others = theirs.where("text <> ''").select("poi_id", F.when(F.col("via") == 0, "").otherwise(F.col("name")).alias("alias"), F.col("name").alias("matched_name"), F.col("text").alias("other"))
+    pairs = found.where("likeness > 0").select("row_id", "poi_id").join(mine.where("text <> ''"), "row_id").join(others, "poi_id")
+    pairs = pairs.withColumn("like", F.greatest(jaccard(F.split("text", " "), F.split("other", " ")), sequence_ratio(F.col("text"), F.col("other"))))
     named = pairs.groupBy("row_id").agg(F.min(F.struct((-F.col("like")).alias("like"), "at", "alias", "matched_name")).alias("name")).select("row_id", "name.matched_name")
     own = places.select("poi_id", "canonical_name")
     fuzzy = found.join(named, "row_id", "left").join(own, "poi_id").select(

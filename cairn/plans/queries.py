@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import geo, text, vocab
 from cairn.functions.rounding import py_round
-from cairn.operators import classify, details, editorial, evidence, explain, matching, registers, scoring, snapshots, themes
+from cairn.operators import classify, commands, details, editorial, evidence, explain, matching, registers, requests, runs, scoring, snapshots, themes
 from cairn.plans import oracle, views
 from cairn.plans.oracle import r, sql
 from cairn.sources import readers
@@ -743,6 +743,123 @@ def suite_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return details.outcome_counts(rows, "suite")
 
 
+_RAIL = f"""SELECT * FROM (SELECT p.poi_id, tag_railway IS NOT NULL AS line, coalesce(tag_historic = 'railway_station', false) AS station,
+  ({oracle.words("lname", vocab.RAIL_NAMES)}) AND (subcategory IN ('historic_site', 'historic_district', 'infrastructure_landmark', 'trail_river_access', 'civic_space_plaza') OR category IN ('history', 'civic', 'scenic')) AS named,
+  {oracle.words("lname", ("rail trail", "railyard", "rail yard"))} AS yard, subcategory, coalesce(n, 0) AS n FROM poi p LEFT JOIN (SELECT poi_id, count(*) AS n FROM (SELECT DISTINCT poi_id, evidence_id FROM ev WHERE {oracle.words("lower(haystack)", vocab.RAIL_WORDS)}) GROUP BY 1) e ON e.poi_id = p.poi_id) WHERE line OR station OR named"""
+
+
+@query(sql(f"""SELECT poi_id, theme, confidence, basis, CASE WHEN confidence >= 0.6 THEN 'accepted' ELSE 'candidate' END AS status, links FROM (SELECT poi_id, 'rail' AS theme, {r("least((CASE WHEN line THEN 0.75 ELSE 0 END + CASE WHEN station THEN 0.7 ELSE 0 END + CASE WHEN named THEN 0.65 ELSE 0 END + CASE WHEN subcategory IN ('historic_site', 'historic_district', 'infrastructure_landmark') OR (subcategory = 'trail_river_access' AND yard) THEN 0.05 ELSE 0 END) + least(0.2, 0.1 * n), 0.95)", 2)} AS confidence,
+CASE WHEN n > 0 THEN 'mixed' ELSE 'rule' END AS basis, n AS links FROM ({_RAIL}))""", "poi"))
+def rail_theme(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = themes.theme_evidence(views.evidence(spark, sf_dir))
+    none = F.array().cast("array<bigint>")
+    places = views.places(spark, sf_dir, signals=False).join(found, "poi_id", "left").withColumns({c: F.coalesce(c, none) for c in ("water_ids", "rail_ids")}).withColumn("aliases", F.array().cast("array<string>"))
+    return themes.rail(places).select("poi_id", "theme", "confidence", "basis", "status", F.size("evidence_ids").cast("long").alias("links"))
+
+
+_LAYER = "SELECT *, CASE WHEN evidence_id % 10 = 1 THEN 'layer' ELSE 'other' END AS source_id FROM ev"
+_LAYER_NEW = f"""SELECT * FROM ({_LAYER}) WHERE source_id = 'other' OR poi_id % 5 = 2 OR poi_id % 4 > 0 OR evidence_id % 3 > 0
+UNION ALL SELECT evidence_id + 100000000, poi_id, 'historic_designation', property_category, haystack, source_id FROM ({_LAYER}) WHERE source_id = 'layer' AND poi_id % 4 = 1 AND poi_id % 5 <> 2 AND evidence_id % 7 = 1"""
+
+
+def layer_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored evidence, what a run of one layer finds for the places of its region, and these places."""
+    stored = views.evidence(spark, sf_dir).withColumn("source_id", F.when(F.col("evidence_id") % 10 == 1, "layer").otherwise("other"))
+    layer = stored.where("source_id = 'layer' AND poi_id % 5 <> 2")
+    more = layer.where("poi_id % 4 = 1 AND evidence_id % 7 = 1").withColumns({"evidence_id": F.col("evidence_id") + 100000000, "evidence_type": F.lit("historic_designation")})
+    region = views.view(spark, sf_dir, views.POI).select("poi_id").where("poi_id % 5 <> 2")
+    return stored, layer.where("poi_id % 4 > 0 OR evidence_id % 3 > 0").unionByName(more), region
+
+
+@query(sql(f"""SELECT coalesce(a.poi_id, b.poi_id) AS poi_id, coalesce(b.official, 0.0) AS official, coalesce(b.district, 0.0) AS district, coalesce(b.institutional, 0.0) AS institutional, coalesce(b.heritage, false) AS heritage,
+CASE WHEN a.poi_id IS NOT NULL AND a.official = coalesce(b.official, 0) AND a.district = coalesce(b.district, 0) AND a.institutional = coalesce(b.institutional, 0) AND a.heritage = coalesce(b.heritage, false) THEN 1 ELSE 2 END AS computed_at
+FROM sig a FULL JOIN ({oracle.VIEWS["sig"].replace("FROM ev", f"FROM ({_LAYER_NEW})")}) b ON a.poi_id = b.poi_id""", "sig"))
+def layer_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signals of every place after a layer's evidence was replaced in a region; the stamp tells which have changed."""
+    stored, fresh, region = layer_inputs(spark, sf_dir)
+    evidence_now, touched = runs.replaced(stored, fresh, region)
+    before = evidence.rollup(stored).withColumn("computed_at", F.lit(1))
+    return runs.signals_after(before, evidence_now, touched, F.lit(2))
+
+
+_LOG_DIAGNOSTICS = f"SELECT c_custkey AS id, {_REGISTER} AS external_name, CASE c_mktsegment WHEN 'BUILDING' THEN 'resolved' WHEN 'MACHINERY' THEN 'suppressed' ELSE 'unmatched' END AS status, CASE c_mktsegment WHEN 'BUILDING' THEN c_custkey END AS resolved_poi FROM customer"
+_LOG_COMMANDS = """SELECT o_orderkey AS seq, o_custkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'resolve' WHEN 1 THEN 'alias' ELSE 'suppress' END AS action, CASE WHEN o_orderkey % 4 < 2 THEN o_custkey ELSE o_custkey + 7 END AS poi_id,
+CASE WHEN o_orderkey % 5 < 3 THEN concat('The Alias ', CAST(o_custkey % 900 AS STRING)) END AS alias_name, 'r' AS reviewed_by FROM orders"""
+_LOG_ALIASES = "SELECT p_partkey AS poi_id, concat('alias ', CAST(p_partkey AS STRING)) AS normalized_alias FROM part WHERE p_partkey % 3 = 0"
+
+
+def log_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    diagnostics = _register(spark, sf_dir).join(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), "c_mktsegment"), "row_id")
+    state = F.when(F.col("c_mktsegment") == "BUILDING", "resolved").when(F.col("c_mktsegment") == "MACHINERY", "suppressed").otherwise("unmatched")
+    diagnostics = diagnostics.select(F.col("row_id").alias("id"), F.col("name").alias("external_name"), state.alias("status"), F.when(F.col("c_mktsegment") == "BUILDING", F.col("row_id")).alias("resolved_poi"))
+    return diagnostics, views.view(spark, sf_dir, _LOG_COMMANDS), views.view(spark, sf_dir, views.POI).select("poi_id"), views.view(spark, sf_dir, _LOG_ALIASES)
+
+
+@query(f"""WITH d AS ({_LOG_DIAGNOSTICS}), c AS (SELECT c.seq, c.id, CASE WHEN action <> 'suppress' THEN c.poi_id END AS poi, CASE action WHEN 'suppress' THEN 'suppressed' ELSE 'resolved' END AS wants, action,
+  CASE WHEN action = 'alias' THEN coalesce(alias_name, external_name) END AS name, action = 'suppress' OR p_partkey IS NOT NULL AS known, d.id IS NOT NULL AS there FROM ({_LOG_COMMANDS}) c LEFT JOIN d ON d.id = c.id LEFT JOIN part ON p_partkey = c.poi_id),
+n AS (SELECT *, CASE WHEN name IS NOT NULL THEN {_historic_sql('name')} END AS alias FROM c), f AS (SELECT alias, arg_min(poi, seq) AS first FROM n WHERE alias IS NOT NULL AND known AND there GROUP BY 1), a AS ({_LOG_ALIASES}),
+v AS (SELECT n.*, known AND there AND (n.alias IS NULL OR CASE WHEN n.alias IN (SELECT normalized_alias FROM a) THEN NOT EXISTS (SELECT 1 FROM a WHERE a.normalized_alias = n.alias AND a.poi_id <> n.poi) ELSE f.first = n.poi END) AS valid FROM n LEFT JOIN f ON f.alias = n.alias),
+t AS (SELECT id, arg_min(wants, seq) AS wants, arg_min(coalesce(poi, -1), seq) AS poi FROM v WHERE valid GROUP BY 1),
+g AS (SELECT d.id, d.status, CASE WHEN d.status = 'unmatched' THEN t.wants ELSE d.status END AS end_status, CASE WHEN d.status = 'unmatched' THEN t.poi ELSE coalesce(d.resolved_poi, -1) END AS end_poi FROM d LEFT JOIN t ON t.id = d.id)
+SELECT v.seq, v.id, CASE WHEN valid AND wants = end_status AND coalesce(poi, -1) = end_poi THEN 'applied' ELSE 'refused' END AS outcome, end_status AS status, nullif(end_poi, -1) AS resolved_poi FROM v LEFT JOIN g ON g.id = v.id""")
+def editorial_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome of every command of a log, with the state that its diagnostic ends in."""
+    done = commands.folded(*log_inputs(spark, sf_dir))
+    return done["outcomes"].join(done["diagnostics"].select("id", "status", "resolved_poi"), "id", "left").select("seq", "id", "outcome", "status", "resolved_poi")
+
+
+_ASKED = """SELECT s_suppkey AS request_id, CAST(-106.05 AS DOUBLE) + CAST((s_suppkey * 7907) % 150000 AS DOUBLE) / CAST(1000000 AS DOUBLE) AS lon, CAST(35.63 AS DOUBLE) + CAST((s_suppkey * 6131) % 90000 AS DOUBLE) / CAST(1000000 AS DOUBLE) AS lat,
+CAST(1000 + 700 * (s_suppkey % 6) AS INT) AS radius_m, CASE s_suppkey % 7 WHEN 0 THEN 'history' WHEN 1 THEN 'culture' WHEN 2 THEN 'art' WHEN 3 THEN 'scenic' WHEN 4 THEN 'food' WHEN 5 THEN 'civic' ELSE 'mixed' END AS category,
+CASE WHEN s_suppkey % 2 = 0 THEN 'walking' ELSE 'driving' END AS mode, CAST(5 + s_suppkey % 6 AS INT) AS limit_n FROM supplier"""
+
+
+def _asked_sql() -> str:
+    """The best of each request, from the same building blocks as a single one, with the request's columns in place of constants."""
+    match = "CASE q.category_q " + " ".join(f"WHEN '{c}' THEN {oracle.match(c)}" for c in vocab.CATEGORIES) + " END"
+    rows = f"""SELECT * FROM (SELECT *, {match} AS match_type, CAST(round_even(d, 0) AS INT) AS distance_m FROM (SELECT p.*, a.request_id, a.radius_m, a.mode, a.limit_n, a.category AS category_q, sqrt(pow(x - qx, 2) + pow(y - qy, 2)) AS d
+      FROM poi p JOIN (SELECT *, radians(lon) * 6378137.0 AS qx, ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0 AS qy FROM asked) a ON p.is_active AND abs(x - qx) <= radius_m AND abs(y - qy) <= radius_m) q WHERE d <= radius_m) AS q
+      WHERE match_type <> 'none' AND distance_m <= radius_m AND (category_q <> 'scenic' OR {oracle.SCENIC})"""
+    share = "(distance_m / CAST(radius_m AS DOUBLE))"
+    spatial = {"point_proximity": f"greatest(0.0, 18.0 - 18.0 * {share})", "radius_fit": f"greatest(0.0, 12.0 - 12.0 * {share})"}
+    by = {c: oracle.components(c, "walking") for c in vocab.CATEGORIES}
+    parts = {k: v if v == by["mixed"][k] else "" for k, v in by["history"].items()}
+    parts = {k: "CASE category_q " + " ".join(f"WHEN '{c}' THEN {by[c][k]}" for c in vocab.CATEGORIES) + " END" if len({by[c][k] for c in vocab.CATEGORIES}) > 1 else by["mixed"][k] for k in parts}
+    parts["mode_affinity"] = f"CASE mode WHEN 'walking' THEN {by['mixed']['mode_affinity']} ELSE {oracle.components('mixed', 'driving')['mode_affinity']} END"
+    found = oracle.scored(rows, spatial, parts, oracle.guardrail(f"({spatial['point_proximity']} + {spatial['radius_fit']})", 24, 18))
+    return f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, poi_id) AS INT) AS rank FROM ({found})) WHERE rank <= limit_n"
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.sql(_ASKED.replace("FROM supplier", "FROM {supplier}"), supplier=_table(spark, sf_dir, "supplier")).withColumnRenamed("limit_n", "limit")
+    asked = asked.withColumns({"theme": F.lit(None).cast("string"), "city": F.lit(None).cast("string")})
+    return requests.nearby(views.places(spark, sf_dir), asked)
+
+
+_WITH_ASKED = sql("SELECT 1", "poi").removesuffix("\nSELECT 1") + f",\nasked AS ({_ASKED})\n"
+
+
+@query(_WITH_ASKED + f"SELECT request_id, rank, poi_id, distance_m, match_type, score FROM ({_asked_sql()})")
+def nearby_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best places of many requests, each of its own point, radius, category, mode and limit, in one plan."""
+    return _asked(spark, sf_dir).select("request_id", "rank", "poi_id", "distance_m", "match_type", "score")
+
+
+@query(_WITH_ASKED + f"""SELECT suite, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, count(passed) AS run, bool_and(passed) AS all_passed FROM (
+SELECT concat('suite', CAST(a.request_id % 4 AS VARCHAR)) AS suite, CASE WHEN a.request_id % 9 = 0 THEN n IS NULL WHEN n IS NULL THEN false ELSE NOT forbidden AND n >= 2 AND expected END AS passed FROM asked a LEFT JOIN (
+SELECT request_id, count(*) AS n, bool_or(contains(canonical_name, 'Acequia') AND rank > 0 AND request_id % 5 = 0) AS forbidden, bool_or(poi_id % 2 = 0) AS expected FROM ({_asked_sql()}) GROUP BY 1) f ON f.request_id = a.request_id) GROUP BY 1""")
+def case_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases over the requests: some expect nothing, the others two results, one even key among them, and some that no result is an acequia. Passed and failed by suite."""
+    ranked = _asked(spark, sf_dir).select("request_id", "rank", F.when((F.col("request_id") % 5 == 0) & F.contains("canonical_name", F.lit("Acequia")), "acequia").otherwise(F.when(F.col("poi_id") % 2 == 0, "even").otherwise("odd")).alias("name"), (F.col("poi_id") % 2 == 0).alias("even"))
+    # A result may be an acequia and even: it has both names.
+    ranked = ranked.select("request_id", "rank", "name").unionByName(ranked.where("name = 'acequia' and even").select("request_id", "rank", F.lit("even").alias("name")))
+    names = lambda *v: F.array(*map(F.lit, v)).cast("array<string>")
+    cases = _table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("case_id"), F.col("s_suppkey").alias("request_id"), F.concat(F.lit("suite"), (F.col("s_suppkey") % 4).cast("string")).alias("suite"), (F.col("s_suppkey") % 9 == 0).alias("expect_empty"),
+        names("even").alias("expected"), names("acequia").alias("forbidden"), names().alias("preferred"), F.lit(None).cast("int").alias("required_preferred"), F.lit(2).alias("least"), F.lit(None).cast("int").alias("most"),
+    )
+    return details.outcome_counts(requests.outcomes(cases, ranked), "suite")
+
+
 # Evidence is every row of lineitem: what was registered apart for that is the same query.
 for _name in ("nearby_topk", "route_topk", "nonspatial_components", "intent_guardrail", "theme_filtered_topk", "water_theme", "membership_evidence_diff", "evidence_rollup", "signal_recompute", "child_collect", "region_reset", "rail_anchor", "why_reasons", "badges", "case_expectations"):
     QUERIES[f"{_name}_whole"], ORACLE_SQL[f"{_name}_whole"] = QUERIES[_name], ORACLE_SQL[_name]
