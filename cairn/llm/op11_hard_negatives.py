@@ -22,7 +22,7 @@ SCALE, EVERY = 256, 100
 POSITIVES, NEGATIVES = 5, 10
 #: Percent of the positive's score, at least and at most.
 LOW, HIGH = 30, 90
-BLOCK_ROWS = 1 << 15
+BLOCK_ROWS = 1 << 13
 #: Codes of a half at most; rows of a block that its codebooks are fitted on at most (all rows are indexed); rounds of fitting.
 CODES, FIT_ROWS, ROUNDS = 32, 4096, 6
 #: Components are held to this, so that the scores of 512 of them fit 64 bits.
