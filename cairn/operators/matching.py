@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +17,8 @@ from cairn.functions.rounding import py_round
 from cairn.functions.text import jaccard, name_words
 
 METRES_PER_DEGREE = 111320.0
+#: Cells on a side of a shape's box up to which its cover is the box.
+FEW = 4
 
 
 @F.pandas_udf(T.DoubleType())
@@ -52,15 +57,93 @@ def best_place(pairs: DataFrame, likeness: Column, metres: float = 250.0, least:
     return rows.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place").withColumn("confidence", F.least("combined", F.lit(0.99)))
 
 
+def _hits(edges: np.ndarray, x: float, y: float, size: float) -> np.ndarray:
+    """Which edges (ax, ay, bx, by) touch a closed square: their boxes meet, and the square's corners aren't all on one side of the edge."""
+    ax, ay, bx, by = edges.T
+    near = (np.minimum(ax, bx) <= x + size) & (np.maximum(ax, bx) >= x) & (np.minimum(ay, by) <= y + size) & (np.maximum(ay, by) >= y)
+    side = np.stack([(bx - ax) * (py - ay) - (by - ay) * (px - ax) for px in (x, x + size) for py in (y, y + size)])
+    return near & ~((side > 0).all(axis=0) | (side < 0).all(axis=0))
+
+
+def cover(edges: np.ndarray, cell: float) -> list[tuple[int, int, int, bool]]:
+    """Cells (level, cx, cy, inner) of a quadtree that cover what lies inside the edges by parity, cells of level l being cell * 2^l wide: inner ones, as large as fit, that no
+    edge touches, and cells of level 0 that an edge touches. So a polygon has about as many as its border has cells."""
+    low, high = edges.reshape(-1, 2).min(axis=0), edges.reshape(-1, 2).max(axis=0)
+    level = max(0, int(np.ceil(np.log2(max(float((high - low).max()) / cell, 1.0)))))
+    width = cell * 2.0**level
+    first, last = np.floor(low / width).astype(int), np.floor(high / width).astype(int)
+    waiting = [(level, cx, cy, edges) for cx in range(first[0], last[0] + 1) for cy in range(first[1], last[1] + 1)]
+    out = []
+    while waiting:
+        level, cx, cy, some = waiting.pop()
+        width = cell * 2.0**level
+        some = some[_hits(some, cx * width, cy * width, width)]
+        if not len(some):
+            x, y = (cx + 0.5) * width, (cy + 0.5) * width
+            ax, ay, bx, by = edges.T
+            crossed = (ay > y) != (by > y)
+            if np.count_nonzero(x < ax[crossed] + (y - ay[crossed]) / (by[crossed] - ay[crossed]) * (bx[crossed] - ax[crossed])) % 2:
+                out.append((level, cx, cy, True))
+        elif level == 0:
+            out.append((0, cx, cy, False))
+        else:
+            waiting += [(level - 1, 2 * cx + i, 2 * cy + j, some) for i in (0, 1) for j in (0, 1)]
+    return out
+
+
+def _parts(polygons: DataFrame) -> dict[str, Column]:
+    """128 bits that name a ring and its holes."""
+    shape = ["ring", "holes"] if "holes" in polygons.columns else ["ring"]
+    return {"_part": F.xxhash64(*shape), "_more": F.xxhash64(F.lit(1), *shape)}
+
+
+def _extent(axis: str) -> tuple[Column, Column]:
+    values = F.transform("ring", lambda p: p[axis])
+    return F.array_min(values), F.array_max(values)
+
+
+def covers(polygons: DataFrame, cell: float, large: bool = True) -> DataFrame:
+    """_part, _more, level, cx, cy, inner: the cover of each shape of polygons (ring, and holes if there are any). Rings of fewer than two points have none. A shape whose box
+    has few cells gets these, none of them inner; larger ones get a quadtree's, unless large says that there are none."""
+    more = "holes" in polygons.columns
+    parts = _parts(polygons)
+    names = list(parts)
+    rows = polygons.select(*(c.alias(k) for k, c in parts.items()), "ring", *(["holes"] if more else [])).where(F.size("ring") > 1).distinct()
+    (west, east), (south, north) = _extent("x"), _extent("y")
+    few = (east - west <= FEW * cell) & (north - south <= FEW * cell)
+    span = lambda low, high: F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell)))
+    small = rows.where(few).select(*names, "ring", span(west, east).alias("cx")).withColumn("cy", span(south, north))
+    small = small.select(*names, F.lit(0).alias("level"), "cx", "cy", F.lit(False).alias("inner"))
+
+    if not large:
+        return small
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rings = [batch.column(2)[i].as_py() or []] + ((batch.column(3)[i].as_py() or []) if more else [])
+                edges = [(a["x"], a["y"], b["x"], b["y"]) for ring in rings if ring for a, b in zip(ring, ring[1:], strict=False)]
+                cells = cover(np.array(edges), cell) if edges else []
+                if cells:
+                    at = pa.array(np.full(len(cells), i))
+                    columns = [pa.array(c, t) for c, t in zip(zip(*cells, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.bool_()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], [*names, "level", "cx", "cy", "inner"])
+
+    return small.unionByName(rows.where(~few).mapInArrow(run, "_part long, _more long, level int, cx long, cy long, inner boolean"))
+
+
 def contained(places: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
-    """Pairs of place (poi_id, x, y) and polygon (polygon_id, ring, and holes if there are any) in which it lies, edges included,
-    those of holes too. A polygon goes to the
-    cells that its box covers, so that both sides meet by equality."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    cells = lambda a: F.sequence(F.floor(F.array_min(a) / cell), F.floor(F.array_max(a) / cell))
-    g = polygons.withColumn("cx", F.explode(cells(xs))).withColumn("cy", F.explode(cells(ys)))
-    p = places.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    met = p.join(g, ["cx", "cy"]).where(in_ring(F.col("x"), F.col("y"), F.col("ring")))
+    """Pairs of place (poi_id, x, y) and polygon (ring, holes if there are any, and what else it has) in which it lies, edges included,
+    those of holes too. A place meets the cells of the polygons' covers by equality, at each level in use; inside an inner cell nothing is left to test."""
+    (west, east), (south, north) = _extent("x"), _extent("y")
+    widest = polygons.agg(F.max(F.greatest(east - west, north - south))).first()[0] or 0.0
+    cells = covers(polygons, cell, widest > FEW * cell).withColumnRenamed("level", "_level")
+    levels = range(1 if widest <= FEW * cell else 1 + int(np.ceil(np.log2(widest / cell))))
+    p = places.withColumn("_level", F.explode(F.array(*map(F.lit, levels))))
+    width = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
+    p = p.withColumns({"cx": F.floor(F.col("x") / width), "cy": F.floor(F.col("y") / width)})
+    met = p.join(cells, ["_level", "cx", "cy"]).join(polygons.withColumns(_parts(polygons)), ["_part", "_more"])
+    inside = in_ring(F.col("x"), F.col("y"), F.col("ring"))
     if "holes" in polygons.columns:
-        met = met.where(~F.exists(F.coalesce("holes", F.array().cast("array<array<struct<x:double,y:double>>>")), lambda h: in_ring(F.col("x"), F.col("y"), h, edges_too=False)))
-    return met.drop("cx", "cy")
+        inside = inside & ~F.exists(F.coalesce("holes", F.array().cast("array<array<struct<x:double,y:double>>>")), lambda h: in_ring(F.col("x"), F.col("y"), h, edges_too=False))
+    return met.where(F.col("inner") | inside).drop("cx", "cy", "_level", "_part", "_more", "inner")

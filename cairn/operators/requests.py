@@ -16,7 +16,9 @@ from cairn.functions.rounding import py_round, total
 from cairn.operators import scoring
 
 #: Side of a grid cell in Mercator metres; a request covers its box in cells of this size, or of a power of two times it, 64 at most.
-CELL, MOST_CELLS = 500.0, 64
+CELL = 500.0
+#: Components that only one category has.
+_CONTEXT = {"scenic_specificity": "scenic", "art_anchor_bonus": "art", "civic_anchor_bonus": "civic", "civic_fragment_penalty": "civic", "history_anchor_bonus": "history"}
 
 
 def _by(column: str, values: tuple[str, ...], of: Callable[[str], Column]) -> Column:
@@ -60,26 +62,27 @@ def nearby(places: DataFrame, requests: DataFrame) -> DataFrame:
     """
     asked = requests.where(valid(requests))
     kinds, modes = tuple(vocab.CATEGORIES), tuple(scoring.SPEED)
-    rows = _met(places, asked.withColumn("radius_m", F.col("radius_m").cast("double")))
-    rows = rows.where(_by("category", kinds, scoring.category_matches))
-    if "themes" in places.columns:
-        rows = rows.where(F.col("theme").isNull() | F.array_contains("themes", F.col("theme")))
-    else:
-        rows = rows.where(F.col("theme").isNull()).withColumns({"rail_basis": F.lit(None).cast("string"), "rail_links": F.lit(None).cast("int")})
+    if "themes" not in places.columns:
+        places = places.withColumns({"themes": F.array().cast("array<string>"), "rail_basis": F.lit(None).cast("string"), "rail_links": F.lit(None).cast("int")})
+    # What depends on the place alone is worked out before the join: once a place, not once a pair.
+    base = {m: scoring.base_components(m) for m in modes}
+    alone = {k: v for k, v in base[modes[0]].items() if k != "mode_affinity"} | {f"_{m}": base[m]["mode_affinity"] for m in modes}
+    context = {k: (c, scoring.category_components(c)[k]) for k, c in _CONTEXT.items()}
+    alone |= {f"_{k}": v for k, (_, v) in context.items()}
+    rail_parts = scoring.theme_components("mixed", "rail") | {"nearby_rail_anchor_prominence": F.when(scoring.is_rail_anchor(), 8.0).otherwise(0.0)}
+    alone |= {f"_{k}": v for k, v in rail_parts.items()}
+    rows = _met(places.withColumns(alone), asked.withColumn("radius_m", F.col("radius_m").cast("double")))
+    rows = rows.where(_by("category", kinds, scoring.category_matches) & (F.col("theme").isNull() | F.array_contains("themes", F.col("theme"))))
     share = F.col("distance_m") / F.col("radius_m")
     near, fit = F.greatest(F.lit(0.0), 18.0 - 18.0 * share), F.greatest(F.lit(0.0), 12.0 - 12.0 * share)
-    match = _by("category", kinds, scoring.match_type)
     rail = (F.col("theme") == "rail") & (F.col("category") == "mixed")
-    parts = {"point_proximity": py_round(near, 2), "radius_fit": py_round(fit, 2)}
-    base = {m: scoring.base_components(m) for m in modes}
-    parts |= {k: v if k != "mode_affinity" else _by("mode", modes, lambda m: base[m]["mode_affinity"]) for k, v in base[modes[0]].items()}
-    context = {c: scoring.category_components(c) for c in kinds}
-    parts |= {k: _by("category", kinds, lambda c, k=k: context[c][k]) for k in context[kinds[0]]}
-    theme = scoring.theme_components("mixed", "rail")
-    parts |= {k: F.when(rail, v).otherwise(0.0) for k, v in theme.items()}
-    parts["nearby_rail_anchor_prominence"] = F.when(rail & scoring.is_rail_anchor(), 8.0).otherwise(0.0)
+    parts = {"point_proximity": py_round(near, 2), "radius_fit": py_round(fit, 2), "mode_affinity": _by("mode", modes, lambda m: F.col(f"_{m}"))}
+    parts |= {k: F.when(F.col("category") == c, F.col(f"_{k}")).otherwise(0.0) for k, (c, _) in context.items()}
+    parts |= {k: F.when(rail, F.col(f"_{k}")).otherwise(0.0) for k in rail_parts}
     parts |= {"category_bonus": scoring.category_bonus(F.col("match_type")), "category_intent_guardrail": scoring.guardrail(F.col("match_type"), near + fit, 24.0, 18.0)}
-    rows = rows.withColumn("match_type", match).withColumns(parts).withColumn("score", total(*map(F.col, parts)))
+    own = [k for k in base[modes[0]] if k != "mode_affinity"]
+    rows = rows.withColumn("match_type", _by("category", kinds, scoring.match_type)).withColumns(parts).withColumn("score", total(*map(F.col, [*own, *parts])))
+    rows = rows.drop(*(k for k in alone if k.startswith("_")))
     order = Window.partitionBy("request_id").orderBy(F.col("score").desc(), "poi_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 20).where(F.col("rank") <= F.col("limit"))
 
