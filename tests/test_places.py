@@ -137,7 +137,7 @@ def test_editorial_decisions_hold(spark):
     m = rows(spark, "poi_id int, theme string, status string, basis string, confidence double", (1, "water", "accepted", "rule", 0.7), (2, "water", "accepted", "rule", 0.7))
     d = rows(spark, "poi_id int, theme string, decision string", (1, "water", "force_exclude"), (2, "water", "force_include"), (3, "rail", "force_include"), (4, "rail", "force_exclude"))
     got = {r.poi_id: (r.effective_status, r.effective_confidence, r.effective_basis) for r in themes.effective(m, d).collect()}
-    assert got == {1: ("suppressed", 0.7, "rule"), 2: ("accepted", 0.9, "mixed"), 3: ("accepted", 1.0, "editorial"), 4: ("suppressed", 0.0, None)}
+    assert got == {1: ("suppressed", 0.7, "rule"), 2: ("accepted", 0.9, "mixed"), 3: ("accepted", 1.0, "editorial"), 4: ("suppressed", 0.0, "editorial")}
 
 
 def test_snapshots_close_and_open(spark):
