@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import vocab
 from cairn.functions.text import clean, description_quality, type_template
+from cairn.sources.readers import article_title, entity_id
 
 
 def evidence_text(kind: Column, label: Column, status: Column, district: Column, publisher: str) -> Column:
@@ -56,8 +57,10 @@ def replaces_description(stored: Column, found: Column, kind: Column) -> Column:
 
 def enriched(places: DataFrame, entities: DataFrame) -> DataFrame:
     """places (poi_id, wikidata_id, wikipedia_title, title_hint, short_description, normalized_subcategory, entity_type_confidence, description_quality) with
-    what their entities (entity_id, description, title) add, and outcome: enriched, fetch_error (an id without an entity) or skipped (no id)."""
-    e = entities.select(F.col("entity_id").alias("wikidata_id"), F.col("description").alias("e_description"), F.col("title").alias("e_title"), F.lit(True).alias("met"))
+    what their entities (entity_id, description, title) add, and outcome: enriched, fetch_error (an id without an entity) or skipped (no id). An entity that is there
+    several times counts once, with its largest (description, title). has_wikidata and has_wikipedia, if places have them, are set where an entity was met."""
+    one = entities.groupBy(F.col("entity_id").alias("wikidata_id")).agg(F.max(F.struct("description", "title")).alias("e"))
+    e = one.select("wikidata_id", F.col("e.description").alias("e_description"), F.col("e.title").alias("e_title"), F.lit(True).alias("met"))
     rows = places.join(e, "wikidata_id", "left")
     met = F.coalesce("met", F.lit(False))
     outcome = F.when(met, "enriched").when(F.col("wikidata_id").isNull(), "skipped").otherwise("fetch_error")
@@ -65,12 +68,29 @@ def enriched(places: DataFrame, entities: DataFrame) -> DataFrame:
     text = F.when(met & replaces_description(F.col("short_description"), F.col("e_description"), F.col("normalized_subcategory")), F.col("e_description")).otherwise(F.col("short_description"))
     out = rows.withColumns({"outcome": outcome, "wikipedia_title": title, "short_description": text})
     quality = F.greatest("description_quality", description_quality(F.col("short_description"), F.col("normalized_subcategory")))
+    flags = {"has_wikidata": F.lit(True), "has_wikipedia": F.col("wikipedia_title").isNotNull()}
+    out = out.withColumns({c: F.when(met, v).otherwise(F.col(c)) for c, v in flags.items() if c in places.columns})
     return out.withColumns({
         "entity_type_confidence": F.when(met, F.greatest("entity_type_confidence", F.lit(0.9))).otherwise(F.col("entity_type_confidence")),
         "description_quality": F.when(met, quality).otherwise(F.col("description_quality")),
     }).drop("e_description", "e_title", "met")
 
 
+def with_hints(places: DataFrame, tags: DataFrame) -> DataFrame:
+    """places (poi_id, wikidata_id) with what their latest tags (poi_id, tags) say: the tags' entity goes before the stored one; title_hint is the tags' article."""
+    rows = places.join(tags.select("poi_id", F.col("tags").alias("latest")), "poi_id", "left")
+    tag = lambda k: F.try_element_at("latest", F.lit(k))
+    return rows.withColumns({"wikidata_id": F.coalesce(entity_id(tag("wikidata")), "wikidata_id"), "title_hint": clean(article_title(tag("wikipedia")))}).drop("latest")
+
+
+def enrichment_counts(rows: DataFrame, failed: DataFrame) -> DataFrame:
+    """One row: the counters of an enrichment run. rows: outcome; failed: entity_id of every batch that couldn't be fetched. A fetch error counts for each of these, and for each place whose entity isn't there."""
+    lost = failed.select("entity_id").distinct().select(F.lit("fetch_error").alias("outcome"), F.lit(False).alias("place"))
+    both = rows.select("outcome", F.lit(True).alias("place")).unionByName(lost)
+    is_ = lambda o: F.count_if(F.col("outcome") == o)
+    return both.agg(F.count_if("place").alias("candidates"), is_("enriched").alias("enriched"), is_("skipped").alias("skipped"), is_("fetch_error").alias("fetch_errors"))
+
+
 def place_evidence(places: DataFrame, evidence: DataFrame, sources: DataFrame, aliases: DataFrame) -> DataFrame:
     """places with their evidence, the latest first, each with its source's name (null if the source is unknown), and their aliases, the preferred first. evidence:
     poi_id, source_id, evidence_type, observed_at; sources: source_id, source_name; aliases: poi_id, alias_name, is_preferred."""

@@ -108,16 +108,24 @@ class Store:
         rows = self.spark.read.parquet(f"{self.path}/log")
         return rows.groupBy("run").agg(F.max_by(F.struct("state", "at", "more"), F.struct("at", F.col("state") != "running")).alias("last")).select("run", "last.*")
 
-    def commit(self, tables: dict[str, DataFrame], base: int, keys: dict[str, list[str]] | None = None, parents: list[tuple[str, list[str], str, list[str]]] | None = None) -> int:
-        """The new version. Tables that aren't given are taken over from `base`, the version that they were worked out from.
+    def stage(self, name: str, df: DataFrame) -> str:
+        """Writes a table for a later commit and returns where it is: what builds on it reads it by at(), so it isn't worked out again."""
+        path = f"tables/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{path}")
+        return path
+
+    def at(self, path: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{path}")
+
+    def commit(self, tables: dict[str, DataFrame | str], base: int, keys: dict[str, list[str]] | None = None, parents: list[tuple[str, list[str], str, list[str]]] | None = None) -> int:
+        """The new version, of frames or staged tables. Tables that aren't given are taken over from `base`, the version that they were worked out from.
 
         keys: columns that name a row of a table, none of them null; parents: (table, columns, other table, its columns), where each row's columns must stand in the other table, unless one
         of them is null. A rule that is broken, or a version that isn't `base` any more, raises Conflict."""
         names = dict(self._manifest(base)["tables"])
         for name, df in tables.items():
-            names[name] = f"tables/{name}-{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.path}/{names[name]}")
-        new = {name: self.spark.read.parquet(f"{self.path}/{at}") for name, at in names.items()}
+            names[name] = df if isinstance(df, str) else self.stage(name, df)
+        new = {name: self.at(at) for name, at in names.items()}
         for name, columns in (keys or {}).items():
             if name in tables:
                 if not new[name].groupBy(*columns).count().where("count > 1").isEmpty():

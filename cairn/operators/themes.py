@@ -118,3 +118,32 @@ def effective(memberships: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def review_state(reviewed_at: Column, has_membership: Column, stamp: Column, computed_at: Column) -> Column:
     return F.when(reviewed_at.isNull(), "unreviewed").when(~has_membership, "reviewed").when(stamp.eqNullSafe(computed_at), "reviewed").otherwise("stale")
+
+
+def queue(memberships: DataFrame, decisions: DataFrame, places: DataFrame, links: DataFrame, theme: str | None = None, city: str | None = None, status: str | None = None, state: str | None = None, decision: str | None = None, limit: int = 100) -> DataFrame:
+    """What a reviewer of themes sees: every place and theme with a membership or a decision, what isn't reviewed first, then stale rows, candidates before accepted ones, the least confident, by name, poi_id and
+    theme. status: only memberships of that status; decision: only such decisions; state: unreviewed, reviewed or stale. memberships: poi_id, theme, status, basis, confidence, computed_at; decisions: poi_id, theme, decision,
+    reviewed_at, stamp (computed_at of the membership that was seen); places: poi_id, canonical_name, city, category; links: poi_id, theme, evidence_id. Filters come before the joins that they allow."""
+    pick = lambda df: df if theme is None else df.where(F.col("theme") == theme)
+    m, d = pick(memberships), pick(decisions)
+    m = m if status is None else m.where(F.col("status") == status)
+    d = d if decision is None else d.where(F.col("decision") == decision)
+    how = {(True, True): "full", (False, True): "left", (True, False): "right", (False, False): "inner"}[(status is None, decision is None)]
+    keys = ["poi_id", "theme"]
+    rows = m.withColumn("member", F.lit(True)).join(d.withColumn("decided", F.lit(True)), keys, how)
+    rows = rows.withColumn("review_state", review_state(F.col("reviewed_at"), F.coalesce("member", F.lit(False)), F.col("stamp"), F.col("computed_at")))
+    rows = rows if state is None else rows.where(F.col("review_state") == state)
+    at = places if city is None else places.where(F.col("city") == city)
+    rows = rows.join(at.select("poi_id", "canonical_name", "city", "category"), "poi_id")
+    order = lambda c, *values: F.coalesce(F.array_position(F.array(*map(F.lit, values)), F.col(c)), F.lit(0))
+    last = lambda p, n: F.when(p == 0, n).otherwise(p)
+    confidence = py_round(F.col("confidence"), 2)
+    first = (last(order("review_state", "unreviewed", "stale", "reviewed"), 4), last(order("status", "candidate", "accepted"), 3), F.coalesce(confidence, F.lit(1.0)), F.lower("canonical_name"), "poi_id", "theme")
+    top = rows.withColumn("automated_confidence", confidence).orderBy(*first).limit(limit)
+    counts = pick(links).join(top.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.count_distinct("evidence_id").alias("evidence_count"))
+    label = F.create_map(*(F.lit(x) for t, spec in vocab.THEMES.items() for x in (t, spec[0])))[F.col("theme")]
+    held = F.when(F.col("decision") == "force_exclude", "suppressed").when(F.col("decision") == "force_include", "accepted").otherwise(F.col("status"))
+    return top.join(counts, keys, "left").select(
+        *keys, F.coalesce(label, "theme").alias("label"), "canonical_name", "city", "category", F.col("status").alias("automated_status"), F.col("basis").alias("automated_basis"), "automated_confidence",
+        F.when(F.col("member"), F.coalesce("evidence_count", F.lit(0))).otherwise(F.lit(0)).alias("evidence_count"), "computed_at", F.col("decision").alias("editorial_decision"), "review_state", "reviewed_at", held.alias("effective_status"),
+    )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import geo, text, vocab
 from cairn.functions.rounding import py_round
-from cairn.operators import classify, commands, details, editorial, evidence, explain, matching, registers, requests, runs, scoring, snapshots, themes
+from cairn.operators import classify, commands, details, editorial, evidence, explain, ingest, matching, registers, requests, runs, scoring, snapshots, themes
 from cairn.plans import oracle, views
 from cairn.plans.oracle import r, sql
 from cairn.sources import readers
@@ -860,6 +860,130 @@ def case_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return details.outcome_counts(requests.outcomes(cases, ranked), "suite")
 
 
+_FETCHED = "SELECT 'survey' AS source_name, concat('node/', CAST(l_partkey AS STRING)) AS record_id, l_partkey AS id, l_shipdate AS fetched_at, l_orderkey * 10 + l_linenumber AS seq, l_suppkey AS run_id, CAST(l_suppkey % 3 AS STRING) AS content_hash FROM lineitem"
+_LAST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY fetched_at DESC, seq DESC) AS k FROM ({})) WHERE k = 1"
+_QUALITY = "CAST(least(95.0, 50.0 + 2.5 * (1 + (tag_historic IS NOT NULL)::INT + (tag_railway IS NOT NULL)::INT + (tag_waterway IS NOT NULL)::INT + (tag_tourism IS NOT NULL)::INT + (tag_natural IS NOT NULL)::INT + (tag_man_made IS NOT NULL)::INT)) AS DOUBLE)"
+_AUDIT = f"""SELECT *, {_QUALITY} AS new_quality, {_KIND} AS kind, CASE WHEN content_hash = '2' OR poi_id % 10 = 0 THEN 'skipped_missing_name' WHEN rule IS NULL THEN 'skipped_unclassified' ELSE 'classified' END AS status FROM (SELECT *, {_RULE} AS rule
+FROM (SELECT p.* REPLACE (CASE WHEN content_hash = '1' THEN NULL ELSE tag_railway END AS tag_railway), c.record_id, c.content_hash, c.run_id FROM cur c JOIN poi0 p ON p.poi_id = c.id))"""
+_RAN = "SELECT s_suppkey AS run_id, concat('region', CAST(s_nationkey % 2 AS STRING)) AS region FROM supplier"
+
+
+def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of lineitem as a fetched snapshot of a place's record, in one of three forms."""
+    return views.view(spark, sf_dir, _FETCHED)
+
+
+def _audit(spark: SparkSession, sf_dir: str, current: DataFrame) -> DataFrame:
+    """The region's current records, audited: a form has no railway tag, another no name."""
+    ran = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("run_id"), F.concat(F.lit("region"), (F.col("s_nationkey") % 2).cast("string")).alias("region"))
+    here = ingest.of_region(current, ran, "survey", "region0").select("id", "content_hash")
+    dropped = F.map_filter("tags", lambda k, v: ~(((k == "railway") & (F.col("content_hash") == "1")) | ((k == "name") & (F.col("content_hash") == "2"))))
+    return classify.audited(_tagged(spark, sf_dir).join(here, "id").withColumn("tags", dropped))
+
+
+def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = views.view(spark, sf_dir, views.POI).where("poi_id % 3 <> 0")
+    return places.select("poi_id", F.concat(F.lit("node/"), F.col("poi_id").cast("string")).alias("record_id"), "city", F.col("subcategory").alias("normalized_subcategory"), "quality_score", F.lit("approved").alias("review_status"), "is_active")
+
+
+_REFRESHED = """SELECT coalesce(f.record_id, s.record_id) AS record_id, CASE WHEN f.record_id IS NULL THEN 'kept' WHEN s.record_id IS NULL THEN 'inserted' ELSE 'updated' END AS action, CASE WHEN f.record_id IS NULL THEN s.city ELSE 'region0' END AS city,
+coalesce(f.kind, s.subcategory) AS kind, coalesce(f.new_quality, s.quality_score) AS quality, CASE WHEN s.record_id IS NULL THEN 'needs_review' ELSE 'approved' END AS review_status, coalesce(s.is_active, true) AS is_active
+FROM (SELECT *, concat('node/', CAST(poi_id AS VARCHAR)) AS record_id FROM poi0 WHERE poi_id % 3 <> 0) s FULL JOIN (SELECT * FROM audit WHERE status = 'classified') f ON f.record_id = s.record_id"""
+
+
+@query(
+    f"WITH poi0 AS ({views.POI}), fetched AS ({_FETCHED}), cur AS (SELECT l.* FROM ({_LAST.format('SELECT * FROM fetched')}) l JOIN ({_RAN}) USING (run_id) WHERE region = 'region0'), audit AS ({_AUDIT})\nSELECT r.*, CASE WHEN action <> 'kept' THEN n END AS source_count FROM ({_REFRESHED}) r LEFT JOIN (SELECT record_id, count(*) AS n FROM fetched GROUP BY 1) c ON c.record_id = r.record_id"
+)
+def refresh_from_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places after a region was worked out again from the last snapshot of each of its records."""
+    fetched = _fetched(spark, sf_dir)
+    audit = _audit(spark, sf_dir, ingest.as_of(fetched))
+    places = ingest.refreshed(_held(spark, sf_dir), audit, "region0")
+    counts = ingest.reset_signals(audit, places, fetched).select("record_id", "source_count")
+    return places.join(counts, "record_id", "left").select("record_id", "action", "city", F.col("normalized_subcategory").alias("kind"), F.col("quality_score").alias("quality"), "review_status", "is_active", "source_count")
+
+
+@query(f"""WITH poi0 AS ({views.POI}), fetched AS ({_FETCHED}), old AS ({_LAST.format("SELECT * FROM fetched WHERE seq % 2 = 0")}), new AS ({_LAST.format("SELECT * FROM fetched WHERE seq % 2 = 1")}),
+met AS (SELECT coalesce(n.record_id, o.record_id) AS record_id, coalesce(n.id, o.id) AS id, coalesce(n.content_hash, o.content_hash) AS content_hash, coalesce(n.run_id, o.run_id) AS run_id,
+  CASE WHEN n.id IS NULL THEN 'absent' WHEN o.id IS NULL THEN 'new' WHEN n.content_hash = o.content_hash THEN 'touched' ELSE 'changed' END AS raw_action FROM old o FULL JOIN new n ON n.record_id = o.record_id),
+cur AS (SELECT met.* FROM met JOIN ({_RAN}) USING (run_id) WHERE region = 'region0'), audit AS ({_AUDIT}), places AS ({_REFRESHED})
+SELECT met.record_id, raw_action, met.run_id, a.status, CASE WHEN a.status = 'classified' THEN p.action END AS place_action FROM met LEFT JOIN audit a ON a.record_id = met.record_id LEFT JOIN places p ON p.record_id = met.record_id""")
+def ingest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a batch does to every record, and what then becomes of the region's places."""
+    fetched = _fetched(spark, sf_dir)
+    stored, batch = (ingest.as_of(fetched.where(F.col("seq") % 2 == k)) for k in (0, 1))
+    merged = ingest.merged_raw(stored.withColumn("is_current", F.lit(True)), batch).where("is_current")
+    audit = _audit(spark, sf_dir, merged)
+    places = ingest.refreshed(_held(spark, sf_dir), audit, "region0").select("record_id", F.col("action").alias("place_action"))
+    status = audit.select("record_id", "status").join(places, "record_id", "left")
+    rows = merged.join(status, "record_id", "left")
+    return rows.select("record_id", F.col("action").alias("raw_action"), "run_id", "status", F.when(F.col("status") == "classified", F.col("place_action")).alias("place_action"))
+
+
+_BY_KIND = "(VALUES " + ", ".join(f"('{k}', {min(len(v[1]) / 20.0, 10.0)!r}, {v[2]!r})" for k, v in vocab.TYPES.items()) + ") t(kind, described, base)"
+
+
+@query(sql(f"""SELECT concat('node/', CAST(poi_id AS VARCHAR)) AS record_id, CAST(n AS DOUBLE) AS tag_richness, {r("described", 6)} AS described, CASE WHEN contains(display, 'culture') OR c.kind = 'infrastructure_landmark' THEN CAST(0.6 AS DOUBLE) ELSE 0.4 END AS local_identity,
+{r("(base + CASE WHEN tag_historic IN ('yes', 'monument', 'memorial') THEN 2 ELSE 0 END) / 10.0", 6)} AS interpretive_value, CASE WHEN contains(display, 'food') OR contains(display, 'history') THEN CAST(0 AS DOUBLE) ELSE 0.15 END AS genericity,
+CASE WHEN quality >= 65 THEN CAST(0.7 AS DOUBLE) ELSE 0.4 END AS editorial_seed, CAST(0 AS DOUBLE) AS official FROM (SELECT *, {_DISPLAY} AS display, {_QUALITY} AS quality, 1 + (tag_historic IS NOT NULL)::INT + (tag_railway IS NOT NULL)::INT + (tag_waterway IS NOT NULL)::INT
++ (tag_tourism IS NOT NULL)::INT + (tag_natural IS NOT NULL)::INT + (tag_man_made IS NOT NULL)::INT AS n FROM ({_CLASSIFIED}) WHERE poi_id % 10 <> 0) c JOIN {_BY_KIND} ON t.kind = c.kind""", "poi0"))
+def first_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of every classified place as ingested."""
+    found = classify.first_signals(classify.audited(_tagged(spark, sf_dir)).where("status = 'classified'"))
+    return found.select("record_id", "tag_richness", py_round(F.col("description_quality"), 6).alias("described"), "local_identity", py_round(F.col("interpretive_value"), 6).alias("interpretive_value"), "genericity", "editorial_seed", "official")
+
+
+_ROUTE_WHY = _WHY.replace("supported by proximity", "supported by route fit").replace("point_proximity + radius_fit >= 22 THEN 'very close to the pinned location'", "route_proximity + detour_fit + budget_fit >= 22 THEN 'close to the route with manageable detour burden'")
+_ROUTE_BADGES = _BADGES.replace("CASE WHEN distance_m <= 100 THEN 'near this location' END, CASE WHEN distance_m <= 400 THEN 'walkable' END", "CASE WHEN distance_m <= 150 THEN 'near this route' END, CASE WHEN detour_m <= 500 THEN 'within budget' END")
+
+
+@query(sql(f"""SELECT poi_id, array_to_string(CASE WHEN len(f) > 0 THEN f[1:3] ELSE ['route-plausible candidate with meaningful local signal'] END, '|') AS reasons, array_to_string({_ROUTE_BADGES}, '|') AS badges
+FROM (SELECT *, {_ROUTE_WHY} AS f FROM (SELECT *, {_SQL_FLAGS} FROM ({_route_sql('history', 6000, 15, 'driving')})))""", "poi"))
+def route_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons and badges of every place that a route may return."""
+    req = scoring.Route(LINE, 6000, 15, "history")
+    places = views.places(spark, sf_dir, only=lambda rows: scoring.along_route(rows, req).where(scoring.category_matches(req.category)))
+    rows = _flagged(scoring.score_route(places, req))
+    return rows.select("poi_id", F.array_join(explain.reasons("route"), "|").alias("reasons"), F.array_join(explain.badges("route", "driving"), "|").alias("badges"))
+
+
+@query("""WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN concat('Q', CAST(p_partkey % 40 AS VARCHAR)) WHEN p_partkey % 7 <> 0 THEN concat('Q', CAST(p_partkey % 33 AS VARCHAR)) END AS w FROM part),
+e AS (SELECT concat('Q', CAST(n_nationkey AS VARCHAR)) AS entity_id, n_name FROM nation WHERE n_nationkey % 6 <> 5), f AS (SELECT DISTINCT w FROM p WHERE TRY_CAST(w[2:] AS INT) >= 25 OR TRY_CAST(w[2:] AS INT) % 6 = 5)
+SELECT count(*) AS candidates, count(entity_id) AS enriched, count(*) FILTER (w IS NULL) AS skipped, count(*) FILTER (w IS NOT NULL AND entity_id IS NULL) + (SELECT count(*) FROM f) AS fetch_errors FROM p LEFT JOIN e ON e.entity_id = w""")
+def enrichment_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of an enrichment of all places: the latest tags of some name another entity than the place does, batches of some entities failed, and some entities are there twice."""
+    key = F.col("p_partkey")
+    part = _table(spark, sf_dir, "part")
+    no = F.lit(None).cast("string")
+    places = part.select(key.alias("poi_id"), F.when(key % 7 != 0, F.concat(F.lit("Q"), (key % 33).cast("string"))).alias("wikidata_id"), no.alias("wikipedia_title"), no.alias("short_description"), F.lit("museum").alias("normalized_subcategory"), F.lit(0.5).alias("entity_type_confidence"), F.lit(0.0).alias("description_quality"))
+    tagged = F.create_map(F.lit("wikidata"), F.concat(F.lit(" Q"), (key % 40).cast("string")), F.lit("wikipedia"), F.concat(F.lit("en:"), "p_name"))
+    raw = part.select(key.alias("poi_id"), F.col("p_size").alias("fetched_at"), F.lit("node/1").alias("record_id"), F.lit(True).alias("is_current"), F.when(key % 4 == 0, tagged).alias("tags"))
+    stale = raw.withColumns({"fetched_at": F.col("fetched_at") - 1, "tags": F.create_map(F.lit("wikidata"), F.lit("Q1"))})
+    found = _table(spark, sf_dir, "nation").where("n_nationkey % 6 <> 5").select(F.concat(F.lit("Q"), F.col("n_nationkey").cast("string")).alias("entity_id"), F.col("n_name").alias("description"), F.col("n_name").alias("title"))
+    hinted = details.with_hints(places, ingest.latest_tags(raw.unionByName(stale)))
+    number = F.substring("wikidata_id", 2, 9).cast("int")
+    failed = hinted.where((number >= 25) | (number % 6 == 5)).select(F.col("wikidata_id").alias("entity_id"))
+    return details.enrichment_counts(details.enriched(hinted, found.unionByName(found)), failed)
+
+
+_THEME_ROWS = f"""SELECT coalesce(m.poi_id, d.poi_id) AS poi_id, coalesce(m.theme, d.theme) AS theme, m.status, m.basis, round(m.confidence, 2) AS automated_confidence, d.decision, m.poi_id IS NOT NULL AS member, {_STATE} AS review_state
+FROM mem m FULL JOIN dec d ON m.poi_id = d.poi_id AND m.theme = d.theme"""
+
+
+@query(sql(f"""SELECT q.poi_id, q.theme, CASE q.theme WHEN 'water' THEN 'Water' WHEN 'rail' THEN 'Rail' ELSE 'Public Memory' END AS label, canonical_name, q.status AS automated_status, automated_confidence, CASE WHEN member THEN coalesce(n, 0) ELSE 0 END AS evidence_count, decision AS editorial_decision,
+review_state, CASE decision WHEN 'force_exclude' THEN 'suppressed' WHEN 'force_include' THEN 'accepted' ELSE q.status END AS effective_status
+FROM (SELECT t.*, canonical_name FROM ({_THEME_ROWS}) t JOIN poi0 p ON p.poi_id = t.poi_id WHERE review_state <> 'unreviewed' AND city = 'region3' AND review_state = 'stale'
+  ORDER BY CASE status WHEN 'candidate' THEN 0 WHEN 'accepted' THEN 1 ELSE 2 END, coalesce(automated_confidence, 1.0), lower(canonical_name), t.poi_id, t.theme LIMIT 200) q
+LEFT JOIN (SELECT poi_id, CASE WHEN contains(haystack, 'Railyard') THEN 'rail' ELSE 'water' END AS theme, count(DISTINCT evidence_id) AS n FROM ev WHERE haystack <> 'City layer' GROUP BY 1, 2) l ON l.poi_id = q.poi_id AND l.theme = q.theme""", "mem", "dec", "ev", "poi0"))
+def theme_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first stale themes of a city's places, with what a reviewer sees of each."""
+    links = views.evidence(spark, sf_dir).where("haystack <> 'City layer'").select("poi_id", F.when(F.contains("haystack", F.lit("Railyard")), "rail").otherwise("water").alias("theme"), "evidence_id")
+    memberships = views.view(spark, sf_dir, views.MEMBERSHIPS).withColumn("computed_at", F.lit(1))
+    decisions = views.view(spark, sf_dir, views.DECISIONS).withColumn("stamp", F.when(F.dayofmonth("reviewed_at") % 3 == 0, F.lit(1)).otherwise(F.lit(2)))
+    rows = themes.queue(memberships, decisions, views.view(spark, sf_dir, views.POI), links, city="region3", state="stale", limit=200)
+    return rows.select("poi_id", "theme", "label", "canonical_name", "automated_status", "automated_confidence", "evidence_count", "editorial_decision", "review_state", "effective_status")
+
+
 # Evidence is every row of lineitem: what was registered apart for that is the same query.
 for _name in ("nearby_topk", "route_topk", "nonspatial_components", "intent_guardrail", "theme_filtered_topk", "water_theme", "membership_evidence_diff", "evidence_rollup", "signal_recompute", "child_collect", "region_reset", "rail_anchor", "why_reasons", "badges", "case_expectations"):
     QUERIES[f"{_name}_whole"], ORACLE_SQL[f"{_name}_whole"] = QUERIES[_name], ORACLE_SQL[_name]
