@@ -42,8 +42,8 @@ BLOCK = 1024
 #: Hash functions by which sets first meet a likely partner; they only save work.
 MEETINGS = 6
 STAR = 64
-_SLICE = 1 << 20
-_FLUSH = 2_000_000
+_SLICE = 1 << 18
+_FLUSH = 500_000
 _PART_TOKENS = 2_000_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
