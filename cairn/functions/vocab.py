@@ -112,3 +112,16 @@ SEED_ALIASES = {
     ),
     "De Vargas Street House": (("Oldest House", "common", 0.97), ("Oldest House Museum", "common", 0.96)),
 }
+
+# Suites of evaluation cases; one without names holds every case.
+SUITES = {
+    "core-product": ("nearby-plaza-history", "nearby-canyon-art", "nearby-railyard-rail", "route-historic-center-driving", "route-railyard-rail", "route-arts-corridor-walk"),
+    "rail-smoke": ("nearby-railyard-civic", "nearby-railyard-rail", "route-railyard-civic", "route-railyard-rail"),
+    "water-smoke": ("nearby-acequia-water", "nearby-plaza-water-empty", "route-acequia-water"),
+    "empty-result-guardrails": ("nearby-plaza-water-empty", "nearby-plaza-rail-empty", "nearby-downtown-scenic-empty", "route-downtown-scenic-empty"),
+    "nearby-smoke": (
+        "nearby-acequia-water", "nearby-plaza-history", "nearby-canyon-art", "nearby-railyard-civic", "nearby-railyard-rail", "nearby-plaza-water-empty", "nearby-plaza-rail-empty", "nearby-downtown-scenic-empty",
+    ),
+    "route-smoke": ("route-acequia-water", "route-historic-center-driving", "route-railyard-civic", "route-railyard-rail", "route-arts-corridor-walk", "route-downtown-scenic-empty"),
+    "all-fixtures": (),
+}

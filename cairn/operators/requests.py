@@ -1,12 +1,13 @@
-"""Many requests in one plan: a table of requests, each near a point, against all places, and what evaluation cases expect of the results.
+"""Many requests in one plan: a table of requests, near a point or along a route, against all places, and what evaluation cases expect of the results.
 
-A request goes to the grid cells that its radius covers and meets the places of these cells by equality; the scan of places and every
+A request goes to the grid cells that its radius or corridor covers and meets the places of these cells by equality; the scan of places and every
 component are shared, as are the ranks: the best of each request are kept where they are found before they meet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,11 +30,21 @@ def _by(column: str, values: tuple[str, ...], of: Callable[[str], Column]) -> Co
     return out
 
 
-def valid(requests: DataFrame) -> Column:
-    """Whether a request can be asked: a known category, mode and theme, a limit of 1 to 20 and a positive radius."""
+def _known(requests: DataFrame) -> Column:
     themes = [t for t, spec in vocab.THEMES.items() if spec[1]]
     known = F.col("category").isin(*vocab.CATEGORIES) & F.col("mode").isin(*scoring.SPEED) & (F.col("theme").isNull() | F.col("theme").isin(*themes))
-    return F.coalesce(known & F.col("limit").between(1, 20) & (F.col("radius_m") > 0), F.lit(False))
+    return known & F.col("limit").between(1, 20)
+
+
+def valid(requests: DataFrame) -> Column:
+    """Whether a request can be asked: a known category, mode and theme, a limit of 1 to 20 and a positive radius."""
+    return F.coalesce(_known(requests) & (F.col("radius_m") > 0), F.lit(False))
+
+
+def _sized(places: DataFrame, cover: DataFrame) -> DataFrame:
+    """places once for each size of cell in use: powers of two, so a few."""
+    sizes = cover.agg(F.collect_set("size").alias("sizes")).first()["sizes"]
+    return places.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))) if sizes else places.where("false").withColumn("size", F.lit(0.0))
 
 
 def _met(places: DataFrame, requests: DataFrame) -> DataFrame:
@@ -45,8 +56,7 @@ def _met(places: DataFrame, requests: DataFrame) -> DataFrame:
     q = q.withColumn("size", (F.lit(CELL) * F.pow(F.lit(2.0), size)))
     cells = lambda c: F.sequence(F.floor((F.col(c) - F.col("radius_m")) / F.col("size")), F.floor((F.col(c) + F.col("radius_m")) / F.col("size")))
     q = q.withColumn("cx", F.explode(cells("qx"))).withColumn("cy", F.explode(cells("qy")))
-    sizes = q.select("size").distinct().agg(F.collect_set("size").alias("sizes")).first()["sizes"]
-    p = places.where("is_active").drop("lon", "lat").withColumn("size", F.explode(F.array(*map(F.lit, sizes)))) if sizes else places.where("false").drop("lon", "lat").withColumn("size", F.lit(0.0))
+    p = _sized(places.where("is_active").drop("lon", "lat"), q)
     p = p.withColumns({"cx": F.floor(F.col("x") / F.col("size")), "cy": F.floor(F.col("y") / F.col("size"))})
     d = F.hypot(F.col("x") - F.col("qx"), F.col("y") - F.col("qy"))
     wanted = F.col("wanted_city").isNull() | (F.col("city") == F.col("wanted_city"))
@@ -54,55 +64,138 @@ def _met(places: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.withColumn("distance_m", F.rint("d").cast("int")).where(F.col("distance_m") <= F.col("radius_m")).drop("size", "cx", "cy", "qx", "qy", "d", "wanted_city")
 
 
-def nearby(places: DataFrame, requests: DataFrame) -> DataFrame:
-    """The best places of every request, with their rank and components, as scoring.score_nearby gives them one request at a time.
+def _alone(weights: Mapping[str, float] | None) -> dict[str, Column]:
+    """What depends on the place alone, worked out before the join: once a place, not once a pair. Columns that only some requests count begin with an underscore."""
+    base = {m: scoring.base_components(m, weights) for m in scoring.SPEED}
+    out = {k: v for k, v in next(iter(base.values())).items() if k != "mode_affinity"} | {f"_{m}": v["mode_affinity"] for m, v in base.items()}
+    out |= {f"_{k}": scoring.category_components(c)[k] for k, c in _CONTEXT.items()}
+    rail = scoring.theme_components("mixed", "rail") | {"nearby_rail_anchor_prominence": F.when(scoring.is_rail_anchor(), 8.0).otherwise(0.0)}
+    return out | {f"_{k}": v for k, v in rail.items()}
 
-    places: a place frame (see operators.scoring); for requests with a theme also themes, the array of themes that it is an accepted member of, rail_basis and rail_links. requests: request_id
-    (unique), lon, lat, radius_m, category, mode, theme, city (null: any), limit. Requests that can't be asked (see valid) give nothing.
-    """
-    asked = requests.where(valid(requests))
-    kinds, modes = tuple(vocab.CATEGORIES), tuple(scoring.SPEED)
+
+def _prepared(places: DataFrame, alone: dict[str, Column]) -> DataFrame:
     if "themes" not in places.columns:
         places = places.withColumns({"themes": F.array().cast("array<string>"), "rail_basis": F.lit(None).cast("string"), "rail_links": F.lit(None).cast("int")})
-    # What depends on the place alone is worked out before the join: once a place, not once a pair.
-    base = {m: scoring.base_components(m) for m in modes}
-    alone = {k: v for k, v in base[modes[0]].items() if k != "mode_affinity"} | {f"_{m}": base[m]["mode_affinity"] for m in modes}
-    context = {k: (c, scoring.category_components(c)[k]) for k, c in _CONTEXT.items()}
-    alone |= {f"_{k}": v for k, (_, v) in context.items()}
-    rail_parts = scoring.theme_components("mixed", "rail") | {"nearby_rail_anchor_prominence": F.when(scoring.is_rail_anchor(), 8.0).otherwise(0.0)}
-    alone |= {f"_{k}": v for k, v in rail_parts.items()}
-    rows = _met(places.withColumns(alone), asked.withColumn("radius_m", F.col("radius_m").cast("double")))
-    rows = rows.where(_by("category", kinds, scoring.category_matches) & (F.col("theme").isNull() | F.array_contains("themes", F.col("theme"))))
-    share = F.col("distance_m") / F.col("radius_m")
-    near, fit = F.greatest(F.lit(0.0), 18.0 - 18.0 * share), F.greatest(F.lit(0.0), 12.0 - 12.0 * share)
-    rail = (F.col("theme") == "rail") & (F.col("category") == "mixed")
-    parts = {"point_proximity": py_round(near, 2), "radius_fit": py_round(fit, 2), "mode_affinity": _by("mode", modes, lambda m: F.col(f"_{m}"))}
-    parts |= {k: F.when(F.col("category") == c, F.col(f"_{k}")).otherwise(0.0) for k, (c, _) in context.items()}
-    parts |= {k: F.when(rail, F.col(f"_{k}")).otherwise(0.0) for k in rail_parts}
-    parts |= {"category_bonus": scoring.category_bonus(F.col("match_type")), "category_intent_guardrail": scoring.guardrail(F.col("match_type"), near + fit, 24.0, 18.0)}
-    own = [k for k in base[modes[0]] if k != "mode_affinity"]
-    rows = rows.withColumn("match_type", _by("category", kinds, scoring.match_type)).withColumns(parts).withColumn("score", total(*map(F.col, [*own, *parts])))
+    return places.withColumns(alone)
+
+
+def _fitting(rows: DataFrame) -> DataFrame:
+    """Pairs in which the place is of the request's category and theme."""
+    return rows.where(_by("category", tuple(vocab.CATEGORIES), scoring.category_matches) & (F.col("theme").isNull() | F.array_contains("themes", F.col("theme"))))
+
+
+def _ranked(rows: DataFrame, alone: dict[str, Column], spatial: dict[str, Column], match: Callable[[str], Column], guard: tuple[float, float], rail: tuple[str, ...]) -> DataFrame:
+    """The best pairs of each request with their rank, components and score. spatial: unrounded; rail: the components of a request for all places of the rail theme."""
+    by_rail = (F.col("theme") == "rail") & (F.col("category") == "mixed")
+    parts = {k: py_round(v, 2) for k, v in spatial.items()} | {"mode_affinity": _by("mode", tuple(scoring.SPEED), lambda m: F.col(f"_{m}"))}
+    parts |= {k: F.when(F.col("category") == c, F.col(f"_{k}")).otherwise(0.0) for k, c in _CONTEXT.items()}
+    parts |= {k: F.when(by_rail, F.col(f"_{k}")).otherwise(0.0) for k in rail}
+    fit = reduce(lambda a, b: a + b, spatial.values())
+    parts |= {"category_bonus": scoring.category_bonus(F.col("match_type")), "category_intent_guardrail": scoring.guardrail(F.col("match_type"), fit, *guard)}
+    own = [k for k in alone if not k.startswith("_")]
+    rows = rows.withColumn("match_type", _by("category", tuple(vocab.CATEGORIES), match)).withColumns(parts).withColumn("score", total(*map(F.col, [*own, *parts])))
     rows = rows.drop(*(k for k in alone if k.startswith("_")))
     order = Window.partitionBy("request_id").orderBy(F.col("score").desc(), "poi_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 20).where(F.col("rank") <= F.col("limit"))
 
 
+def nearby(places: DataFrame, requests: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
+    """The best places of every request, with their rank and components, as scoring.score_nearby gives them one request at a time.
+
+    places: a place frame (see operators.scoring); for requests with a theme also themes, the array of themes that it is an accepted member of, rail_basis and rail_links. requests: request_id
+    (unique), lon, lat, radius_m, category, mode, theme, city (null: any), limit. Requests that can't be asked (see valid) give nothing.
+    """
+    asked, alone = requests.where(valid(requests)), _alone(weights)
+    rows = _fitting(_met(_prepared(places, alone), asked.withColumn("radius_m", F.col("radius_m").cast("double"))))
+    share = F.col("distance_m") / F.col("radius_m")
+    spatial = {"point_proximity": F.greatest(F.lit(0.0), 18.0 - 18.0 * share), "radius_fit": F.greatest(F.lit(0.0), 12.0 - 12.0 * share)}
+    return _ranked(rows, alone, spatial, scoring.match_type, (24.0, 18.0), ("rail_anchor_bonus", "rail_trace_guardrail", "nearby_rail_anchor_prominence"))
+
+
+def valid_route(requests: DataFrame) -> Column:
+    """Whether a route can be asked: as valid, with two points or more, none of them null, and budgets above 0."""
+    asked = _known(requests) & (F.size("line") >= 2) & ~F.exists("line", lambda p: p["lon"].isNull() | p["lat"].isNull())
+    return F.coalesce(asked & (F.col("max_detour_m") > 0) & (F.col("max_extra_min") > 0), F.lit(False))
+
+
+def _covered(requests: DataFrame) -> DataFrame:
+    """request_id, size, cx, cy and segments: the cells in which a place may lie within a route's budgets, once each, with the route's segments that come near the cell.
+
+    A detour goes there and back, so places lie within half of it. Segments are cut into pieces of at most twice that reach (a cell at least), and each piece covers its box, at most 8
+    cells a side: a long route covers the corridor along it, not the box around it, and a cell carries the segments near it, not all of a route of many points."""
+    pace = _by("mode", tuple(scoring.SPEED), lambda m: F.lit(scoring.SPEED[m]))
+    reach = F.least(F.col("max_detour_m") / 2.0, (F.col("max_extra_min") + 0.5) * pace / 2.0) + 1.0
+    line = F.transform("line", lambda p: F.struct(geo.mercator_x(p["lon"]).alias("x"), geo.mercator_y(p["lat"]).alias("y")))
+    q = requests.select("request_id", reach.alias("reach"), line.alias("line"))
+    n = F.size("line") - 1
+    pairs = F.zip_with(F.slice("line", F.lit(1), n), F.slice("line", F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    q = q.select("request_id", "reach", F.explode(pairs).alias("s"))
+    dx, dy = F.col("s.b.x") - F.col("s.a.x"), F.col("s.b.y") - F.col("s.a.y")
+    step = F.greatest(2.0 * F.col("reach"), F.lit(CELL))
+    q = q.withColumns({"dx": dx, "dy": dy, "step": step, "pieces": F.greatest(F.lit(1.0), F.ceil(F.hypot(dx, dy) / step).cast("double"))})
+    # The least power of two at which a piece's box takes no more than 8 cells a side.
+    power = F.greatest(F.lit(0.0), F.ceil(F.log2((F.col("step") + 2.0 * F.col("reach")) / (CELL * 7))).cast("double"))
+    q = q.withColumns({"size": F.lit(CELL) * F.pow(F.lit(2.0), power), "i": F.explode(F.sequence(F.lit(0), (F.col("pieces") - 1).cast("int")))})
+
+    def cells(axis: str) -> Column:
+        at = F.col(f"s.a.{axis}") + F.col(f"d{axis}") * (F.col("i") / F.col("pieces"))
+        to = F.col(f"s.a.{axis}") + F.col(f"d{axis}") * ((F.col("i") + 1) / F.col("pieces"))
+        return F.sequence(F.floor((F.least(at, to) - F.col("reach")) / F.col("size")), F.floor((F.greatest(at, to) + F.col("reach")) / F.col("size")))
+
+    cover = q.withColumn("cx", F.explode(cells("x"))).withColumn("cy", F.explode(cells("y")))
+    return cover.groupBy("request_id", "size", "cx", "cy").agg(F.collect_set("s").alias("segments"))
+
+
+def _to_segment(s: Column) -> Column:
+    """As geo.segment_distance, with the segment in a column."""
+    x, y, ax, ay = F.col("x"), F.col("y"), s["a"]["x"], s["a"]["y"]
+    dx, dy = s["b"]["x"] - ax, s["b"]["y"] - ay
+    size = dx * dx + dy * dy
+    t = F.when(size == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - ax) * dx + (y - ay) * dy) / size)))
+    return F.hypot(x - (ax + t * dx), y - (ay + t * dy))
+
+
+def routes(places: DataFrame, requests: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
+    """The best places of every route, with their rank and components, as scoring.score_route gives them one route at a time.
+
+    places as for nearby. requests: request_id (unique), line (array of structs lon, lat), max_detour_m, max_extra_min, category, mode, theme, city (null: any), limit. Routes that can't be asked (see
+    valid_route) give nothing. A place meets a route in one cell only, so no pair needs to be made distinct; a route takes the cells along it, whatever its length."""
+    asked, alone = requests.where(valid_route(requests)), _alone(weights)
+    cover = _covered(asked)
+    p = _sized(_prepared(places, alone).where("is_active").drop("lon", "lat"), cover)
+    p = p.withColumns({"cx": F.floor(F.col("x") / F.col("size")), "cy": F.floor(F.col("y") / F.col("size"))})
+    rows = p.join(cover, ["size", "cx", "cy"]).withColumn("d", F.array_min(F.transform("segments", _to_segment))).drop("size", "cx", "cy", "segments")
+    q = asked.drop("line", "lon", "lat").withColumnRenamed("city", "wanted_city")
+    rows = rows.join(q, "request_id").where((F.col("d") <= F.col("max_detour_m")) & (F.col("wanted_city").isNull() | (F.col("city") == F.col("wanted_city"))))
+    rows = rows.withColumn("distance_m", F.rint("d").cast("int")).withColumn("detour_m", F.col("distance_m") * 2)
+    rows = rows.withColumn("extra_min", _by("mode", tuple(scoring.SPEED), lambda m: scoring.travel_minutes(F.col("detour_m"), m)))
+    rows = _fitting(rows.where((F.col("detour_m") <= F.col("max_detour_m")) & (F.col("extra_min") <= F.col("max_extra_min"))).drop("d", "wanted_city"))
+    most, minutes = F.col("max_detour_m").cast("double"), F.col("max_extra_min").cast("double")
+    corridor = F.greatest(F.lit(120.0), F.floor(most * 0.8).cast("double"))
+    room = ((most - F.col("detour_m")) / most + (minutes - F.col("extra_min")) / minutes) / 2.0 * 5.0
+    spatial = {"route_proximity": F.greatest(F.lit(0.0), 15.0 - F.col("distance_m") / corridor * 15.0), "detour_fit": F.greatest(F.lit(0.0), 15.0 - F.col("detour_m") / most * 15.0), "budget_fit": room}
+    return _ranked(rows, alone, spatial, scoring.route_match_type, (28.0, 24.0), ("rail_anchor_bonus", "rail_trace_guardrail"))
+
+
 def outcomes(cases: DataFrame, ranked: DataFrame) -> DataFrame:
-    """case_id, suite, passed, results and notes of every case. A case without notes has passed.
+    """case_id, suite, passed, results, notes, warnings, matched, violated and names of every case. A case without notes has passed; warnings fail nothing.
 
-    cases: case_id, suite, request_id, expect_empty, expected, forbidden, preferred (arrays of names; null: none), required_preferred (null: all), least and most results (null: any);
-    ranked: request_id, rank, name. An empty result fails unless it is expected; a result fails where nothing is. The preferred names must stand in as many first ranks as there are of them."""
+    cases: case_id, suite, request_id, expect_empty, expected, forbidden, preferred (arrays of names; null: none), required_preferred, least and most results (null: any); ranked: request_id, rank,
+    name. A result must be empty where nothing is expected and only there, hold one of the expected names, none of the forbidden, between least and most results, and, where required_preferred
+    is given, as many of the preferred names at any rank. It is warned of if none of the preferred stands in the first three ranks. All expectations are looked at, so a case may have several notes."""
     none = F.array().cast("array<string>")
     found = ranked.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda r: r["name"]).alias("names"))
     rows = cases.join(found, "request_id", "left").withColumns({c: F.coalesce(c, none) for c in ("names", "expected", "forbidden", "preferred")})
-    n, wanted = F.size("names"), F.size("preferred")
-    top = F.size(F.array_intersect(F.slice("names", F.lit(1), F.greatest(wanted, F.lit(1))), F.col("preferred")))
-    usual = [
-        F.when((F.size("expected") > 0) & ~F.arrays_overlap("expected", "names"), "none of the expected names"),
+    n, empty = F.size("names"), F.coalesce("expect_empty", F.lit(False))
+    among = lambda c: F.filter(c, lambda x: F.array_contains("names", x))
+    rows = rows.withColumns({"matched": among("expected"), "violated": among("forbidden")})
+    notes = [
+        F.when(empty & (n > 0), "expected nothing"),
+        F.when(~empty & (n == 0), "no results"),
+        F.when((F.size("expected") > 0) & (F.size("matched") == 0), "none of the expected names"),
         F.when((n < F.col("least")) | (n > F.col("most")), "number of results"),
-        F.when((wanted > 0) & (top < F.coalesce("required_preferred", wanted)), "preferred names not on top"),
+        F.when(F.size(among("preferred")) < F.col("required_preferred"), "too few of the preferred names"),
     ]
-    notes = F.concat(F.transform(F.filter("names", lambda x: F.array_contains("forbidden", x)), lambda x: F.concat(F.lit("forbidden: "), x)), F.array_compact(F.array(*usual)))
-    empty = F.when(n > 0, F.array(F.lit("expected nothing"))).otherwise(none)
-    notes = F.when(F.coalesce("expect_empty", F.lit(False)), empty).when(n == 0, F.array(F.lit("no results"))).otherwise(notes)
-    return rows.withColumn("notes", notes).select("case_id", "suite", (F.size("notes") == 0).alias("passed"), n.alias("results"), "notes")
+    late = F.when((F.size("preferred") > 0) & (n > 0) & ~F.arrays_overlap("preferred", F.slice("names", 1, 3)), "no preferred name in the first three")
+    rows = rows.withColumns({"notes": F.concat(F.transform("violated", lambda x: F.concat(F.lit("forbidden: "), x)), F.array_compact(F.array(*notes))), "warnings": F.array_compact(F.array(late))})
+    return rows.select("case_id", "suite", (F.size("notes") == 0).alias("passed"), n.alias("results"), "notes", "warnings", "matched", "violated", "names")

@@ -7,6 +7,7 @@ signals official, district, institutional, genericity (null: no signals row); fr
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -109,8 +110,11 @@ def category_matches(category: str) -> Column:
     return (match_type(category) != "none") & eligible(category)
 
 
-def base_components(mode: str) -> dict[str, Column]:
-    w = vocab.WEIGHTS
+def base_components(mode: str, weights: Mapping[str, float] | None = None) -> dict[str, Column]:
+    """What a place is worth wherever it lies. weights: those that differ from vocab.WEIGHTS, by its names."""
+    if unknown := set(weights or ()) - set(vocab.WEIGHTS):
+        raise ValueError(f"unknown weights: {sorted(unknown)}")
+    w = vocab.WEIGHTS | dict(weights or {})
     affinity = F.col("drive_affinity" if mode == "driving" else "walk_affinity")
 
     def signal(name: str, weight: float) -> Column:
@@ -215,24 +219,24 @@ def along_route(places: DataFrame, req: Route) -> DataFrame:
     return rows.where((F.col("detour_m") <= req.max_detour_m) & (F.col("extra_min") <= req.max_extra_min))
 
 
-def _scored(rows: DataFrame, spatial: dict[str, Column], match: Column, guard: Column, category: str, theme: str | None, mode: str, more: dict[str, Column]) -> DataFrame:
-    parts = {k: py_round(v, 2) for k, v in spatial.items()} | base_components(mode) | category_components(category) | theme_components(category, theme) | more
+def _scored(rows: DataFrame, spatial: dict[str, Column], match: Column, guard: Column, category: str, theme: str | None, mode: str, more: dict[str, Column], weights: Mapping[str, float] | None) -> DataFrame:
+    parts = {k: py_round(v, 2) for k, v in spatial.items()} | base_components(mode, weights) | category_components(category) | theme_components(category, theme) | more
     parts |= {"category_bonus": category_bonus(match), "category_intent_guardrail": guard}
     rows = rows.withColumn("match_type", match).withColumns(parts)
     return rows.withColumn("score", total(*map(F.col, parts)))
 
 
-def score_nearby(places: DataFrame, req: Nearby) -> DataFrame:
+def score_nearby(places: DataFrame, req: Nearby, weights: Mapping[str, float] | None = None) -> DataFrame:
     rows = near_point(places, req).where(category_matches(req.category))
     share = F.col("distance_m") / float(req.radius_m)
     spatial = {"point_proximity": F.greatest(F.lit(0.0), 18.0 - 18.0 * share), "radius_fit": F.greatest(F.lit(0.0), 12.0 - 12.0 * share)}
     match = match_type(req.category)
     guard = guardrail(match, spatial["point_proximity"] + spatial["radius_fit"], 24.0, 18.0)
     prominence = F.when(is_rail_anchor(), 8.0).otherwise(0.0) if req.theme == "rail" and req.category == "mixed" else F.lit(0.0)
-    return _scored(rows, spatial, match, guard, req.category, req.theme, req.mode, {"nearby_rail_anchor_prominence": prominence})
+    return _scored(rows, spatial, match, guard, req.category, req.theme, req.mode, {"nearby_rail_anchor_prominence": prominence}, weights)
 
 
-def score_route(places: DataFrame, req: Route) -> DataFrame:
+def score_route(places: DataFrame, req: Route, weights: Mapping[str, float] | None = None) -> DataFrame:
     rows = along_route(places, req).where(category_matches(req.category))
     corridor = float(max(120, int(req.max_detour_m * 0.8)))
     detour = F.col("detour_m") / float(req.max_detour_m)
@@ -240,7 +244,7 @@ def score_route(places: DataFrame, req: Route) -> DataFrame:
     spatial = {"route_proximity": F.greatest(F.lit(0.0), 15.0 - F.col("distance_m") / corridor * 15.0), "detour_fit": F.greatest(F.lit(0.0), 15.0 - detour * 15.0), "budget_fit": room}
     match = route_match_type(req.category)
     guard = guardrail(match, spatial["route_proximity"] + spatial["detour_fit"] + spatial["budget_fit"], 28.0, 24.0)
-    return _scored(rows, spatial, match, guard, req.category, req.theme, req.mode, {})
+    return _scored(rows, spatial, match, guard, req.category, req.theme, req.mode, {}, weights)
 
 
 def best(scored: DataFrame, limit: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import geo, text, vocab
 from cairn.functions.rounding import py_round
-from cairn.operators import classify, commands, details, editorial, evidence, explain, ingest, matching, registers, requests, runs, scoring, snapshots, themes
+from cairn.operators import classify, commands, details, editorial, evaluation, evidence, explain, ingest, matching, registers, requests, runs, scoring, snapshots, themes
 from cairn.plans import oracle, views
 from cairn.plans.oracle import r, sql
 from cairn.sources import readers
@@ -855,11 +855,83 @@ def case_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = lambda *v: F.array(*map(F.lit, v)).cast("array<string>")
     cases = _table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("case_id"), F.col("s_suppkey").alias("request_id"), F.concat(F.lit("suite"), (F.col("s_suppkey") % 4).cast("string")).alias("suite"), (F.col("s_suppkey") % 9 == 0).alias("expect_empty"),
-        names("even").alias("expected"), names("acequia").alias("forbidden"), names().alias("preferred"), F.lit(None).cast("int").alias("required_preferred"), F.lit(2).alias("least"), F.lit(None).cast("int").alias("most"),
+        names("acequia").alias("forbidden"), names().alias("preferred"), F.lit(None).cast("int").alias("required_preferred"), F.lit(None).cast("int").alias("most"),
     )
+    cases = cases.withColumns({"expected": F.when(~F.col("expect_empty"), names("even")), "least": F.when(~F.col("expect_empty"), 2)})
     return details.outcome_counts(requests.outcomes(cases, ranked), "suite")
 
 
+
+_LINES = """SELECT s_suppkey AS request_id, s_suppkey AS k, CAST(-106.05 AS DOUBLE) + CAST((s_suppkey * 7907) % 150000 AS DOUBLE) / CAST(1000000 AS DOUBLE) AS lon, CAST(35.63 AS DOUBLE) + CAST((s_suppkey * 6131) % 90000 AS DOUBLE) / CAST(1000000 AS DOUBLE) AS lat,
+CAST((s_suppkey * 31) % 9 - 4 AS DOUBLE) / CAST(100 AS DOUBLE) AS east, CAST((s_suppkey * 17) % 7 - 3 AS DOUBLE) / CAST(100 AS DOUBLE) AS north, CAST(1500 + 600 * (s_suppkey % 5) AS INT) AS max_detour_m, CAST(6 + s_suppkey % 8 AS INT) AS max_extra_min,
+CASE s_suppkey % 7 WHEN 0 THEN 'history' WHEN 1 THEN 'culture' WHEN 2 THEN 'art' WHEN 3 THEN 'scenic' WHEN 4 THEN 'food' WHEN 5 THEN 'civic' ELSE 'mixed' END AS category, CASE WHEN s_suppkey % 2 = 0 THEN 'walking' ELSE 'driving' END AS mode, CAST(5 + s_suppkey % 6 AS INT) AS limit_n FROM supplier"""
+
+
+def _to_line(a: str, b: str) -> str:
+    """Distance from x, y to the segment between the points of two suffixes, which may be one."""
+    size = f"(pow(x{b} - x{a}, 2) + pow(y{b} - y{a}, 2))"
+    t = f"(CASE WHEN {size} = 0 THEN 0 ELSE least(1.0, greatest(0.0, ((x - x{a}) * (x{b} - x{a}) + (y - y{a}) * (y{b} - y{a})) / {size})) END)"
+    return f"sqrt(pow(x - (x{a} + {t} * (x{b} - x{a})), 2) + pow(y - (y{a} + {t} * (y{b} - y{a})), 2))"
+
+
+def _lines_sql() -> str:
+    """The best of each route, from the same building blocks as a single one."""
+    at = lambda i: f"radians(lon + east * {i}) * 6378137.0 AS x{i}, ln(tan(pi() / 4 + radians(lat + north * {i}) / 2)) * 6378137.0 AS y{i}"
+    match = "CASE q.category_q " + " ".join(f"WHEN '{c}' THEN {oracle.match(c)}" for c in vocab.CATEGORIES) + " END"
+    near = f"SELECT p.*, a.request_id, a.max_detour_m, a.max_extra_min, a.mode, a.limit_n, a.category AS category_q, CAST(round_even(least({_to_line('0', '1')}, {_to_line('1', '2')}), 0) AS INT) AS distance_m FROM poi p JOIN (SELECT * EXCLUDE (lon, lat), {at(0)}, {at(1)}, {at(2)} FROM lines) a ON p.is_active"
+    rows = f"SELECT *, {match} AS match_type, distance_m * 2 AS detour_m, greatest(1, CAST(round_even(distance_m * 2 / CASE mode WHEN 'walking' THEN 80.0 ELSE 250.0 END, 0) AS INT)) AS extra_min FROM ({near}) AS q"
+    rows = f"SELECT * FROM ({rows}) AS q WHERE match_type <> 'none' AND detour_m <= max_detour_m AND extra_min <= max_extra_min AND (category_q <> 'scenic' OR {oracle.SCENIC})"
+    by = {c: oracle.components(c, "walking") for c in vocab.CATEGORIES}
+    parts = {k: "CASE category_q " + " ".join(f"WHEN '{c}' THEN {by[c][k]}" for c in vocab.CATEGORIES) + " END" if len({by[c][k] for c in vocab.CATEGORIES}) > 1 else v for k, v in by["mixed"].items()}
+    parts["mode_affinity"] = f"CASE mode WHEN 'walking' THEN {by['mixed']['mode_affinity']} ELSE {oracle.components('mixed', 'driving')['mode_affinity']} END"
+    most, minutes = "CAST(max_detour_m AS DOUBLE)", "CAST(max_extra_min AS DOUBLE)"
+    spatial = {
+        "route_proximity": f"greatest(0.0, 15.0 - distance_m / CAST(greatest(120, CAST(floor({most} * CAST(0.8 AS DOUBLE)) AS INT)) AS DOUBLE) * 15.0)", "detour_fit": f"greatest(0.0, 15.0 - detour_m / {most} * 15.0)",
+        "budget_fit": f"(((max_detour_m - detour_m) / {most} + (max_extra_min - extra_min) / {minutes}) / 2.0 * 5.0)",
+    }
+    found = oracle.scored(rows, spatial, parts, oracle.guardrail("(" + " + ".join(spatial.values()) + ")", 28, 24))
+    return f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, poi_id) AS INT) AS rank FROM ({found})) WHERE rank <= limit_n"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of three points, some of them the same."""
+    rows = spark.sql(_LINES.replace("FROM supplier", "FROM {supplier}"), supplier=_table(spark, sf_dir, "supplier")).withColumnRenamed("limit_n", "limit")
+    at = lambda i: F.struct((F.col("lon") + F.col("east") * float(i)).alias("lon"), (F.col("lat") + F.col("north") * float(i)).alias("lat"))
+    return rows.withColumns({"line": F.array(at(0), at(1), at(2)), "theme": F.lit(None).cast("string"), "city": F.lit(None).cast("string")}).drop("k", "east", "north")
+
+
+_WITH_LINES = sql("SELECT 1", "poi").removesuffix("\nSELECT 1") + f",\nlines AS ({_LINES})\n"
+
+
+@query(_WITH_LINES + f"SELECT request_id, rank, poi_id, distance_m, detour_m, extra_min, match_type, score FROM ({_lines_sql()})")
+def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best places of many routes, each with its own points, budgets, category, mode and limit, in one plan."""
+    return requests.routes(views.places(spark, sf_dir), _lines(spark, sf_dir)).select("request_id", "rank", "poi_id", "distance_m", "detour_m", "extra_min", "match_type", "score")
+
+
+_CHECKED = f"""SELECT a.k, a.suite, n, first_even, matched, CASE WHEN a.k % 9 = 0 THEN n IS NULL ELSE coalesce(n >= 2 AND matched AND evens >= 1, false) END AS passed
+FROM (SELECT request_id AS k, CASE WHEN request_id % 2 = 0 THEN 'near' ELSE 'along' END AS suite FROM asked) a LEFT JOIN (
+SELECT request_id AS k, count(*) AS n, bool_or(poi_id % 2 = 0 AND rank <= 3) AS first_even, bool_or(poi_id % 3 = 0) AS matched, count(*) FILTER (poi_id % 2 = 0) AS evens FROM (
+SELECT request_id, rank, poi_id FROM ({_asked_sql()}) WHERE request_id % 2 = 0 UNION ALL SELECT request_id, rank, poi_id FROM ({_lines_sql()}) WHERE request_id % 2 = 1) GROUP BY 1) f ON f.k = a.k"""
+
+
+@query(_WITH_ASKED.rstrip("\n") + f",\nlines AS ({_LINES})\n" + f"""SELECT suite, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, count(*) FILTER (n IS NOT NULL AND NOT first_even) AS warned FROM (
+SELECT * FROM ({_CHECKED}) UNION ALL SELECT * REPLACE ('everything' AS suite) FROM ({_CHECKED})) GROUP BY 1""")
+def suite_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case for each supplier, half of them near a point and half along a route, evaluated in one plan: passed, failed and warned of by suite, one suite with them all. Names are the keys' remainders."""
+    near = spark.sql(_ASKED.replace("FROM supplier", "FROM {supplier}"), supplier=_table(spark, sf_dir, "supplier")).withColumnRenamed("limit_n", "limit").where("request_id % 2 = 0")
+    rows = near.withColumn("kind", F.lit("nearby")).unionByName(_lines(spark, sf_dir).where("request_id % 2 = 1").withColumn("kind", F.lit("route")), allowMissingColumns=True)
+    names = lambda *v: F.array(*map(F.lit, v)).cast("array<string>")
+    none = {c: F.lit(None).cast(t) for c, t in (("forbidden", "array<string>"), ("most", "int"))}
+    cases = rows.withColumnRenamed("request_id", "case_id").withColumns({"expect_empty": F.col("case_id") % 9 == 0} | none)
+    empty = F.col("expect_empty")
+    cases = cases.withColumns({"expected": F.when(~empty, names("0", "3")), "preferred": names("0", "2", "4"), "required_preferred": F.when(~empty, 1), "least": F.when(~empty, 2)})
+    places = views.places(spark, sf_dir).withColumns({"canonical_name": (F.col("poi_id") % 6).cast("string"), "title": F.lit(None).cast("string")})
+    found = evaluation.evaluated(places, cases)
+    named = found.select("case_id", F.explode(F.array(F.when(F.col("case_id") % 2 == 0, "near").otherwise("along"), F.lit("everything"))).alias("suite"))
+    return evaluation.by_suite(found, named).select("suite", "passed", "failed", "warned")
+
+
 _FETCHED = "SELECT 'survey' AS source_name, concat('node/', CAST(l_partkey AS STRING)) AS record_id, l_partkey AS id, l_shipdate AS fetched_at, l_orderkey * 10 + l_linenumber AS seq, l_suppkey AS run_id, CAST(l_suppkey % 3 AS STRING) AS content_hash FROM lineitem"
 _LAST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY fetched_at DESC, seq DESC) AS k FROM ({})) WHERE k = 1"
 _QUALITY = "CAST(least(95.0, 50.0 + 2.5 * (1 + (tag_historic IS NOT NULL)::INT + (tag_railway IS NOT NULL)::INT + (tag_waterway IS NOT NULL)::INT + (tag_tourism IS NOT NULL)::INT + (tag_natural IS NOT NULL)::INT + (tag_man_made IS NOT NULL)::INT)) AS DOUBLE)"
