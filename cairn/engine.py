@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators import explain, scoring
+from cairn.operators import details, evaluation, explain, requests, scoring
 from cairn.operators.scoring import Nearby, Route
 
 
@@ -22,6 +23,8 @@ class Engine:
     """places: a place frame with signals and editorial columns (see operators.scoring)."""
 
     places: DataFrame
+    #: Weights of the score that differ from vocab.WEIGHTS.
+    weights: Mapping[str, float] | None = None
 
     def _explained(self, top: DataFrame, mode: str, travel: str, theme: str | None) -> DataFrame:
         """Titles, reasons and badges, for the rows left after the limit."""
@@ -29,13 +32,27 @@ class Engine:
         return rows.withColumns({"name": F.coalesce(F.nullif("title", F.lit("")), "canonical_name"), "why": explain.reasons(mode, theme), "badges": explain.badges(mode, travel, theme)})
 
     def nearby(self, req: Nearby) -> DataFrame:
-        return self._explained(scoring.best(scoring.score_nearby(self.places, req), req.limit), "nearby", req.mode, req.theme)
+        return self._explained(scoring.best(scoring.score_nearby(self.places, req, self.weights), req.limit), "nearby", req.mode, req.theme)
 
     def route(self, req: Route) -> DataFrame:
-        return self._explained(scoring.best(scoring.score_route(self.places, req), req.limit), "route", req.mode, req.theme)
+        return self._explained(scoring.best(scoring.score_route(self.places, req, self.weights), req.limit), "route", req.mode, req.theme)
 
-    def detail(self, poi_id: int) -> DataFrame:
-        return self.places.where(F.col("poi_id") == poi_id)
+    def nearby_all(self, asked: DataFrame) -> DataFrame:
+        """The best places of every request of a table (see requests.nearby)."""
+        return requests.nearby(self.places, asked, self.weights)
+
+    def routes_all(self, asked: DataFrame) -> DataFrame:
+        """The best places of every route of a table (see requests.routes)."""
+        return requests.routes(self.places, asked, self.weights)
+
+    def evaluated(self, cases: DataFrame) -> DataFrame:
+        """What every evaluation case fails (see evaluation.evaluated)."""
+        return evaluation.evaluated(self.places, cases, self.weights)
+
+    def detail(self, poi_id: int, evidence: DataFrame, raw: DataFrame, themes: DataFrame) -> DataFrame:
+        """All that is known of one place (see details.place_detail); no row if it isn't there."""
+        one = lambda rows: rows.where(F.col("poi_id") == poi_id)
+        return details.place_detail(_flags(one(self.places)), one(evidence), one(raw), one(themes))
 
     def queue(self, status: str, default: str = "pending") -> DataFrame:
         shown = F.coalesce("editorial_status", F.lit(default))

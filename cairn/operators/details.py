@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import vocab
-from cairn.functions.text import clean, description_quality, type_template
+from cairn.functions.text import clean, description_quality, short_description, type_template
+from cairn.operators import explain
 from cairn.sources.readers import article_title, entity_id
 
 
@@ -118,6 +119,34 @@ def theme_items(effective: DataFrame, links: DataFrame, evidence: DataFrame) ->
     return rows.select("poi_id", item.alias("item")).groupBy("poi_id").agg(F.array_sort(F.collect_list("item")).alias("themes"))
 
 
+#: What a place's detail tells of where the place comes from; columns that a frame lacks are null.
+PROVENANCE = {"primary_source": "string", "osm_id": "string", "wikidata_id": "string", "wikipedia_title": "string"}
+
+
+def place_detail(places: DataFrame, evidence: DataFrame, raw: DataFrame, themes: DataFrame) -> DataFrame:
+    """One row a place: poi_id, name, primary_category, secondary_categories, lon, lat, short_description, why_it_matters, badges, provenance (with the number of raw records), evidence in the order of
+    source, type and label, and themes.
+
+    places: poi_id (unique), canonical_name, normalized_category, normalized_subcategory, display, lon, lat, official, editorial_status, the flags historical, cultural, scenic, infrastructure and has_wikidata,
+    and, null where they are missing, short_description, description_override and PROVENANCE; evidence: poi_id, source_id, evidence_type, label, text, url, confidence; raw: poi_id of every raw record; themes: as
+    theme_items gives them. The name is the canonical one: an editorial title shows in suggestions only. Places without evidence, records or themes keep empty lists and a count of 0. A place's evidence
+    comes together in one row: ask for the places that are shown."""
+    texts = {"short_description": "string", "description_override": "string"} | PROVENANCE
+    rows = places.withColumns({c: F.lit(None).cast(t) for c, t in texts.items() if c not in places.columns})
+    order = ("source_id", "evidence_type", F.coalesce("label", F.lit("")).alias("by_label"), "label", "text", "url", "confidence")
+    drop = lambda e: F.struct(*(e[c].alias(c) for c in ("source_id", "evidence_type", "label", "text", "url", "confidence")))
+    listed = evidence.groupBy("poi_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*order))), drop).alias("evidence"))
+    counted = raw.groupBy("poi_id").agg(F.count(F.lit(1)).alias("raw_source_count"))
+    rows = rows.join(listed, "poi_id", "left").join(counted, "poi_id", "left").join(themes.select("poi_id", "themes"), "poi_id", "left")
+    empty = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
+    provenance = F.struct(*PROVENANCE, F.coalesce("raw_source_count", F.lit(0)).alias("raw_source_count"))
+    return rows.select(
+        "poi_id", F.col("canonical_name").alias("name"), F.col("normalized_category").alias("primary_category"), secondary_categories(F.col("display"), F.col("normalized_category")).alias("secondary_categories"), "lon", "lat",
+        short_description(F.col("description_override"), F.col("short_description"), F.col("normalized_subcategory")).alias("short_description"), explain.detail_reasons().alias("why_it_matters"),
+        explain.detail_badges().alias("badges"), provenance.alias("provenance"), empty("evidence", listed.schema["evidence"].dataType), empty("themes", themes.schema["themes"].dataType),
+    )
+
+
 def outcome_counts(outcomes: DataFrame, by: str) -> DataFrame:
     """passed, failed and run by group; outcomes that are null weren't expected of anything and count as neither."""
     return outcomes.groupBy(by).agg(F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.count("passed").alias("run"), F.bool_and("passed").alias("all_passed"))

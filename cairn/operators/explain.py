@@ -52,3 +52,31 @@ def why_not_linked() -> Column:
     best = F.format_string("Best candidate '%s' via %s scored %.3f, below the auto-link threshold.", F.col("best_name"), F.coalesce("match_strategy", F.lit("fuzzy_fallback")), F.coalesce("best_similarity", F.lit(0.0)))
     found = F.when(F.col("status") == "resolved", resolved).when(F.col("status") == "suppressed", "Suppressed during editorial review.")
     return found.when(F.col("best_name").isNull(), "No plausible canonical POI candidate was found.").otherwise(best)
+
+
+def detail_reasons() -> Column:
+    """The first three reasons of a place shown by itself, without a request. Columns: historical, cultural, infrastructure, official, has_wikidata."""
+    found = F.array_compact(
+        F.array(
+            F.when(_yes("historical"), "historical significance signal present"),
+            F.when(_yes("cultural"), "strong local identity or cultural context"),
+            F.when(_yes("infrastructure"), "reveals civic or infrastructural traces"),
+            F.when(F.col("official") >= 0.7, "corroborated by official city or heritage sources"),
+            F.when(_yes("has_wikidata"), "structured external identity match"),
+        )
+    )
+    return F.when(F.size(found) > 0, F.slice(found, 1, 3)).otherwise(F.array(F.lit("candidate requires editorial review")))
+
+
+def detail_badges() -> Column:
+    """Badges of a place shown by itself. Columns: editorial_status, official, historical, scenic, infrastructure, primary_source."""
+    return F.array_compact(
+        F.array(
+            F.when(F.col("editorial_status") == "featured", "featured"),
+            F.when(F.col("official") >= 0.7, "officially corroborated"),
+            F.when(_yes("historical"), "history"),
+            F.when(_yes("scenic"), "scenic"),
+            F.when(_yes("infrastructure"), "infrastructure trace"),
+            F.when(F.col("primary_source") == "osm_overpass", "osm-ingested"),
+        )
+    )

@@ -1060,3 +1060,33 @@ def theme_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 for _name in ("nearby_topk", "route_topk", "nonspatial_components", "intent_guardrail", "theme_filtered_topk", "water_theme", "membership_evidence_diff", "evidence_rollup", "signal_recompute", "child_collect", "region_reset", "rail_anchor", "why_reasons", "badges", "case_expectations"):
     QUERIES[f"{_name}_whole"], ORACLE_SQL[f"{_name}_whole"] = QUERIES[_name], ORACLE_SQL[_name]
 QUERIES["alias_conflict_whole"], ORACLE_SQL["alias_conflict_whole"] = QUERIES["alias_conflict"], ORACLE_SQL["alias_conflict"]
+
+
+_STORED = "CASE poi_id % 3 WHEN 0 THEN canonical_name WHEN 1 THEN concat(canonical_name, ' beside the old river crossing') END"
+_WRITTEN = "CASE WHEN poi_id % 13 = 0 THEN 'A place that reviewers have described at some length' WHEN poi_id % 13 = 1 THEN 'short' END"
+_GOOD = lambda c: f"CASE WHEN len({c}) >= 20 AND NOT " + _LOW.replace("lower(flat)", f"lower({c})") + f" AND NOT (len({c}) - len(replace({c}, ',', '')) >= 3 AND len(string_split({c}, ' ')) <= 8) THEN {c} END"
+_TEMPLATE_SQL = "CASE subcategory " + " ".join(f"WHEN '{k}' THEN '{v[1].replace(chr(39), chr(39) * 2)}'" for k, v in vocab.TYPES.items()) + f" ELSE '{vocab.NO_DESCRIPTION}' END"
+_DETAIL_WHY = """list_filter([CASE WHEN historical THEN 'historical significance signal present' END, CASE WHEN cultural THEN 'strong local identity or cultural context' END, CASE WHEN infrastructure THEN 'reveals civic or infrastructural traces' END,
+CASE WHEN official >= 0.7 THEN 'corroborated by official city or heritage sources' END, CASE WHEN poi_id % 3 = 0 THEN 'structured external identity match' END], lambda v: v IS NOT NULL)"""
+_DETAIL_BADGES = """list_filter([CASE WHEN editorial_status = 'featured' THEN 'featured' END, CASE WHEN official >= 0.7 THEN 'officially corroborated' END, CASE WHEN historical THEN 'history' END, CASE WHEN scenic THEN 'scenic' END,
+CASE WHEN infrastructure THEN 'infrastructure trace' END, CASE WHEN poi_id % 4 <> 0 THEN 'osm-ingested' END], lambda v: v IS NOT NULL)"""
+
+
+@query(sql(f"""SELECT poi_id, canonical_name AS name, coalesce(CASE WHEN sec <> category THEN nullif(sec, '') END, '') AS secondary, coalesce({_GOOD("w")}, {_GOOD("s")}, {_TEMPLATE_SQL}) AS short_description,
+array_to_string(CASE WHEN len({_DETAIL_WHY}) > 0 THEN ({_DETAIL_WHY})[1:3] ELSE ['candidate requires editorial review'] END, '|') AS why_it_matters, array_to_string({_DETAIL_BADGES}, '|') AS badges,
+coalesce(records, 0) AS raw_source_count, coalesce(listed, '') AS evidence, coalesce(themes, '') AS themes
+FROM (SELECT *, {_SQL_FLAGS}, {_STORED} AS s, {_WRITTEN} AS w FROM poi) p LEFT JOIN (SELECT l_partkey AS poi_id, count(*) AS records FROM lineitem GROUP BY 1) n USING (poi_id)
+LEFT JOIN (SELECT poi_id, string_agg(concat(evidence_type, ':', haystack, ':', CAST(confidence AS VARCHAR)), '|' ORDER BY evidence_type, haystack, confidence) AS listed FROM (SELECT *, evidence_id % 7 AS confidence FROM ev) WHERE evidence_type <> 'survey_note' GROUP BY 1) e USING (poi_id)
+LEFT JOIN (SELECT poi_id, string_agg(theme, '|' ORDER BY theme <> 'water', theme) AS themes FROM ({_EFFECTIVE}) WHERE effective_status NOT IN ('suppressed', 'none') GROUP BY 1) t USING (poi_id)""", "poi", "mem", "dec", "ev"))
+def place_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place as its detail shows it: text, reasons, badges, where it comes from, evidence in order, themes."""
+    rows = _flagged(views.places(spark, sf_dir)).withColumns({"short_description": F.expr(_STORED), "description_override": F.expr(_WRITTEN), "primary_source": F.when(F.col("poi_id") % 4 != 0, "osm_overpass").otherwise("survey")})
+    seen = views.evidence(spark, sf_dir)
+    told = seen.where("evidence_type <> 'survey_note'").select("poi_id", F.lit("s").alias("source_id"), "evidence_type", F.col("haystack").alias("label"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("url"), (F.col("evidence_id") % 7).alias("confidence"))
+    links = seen.where("false").select("poi_id", F.lit("").alias("theme"), "evidence_id")
+    found = details.place_detail(rows, told, seen.select("poi_id"), details.theme_items(_effective(spark, sf_dir), links, seen))
+    item = lambda e: F.concat_ws(":", e["evidence_type"], e["label"], e["confidence"].cast("string"))
+    return found.select(
+        "poi_id", "name", F.array_join("secondary_categories", "|").alias("secondary"), "short_description", F.array_join("why_it_matters", "|").alias("why_it_matters"), F.array_join("badges", "|").alias("badges"),
+        F.col("provenance.raw_source_count").alias("raw_source_count"), F.array_join(F.transform("evidence", item), "|").alias("evidence"), F.array_join(F.transform("themes", lambda t: t["theme"]), "|").alias("themes"),
+    )

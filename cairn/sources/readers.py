@@ -197,3 +197,43 @@ def entity_id(tag: Column) -> Column:
 def article_title(tag: Column) -> Column:
     """An article's title from a tag with or without its language."""
     return F.replace(F.regexp_replace(F.trim(tag), "^[^:]*:", ""), F.lit(" "), F.lit("_"))
+
+
+_EXPECTED = "expected_empty boolean, expected_any_names array<string>, forbidden_names array<string>, preferred_top_names array<string>, required_preferred_top_names_count int, min_results int, max_results int"
+_CASES = (
+    "cases array<struct<id string, label string, mode string, purpose string, category string, theme string, travel_mode string, region_hint string, limit int, center struct<lat: double, lon: double>, "
+    f"radius_meters int, route_geometry struct<type: string, coordinates: array<array<double>>>, max_detour_meters int, max_extra_minutes int, expectations struct<{_EXPECTED}>>>"
+)
+_FIXTURES = (
+    "fixtures array<struct<name string, description string, request struct<route_geometry struct<type: string, coordinates: array<array<double>>>, travel_mode string, category string, theme string, "
+    "max_detour_meters int, max_extra_minutes int, region_hint string, limit int>, expected_non_empty boolean, expected_any_names array<string>, forbidden_names array<string>>>"
+)
+
+
+def _line(geometry: Column) -> Column:
+    return F.transform(geometry["coordinates"], lambda p: F.struct(F.get(p, 0).alias("lon"), F.get(p, 1).alias("lat")))
+
+
+def evaluation_cases(spark: SparkSession, path: str) -> DataFrame:
+    """The cases of JSON files as operators.evaluation takes them, with label and purpose. A limit that isn't given is 5; lists that aren't given are null, which expects nothing. A file without cases gives no rows."""
+    c = spark.read.schema(_CASES).option("multiLine", True).json(path).select(F.inline("cases"))
+    e = F.col("expectations")
+    return c.select(
+        F.col("id").alias("case_id"), "label", "purpose", F.col("mode").alias("kind"), F.col("center.lon").alias("lon"), F.col("center.lat").alias("lat"), F.col("radius_meters").alias("radius_m"),
+        _line(F.col("route_geometry")).alias("line"), F.col("max_detour_meters").alias("max_detour_m"), F.col("max_extra_minutes").alias("max_extra_min"), "category", F.col("travel_mode").alias("mode"), "theme",
+        F.col("region_hint").alias("city"), F.coalesce("limit", F.lit(5)).alias("limit"), F.coalesce(e["expected_empty"], F.lit(False)).alias("expect_empty"), e["expected_any_names"].alias("expected"),
+        e["forbidden_names"].alias("forbidden"), e["preferred_top_names"].alias("preferred"), e["required_preferred_top_names_count"].alias("required_preferred"), e["min_results"].alias("least"), e["max_results"].alias("most"),
+    )
+
+
+def route_fixtures(spark: SparkSession, path: str) -> DataFrame:
+    """The older files of routes alone, in the columns of evaluation_cases: a route that expects results needs one of them."""
+    c = spark.read.schema(_FIXTURES).option("multiLine", True).json(path).select(F.inline("fixtures"))
+    r, none = F.col("request"), lambda t: F.lit(None).cast(t)
+    filled = F.coalesce("expected_non_empty", F.lit(True))
+    return c.select(
+        F.col("name").alias("case_id"), F.col("name").alias("label"), F.col("description").alias("purpose"), F.lit("route").alias("kind"), none("double").alias("lon"), none("double").alias("lat"), none("int").alias("radius_m"),
+        _line(r["route_geometry"]).alias("line"), r["max_detour_meters"].alias("max_detour_m"), r["max_extra_minutes"].alias("max_extra_min"), r["category"].alias("category"), r["travel_mode"].alias("mode"), r["theme"].alias("theme"),
+        r["region_hint"].alias("city"), F.coalesce(r["limit"], F.lit(5)).alias("limit"), (~filled).alias("expect_empty"), F.col("expected_any_names").alias("expected"),
+        F.col("forbidden_names").alias("forbidden"), none("array<string>").alias("preferred"), none("int").alias("required_preferred"), none("int").alias("least"), none("int").alias("most"),
+    )
