@@ -6,6 +6,7 @@ squares then finds a nonnegative rate for each document, so that the expected to
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -16,23 +17,30 @@ from cairn.llm.shared import table, text_or_empty, written
 
 #: Share of the expected tokens that each domain (here: language) is to have.
 TARGETS = {"de": 0.18, "en": 0.5, "es": 0.14, "fr": 0.18}
-#: Strings whose counts tell the domains apart; how much each speaks for a domain is learned.
-MARKERS = (" the ", "th", " der ", " und ", "ch", " la ", " de ", " que ", "eau", "ción", "é", "ó", "ü", "ß")
-#: A text of more bytes speaks no louder than one of so many; it keeps membership soft for long texts.
-EVIDENCE = 400
+#: Words are hashed to so many rates a domain.
+BUCKETS = 4096
+#: The model is fitted on the rows of at most so many labelled documents, those of smallest hash.
+FIT_ROWS = 20_000
+#: A text of more words speaks no louder than one of so many; it keeps membership soft for long texts.
+EVIDENCE = 40
 ROUNDS = 60
 
 
 @dataclass
 class DomainModel:
-    """prior[domain] and rate[domain][marker]: occurrences of each marker a byte."""
+    """prior[domain] and rate[domain][bucket]: the share of a domain's words that fall into each bucket."""
 
     prior: dict[str, float]
     rate: dict[str, list[float]]
 
 
-def _count(text: Column, marker: str) -> Column:
-    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(marker), F.lit("")))) / len(marker.encode())
+def _fixed(values: list, kind: str) -> Column:
+    """A list of the driver as one constant, folded before the plan runs."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def _count(text: Column, mark: str) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))
 
 
 def tokens(text: Column) -> Column:
@@ -40,46 +48,53 @@ def tokens(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(1 + _count(text, " ") + _count(text, "\n")).cast("double")
 
 
-def with_features(docs: DataFrame, prefix: str) -> DataFrame:
-    """docs with the size and tokens of the text and the count of each marker in columns whose names begin with prefix."""
-    text = text_or_empty()
-    counts = {f"{prefix}c{i}": _count(text, m) for i, m in enumerate(MARKERS)}
-    return docs.withColumns({f"{prefix}size": F.octet_length(text), f"{prefix}tokens": tokens(text)} | counts)
-
-
-def fit_domains(features: DataFrame, labels: DataFrame, domains: tuple[str, ...] = tuple(TARGETS)) -> DomainModel:
-    """Rates of the markers in each domain over all labelled documents; one row a domain reaches the driver. Labelled
-    rows of other domains, or without one, are left out. A domain without rows keeps flat rates and a small prior.
-    features: doc_id, domain and the columns of with_features, so that no text moves for the join."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    rows = features.where(F.col("domain").isin(*domains)).join(known, "doc_id", "left_semi")
-    occurrences = [F.sum(f"c{i}").alias(f"m{i}") for i in range(len(MARKERS))]
-    sums = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), *occurrences)
-    found = {r["domain"]: r for r in sums.collect()}
-    total = sum(r["n"] for r in found.values())
+def words(text: Column) -> Column:
+    """The bucket of each word between spaces and line feeds, in lower case."""
+    return F.transform(F.split(F.lower(text), "[ \n]"), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+
+
+def fit_domains(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = tuple(TARGETS), most: int = FIT_ROWS) -> DomainModel:
+    """Rates of hashed words in each domain, from the rows of labelled documents (at most `most`, so that their ids fit every task; labels of documents that aren't in docs count among them).
+    docs: doc_id, domain, text. A row of counts for each domain and bucket reaches the driver. Labelled rows of other domains, or without one, are left out. A domain without rows keeps flat rates
+    and a small prior."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.where(F.col("domain").isin(*domains)).join(F.broadcast(known), "doc_id", "left_semi")
+    # A row itself counts as bucket -1: documents and words are counted in one pass.
+    held = rows.select("domain", F.explode(F.concat(F.array(F.lit(-1)), words(text_or_empty()))).alias("bucket"))
+    found = {d: {} for d in domains}
+    for r in held.groupBy("domain", "bucket").count().collect():
+        found[r["domain"]][r["bucket"]] = r["count"]
+    total = sum(c.get(-1, 0) for c in found.values())
     prior, rate = {}, {}
-    for d in domains:
-        r = found.get(d)
-        prior[d] = ((r["n"] if r else 0) + 1) / (total + len(domains))
-        rate[d] = [((r[f"m{i}"] if r else 0) + 0.5) / ((r["bytes"] if r else 0) + 500) for i in range(len(MARKERS))]
+    for d, c in found.items():
+        n = c.pop(-1, 0)
+        prior[d] = (n + 1) / (total + len(domains))
+        whole = sum(c.values()) + 0.5 * BUCKETS
+        rate[d] = [(c.get(b, 0) + 0.5) / whole for b in range(BUCKETS)]
     return DomainModel(prior, rate)
 
 
-def with_membership(features: DataFrame, model: DomainModel, prefix: str = "") -> DataFrame:
-    """features (see with_features) with the posterior of each domain in the columns prefix + p0, p1, ... in the order of
-    model.prior: Poisson counts of the markers, tempered. Each step is a column of its own, so that nothing is worked out
-    twice."""
+def _told(buckets: Column, rate: list[float]) -> Column:
+    """The sum of the logarithms of the buckets' rates."""
+    logs = _fixed([math.log(r) for r in rate], "array<double>")
+    return F.aggregate(buckets, F.lit(0.0), lambda acc, b: acc + F.get(logs, b))
+
+
+def with_membership(docs: DataFrame, model: DomainModel, prefix: str = "") -> DataFrame:
+    """docs with the tokens of the text and the posterior of each domain in the columns prefix + tokens, p0, p1, ... in the order of model.prior: rates of hashed words, tempered. Each step is a column
+    of its own, so that nothing is worked out twice. A task holds the words of one text at a time, some ten times its bytes."""
     domains = range(len(model.prior))
-    strength = F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.greatest(F.col(f"{prefix}size"), F.lit(1)))
+    text = text_or_empty()
+    out = docs.withColumns({f"{prefix}tokens": tokens(text), f"{prefix}words": words(text)})
+    strength = F.when(F.col(f"{prefix}tokens") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.col(f"{prefix}tokens")))
     logits = {}
     for k, d in enumerate(model.prior):
-        fit = sum((F.col(f"{prefix}c{i}") * math.log(r) for i, r in enumerate(model.rate[d])), F.col(f"{prefix}size") * -sum(model.rate[d]))
-        logits[f"{prefix}l{k}"] = math.log(model.prior[d]) + strength * fit
+        logits[f"{prefix}l{k}"] = math.log(model.prior[d]) + strength * _told(F.col(f"{prefix}words"), model.rate[d])
     top = [F.col(f"{prefix}l{k}") for k in domains]
-    out = features.withColumns(logits).withColumn(f"{prefix}top", F.greatest(*top) if len(top) > 1 else top[0])
+    out = out.withColumns(logits).withColumn(f"{prefix}top", F.greatest(*top) if len(top) > 1 else top[0])
     out = out.withColumns({f"{prefix}e{k}": F.exp(F.col(f"{prefix}l{k}") - F.col(f"{prefix}top")) for k in domains})
     whole = sum((F.col(f"{prefix}e{k}") for k in domains), F.lit(0.0))
-    return out.withColumns({f"{prefix}p{k}": F.col(f"{prefix}e{k}") / whole for k in domains}).select(*features.columns, *(f"{prefix}p{k}" for k in domains))
+    return out.withColumns({f"{prefix}p{k}": F.col(f"{prefix}e{k}") / whole for k in domains}).select(*docs.columns, f"{prefix}tokens", *(f"{prefix}p{k}" for k in domains))
 
 
 @dataclass
@@ -92,10 +107,10 @@ class Mixture:
 
     def rate(self, posterior: list[Column]) -> Column:
         """Rate of a document: from 1, against each step in the direction of its posterior, never below 0."""
-        rate = F.lit(1.0)
-        for step in self.steps:
-            rate = F.greatest(F.lit(0.0), rate - sum((p * y for p, y in zip(posterior, step, strict=True)), F.lit(0.0)))
-        return rate
+        if not self.steps:
+            return F.lit(1.0)
+        against = lambda y: sum((p * F.get(y, k) for k, p in enumerate(posterior)), F.lit(0.0))
+        return F.aggregate(_fixed(self.steps, "array<array<double>>"), F.lit(1.0), lambda rate, y: F.greatest(F.lit(0.0), rate - against(y)))
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, rounds: int = ROUNDS, within: float = 1e-7) -> Mixture:
@@ -137,11 +152,10 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, total: fl
 
 
 def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, domain: str = "lang") -> tuple[DomainModel, Mixture, DataFrame]:
-    """The domain model, the rates' steps, and doc_id, tokens and posteriors of all documents. The texts are read once."""
+    """The domain model, the rates' steps, and doc_id, tokens and posteriors of all documents. The texts are read twice and never move: labelled ones for the model, all for the posteriors."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(domain).cast("string").alias("domain"), "text")
-    features = written(with_features(rows, "").drop("text"), "features")
-    model = fit_domains(features, labels, tuple(targets))
-    members = written(with_membership(features, model).select("doc_id", "tokens", *(f"p{k}" for k in range(len(targets)))), "membership")
+    model = fit_domains(rows, labels, tuple(targets))
+    members = written(with_membership(rows.drop("domain"), model).select("doc_id", "tokens", *(f"p{k}" for k in range(len(targets)))), "membership")
     return model, fit_rates(members, targets, total), members
 
 
@@ -167,7 +181,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     """docs with every row as often as its copies say; with the total left unset that is once at least. All columns stay."""
     model, mixture, _ = fit(docs, labels, targets)
     spare = "_" * (1 + max(map(len, docs.columns)))
-    found = with_membership(with_features(docs, spare), model, spare)
+    found = with_membership(docs, model, spare)
     rate = F.greatest(F.lit(1.0), mixture.rate([F.col(f"{spare}p{k}") for k in range(len(model.prior))]))
     return found.withColumn(spare, F.explode(F.sequence(F.lit(1), _copies(rate, F.col("doc_id"))))).select(*docs.columns)
 

@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -172,6 +173,41 @@ def test_mixing_reaches_targets(spark, docs, empty, pairs):
     assert op3_mixing.rates(empty, labels).count() == 0
 
 
+def test_domains_equal_brute_force_and_hold_out(spark, docs, empty):
+    sf = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows, domains = d.select("doc_id", "text", "lang").collect(), list(op3_mixing.TARGETS)
+    known = {r.doc_id for r in labels.select("doc_id").collect()}
+    buckets = lambda text: [xxhash.xxh64_intdigest(w.encode(), seed=42) % 2**64 for w in re.split("[ \n]", (text or "").lower())]
+    at = lambda h: (h - 2**64 if h >= 2**63 else h) % op3_mixing.BUCKETS
+    counts, n = {k: collections.Counter() for k in domains}, collections.Counter()
+    for r in rows:
+        if r.doc_id in known and r.lang in counts:
+            counts[r.lang].update(map(at, buckets(r.text)))
+            n[r.lang] += 1
+    model = op3_mixing.fit_domains(d.withColumn("domain", F.col("lang")), labels)
+    for k in domains:
+        whole = sum(counts[k].values()) + 0.5 * op3_mixing.BUCKETS
+        assert np.allclose(model.rate[k], [(counts[k][b] + 0.5) / whole for b in range(op3_mixing.BUCKETS)]) and np.isclose(model.prior[k], (n[k] + 1) / (sum(n.values()) + len(domains)))
+    logs = {k: np.log(model.rate[k]) for k in domains}
+    found = op3_mixing.with_membership(d.select("doc_id", "text"), model).collect()
+    lang, right, held = {r.doc_id: r.lang for r in rows}, 0, 0
+    for r in found:
+        words = [at(h) for h in buckets(r.text)]
+        tokens = len(re.split("[ \n]", r.text)) if r.text else 0
+        loud = np.array([np.log(model.prior[k]) + (min(1.0, op3_mixing.EVIDENCE / tokens) if tokens else 0.0) * logs[k][words].sum() for k in domains])
+        p = np.exp(loud - loud.max())
+        assert r.tokens == tokens and np.allclose([r[f"p{k}"] for k in range(len(domains))], p / p.sum(), atol=1e-9)
+        if r.doc_id not in known:
+            held, right = held + 1, right + (domains[int(p.argmax())] == lang[r.doc_id])
+    assert held > 100 and right > 0.95 * held
+    # Without labels each domain is as likely; with a bound of no rows as well.
+    for flat in (op3_mixing.fit_domains(empty.withColumn("domain", F.col("lang")), labels), op3_mixing.fit_domains(d.withColumn("domain", F.col("lang")), labels.where("false"))):
+        assert set(flat.prior.values()) == {0.25}
+        one = op3_mixing.with_membership(docs, flat, "_" * 9).where("text is null or text = ''").collect()
+        assert one and all(np.isclose(r["_" * 9 + "p0"], 0.25) and r["_" * 9 + "tokens"] == 0 for r in one)
+
+
 def brute_repeats(pairs, length):
     raw = [t.encode() for _, t in pairs]
     seen = collections.Counter(r[p : p + length] for r in raw for p in range(len(r) - length + 1))
