@@ -227,7 +227,7 @@ def test_writers(spark, tmp_path):
 
 def test_cases():
     assert case_result(["a", "b"], expected=("b",), preferred=("a",), least=1) == []
-    assert case_result([], expected=("b",)) == ["no results"] and case_result([], expect_empty=True) == []
+    assert case_result([], expected=("b",)) == ["no results", "none of the expected names"] and case_result([], expect_empty=True) == []
     assert case_result(["a"], forbidden=("a",)) == ["forbidden: a"]
 
 
