@@ -22,8 +22,9 @@ _VALUES = ("status", "basis", "confidence", "rationale")
 
 def replaced(stored: DataFrame, fresh: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Evidence after a run: stored rows of the run's sources for its places go, fresh ones come. Also touched (poi_id): places whose rows differ
-    from before, however often a row repeats. stored, fresh: the same columns, with poi_id and source_id; places: poi_id of the region."""
-    sources = fresh.select("source_id").distinct()
+    from before, however often a row repeats. stored, fresh: the same columns, with poi_id and source_id; places: poi_id of the region. A run's sources are few and go to every
+    task: a join by source would bring all rows of one into one task."""
+    sources = F.broadcast(fresh.select("source_id").distinct())
     here = stored.join(sources, "source_id", "left_semi").join(places.select("poi_id"), "poi_id", "left_semi")
     own = [c for c in stored.columns if c != "observed_at"]
     rest = stored.join(sources, "source_id", "left_anti").unionByName(stored.join(sources, "source_id", "left_semi").join(places.select("poi_id"), "poi_id", "left_anti"))
