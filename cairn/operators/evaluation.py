@@ -22,6 +22,7 @@ MOST_CASES = 2000
 def ranked(places: DataFrame, cases: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
     """request_id, rank, name, category, match_type, score of every result of every case (see evaluated)."""
     ask = lambda kind, *own: cases.where(F.col("kind") == kind).select(F.col("case_id").alias("request_id"), *own, *_SHARED)
+    places = requests.prepared(places, weights)
     near = requests.nearby(places, ask("nearby", "lon", "lat", "radius_m"), weights)
     along = requests.routes(places, ask("route", "line", "max_detour_m", "max_extra_min"), weights)
     shown = ("request_id", "rank", F.coalesce(F.nullif("title", F.lit("")), "canonical_name").alias("name"), F.col("normalized_category").alias("category"), "match_type", "score")
